@@ -210,3 +210,13 @@ def clusters(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, seed: in
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_fp = common.checkpointed(named.join(least, "root").select("fp", "component_id"))
     return own.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, bits: int = BITS, shingle: int = 5) -> DataFrame:
+    """The rows of ``docs`` that have the smallest doc_id of their near-duplicate group; of rows that share that doc_id
+    and text one stays. Five-word shingles; null doc_ids stay only where a group has no other."""
+    keyed = docs.withColumn("_uid", F.xxhash64("doc_id", "text"))
+    found = clusters(docs, bits, shingle)
+    first = found.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    kept = keyed.join(first.distinct(), keyed.doc_id.eqNullSafe(first.doc_id), "left_semi")
+    return kept.dropDuplicates(["_uid"]).drop("_uid")
