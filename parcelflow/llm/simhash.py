@@ -212,11 +212,113 @@ def clusters(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, seed: in
     return own.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, bits: int = BITS, shingle: int = 5) -> DataFrame:
-    """The rows of ``docs`` that have the smallest doc_id of their near-duplicate group; of rows that share that doc_id
-    and text one stays. Five-word shingles; null doc_ids stay only where a group has no other."""
-    keyed = docs.withColumn("_uid", F.xxhash64("doc_id", "text"))
-    found = clusters(docs, bits, shingle)
-    first = found.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    kept = keyed.join(first.distinct(), keyed.doc_id.eqNullSafe(first.doc_id), "left_semi")
-    return kept.dropDuplicates(["_uid"]).drop("_uid")
+# -------------------------------------------- near duplicates by similarity
+
+#: Independent fingerprints of a text's words; a pair is a candidate if one of them differs by ``BITS`` at most.
+TABLES = 3
+SIMILARITY = 0.8
+SIMILAR_SHINGLE = 5
+BINS = 256
+
+
+def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
+    h = (h ^ np.uint64(salt * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+_WORD_HASHES: dict[bytes, int] = {}
+
+
+def describe(text: str | None, tables: int = TABLES) -> tuple[list[int], bytes]:
+    """Fingerprints of a text's words, and a sketch of its distinct five-word shingles: the least hash of each of
+    ``BINS`` equal ranges (16 bits of it; all ones where a range is empty)."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return [0] * tables, b"\xff" * (2 * BINS)
+    if len(_WORD_HASHES) > 500_000:
+        _WORD_HASHES.clear()
+    for w in words:
+        if w not in _WORD_HASHES:
+            _WORD_HASHES[w] = xxhash.xxh64_intdigest(w, SEED)
+    hashes = np.array([_WORD_HASHES[w] for w in words], np.uint64)
+    prints = []
+    for t in range(tables):
+        total = np.zeros(64, np.int64)
+        for i in range(0, len(hashes), 1 << 15):
+            total += np.unpackbits(_mixed(hashes[i : i + (1 << 15)], t + 1).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        prints.append(int(np.packbits(2 * total > len(hashes), bitorder="little").view("<i8")[0]))
+    k = min(SIMILAR_SHINGLE, len(words))
+    shingles = np.zeros(len(words) - k + 1, np.uint64)
+    for i in range(k):
+        shingles = _mixed(shingles + hashes[i : len(hashes) - k + 1 + i], i + 11)
+    shingles = np.sort(_mixed(shingles, 5))
+    ranges = (shingles >> np.uint64(56)).astype(np.int64)
+    first = np.concatenate([[0], np.flatnonzero(np.diff(ranges)) + 1])
+    sketch = np.full(BINS, 0xFFFF, "<u2")
+    sketch[ranges[first]] = np.minimum((shingles[first] >> np.uint64(40)) & np.uint64(0xFFFF), np.uint64(0xFFFE))
+    return prints, sketch.tobytes()
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated share of common shingles, row by row of sketches."""
+    used = (a != 0xFFFF) | (b != 0xFFFF)
+    return ((a == b) & used).sum(axis=1) / np.maximum(1, used.sum(axis=1))
+
+
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, tables: int = TABLES) -> DataFrame:
+    """(text_id, doc_id, keeper): each row's text, and the smallest doc_id of its near-duplicate group.
+
+    Candidates are texts of which one of ``tables`` word fingerprints differs by three bits at most, by way of the
+    deletion variants; a link holds if the texts' five-word shingles are ``similarity`` alike by their sketches. Equal
+    texts are one vertex. Null and empty texts are equal.
+    """
+    common.small_batches(docs.sparkSession)
+    names = ["text_id", "doc_id", "prints", "sketch"]
+
+    def one(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.batches(stream):
+            rows = [describe(t, tables) for t in b["text"]]
+            yield pa.RecordBatch.from_arrays([pa.array(b["text_id"], pa.int64()), pa.array(b["doc_id"], pa.int64()), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.binary())], names)
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.xxhash64(text).alias("text_id"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    own = common.stored(rows.mapInArrow(one, "text_id long, doc_id long, prints array<long>, sketch binary"), "sketches")
+    texts = common.checkpointed(own.groupBy("text_id").agg(F.min("doc_id").alias("first_id"), F.first("prints").alias("prints")))
+    edges = None
+    for t in range(tables):
+        named = texts.select(F.col("prints")[t].alias("fp"), "text_id")
+        of = common.checkpointed(named.groupBy("fp").agg(F.min("text_id").alias("lead")))
+        same = named.join(of, "fp").filter("text_id <> lead").select(F.col("lead").alias("a"), F.col("text_id").alias("b"))
+        found = links(of.select("fp"), BITS)
+        found = found.join(of.select(F.col("fp").alias("a"), F.col("lead").alias("la")), "a").join(of.select(F.col("fp").alias("b"), F.col("lead").alias("lb")), "b").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
+        both = same.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(found)
+        edges = both if edges is None else edges.unionByName(both)
+    edges = common.checkpointed(edges.distinct())
+    sketches = own.join(edges.select(F.explode(F.array("a", "b")).alias("text_id")).distinct(), "text_id").groupBy("text_id").agg(F.first("sketch").alias("sketch"))
+    sketches = common.checkpointed(sketches)
+
+    def verify(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, BINS) for i in (2, 3))
+                keep = pa.array(likeness(x, y) >= similarity)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    pairs = edges.join(sketches.select(F.col("text_id").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("text_id").alias("b"), F.col("sketch").alias("y")), "b")
+    true_links = common.checkpointed(pairs.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
+    roots = components(true_links)
+    named = texts.select("text_id", "first_id").join(roots.withColumnRenamed("v", "text_id"), "text_id", "left").select("text_id", "first_id", F.coalesce("root", "text_id").alias("root"))
+    least = named.groupBy("root").agg(F.min("first_id").alias("keeper"))
+    keepers = common.checkpointed(named.join(least, "root").select("text_id", "keeper"))
+    return own.select("text_id", "doc_id").join(keepers, "text_id").select("text_id", "doc_id", "keeper")
+
+
+def keep_first(docs: DataFrame, similarity: float = SIMILARITY, tables: int = TABLES) -> DataFrame:
+    """The rows of ``docs`` with the smallest doc_id of each near-duplicate group. Rows that share a doc_id and text are
+    one; a group whose doc_ids are all null keeps one row. Columns stay as they are."""
+    groups = similar_groups(docs, similarity, tables)
+    whole = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))  # joins and duplicates go by the same two keys
+    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("keeper"))).select(F.col("text_id").alias("_text"), whole.alias("_doc")).distinct()
+    keyed = docs.withColumns({"_text": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), "_doc": whole})
+    return keyed.join(kept, ["_text", "_doc"], "left_semi").dropDuplicates(["_text", "_doc"]).select(docs.columns)
