@@ -34,12 +34,25 @@ KEYWORDS = {
     "inactiveStatus": "cancelled; canceled; expired; refused; withdrawn; void; voided",
 }
 CATEGORIES = [
-    "NOT_RELEVANT", "DEMOLITION_ONLY", "PROBABLE_NEW_DETACHED_INFILL", "PROBABLE_NEW_DETACHED_INFILL_FOR_MARKET", "PROBABLE_SEMI_DETACHED_INFILL", "PROBABLE_DUPLEX",
-    "PROBABLE_ROW_HOUSING", "PROBABLE_GARDEN_SUITE", "RENOVATION_OR_ADDITION", "UNCERTAIN_RESIDENTIAL_DEVELOPMENT",
+    "PROBABLE_NEW_DETACHED_INFILL", "PROBABLE_NEW_DETACHED_INFILL_FOR_RESALE", "PROBABLE_SEMI_DETACHED_INFILL", "PROBABLE_DUPLEX", "PROBABLE_ROW_HOUSING", "PROBABLE_GARDEN_SUITE",
+    "DEMOLITION_ONLY", "RENOVATION_OR_ADDITION", "UNCERTAIN_RESIDENTIAL_DEVELOPMENT", "NOT_RELEVANT",
 ]
 STAGES = ["DISCOVERED", "DEMOLITION", "DEVELOPMENT_APPLICATION", "DEVELOPMENT_PERMIT", "BUILDING_PERMIT", "CONSTRUCTION", "INSPECTION", "COMPLETE", "CANCELLED"]
+REVIEW_STATUSES = ["PENDING", "CONFIRMED", "CORRECTED", "NOT_RELEVANT", "MERGED"]
+LABELS = {
+    "PROBABLE_NEW_DETACHED_INFILL": "Probable new detached infill", "PROBABLE_NEW_DETACHED_INFILL_FOR_RESALE": "Probable new detached infill for resale",
+    "PROBABLE_SEMI_DETACHED_INFILL": "Probable semi-detached infill", "PROBABLE_DUPLEX": "Probable duplex", "PROBABLE_ROW_HOUSING": "Probable row housing",
+    "PROBABLE_GARDEN_SUITE": "Probable garden suite", "DEMOLITION_ONLY": "Demolition only", "RENOVATION_OR_ADDITION": "Renovation or addition",
+    "UNCERTAIN_RESIDENTIAL_DEVELOPMENT": "Uncertain residential development", "NOT_RELEVANT": "Not relevant",
+    "DISCOVERED": "Discovered", "DEMOLITION": "Demolition", "DEVELOPMENT_APPLICATION": "Development application", "DEVELOPMENT_PERMIT": "Development permit",
+    "BUILDING_PERMIT": "Building permit", "CONSTRUCTION": "Construction", "INSPECTION": "Inspection", "COMPLETE": "Occupancy reported", "CANCELLED": "Cancelled",
+    "PENDING": "Pending review", "CONFIRMED": "Confirmed", "CORRECTED": "Corrected", "MERGED": "Merged",
+}
 # end of the fixed values
 
+PUBLIC_CATEGORIES = [c for c in CATEGORIES if c != "NOT_RELEVANT"]
+START_CATEGORIES = [c for c in PUBLIC_CATEGORIES if c != "RENOVATION_OR_ADDITION"]
+
 
 class ConfigError(ValueError):
     """A setting outside its bounds."""

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..config import LABELS
+
 #: White space as the source's language has it: ASCII, no-break and other Unicode spaces, and the byte-order mark.
 SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
@@ -24,9 +25,23 @@ def _decomposed(text: pd.Series) -> pd.Series:
     return text.map(_decompose)
 
 
+_BEYOND_ASCII = r"[^\x00-\x7F]"
+
+
 def unaccented(text: Column) -> Column:
-    """Compatibility decomposition without combining marks; plain ASCII never leaves the JVM."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), _decomposed(F.when(text.rlike(r"[^\x00-\x7F]"), text))).otherwise(text)
+    """Compatibility decomposition without combining marks, which the JVM lacks. Arrow batches carry a null for plain ASCII
+    text. Give it a plain column, and once: every call is another one for Python."""
+    return F.coalesce(_decomposed(F.when(text.rlike(_BEYOND_ASCII), text)), text)
+
+
+@F.pandas_udf(StringType())
+def _composed(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
+def composed(text: Column) -> Column:
+    """Canonical composition, with nulls for plain ASCII as above."""
+    return F.coalesce(_composed(F.when(text.rlike(_BEYOND_ASCII), text)), text)
 
 
 def searchable(*values: Column, ascii_only: bool = False) -> Column:
@@ -40,15 +55,19 @@ def lowered(*values: Column) -> Column:
     return F.lower(F.concat_ws(" ", *values))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def phrase(text: str) -> str:
     return re.sub("[^a-z0-9]+", " ", _decompose(text).lower()).strip()
 
 
 def contains_any(text: Column, keywords: list[str]) -> Column:
-    """Whole words or phrases of normalised text."""
-    padded = F.concat(F.lit(" "), text, F.lit(" "))
-    tests = [padded.contains(f" {p} ") for p in dict.fromkeys(map(phrase, keywords)) if p]
-    return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
+    """Whole words or phrases of normalised text: one search for all of them."""
+    phrases = [p for p in dict.fromkeys(map(phrase, keywords)) if p]
+    return text.rlike(rf"(?:^| )(?:{'|'.join(phrases)})(?: |$)") if phrases else F.lit(False)
 
 
 def strip(text: Column) -> Column:
@@ -61,8 +80,17 @@ def clean(text: Column, length: int) -> Column:
     return F.when(own != "", F.substring(own, 1, length))
 
 
-def ascii_upper(text: Column) -> Column:
-    return F.upper(unaccented(text))
+def label(code: Column) -> Column:
+    """What people read for a category, stage or review status."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair]), code)
+
+
+def uri_part(text: Column) -> Column:
+    """Percent-encoding as browsers do it for a component: blanks as %20, and ``!'()*~`` as they are."""
+    own = F.url_encode(text)
+    for coded, plain in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        own = F.replace(own, F.lit(coded), F.lit(plain))
+    return own
 
 
 def failure_message(text: Column, length: int = 1000) -> Column:

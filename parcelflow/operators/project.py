@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, ScoringConfig
 from ..functions import geo, text
 from . import assess, episode, timeline
 
+#: Forms of new buildings, in order of precedence.
+FORMS = ["gardenSuite", "rowHousing", "semiDetached", "duplex", "detached"]
 MARKET_REVIEW = [
-    "PROBABLE_NEW_DETACHED_INFILL", "PROBABLE_NEW_DETACHED_INFILL_FOR_MARKET", "PROBABLE_SEMI_DETACHED_INFILL", "PROBABLE_DUPLEX", "PROBABLE_ROW_HOUSING", "PROBABLE_GARDEN_SUITE",
+    "PROBABLE_NEW_DETACHED_INFILL", "PROBABLE_NEW_DETACHED_INFILL_FOR_RESALE", "PROBABLE_SEMI_DETACHED_INFILL", "PROBABLE_DUPLEX", "PROBABLE_ROW_HOUSING", "PROBABLE_GARDEN_SUITE",
 ]
 
 
@@ -19,18 +21,25 @@ def classify(assessed: DataFrame, config: ScoringConfig = DEFAULT, area: DataFra
     demolition to construction, episode dates, units, value and role counts.
 
     ``area``: (project_id, area_class); ``market``: (project_id) with a listing signal. Phrases may span the texts of
-    events that follow one another in an episode, so texts are joined in its order before they are searched.
+    events that follow one another in an episode: each text is searched with as many following ones as a phrase has
+    words, so that no project's texts are ever gathered.
     """
     c = F.col
     everything = assessed.groupBy("project_id").agg(
         F.count("*").alias("n_events"), F.count_if(c("role") == "PROPERTY_ONLY").alias("n_property_only"), F.count_if(c("role") == "EXCLUDED").alias("n_excluded"), F.bool_or("s_commercial").alias("any_commercial"),
     )
     chosen = episode.latest_episode(assessed, config.gap_days)
-    joined = lambda name, keep=None: F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.when(F.lit(True) if keep is None else keep, F.struct("position", name)))), lambda s: s[name]))
+    width = lambda *lists: max(len(text.phrase(k).split()) for name in lists for k in config.keywords[name])
+    by = Window.partitionBy("project_id").orderBy("position")
+    among = Window.partitionBy("project_id", "new_residential").orderBy("position")  # forms are sought in new buildings' texts alone
+    spans = {"_all": F.concat_ws(" ", F.collect_list("t_all").over(by.rowsBetween(0, width("commercialOrIndustrial") - 1))), "_form": F.concat_ws(" ", F.collect_list("t_form").over(among.rowsBetween(0, width(*FORMS) - 1)))}
+    chosen = chosen.withColumns(spans)
+    found = {"says_commercial": text.contains_any(c("_all"), config.keywords["commercialOrIndustrial"])} | {f"form_{name}": c("new_residential") & text.contains_any(c("_form"), config.keywords[name]) for name in FORMS}
+    chosen = chosen.withColumns(found).drop("_all", "_form")
     span = c("new_residential") & c("event_time").isNotNull()
     partner = episode.nearest_prior(chosen, "project_id", "event_time", c("demolition") & c("at_site"), span, ["event_id"]).withColumnRenamed("days", "demolition_to_construction_days")
     own = chosen.groupBy("project_id").agg(
-        F.count("*").alias("n_episode"), joined("t_all").alias("episode_text"), joined("t_form", c("new_residential")).alias("form_text"),
+        F.count("*").alias("n_episode"), *[F.bool_or(name).alias(name) for name in found],
         F.bool_or(c("demolition") & c("at_site")).alias("has_demolition"), F.bool_or("new_residential").alias("has_new"), F.bool_or("new_dwelling").alias("has_language"),
         F.bool_or("residential").alias("has_residential"), F.bool_or("renovation").alias("has_renovation"),
         F.count_if(c("dev_permit") & c("new_residential")).alias("n_dev"), F.count_if(c("bldg_permit") & c("new_residential")).alias("n_bldg"),
@@ -38,28 +47,28 @@ def classify(assessed: DataFrame, config: ScoringConfig = DEFAULT, area: DataFra
         F.max("units").alias("units"), F.max("value").alias("value"),
         F.min("episode_start").alias("infill_start_date"), F.max("episode_end").alias("latest_infill_activity_date"),
     )
-    flags = ["has_demolition", "has_new", "has_language", "has_residential", "has_renovation"]
+    flags = ["has_demolition", "has_new", "has_language", "has_residential", "has_renovation", *found]
     own = everything.join(own, "project_id", "left").join(partner, "project_id", "left")
-    own = own.withColumns({f: F.coalesce(f, F.lit(False)) for f in flags} | {n: F.coalesce(n, F.lit(0)) for n in ("n_episode", "n_dev", "n_bldg", "n_either")} | {n: F.coalesce(n, F.lit("")) for n in ("episode_text", "form_text")})
+    own = own.withColumns({f: F.coalesce(f, F.lit(False)) for f in flags} | {n: F.coalesce(n, F.lit(0)) for n in ("n_episode", "n_dev", "n_bldg", "n_either")})
     own = own.join(area, "project_id", "left") if area is not None else own.withColumn("area_class", F.lit("UNKNOWN"))
     listed = market.select("project_id", F.lit(True).alias("listed")).distinct() if market is not None else None
     own = own.join(listed, "project_id", "left") if listed is not None else own.withColumn("listed", F.lit(False))
     own = own.withColumns({
-        "commercial": text.contains_any(c("episode_text"), config.keywords["commercialOrIndustrial"]) | ((c("n_episode") == 0) & F.coalesce("any_commercial", F.lit(False))),
+        "commercial": c("says_commercial") | ((c("n_episode") == 0) & F.coalesce("any_commercial", F.lit(False))),
         "within_window": F.coalesce(c("demolition_to_construction_days") <= config.window_days, F.lit(False)),
         "area_class": F.coalesce("area_class", F.lit("UNKNOWN")), "listed": F.coalesce("listed", F.lit(False)),
     })
-    own = own.withColumn("category", category(config)).withColumn("factors", factors(config))
+    own = own.withColumn("category", category()).withColumn("factors", factors(config))
     own = own.withColumn("confidence", F.when(c("commercial"), 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), F.aggregate("factors", F.lit(0), lambda total, f: total + f["points"])))))
     sentence = F.when(c("within_window"), F.concat(F.lit("Demolition preceded construction by "), c("demolition_to_construction_days"), F.lit(" days.")))
-    label = F.initcap(F.replace(c("category"), F.lit("_"), F.lit(" ")))
-    return own.withColumn("explanation", F.concat_ws(" ", F.concat(label, F.lit(" with a confidence score of "), c("confidence"), F.lit("/100.")), F.concat_ws(" ", F.transform("factors", lambda f: f["message"])), sentence)).drop("episode_text", "form_text", "any_commercial")
+    label = text.label(c("category"))
+    return own.withColumn("explanation", F.concat_ws(" ", F.concat(label, F.lit(" with a confidence score of "), c("confidence"), F.lit("/100.")), F.concat_ws(" ", F.transform("factors", lambda f: f["message"])), sentence)).drop("any_commercial", *found)
 
 
-def category(config: ScoringConfig = DEFAULT) -> Column:
+def category() -> Column:
     c = F.col
-    form = lambda name: text.contains_any(c("form_text"), config.keywords[name])
-    detached = F.when(c("listed"), "PROBABLE_NEW_DETACHED_INFILL_FOR_MARKET").otherwise("PROBABLE_NEW_DETACHED_INFILL")
+    form = lambda name: c(f"form_{name}")
+    detached = F.when(c("listed"), "PROBABLE_NEW_DETACHED_INFILL_FOR_RESALE").otherwise("PROBABLE_NEW_DETACHED_INFILL")
     built = (
         F.when(form("gardenSuite"), "PROBABLE_GARDEN_SUITE").when(form("rowHousing"), "PROBABLE_ROW_HOUSING").when(form("semiDetached"), "PROBABLE_SEMI_DETACHED_INFILL")
         .when(form("duplex"), "PROBABLE_DUPLEX").when(form("detached"), detached).otherwise("UNCERTAIN_RESIDENTIAL_DEVELOPMENT")
@@ -101,10 +110,10 @@ def market_review(category: Column, occupancy: Column, checked: Column) -> Colum
     return F.coalesce(category.isin(MARKET_REVIEW), F.lit(False)) & occupancy.isNotNull() & (checked.isNull() | (checked < occupancy))
 
 
-def states(permits: DataFrame, config: ScoringConfig = DEFAULT, area: DataFrame | None = None, actions: DataFrame | None = None) -> DataFrame:
+def states(permits: DataFrame, config: ScoringConfig = DEFAULT, area: DataFrame | None = None, actions: DataFrame | None = None, ascii_only: bool = False) -> DataFrame:
     """Project state out of silver permits: classification, stage of the episode, dates of all milestones, review flag,
     and the overrides of an action log (see ``apply_actions``). Writes nothing, so that it also previews a policy."""
-    assessed = assess.signals(permits, config)
+    assessed = assess.signals(permits, config, ascii_only)
     classified = classify(assessed, config, area)
     chosen = episode.latest_episode(assessed, config.gap_days)
     stage = timeline.project_stages(chosen)
