@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Labelled rows that a model is fitted on, at most (those with the smallest hash of their text).
+#: Labelled rows that a model is fitted on, at most.
 FIT_ROWS = 24_000
 #: Lexicon entries, and exception phrases, at most (the heaviest).
 MAX_ENTRIES = 4_000
@@ -124,11 +124,22 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, a + b * x + c * y))))
 
 
-def _bounded(labelled: DataFrame, rows: int) -> DataFrame:
-    """The distinct labelled texts with the smallest hashes, ``rows`` at most."""
-    hashed = labelled.filter(F.col("toxic").isNotNull()).select(F.xxhash64(F.lit(11), F.coalesce("text", F.lit(""))).alias("h"), F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic"))
-    kept = hashed.groupBy("h").agg(F.count("*").alias("n")).orderBy("h").limit(rows).select("h")
-    return hashed.join(F.broadcast(kept), "h").groupBy("h").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+def sample_labels(labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+    """At most ``rows`` of the labelled identifiers (doc_id, toxic): all, or those whose hash falls below the share that
+    gives nine tenths of the bound. No sort, and no text is read for it."""
+    known = labels.filter(F.col("toxic").isNotNull()).select("doc_id", "toxic")
+    n = known.count()
+    if n <= rows:
+        return known
+    step = 1 << 30
+    return known.filter(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(step)) < int(0.9 * rows / n * step)).limit(rows)
+
+
+def _distinct(labelled: DataFrame) -> DataFrame:
+    """(h, text, toxic) of the distinct labelled texts; one that has both labels is toxic."""
+    text = F.coalesce("text", F.lit(""))
+    hashed = labelled.filter(F.col("toxic").isNotNull()).select(F.xxhash64(F.lit(11), text).alias("h"), text.alias("text"), (F.col("toxic") > 0).cast("int").alias("toxic"))
+    return hashed.groupBy("h").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
 def _summed(rows: DataFrame, offer) -> DataFrame:
@@ -158,11 +169,12 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return tuple(float(v) for v in w)
 
 
-def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, max_entries: int = MAX_ENTRIES) -> Lexicon:
-    """A lexicon from labelled texts (text, toxic). Three quarters of a bounded sample of distinct texts give the
-    weights and phrases, the rest the curve. Without both labels: an empty lexicon, whose score is constant."""
+def fit(labelled: DataFrame, max_entries: int = MAX_ENTRIES) -> Lexicon:
+    """A lexicon from labelled texts (text, toxic), as many as ``sample_labels`` leaves. Three quarters of the distinct
+    texts give the weights and phrases, the rest the curve. Without both labels: an empty lexicon, whose score is
+    constant."""
     common.small_batches(labelled.sparkSession)
-    sample = common.checkpointed(_bounded(labelled.select("text", "toxic"), fit_rows))
+    sample = common.checkpointed(_distinct(labelled.select("text", "toxic")))
     learn, tune = sample.filter(F.pmod("h", F.lit(4)) != 3), sample.filter(F.pmod("h", F.lit(4)) == 3)
     sizes = {r.toxic: r.n for r in learn.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
@@ -232,7 +244,8 @@ def held_out(doc_id: str = "doc_id") -> "F.Column":
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit_from_labels(docs: DataFrame, labels: DataFrame) -> Lexicon:
-    """A lexicon from the labelled documents that are not held out."""
-    known = labels.select("doc_id", "toxic").filter(~held_out())
-    return fit(docs.select("doc_id", "text").join(known, "doc_id"))
+def fit_from_labels(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Lexicon:
+    """A lexicon from a bounded sample of the labelled documents that are not held out. The sample's identifiers, ``rows``
+    at most, are broadcast, so that the documents are scanned and not shuffled."""
+    known = sample_labels(labels.filter(~held_out()), rows)
+    return fit(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"))
