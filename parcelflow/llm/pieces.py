@@ -1,11 +1,12 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 A text is escaped (blanks become the word mark, one mark is put before it) and cut into words: a run of marks and
-what follows it, ``WORD_CHARS`` characters at most. The words of each block of the input are made distinct, their
-substrings of bounded length exploded and equi-joined to the piece table; the edges that match are grouped by word,
-and a higher-order ``aggregate`` folds them to the path of greatest total score (Viterbi). Characters without a piece
-become their bytes' pieces. The words' ids, a table in the shared folder with a part for each block, are then laid
-out along the texts of the block; decoding joins pieces' strings back and undoes the escape.
+what follows it, ``WORD_CHARS`` characters at most. Words are cut once more between characters that no piece has next to
+one another, which no path can bridge: what is left, the *parts*, are far fewer. The parts of each block of the input
+are made distinct, their substrings of bounded length exploded and equi-joined to the piece table; the edges that match
+are grouped by part, and a higher-order ``aggregate`` folds them to the path of greatest total score (Viterbi).
+Characters without a piece become their bytes' pieces. The parts' ids, a table in the shared folder with a folder for
+each block, are then laid out along the texts of the block; decoding joins pieces' strings back and undoes the escape.
 
 The vocabulary file at hand is a BPE model, whose merges may cut a word otherwise than the path of greatest score
 over the same pieces; the tests hold results against a brute-force search of that path, and against the exact text.
@@ -29,6 +30,8 @@ from . import common
 MARK = "▁"
 #: Longer words are cut.
 WORD_CHARS = 32
+#: Parts of a block that are grouped together.
+BUCKET_PARTS = 20_000
 #: A byte's piece scores less than any other by this.
 BYTE_PENALTY = 10.0
 
@@ -46,6 +49,28 @@ def words(text: str | None) -> list[str]:
     return found
 
 
+class Cutter:
+    """Cuts words between neighbours that stand in no piece."""
+
+    def __init__(self, model: str):
+        own = _model(model)
+        strings = (own.id_to_piece(i) for i in range(own.get_piece_size()) if not (own.is_control(i) or own.is_unknown(i) or own.is_byte(i)))
+        self.pairs = {p[i : i + 2] for p in strings for i in range(len(p) - 1)}
+
+    def parts(self, word: str) -> list[str]:
+        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.pairs]
+        return [word[a:z] for a, z in zip([0, *cuts], [*cuts, len(word)])] if cuts else [word]
+
+
+_CUTTERS: dict[str, Cutter] = {}
+
+
+def cutter(model: str) -> Cutter:
+    if model not in _CUTTERS:
+        _CUTTERS[model] = Cutter(model)
+    return _CUTTERS[model]
+
+
 def default_model() -> str:
     import public_tokenizers
 
@@ -72,30 +97,31 @@ def byte_ids(path: str) -> list[int]:
     return [found[b] for b in range(256)]
 
 
-def viterbi(words_table: DataFrame, pieces: DataFrame, bytes_: list[int], by: list[str], longest: int, lowest: float) -> DataFrame:
-    """(by..., word, ids): the path of greatest score through each word; among equals the last in order of its ids.
+def viterbi(words_table: DataFrame, pieces: DataFrame, bytes_: list[int], scores: list[float], by: list[str], longest: int, lowest: float) -> DataFrame:
+    """(by..., word, ids): the path of greatest score through each word; among equals the one whose last piece is the
+    shortest, then the one before it, and so on.
 
     ``by`` and word must be distinct. Substrings are exploded in the partition that holds the word and joined to the
-    piece table there (it is broadcast: its size is the vocabulary's); grouping by word needs no second shuffle.
+    piece table there (it is broadcast: its size is the vocabulary's); grouping by word needs no second shuffle. An edge
+    is one number, end (from bit 48), start (from bit 40) and identifier + 1 (0: the character's bytes), so that groups
+    stay small; ``scores`` is by identifier.
     """
     size = F.length("word")
     start = words_table.select(*by, "word", F.explode(F.sequence(F.lit(0), size - 1)).alias("a"))
     cut = start.select(*by, "word", "a", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("a")))).alias("n"))
     parts = cut.select(*by, "word", "a", "n", F.expr("substring(word, a + 1, n)").alias("piece"))
-    joined = parts.join(F.broadcast(pieces), "piece", "left").filter("id is not null or n = 1")
-    table = F.array(*[F.lit(i) for i in bytes_])
-    utf8 = F.hex(F.encode("piece", "utf-8"))
-    fallback = F.transform(F.sequence(F.lit(1), (F.length(utf8) / 2).cast("int")), lambda i: F.element_at(table, F.conv(F.substring(utf8, 2 * i - 1, F.lit(2)), 16, 10).cast("int") + 1))
-    edge = joined.select(
-        *by, "word", "a", (F.col("a") + F.col("n")).alias("z"),
-        F.when(F.col("id").isNotNull(), F.array("id")).otherwise(fallback).alias("ids"),
-        F.when(F.col("id").isNotNull(), F.col("score")).otherwise(F.size(fallback) * F.lit(lowest - BYTE_PENALTY)).alias("score"),
-    )
-    grouped = edge.groupBy(*by, "word").agg(F.collect_list(F.struct("z", "a", "score", "ids")).alias("edges"))
-    fold = """
+    joined = parts.join(F.broadcast(pieces.select("piece", "id")), "piece", "left").filter("id is not null or n = 1")
+    edge = joined.select(*by, "word", F.expr("shiftleft(cast(a + n as bigint), 48) | shiftleft(cast(a as bigint), 40) | coalesce(id + 1, 0)").alias("edge"))
+    grouped = edge.groupBy(*by, "word").agg(F.collect_list("edge").alias("edges"))
+    json = lambda values, kind: f"from_json('{[round(v, 6) for v in values]}', 'array<{kind}>')"  # noqa: E731 (folded to one constant)
+    fold = f"""
       aggregate(sequence(1, length(word)), array(struct(cast(0 as double) as score, cast(array() as array<int>) as ids)),
-        (best, z) -> concat(best, array(array_max(transform(filter(edges, e -> e.z = z),
-          e -> struct(best[e.a].score + e.score as score, concat(best[e.a].ids, e.ids) as ids))))),
+        (best, z) -> concat(best, transform(
+          array(array_max(transform(filter(edges, e -> shiftright(e, 48) = z), e -> struct(
+            best[cast(shiftright(e, 40) & 255 as int)].score + coalesce(get({json(scores, "double")}, cast(e & 4294967295 as int) - 1), {lowest - BYTE_PENALTY!r} * octet_length(substring(word, z, 1))) as score,
+            cast(shiftright(e, 40) & 255 as int) as a, cast(e & 4294967295 as int) - 1 as id)))),
+          w -> struct(w.score as score, concat(best[w.a].ids, case when w.id >= 0 then array(w.id) else
+            transform(sequence(1, octet_length(substring(word, z, 1))), i -> element_at({json(bytes_, "int")}, cast(conv(substring(hex(encode(substring(word, z, 1), 'utf-8')), 2 * i - 1, 2), 16, 10) as int) + 1)) end) as ids))),
         best -> element_at(best, -1).ids)"""
     return grouped.select(*by, "word", F.expr(fold).alias("ids"))
 
@@ -124,28 +150,38 @@ def encode(docs: DataFrame, model: str, from_files: bool = False) -> DataFrame:
         for b in common.batches(stream):
             for block, text in zip(b["block"], b["text"]):
                 seen.setdefault(block, set()).update(words(text))
-        for block, own in seen.items():
-            rows = list(own)
-            for i in range(0, len(rows), 20_000):
-                part = rows[i : i + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array(part, pa.string())], ["block", "word"])
-
+        own = cutter(model)
+        while seen:  # a block lies in one task
+            block, found = seen.popitem()
+            rows = sorted({p for w in found for p in own.parts(w)})
+            del found
+            for i in range(0, len(rows), BUCKET_PARTS):
+                part = rows[i : i + BUCKET_PARTS]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array([i // BUCKET_PARTS] * len(part), pa.int32()), pa.array(part, pa.string())], ["block", "bucket", "word"])
+
+    # groups of one task are few and small, so that they may stay in its hash table; beyond this Spark sorts and spills
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(4 * BUCKET_PARTS))
     pieces = piece_table(spark, model)
+    own = _model(model)
+    scores = [float(own.get_score(i)) for i in range(own.get_piece_size())]
     limits = pieces.agg(F.max(F.length("piece")).alias("longest"), F.min("score").alias("lowest")).first()
-    own = blocked.select("block", "text").mapInArrow(distinct, "block long, word string").repartition(common.partitions(spark), "block").distinct()
+    found = blocked.select("block", "text").mapInArrow(distinct, "block long, bucket int, word string").repartition(4 * common.partitions(spark), "block", "bucket")
     path = common.shared_path(spark, "words")
-    viterbi(own, pieces, byte_ids(model), ["block"], limits.longest, limits.lowest).write.partitionBy("block").option("compression", "zstd").parquet(path)
+    viterbi(found, pieces, byte_ids(model), scores, ["block", "bucket"], limits.longest, limits.lowest).select("block", "word", "ids").write.partitionBy("block").option("compression", "zstd").parquet(path)
     names = ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "round_trip", "ids"]
     spelled = spelling(model)
 
     def lay_out(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held = {}, None
+        table, held, cut = {}, None, cutter(model).parts
         for b in common.batches(stream):
             rows = []
             for block, doc_id, text in zip(b["block"], b["doc_id"], b["text"]):
                 own_words = words(text)
                 if block != held and own_words:
                     table, held = _block_words(f"{path}/block={block}"), block
+                for w in own_words:
+                    if w not in table:
+                        table[w] = b"".join([table[p] for p in cut(w)])
                 ids = np.frombuffer(b"".join([table[w] for w in own_words]), "<u4")
                 back = decode_ids(ids, spelled)
                 rows.append((doc_id, len(ids), zlib.crc32(ids.tobytes()), hashlib.sha256(back.encode()).hexdigest(), back == (text or ""), ids))
