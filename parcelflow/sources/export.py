@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -45,9 +45,9 @@ def write_csv(items: DataFrame, path: str, order: list[Column], most: int = MOST
     total = items.limit(most + 1).count()
     if total > most:
         raise ExportTooLarge(f"more than {most:,} rows; narrow the filters")
-    lines = items.orderBy(*order).select(csv_line(items).alias("value"))
-    heading = items.sparkSession.createDataFrame([(MARK + ",".join(HEADINGS),)], "value string")
-    heading.unionByName(lines).coalesce(1).write.option("lineSep", "\r\n").text(path)
+    lines = items.select(F.row_number().over(Window.orderBy(*order)).alias("n"), csv_line(items).alias("value"))
+    heading = items.sparkSession.createDataFrame([(0, MARK + ",".join(HEADINGS))], "n int, value string")
+    heading.unionByName(lines).coalesce(1).sortWithinPartitions("n").select("value").write.option("lineSep", "\r\n").text(path)
 
 
 def json_items(items: DataFrame) -> DataFrame:
