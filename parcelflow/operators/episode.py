@@ -15,37 +15,49 @@ def sessions(events: DataFrame, key: str | list[str], start: str, end: str, gap:
     return events.withColumn("_new", (latest.isNull() | (F.col(start) > latest + gap)).cast("int")).withColumn("episode", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def latest_episode(assessed: DataFrame, gap_days: int = 548, key: str = "project_id") -> DataFrame:
-    """The events of each key's latest episode, with episode_start and episode_end (null if undated).
+def mark_episode(assessed: DataFrame, gap_days: int = 548, key: str = "project_id") -> DataFrame:
+    """All events, with ``in_episode``: whether they belong to their key's latest episode, its episode_start and
+    episode_end (null if undated), and the ``position`` within it.
 
     Property-only and excluded events never count. The latest session is cut at ``gap_days`` before its end by the
-    events' ordering dates. A key without any dated event keeps its undated ones.
+    events' ordering dates. A key without any dated event keeps its undated ones. Rows dealt by ``key`` before are not
+    dealt again: every window here is of the key or of a part of it.
     """
-    eligible = assessed.filter(~F.col("role").isin("PROPERTY_ONLY", "EXCLUDED"))
-    start, end = F.coalesce(F.col("source_start").cast("timestamp"), F.col("ordering_date")), F.coalesce(F.col("source_end").cast("timestamp"), F.col("ordering_date"))
+    c = F.col
     gap = F.expr(f"interval {int(gap_days)} days")
-    dated = F.col("ordering_date").isNotNull()
-    own = eligible.withColumns({"_start": start, "_end": end, "_undated": (~dated).cast("int")})
-    # undated events sort last and in a session of their own, so that one window serves both
-    by = Window.partitionBy(key, "_undated").orderBy("_start", F.coalesce("event_date", F.to_date("_start")), "event_id")
+    eligible, dated = ~c("role").isin("PROPERTY_ONLY", "EXCLUDED"), c("ordering_date").isNotNull()
+    own = assessed.withColumns({
+        "_start": F.coalesce(c("source_start").cast("timestamp"), c("ordering_date")), "_end": F.coalesce(c("source_end").cast("timestamp"), c("ordering_date")),
+        "_kind": F.when(~eligible, 2).when(dated, 0).otherwise(1),
+    })
+    by = Window.partitionBy(key, "_kind").orderBy("_start", F.coalesce("event_date", F.to_date("_start")), "event_id")
     before = F.max("_end").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    own = own.withColumn("_new", F.coalesce(before.isNull() | (F.col("_start") > before + gap), F.lit(True)) & (F.col("_undated") == 0))
-    own = own.withColumn("episode", F.sum(F.col("_new").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    own = own.withColumn("_new", ((c("_kind") == 0) & (before.isNull() | (c("_start") > before + gap))).cast("int"))
+    own = own.withColumn("episode", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     whole = Window.partitionBy(key)
-    own = own.withColumns({"_last": F.max("episode").over(whole), "_dated": F.max(dated.cast("int")).over(whole)})
-    own = own.filter(F.when(F.col("_dated") == 1, dated & (F.col("episode") == F.col("_last"))).otherwise(~dated))
-    own = own.withColumn("_episode_end", F.max("_end").over(whole)).filter(~dated | (F.col("ordering_date") >= F.col("_episode_end") - gap))
+    own = own.withColumn("_last", F.max(F.when(c("_kind") == 0, c("episode"))).over(whole))
+    own = own.withColumn("_candidate", F.when(c("_last").isNotNull(), (c("_kind") == 0) & (c("episode") == c("_last"))).otherwise(c("_kind") == 1))
+    own = own.withColumn("_episode_end", F.max(F.when(c("_candidate"), c("_end"))).over(whole))
+    own = own.withColumn("in_episode", c("_candidate") & F.coalesce((c("_kind") != 0) | (c("ordering_date") >= c("_episode_end") - gap), F.lit(False)))
     own = own.withColumns({
-        "episode_start": F.min("source_start").over(whole), "episode_end": F.max("source_end").over(whole), "ordering_end": F.max("_end").over(whole),
-        "position": F.row_number().over(whole.orderBy(F.asc_nulls_last("_start"), F.asc_nulls_last("event_date"), "event_id")),
+        "episode_start": F.min(F.when(c("in_episode"), c("source_start"))).over(whole), "episode_end": F.max(F.when(c("in_episode"), c("source_end"))).over(whole),
+        "position": F.row_number().over(Window.partitionBy(key, "in_episode").orderBy(F.asc_nulls_last("_start"), F.asc_nulls_last("event_date"), "event_id")),
     })
-    return own.drop("_start", "_end", "_undated", "_new", "_last", "_dated", "_episode_end")
+    return own.drop("_start", "_end", "_kind", "_new", "_last", "_candidate", "_episode_end")
 
 
-def nearest_prior(events: DataFrame, key: str, time: str, is_first: Column, is_second: Column, order: list[str]) -> DataFrame:
+def latest_episode(assessed: DataFrame, gap_days: int = 548, key: str = "project_id") -> DataFrame:
+    """The events of each key's latest episode alone."""
+    return mark_episode(assessed, gap_days, key).filter("in_episode").drop("in_episode")
+
+
+def nearest_prior(events: DataFrame, key: str, time: str, is_first: Column, is_second: Column) -> DataFrame:
     """(key, days): the fewest whole days from a first-kind event to a second-kind one at or after it. The nearest
     earlier partner gives the least, so that a running maximum replaces the pairs."""
-    by = Window.partitionBy(key).orderBy(time).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    before = F.max(F.when(is_first, F.col(time))).over(by)
-    found = events.select(key, F.when(is_second, F.floor((F.unix_timestamp(F.col(time).cast("timestamp")) - F.unix_timestamp(before.cast("timestamp"))) / 86400)).alias("days"))
-    return found.groupBy(key).agg(F.min("days").alias("days"))
+    return events.select(key, days_since([key], time, is_first, is_second).alias("days")).groupBy(key).agg(F.min("days").alias("days"))
+
+
+def days_since(keys: list[str], time: str, is_first: Column, is_second: Column) -> Column:
+    """Whole days from the nearest first-kind event at or before a second-kind one; null for others."""
+    before = F.max(F.when(is_first, F.col(time))).over(Window.partitionBy(*keys).orderBy(time).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return F.when(is_second, F.floor((F.unix_timestamp(F.col(time).cast("timestamp")) - F.unix_timestamp(before.cast("timestamp"))) / 86400))

@@ -16,40 +16,39 @@ MARKET_REVIEW = [
 ]
 
 
-def classify(assessed: DataFrame, config: ScoringConfig = DEFAULT, area: DataFrame | None = None, market: DataFrame | None = None) -> DataFrame:
+def classify(assessed: DataFrame, config: ScoringConfig = DEFAULT, area: DataFrame | None = None, market: DataFrame | None = None, more: list[Column] = ()) -> DataFrame:
     """A row for each project of ``assessed``: category, confidence (0 to 100), factors, explanation, days from
-    demolition to construction, episode dates, units, value and role counts.
+    demolition to construction, episode dates, units, value and role counts, and ``more`` aggregates of its events.
 
-    ``area``: (project_id, area_class); ``market``: (project_id) with a listing signal. Phrases may span the texts of
-    events that follow one another in an episode: each text is searched with as many following ones as a phrase has
-    words, so that no project's texts are ever gathered.
+    ``area``: (project_id, area_class); ``market``: (project_id) with a listing signal. Events are dealt once, by project;
+    all windows and the aggregate follow that. Phrases may span the texts of events that follow one another in an
+    episode: each text is searched with as many following ones as a phrase has words, so that no project's texts are ever
+    gathered.
     """
     c = F.col
-    everything = assessed.groupBy("project_id").agg(
-        F.count("*").alias("n_events"), F.count_if(c("role") == "PROPERTY_ONLY").alias("n_property_only"), F.count_if(c("role") == "EXCLUDED").alias("n_excluded"), F.bool_or("s_commercial").alias("any_commercial"),
-    )
-    chosen = episode.latest_episode(assessed, config.gap_days)
+    own = episode.mark_episode(assessed.repartition("project_id"), config.gap_days)
+    here = c("in_episode")
     width = lambda *lists: max(len(text.phrase(k).split()) for name in lists for k in config.keywords[name])
-    by = Window.partitionBy("project_id").orderBy("position")
-    among = Window.partitionBy("project_id", "new_residential").orderBy("position")  # forms are sought in new buildings' texts alone
-    spans = {"_all": F.concat_ws(" ", F.collect_list("t_all").over(by.rowsBetween(0, width("commercialOrIndustrial") - 1))), "_form": F.concat_ws(" ", F.collect_list("t_form").over(among.rowsBetween(0, width(*FORMS) - 1)))}
-    chosen = chosen.withColumns(spans)
+    by = Window.partitionBy("project_id", "in_episode").orderBy("position")
+    among = Window.partitionBy("project_id", "in_episode", "new_residential").orderBy("position")  # forms are sought in new buildings' texts alone
+    own = own.withColumns({
+        "_all": F.concat_ws(" ", F.collect_list("t_all").over(by.rowsBetween(0, width("commercialOrIndustrial") - 1))),
+        "_form": F.concat_ws(" ", F.collect_list("t_form").over(among.rowsBetween(0, width(*FORMS) - 1))),
+        "_days": episode.days_since(["project_id", "in_episode"], "event_time", c("demolition") & c("at_site"), c("new_residential") & c("event_time").isNotNull()),
+    })
     found = {"says_commercial": text.contains_any(c("_all"), config.keywords["commercialOrIndustrial"])} | {f"form_{name}": c("new_residential") & text.contains_any(c("_form"), config.keywords[name]) for name in FORMS}
-    chosen = chosen.withColumns(found).drop("_all", "_form")
-    span = c("new_residential") & c("event_time").isNotNull()
-    partner = episode.nearest_prior(chosen, "project_id", "event_time", c("demolition") & c("at_site"), span, ["event_id"]).withColumnRenamed("days", "demolition_to_construction_days")
-    own = chosen.groupBy("project_id").agg(
-        F.count("*").alias("n_episode"), *[F.bool_or(name).alias(name) for name in found],
-        F.bool_or(c("demolition") & c("at_site")).alias("has_demolition"), F.bool_or("new_residential").alias("has_new"), F.bool_or("new_dwelling").alias("has_language"),
-        F.bool_or("residential").alias("has_residential"), F.bool_or("renovation").alias("has_renovation"),
-        F.count_if(c("dev_permit") & c("new_residential")).alias("n_dev"), F.count_if(c("bldg_permit") & c("new_residential")).alias("n_bldg"),
-        F.count_if((c("dev_permit") | c("bldg_permit")) & c("new_residential")).alias("n_either"),
-        F.max("units").alias("units"), F.max("value").alias("value"),
-        F.min("episode_start").alias("infill_start_date"), F.max("episode_end").alias("latest_infill_activity_date"),
+    flags = {
+        "has_demolition": c("demolition") & c("at_site"), "has_new": c("new_residential"), "has_language": c("new_dwelling"), "has_residential": c("residential"), "has_renovation": c("renovation"),
+    } | found
+    counts = {
+        "n_episode": F.lit(True), "n_dev": c("dev_permit") & c("new_residential"), "n_bldg": c("bldg_permit") & c("new_residential"), "n_either": (c("dev_permit") | c("bldg_permit")) & c("new_residential"),
+    }
+    own = own.groupBy("project_id").agg(
+        F.count("*").alias("n_events"), F.count_if(c("role") == "PROPERTY_ONLY").alias("n_property_only"), F.count_if(c("role") == "EXCLUDED").alias("n_excluded"), F.bool_or("s_commercial").alias("any_commercial"),
+        *[F.bool_or(here & test).alias(name) for name, test in flags.items()], *[F.count_if(here & test).alias(name) for name, test in counts.items()],
+        F.max(F.when(here, c("units"))).alias("units"), F.max(F.when(here, c("value"))).alias("value"), F.min(F.when(here, c("_days"))).alias("demolition_to_construction_days"),
+        F.min("episode_start").alias("infill_start_date"), F.max("episode_end").alias("latest_infill_activity_date"), *more,
     )
-    flags = ["has_demolition", "has_new", "has_language", "has_residential", "has_renovation", *found]
-    own = everything.join(own, "project_id", "left").join(partner, "project_id", "left")
-    own = own.withColumns({f: F.coalesce(f, F.lit(False)) for f in flags} | {n: F.coalesce(n, F.lit(0)) for n in ("n_episode", "n_dev", "n_bldg", "n_either")})
     own = own.join(area, "project_id", "left") if area is not None else own.withColumn("area_class", F.lit("UNKNOWN"))
     listed = market.select("project_id", F.lit(True).alias("listed")).distinct() if market is not None else None
     own = own.join(listed, "project_id", "left") if listed is not None else own.withColumn("listed", F.lit(False))
@@ -114,13 +113,11 @@ def states(permits: DataFrame, config: ScoringConfig = DEFAULT, area: DataFrame
     """Project state out of silver permits: classification, stage of the episode, dates of all milestones, review flag,
     and the overrides of an action log (see ``apply_actions``). Writes nothing, so that it also previews a policy."""
     assessed = assess.signals(permits, config, ascii_only)
-    classified = classify(assessed, config, area)
-    chosen = episode.latest_episode(assessed, config.gap_days)
-    stage = timeline.project_stages(chosen)
-    span = timeline.milestones(assess.complete(permits)).groupBy("project_id").agg(F.min("milestone_date").alias("earliest_date"), F.max("milestone_date").alias("latest_date"))
-    occupied = permits.groupBy("project_id").agg(F.max("occupancy_date").alias("latest_occupancy"))
-    own = classified.join(stage, "project_id", "left").join(span, "project_id", "left").join(occupied, "project_id", "left").withColumn("stage", F.coalesce("stage", F.lit("DISCOVERED")))
-    return apply_actions(own, actions)
+    assessed = assessed.withColumn("_milestones", timeline.found(assessed.columns))
+    on = lambda pick: pick(F.transform("_milestones", lambda m: m["date"]))
+    more = [*timeline.stage_aggregates(F.col("in_episode")), F.min(on(F.array_min)).alias("earliest_date"), F.max(on(F.array_max)).alias("latest_date"), F.max("occupancy_date").alias("latest_occupancy")]
+    classified = classify(assessed, config, area, more=more)
+    return apply_actions(classified.withColumn("stage", timeline.stage_of()).drop("_occupied", "_cancelled", "_rank"), actions)
 
 
 def apply_actions(projects: DataFrame, actions: DataFrame | None) -> DataFrame:

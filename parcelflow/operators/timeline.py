@@ -33,35 +33,49 @@ def _issued(words: Column) -> Column:
     return out
 
 
-def milestones(permits: DataFrame) -> DataFrame:
-    """A row for each milestone (up to three of a permit): the permit's columns, type, stage, date, rank. Expects
-    event_id, the permit's texts and dates, observed_at (first seen), event_date and, where known, imported_at."""
+def found(columns: list[str]) -> Column:
+    """The milestones of a permit, up to three, as an array of (type, stage, date). Expects the permit's texts and dates,
+    observed_at (first seen), event_date and, where ``columns`` has it, imported_at."""
     c = F.col
     words = text.lowered(c("permit_type"), c("permit_subtype"), c("status"), c("description"))
-    imported = c("imported_at") if "imported_at" in permits.columns else F.lit(None).cast("timestamp")
+    imported = c("imported_at") if "imported_at" in columns else F.lit(None).cast("timestamp")
     observed = F.coalesce(dates.local_date(c("observed_at")), c("event_date"), dates.local_date(imported))
     one = lambda kind, stage, date: F.struct(F.lit(kind).alias("type"), stage.alias("stage"), date.alias("date"))
-    found = F.array(
+    parts = F.array(
         F.when(c("application_date").isNotNull(), one("APPLICATION", F.when(words.rlike(r"\bdevelopment\b"), "DEVELOPMENT_APPLICATION").otherwise("DISCOVERED"), c("application_date"))),
         F.when(c("issue_date").isNotNull(), _issued(words)).when(c("application_date").isNull() & c("occupancy_date").isNull() & observed.isNotNull(), one("OBSERVED", F.lit("DISCOVERED"), observed)),
         F.when(c("occupancy_date").isNotNull(), one("OCCUPANCY", F.lit("COMPLETE"), c("occupancy_date"))),
     )
-    out = permits.withColumn("_m", F.explode(F.filter(found, lambda m: m.isNotNull()))).select("*", F.col("_m.type").alias("milestone"), F.col("_m.stage").alias("stage"), F.col("_m.date").alias("milestone_date")).drop("_m")
-    return out.withColumn("stage_rank", stage_rank(c("stage")))
+    return F.filter(parts, lambda m: m.isNotNull())
+
+
+def milestones(permits: DataFrame) -> DataFrame:
+    """A row for each milestone: the permit's columns, milestone, stage, milestone_date and stage_rank."""
+    out = permits.withColumn("_m", F.explode(found(permits.columns))).select("*", F.col("_m.type").alias("milestone"), F.col("_m.stage").alias("stage"), F.col("_m.date").alias("milestone_date")).drop("_m")
+    return out.withColumn("stage_rank", stage_rank(F.col("stage")))
 
 
 def ordered(milestone_rows: DataFrame) -> DataFrame:
     return milestone_rows.orderBy("milestone_date", "stage_rank", "event_id", "milestone")
 
 
-def project_stages(permits: DataFrame, key: str = "project_id") -> DataFrame:
-    """(key, stage): COMPLETE by any occupancy; CANCELLED if every permit has a status and all are cancelled; else the
-    highest stage of the milestones."""
+def stage_aggregates(counts: Column) -> list[Column]:
+    """Aggregates that ``stage_of`` reads, over the permits for which ``counts`` holds; they have ``_milestones``."""
     status = F.lower(text.strip(F.col("status")))
-    flags = permits.groupBy(key).agg(
-        F.bool_or(F.col("occupancy_date").isNotNull()).alias("_occupied"),
-        F.bool_and(F.coalesce((status != "") & status.rlike(_CANCELLED), F.lit(False))).alias("_cancelled"),
-    )
-    highest = milestones(permits).groupBy(key).agg(F.max("stage_rank").alias("_rank"))
+    cancelled = F.coalesce((status != "") & status.rlike(_CANCELLED), F.lit(False))
+    return [
+        F.bool_or(counts & F.col("occupancy_date").isNotNull()).alias("_occupied"), F.bool_and(F.when(counts, cancelled)).alias("_cancelled"),
+        F.max(F.when(counts, F.array_max(F.transform("_milestones", lambda m: stage_rank(m["stage"]))))).alias("_rank"),
+    ]
+
+
+def stage_of() -> Column:
+    """COMPLETE by any occupancy; CANCELLED if every permit has a status and all are cancelled; else the highest stage of
+    the milestones, or the first."""
     names = F.array(*[F.lit(s) for s in STAGES])
-    return flags.join(highest, key, "left").select(key, F.when(F.col("_occupied"), "COMPLETE").when(F.col("_cancelled"), "CANCELLED").otherwise(F.element_at(names, (F.coalesce("_rank", F.lit(0)) + 1).cast("int"))).alias("stage"))
+    return F.when(F.col("_occupied"), "COMPLETE").when(F.col("_cancelled"), "CANCELLED").otherwise(F.element_at(names, (F.coalesce("_rank", F.lit(0)) + 1).cast("int")))
+
+
+def project_stages(permits: DataFrame, key: str = "project_id") -> DataFrame:
+    """(key, stage), by one partial aggregate."""
+    return permits.withColumn("_milestones", found(permits.columns)).groupBy(key).agg(*stage_aggregates(F.lit(True))).select(key, stage_of().alias("stage"))

@@ -51,7 +51,7 @@ with d as (
   from events p join events e on e.user_id = p.user_id and e.event_type = 'error' and e.ts <= p.ts where p.event_type = 'purchase' group by p.user_id, p.event_id, p.ts)
 select u.user_id, cast(min(d.days) as bigint) as days from (select distinct user_id from events) u left join d using (user_id) group by 1""")
 def nearest_prior_demolition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return episode.nearest_prior(binding.table(spark, sf_dir, "events").select("user_id", "ts", "event_type"), "user_id", "ts", F.col("event_type") == "error", F.col("event_type") == "purchase", [])
+    return episode.nearest_prior(binding.table(spark, sf_dir, "events").select("user_id", "ts", "event_type"), "user_id", "ts", F.col("event_type") == "error", F.col("event_type") == "purchase")
 
 
 @query("dev_and_bldg", f"with {binding.EPISODE_SQL} select project_id, bool_or(kind = 'form') and bool_or(kind = 'new') as both from chosen group by 1")

@@ -43,7 +43,7 @@ DATASETS = {
     "development": Dataset("development", "2ccn-pwtu", "city_file_number", tuple(DEVELOPMENT_COLUMNS.split()), tuple(DEVELOPMENT_REQUIRED.split())),
     "building": Dataset("building", "24uj-dj8v", "row_id", tuple(BUILDING_COLUMNS.split()), tuple(BUILDING_REQUIRED.split())),
 }
-PROVIDER = "edmonton-open-data"
+PROVIDER = "city-open-data"
 
 
 def raw_schema(dataset: Dataset) -> StructType:
