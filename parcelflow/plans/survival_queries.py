@@ -145,9 +145,9 @@ def pending_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survival.pending_anchors(binding.assessed(spark, sf_dir), F.to_date(F.lit(AS_OF)))
 
 
-@query("cohort_start", "select cast(o_orderdate as date) as d, greatest(case when month(o_orderdate) = 2 and day(o_orderdate) = 29 then make_date(year(o_orderdate) + 25, 3, 1) else cast(cast(o_orderdate as date) + interval 25 year as date) end, date '2022-01-01') as cohort_start, count(*) as n from orders group by all")
+@query("cohort_start", "select cast(o_orderdate as date) as d, greatest(case when month(o_orderdate) = 2 and day(o_orderdate) = 29 then make_date(year(o_orderdate) + 23, 3, 1) else cast(cast(o_orderdate as date) + interval 23 year as date) end, date '2022-01-01') as cohort_start, count(*) as n from orders group by all")
 def cohort_start(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cohort starts of as-of dates thirty years after the orders'."""
+    """Cohort starts of as-of dates twenty-eight years after the orders'."""
     own = binding.table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("d"))
-    as_of = F.add_months("d", 360)
+    as_of = F.add_months("d", 336)
     return own.groupBy("d").agg(F.count("*").alias("n")).select("d", dates.cohort_start(as_of).alias("cohort_start"), "n")
