@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -64,10 +65,13 @@ def phrase(text: str) -> str:
     return re.sub("[^a-z0-9]+", " ", _decompose(text).lower()).strip()
 
 
-def contains_any(text: Column, keywords: list[str]) -> Column:
-    """Whole words or phrases of normalised text: one search for all of them."""
+def contains_any(text: Column, keywords: list[str], padded: bool = False) -> Column:
+    """Whole words or phrases of normalised text, by plain substring search; ``padded`` text has a blank at both ends."""
     phrases = [p for p in dict.fromkeys(map(phrase, keywords)) if p]
-    return text.rlike(rf"(?:^| )(?:{'|'.join(phrases)})(?: |$)") if phrases else F.lit(False)
+    tests = lambda t: reduce(lambda a, b: a | b, [t.contains(f" {p} ") for p in phrases])
+    if not phrases:
+        return F.lit(False)
+    return tests(text) if padded else let(F.concat(F.lit(" "), text, F.lit(" ")), tests)
 
 
 def strip(text: Column) -> Column:

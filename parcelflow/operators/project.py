@@ -16,17 +16,17 @@ MARKET_REVIEW = [
 ]
 
 
-def classify(assessed: DataFrame, config: ScoringConfig = DEFAULT, area: DataFrame | None = None, market: DataFrame | None = None, more: list[Column] = ()) -> DataFrame:
+def classify(assessed: DataFrame, config: ScoringConfig = DEFAULT, area: DataFrame | None = None, market: DataFrame | None = None, more: list[Column] = (), dealt: bool = False) -> DataFrame:
     """A row for each project of ``assessed``: category, confidence (0 to 100), factors, explanation, days from
     demolition to construction, episode dates, units, value and role counts, and ``more`` aggregates of its events.
 
     ``area``: (project_id, area_class); ``market``: (project_id) with a listing signal. Events are dealt once, by project;
-    all windows and the aggregate follow that. Phrases may span the texts of events that follow one another in an
+    all windows and the aggregate follow that (``dealt``: they lie so already). Phrases may span the texts of events that follow one another in an
     episode: each text is searched with as many following ones as a phrase has words, so that no project's texts are ever
     gathered.
     """
     c = F.col
-    own = episode.mark_episode(assessed.repartition("project_id"), config.gap_days)
+    own = episode.mark_episode(assessed if dealt else assessed.repartition("project_id"), config.gap_days)
     here = c("in_episode")
     width = lambda *lists: max(len(text.phrase(k).split()) for name in lists for k in config.keywords[name])
     by = Window.partitionBy("project_id", "in_episode").orderBy("position")
@@ -112,11 +112,12 @@ def market_review(category: Column, occupancy: Column, checked: Column) -> Colum
 def states(permits: DataFrame, config: ScoringConfig = DEFAULT, area: DataFrame | None = None, actions: DataFrame | None = None, ascii_only: bool = False) -> DataFrame:
     """Project state out of silver permits: classification, stage of the episode, dates of all milestones, review flag,
     and the overrides of an action log (see ``apply_actions``). Writes nothing, so that it also previews a policy."""
-    assessed = assess.signals(permits, config, ascii_only)
+    # raw columns are dealt, which are smaller than the texts made of them
+    assessed = assess.signals(permits.repartition("project_id"), config, ascii_only)
     assessed = assessed.withColumn("_milestones", timeline.found(assessed.columns))
     on = lambda pick: pick(F.transform("_milestones", lambda m: m["date"]))
     more = [*timeline.stage_aggregates(F.col("in_episode")), F.min(on(F.array_min)).alias("earliest_date"), F.max(on(F.array_max)).alias("latest_date"), F.max("occupancy_date").alias("latest_occupancy")]
-    classified = classify(assessed, config, area, more=more)
+    classified = classify(assessed, config, area, more=more, dealt=True)
     return apply_actions(classified.withColumn("stage", timeline.stage_of()).drop("_occupied", "_cancelled", "_rank"), actions)
 
 
