@@ -373,7 +373,8 @@ def repeats(keyed: DataFrame, length: int = LENGTH, kgram: int | None = None, gr
     the texts of ``keyed`` (uid, text). Spans may overlap or repeat."""
     kgram = kgram or max(1, length * KGRAM // LENGTH)
     found = common.stored(runs(keyed, length, kgram), "runs")
-    twice = found.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
+    # stored, so that both sides of the join are plain exchanges and a hot key's rows can be split among tasks
+    twice = common.stored(found.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key"), "twice")
     shared = common.checkpointed(found.join(twice, "key"))
     counts = common.checkpointed(shared.groupBy("key", "whole").agg(F.count("*").alias("c"), F.min(F.struct("uid", "s", "n", "off")).alias("first")))
     spans = [shared.join(counts.filter("c > 1").select("key", "whole"), ["key", "whole"]).select("uid", "s", "n")]
