@@ -214,11 +214,15 @@ def clusters(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE, seed: in
 
 # -------------------------------------------- near duplicates by similarity
 
-#: Independent fingerprints of a text's words; a pair is a candidate if one of them differs by ``BITS`` at most.
-TABLES = 3
 SIMILARITY = 0.8
 SIMILAR_SHINGLE = 5
-BINS = 256
+#: A text's keys, each of so many least hashes of its shingles: a pair of likeness s shares no key with probability
+#: (1 - s^ROWS)^BANDS, 0.00003 at 0.8 and less above.
+BANDS, ROWS = 20, 4
+#: Texts of one key that one task compares among themselves; more are dealt to pairs of parts.
+TEXTS = 2_000
+
+_FACTORS = (np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
 def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
@@ -230,83 +234,136 @@ def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
 _WORD_HASHES: dict[bytes, int] = {}
 
 
-def describe(text: str | None, tables: int = TABLES) -> tuple[list[int], bytes]:
-    """Fingerprints of a text's words, and a sketch of its distinct five-word shingles: the least hash of each of
-    ``BINS`` equal ranges (16 bits of it; all ones where a range is empty)."""
+def shingle_set(text: str | None) -> np.ndarray:
+    """The 64-bit hashes of a text's distinct five-word shingles in ascending order (of all its words, if they are
+    fewer). A text without words has one of its own, so that such texts are alike."""
     words = (text or "").encode().lower().split()
     if not words:
-        return [0] * tables, b"\xff" * (2 * BINS)
+        return np.zeros(1, np.uint64)
     if len(_WORD_HASHES) > 500_000:
         _WORD_HASHES.clear()
     for w in words:
         if w not in _WORD_HASHES:
             _WORD_HASHES[w] = xxhash.xxh64_intdigest(w, SEED)
     hashes = np.array([_WORD_HASHES[w] for w in words], np.uint64)
-    prints = []
-    for t in range(tables):
-        total = np.zeros(64, np.int64)
-        for i in range(0, len(hashes), 1 << 15):
-            total += np.unpackbits(_mixed(hashes[i : i + (1 << 15)], t + 1).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        prints.append(int(np.packbits(2 * total > len(hashes), bitorder="little").view("<i8")[0]))
     k = min(SIMILAR_SHINGLE, len(words))
     shingles = np.zeros(len(words) - k + 1, np.uint64)
     for i in range(k):
         shingles = _mixed(shingles + hashes[i : len(hashes) - k + 1 + i], i + 11)
-    shingles = np.sort(_mixed(shingles, 5))
-    ranges = (shingles >> np.uint64(56)).astype(np.int64)
-    first = np.concatenate([[0], np.flatnonzero(np.diff(ranges)) + 1])
-    sketch = np.full(BINS, 0xFFFF, "<u2")
-    sketch[ranges[first]] = np.minimum((shingles[first] >> np.uint64(40)) & np.uint64(0xFFFF), np.uint64(0xFFFE))
-    return prints, sketch.tobytes()
+    return np.unique(_mixed(shingles, 5))
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """``BANDS`` keys of a set of shingles, each a hash of ``ROWS`` least hashes of the set and of the key's number."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(shingles), 1 << 12):  # a bounded table at a time
+        np.minimum(least, (shingles[None, i : i + (1 << 12)] * _FACTORS[:, None]).min(axis=1), out=least)
+    rows = least.reshape(BANDS, ROWS)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for i in range(ROWS):
+        keys = _mixed(keys + rows[:, i], i + 23)
+    return keys.view(np.int64)
+
+
+def alike(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links between sets whose likeness (common shingles by all of both) is ``similarity`` at least: as few as leave
+    together what all such links would."""
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    if n == 2:
+        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        return [(0, 1)] if both / (sizes.sum() - both) >= similarity else []
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(sizes)
+    own = lambda i: flat[ends[i] - sizes[i] : ends[i]]
+    marked = np.zeros(int(flat.max()) + 1, bool)
+    free, held, links = np.arange(n), flat, []  # texts without a group yet, and their shingles
+    while len(free) > 1:
+        front = [int(free[0])]
+        held, free = held[sizes[free[0]] :], free[1:]
+        while front and len(free):
+            at = front.pop()
+            marked[own(at)] = True
+            size = sizes[free]
+            both = np.add.reduceat(marked[held], np.cumsum(size) - size, dtype=np.int64)
+            marked[own(at)] = False
+            near = both / (size + sizes[at] - both) >= similarity
+            if near.any():
+                found = free[near].tolist()
+                links += [(at, j) for j in found]
+                front += found
+                held, free = held[np.repeat(~near, size)], free[~near]
+    return links
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated share of common shingles, row by row of sketches."""
-    used = (a != 0xFFFF) | (b != 0xFFFF)
-    return ((a == b) & used).sum(axis=1) / np.maximum(1, used.sum(axis=1))
+def _verified(dealt: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the links of each bucket (key, part) of texts (text_id, shingles)."""
 
+    def solve(ids: list[int], sets: list[bytes]) -> list[tuple[int, int]]:
+        return [(ids[i], ids[j]) for i, j in alike([np.frombuffer(s, "<u8") for s in sets], similarity)] if len(ids) > 1 else []
 
-def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, tables: int = TABLES) -> DataFrame:
+    def scan(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, sets = None, [], []
+        for b in common.batches(stream):
+            out: list[tuple[int, int]] = []
+            for key, part, text_id, shingles in zip(b["key"], b["part"], b["text_id"], b["shingles"]):
+                if (key, part) != at:
+                    out += solve(ids, sets)
+                    at, ids, sets = (key, part), [], []
+                ids.append(text_id)
+                sets.append(shingles)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+        if out := solve(ids, sets):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+
+    spread = dealt.repartition(common.partitions(dealt.sparkSession), "key", "part").sortWithinPartitions("key", "part")
+    return spread.select("key", "part", "text_id", "shingles").mapInArrow(scan, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, texts_at_once: int = TEXTS) -> DataFrame:
     """(text_id, doc_id, keeper): each row's text, and the smallest doc_id of its near-duplicate group.
 
-    Candidates are texts of which one of ``tables`` word fingerprints differs by three bits at most, by way of the
-    deletion variants; a link holds if the texts' five-word shingles are ``similarity`` alike by their sketches. Equal
-    texts are one vertex. Null and empty texts are equal.
+    Texts of which ``similarity`` of all five-word shingles are common are linked, and links make groups. Candidates are
+    texts with a common key of ``band_keys``, which a linked pair lacks with the probability that ``BANDS`` states. All
+    texts of a key are compared by their whole sets of shingles, and only what the comparison holds becomes a link; a key
+    with more than ``texts_at_once`` texts is dealt to all pairs of its parts. Keys of the same texts are one. Equal texts
+    are one vertex. Null and empty texts are equal, and like any text without words.
     """
+    if similarity < SIMILARITY:
+        raise ValueError(f"the keys are made for a similarity of {SIMILARITY} at least")
     common.small_batches(docs.sparkSession)
-    names = ["text_id", "doc_id", "prints", "sketch"]
 
-    def one(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys_of(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.batches(stream):
+            keys = [band_keys(shingle_set(t)) for t in b["text"]]
+            yield pa.RecordBatch.from_arrays([pa.array(b["text_id"], pa.int64()), pa.array(b["doc_id"], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["text_id", "doc_id", "keys"])
+
+    def sets_of(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for b in common.batches(stream):
-            rows = [describe(t, tables) for t in b["text"]]
-            yield pa.RecordBatch.from_arrays([pa.array(b["text_id"], pa.int64()), pa.array(b["doc_id"], pa.int64()), pa.array([r[0] for r in rows], pa.list_(pa.int64())), pa.array([r[1] for r in rows], pa.binary())], names)
+            ids, sets = [], []
+            for text_id, text in zip(b["text_id"], b["text"]):
+                if text_id != last:  # copies mostly come in a row
+                    ids.append(text_id)
+                    sets.append(shingle_set(text).astype("<u8").tobytes())
+                last = text_id
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["text_id", "shingles"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.xxhash64(text).alias("text_id"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    own = common.stored(rows.mapInArrow(one, "text_id long, doc_id long, prints array<long>, sketch binary"), "sketches")
-    texts = common.checkpointed(own.groupBy("text_id").agg(F.min("doc_id").alias("first_id"), F.first("prints").alias("prints")))
-    edges = None
-    for t in range(tables):
-        named = texts.select(F.col("prints")[t].alias("fp"), "text_id")
-        of = common.checkpointed(named.groupBy("fp").agg(F.min("text_id").alias("lead")))
-        same = named.join(of, "fp").filter("text_id <> lead").select(F.col("lead").alias("a"), F.col("text_id").alias("b"))
-        found = links(of.select("fp"), BITS)
-        found = found.join(of.select(F.col("fp").alias("a"), F.col("lead").alias("la")), "a").join(of.select(F.col("fp").alias("b"), F.col("lead").alias("lb")), "b").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
-        both = same.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(found)
-        edges = both if edges is None else edges.unionByName(both)
-    edges = common.checkpointed(edges.distinct())
-    sketches = own.join(edges.select(F.explode(F.array("a", "b")).alias("text_id")).distinct(), "text_id").groupBy("text_id").agg(F.first("sketch").alias("sketch"))
-    sketches = common.checkpointed(sketches)
-
-    def verify(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, BINS) for i in (2, 3))
-                keep = pa.array(likeness(x, y) >= similarity)
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
-
-    pairs = edges.join(sketches.select(F.col("text_id").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("text_id").alias("b"), F.col("sketch").alias("y")), "b")
-    true_links = common.checkpointed(pairs.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
+    own = common.stored(rows.mapInArrow(keys_of, "text_id long, doc_id long, keys array<long>"), "keys")
+    texts = common.checkpointed(own.groupBy("text_id").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys")))
+    keyed = texts.select("text_id", F.explode("keys").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("text_id").alias("x"), F.bit_xor(F.xxhash64("text_id")).alias("y")).filter("n > 1")
+    buckets = common.checkpointed(buckets.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / texts_at_once).cast("int").alias("parts")))
+    members = common.checkpointed(keyed.join(buckets, "key"))
+    sets = rows.select("text_id", "text").join(members.select("text_id").distinct(), "text_id").select("text_id", "text").mapInArrow(sets_of, "text_id long, shingles binary")
+    sets = common.stored(sets.groupBy("text_id").agg(F.first("shingles").alias("shingles")), "sets")
+    place = members.withColumn("i", F.expr("pmod(xxhash64(text_id, key), parts)")).withColumn("j", F.explode(F.expr("sequence(0, parts - 1)")))
+    dealt = place.select("key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "parts", "text_id")
+    dealt = dealt.select("key", (F.col("low") * F.col("parts") + F.col("high")).alias("part"), "text_id").join(sets, "text_id")
+    true_links = common.checkpointed(_verified(dealt, similarity).distinct())
     roots = components(true_links)
     named = texts.select("text_id", "first_id").join(roots.withColumnRenamed("v", "text_id"), "text_id", "left").select("text_id", "first_id", F.coalesce("root", "text_id").alias("root"))
     least = named.groupBy("root").agg(F.min("first_id").alias("keeper"))
@@ -314,10 +371,10 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, tables: int
     return own.select("text_id", "doc_id").join(keepers, "text_id").select("text_id", "doc_id", "keeper")
 
 
-def keep_first(docs: DataFrame, similarity: float = SIMILARITY, tables: int = TABLES) -> DataFrame:
+def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of each near-duplicate group. Rows that share a doc_id and text are
     one; a group whose doc_ids are all null keeps one row. Columns stay as they are."""
-    groups = similar_groups(docs, similarity, tables)
+    groups = similar_groups(docs, similarity)
     whole = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))  # joins and duplicates go by the same two keys
     kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("keeper"))).select(F.col("text_id").alias("_text"), whole.alias("_doc")).distinct()
     keyed = docs.withColumns({"_text": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), "_doc": whole})

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import xxhash
 
 from parcelflow.llm import simhash
@@ -78,3 +79,47 @@ def test_near_copies_by_similarity(spark):
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, keeper string")
     assert sorted(r.doc_id for r in simhash.keep_first(docs).collect()) == [1, 2, 8]
     assert simhash.keep_first(docs).columns == docs.columns
+
+
+def test_a_lead_that_is_unlike_hides_no_pair(spark):
+    draw = random.Random(6)
+    words = [f"w{draw.randrange(10**6)}" for _ in range(300)]
+    swapped = words[:]
+    swapped[40], swapped[41] = swapped[41], swapped[40]
+    rows = [(0, " ".join(words)), (1, " ".join(swapped))] + [(i, " ".join(draw.sample(words, 300))) for i in range(2, 42)]  # the same words throughout
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, *range(2, 42)]
+
+
+def exact(a: str, b: str) -> float:
+    x, y = ({tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_links_of_a_bucket_are_those_of_all_pairs():
+    draw = random.Random(7)
+    for _ in range(30):
+        base = [draw.randrange(1 << 40) for _ in range(40)]
+        sets = [np.unique(np.array([x if draw.random() < 0.93 else draw.randrange(1 << 40) for x in base], np.uint64)) for _ in range(15)]
+        pairs = [(i, j) for i in range(15) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8]
+        links = simhash.alike(sets, 0.8)
+        assert {(max(p), min(p)) for p in links} <= set(pairs) and joined(15, links) == joined(15, pairs)
+
+
+def joined(n: int, pairs: list[tuple[int, int]]) -> list[int]:
+    root = list(range(n))
+    for a, b in pairs:
+        root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    return root
+
+
+def test_a_large_bucket_is_dealt_whole(spark):
+    draw = random.Random(8)
+    words = [f"w{draw.randrange(10**6)}" for _ in range(200)]
+    rows = []
+    for i in range(30):
+        own = words[:]
+        own[draw.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    groups = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), texts_at_once=4)
+    assert {r.keeper for r in groups.collect()} == {0}
