@@ -123,3 +123,21 @@ def test_a_large_bucket_is_dealt_whole(spark):
         rows.append((i, " ".join(own)))
     groups = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), texts_at_once=4)
     assert {r.keeper for r in groups.collect()} == {0}
+
+
+def near_pairs(draw: random.Random) -> list[tuple[str, str, str]]:
+    """Texts of distinct words and copies whose tail is replaced or longer, 0.80 to 0.90 alike."""
+    out = []
+    for kind, n, changed, more in (("short", 20, 1, 0), ("tail", 50, 4, 0), ("longer", 100, 0, 20), ("long", 300, 28, 0), ("twelve", 12, 0, 2)):
+        for _ in range(60):
+            words = [f"w{draw.randrange(10**9)}" for _ in range(n + changed + more)]
+            out.append((kind, " ".join(words[:n]), " ".join(words[: n - changed] + words[n:])))
+    return out
+
+
+def test_tails_and_short_texts_at_the_threshold(spark):
+    pairs = near_pairs(random.Random(9))
+    assert all(0.8 <= exact(a, b) <= 0.9 for _, a, b in pairs)
+    rows = [(2 * i + k, t) for i, (_, a, b) in enumerate(pairs) for k, t in enumerate((a, b))]
+    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(range(0, len(rows), 2))
