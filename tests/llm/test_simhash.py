@@ -141,3 +141,17 @@ def test_tails_and_short_texts_at_the_threshold(spark):
     rows = [(2 * i + k, t) for i, (_, a, b) in enumerate(pairs) for k, t in enumerate((a, b))]
     kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == set(range(0, len(rows), 2))
+
+
+def test_decision_is_by_the_whole_sets(spark):
+    draw = random.Random(10)
+    texts, want = [], set()
+    for i in range(80):  # some just above, some just below
+        words = [f"w{draw.randrange(10**9)}" for _ in range(250)]
+        changed = 21 + i % 5
+        a, b = " ".join(words[:200]), " ".join(words[: 200 - changed] + words[200 : 200 + changed])
+        assert abs(exact(a, b) - 0.8) < 0.03
+        texts += [a, b]
+        want |= {2 * i} if exact(a, b) >= 0.8 else {2 * i, 2 * i + 1}
+    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == want and len(texts) // 2 < len(want) < len(texts)
