@@ -18,6 +18,9 @@ successors come; no ranks are renamed and nothing recurses.
    do not repeat are free, and those whose covering blocks repeat are not; for the others, where a string's ends cut
    a block, an exact comparison of the strings' bytes (by 64-bit hashes of each) follows.
 
+With ``words``, strings of so many words are removed as well, whatever their bytes: each word stands for the eight bytes
+of its hash, and the same search goes over these. The byte search then only follows strings of fewer words.
+
 A k-gram with more than ``GROUP_RUNS`` differing runs is dealt again by halves: the starts of a half share more
 bytes, which join the key, until groups are small or a run is a single start.
 """
@@ -25,10 +28,12 @@ bytes, which join the key, until groups are small or a run is a single start.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +48,8 @@ GROUP_RUNS = 4_000
 BATCH_BLOCKS = 150_000
 #: Bytes of a text that are hashed at a time (texts may be longer).
 SEGMENT = 4 << 20
+#: Bytes that stand for a word.
+WORD = 8
 
 
 def suffix_array(text: Sequence[int]) -> list[int]:
@@ -172,6 +179,48 @@ class Hashes:
         return _mixed((self.sums[size:] - self.sums[:-size]) * self.down[: len(self.sums) - size])
 
 
+# --------------------------------------------------------------------- words
+
+_WORDS = re.compile(rb"\S+")
+_WORD_BYTES: dict[bytes, bytes] = {}
+
+
+def plain_bytes(text: str | None) -> bytes:
+    return (text or "").encode()
+
+
+def word_bytes(text: str | None) -> bytes:
+    """``WORD`` bytes for each word of a text."""
+    words = (text or "").encode().split()
+    if len(_WORD_BYTES) > 500_000:
+        _WORD_BYTES.clear()
+    for w in words:
+        if w not in _WORD_BYTES:
+            _WORD_BYTES[w] = xxhash.xxh64_digest(w, 51)
+    return b"".join([_WORD_BYTES[w] for w in words])
+
+
+def word_ranges(raw: bytes, spans: list[tuple[int, int]], words: int) -> list[tuple[int, int]]:
+    """The bytes (from, to) of ``raw`` under strings of ``words`` words that start at any of the spans' places (s, n) in
+    the words' bytes; places inside a word are none."""
+    at = [m.span() for m in _WORDS.finditer(raw)]
+    out = []
+    for s, n in spans:
+        first, last = -(-s // WORD), (s + n - 1) // WORD
+        if first <= last:
+            out.append((at[first][0], at[last + words - 1][1]))
+    return out
+
+
+def few_words(raw: np.ndarray, length: int, words: int) -> np.ndarray:
+    """For each string of ``length`` bytes of ``raw`` whether it holds fewer than ``words`` words that blanks enclose in it
+    (it may be said of a string that holds just as many); the answer depends on the string alone."""
+    blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    begins = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum(~blank[1:] & blank[:-1], out=begins[2:])  # begins[i]: words that begin behind a blank, before byte i
+    return begins[length:] - begins[1 : len(begins) - length + 1] - 1 < words
+
+
 # ------------------------------------------------------------------- anchors
 
 _LOW = np.uint64((1 << 24) - 1)
@@ -187,8 +236,9 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(after[: m - width + 1], before[width - 1 : m])
 
 
-def runs_of(texts: list[bytes], length: int = LENGTH, kgram: int = KGRAM) -> tuple[np.ndarray, ...]:
-    """(text, first start, starts, anchor's distance, key, hash of the run's bytes) of every run in some texts."""
+def runs_of(texts: list[bytes], length: int = LENGTH, kgram: int = KGRAM, fewer: int = 0) -> tuple[np.ndarray, ...]:
+    """(text, first start, starts, anchor's distance, key, hash of the run's bytes) of every run in some texts; with
+    ``fewer``, of those runs only where a string has fewer words."""
     width = length - kgram + 1
     raw = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -206,6 +256,8 @@ def runs_of(texts: list[bytes], length: int = LENGTH, kgram: int = KGRAM) -> tup
     first = np.concatenate([[0], cut])
     end = np.concatenate([cut, [len(least)]])
     kept = owner[first] >= 0
+    if fewer:
+        kept &= np.logical_or.reduceat(few_words(raw, length, fewer), first)
     first, end = first[kept], end[kept]
     anchor = (_LOW - (least[first] & _LOW)).astype(np.int64)
     number = (end - first).astype(np.uint64)
@@ -217,7 +269,7 @@ def runs_of(texts: list[bytes], length: int = LENGTH, kgram: int = KGRAM) -> tup
 _RUN = "uid long, s long, n int, off int, key long, whole long"
 
 
-def runs(keyed: DataFrame, length: int = LENGTH, kgram: int = KGRAM) -> DataFrame:
+def runs(keyed: DataFrame, length: int = LENGTH, kgram: int = KGRAM, encode: Callable[[str | None], bytes] = plain_bytes, fewer: int = 0) -> DataFrame:
     """Every run of the texts of ``keyed`` (uid, text), where they lie: a row for about (length - kgram) / 2 bytes."""
     common.small_batches(keyed.sparkSession)
     names = [f.split()[0] for f in _RUN.split(", ")]
@@ -229,12 +281,12 @@ def runs(keyed: DataFrame, length: int = LENGTH, kgram: int = KGRAM) -> DataFram
         held = 0
 
         def emit() -> pa.RecordBatch:
-            text, s, n, off, key, whole = runs_of(texts, length, kgram)
+            text, s, n, off, key, whole = runs_of(texts, length, kgram, fewer)
             return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[text]), pa.array(s + np.array(froms, np.int64)[text]), pa.array(n.astype(np.int32)), pa.array(off.astype(np.int32)), pa.array(key), pa.array(whole)], names)
 
         for b in common.batches(stream):
             for uid, text in zip(b["uid"], b["text"]):
-                raw = (text or "").encode()
+                raw = encode(text)
                 for at in range(0, len(raw) - length + 1, SEGMENT):
                     part = raw[at : at + SEGMENT + length - 1]
                     ids.append(uid)
@@ -293,7 +345,7 @@ def repeated_starts(key: np.ndarray, n: np.ndarray, off: np.ndarray, blobs: list
 _OPEN = "key long, uid long, s long, n int, off int, low int, high int, known boolean, bytes binary"
 
 
-def _fetch(keyed: DataFrame, wanted: DataFrame, length: int, kgram: int) -> DataFrame:
+def _fetch(keyed: DataFrame, wanted: DataFrame, length: int, kgram: int, encode: Callable[[str | None], bytes] = plain_bytes) -> DataFrame:
     """The bytes of runs (key, uid, s, n, off, known), out of the texts of ``keyed``."""
     per_text = wanted.groupBy("uid").agg(F.collect_list(F.struct("key", "s", "n", "off", "known")).alias("runs"))
     joined = keyed.select("uid", "text").join(per_text, "uid")
@@ -302,7 +354,7 @@ def _fetch(keyed: DataFrame, wanted: DataFrame, length: int, kgram: int) -> Data
     def one(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.batches(stream):
             for uid, text, own in zip(b["uid"], b["text"], b["runs"]):
-                raw = text.encode()
+                raw = encode(text)
                 rows = [(r["key"], uid, r["s"], r["n"], r["off"], 0, length - kgram, r["known"], raw[r["s"] : r["s"] + r["n"] + length - 1]) for r in own]
                 yield _open_batch(rows, names)
 
@@ -368,11 +420,12 @@ def _sorted_out(open_runs: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(scan, "uid long, s long, n int")
 
 
-def repeats(keyed: DataFrame, length: int = LENGTH, kgram: int | None = None, group_runs: int = GROUP_RUNS) -> DataFrame:
+def repeats(keyed: DataFrame, length: int = LENGTH, kgram: int | None = None, group_runs: int = GROUP_RUNS, encode: Callable[[str | None], bytes] = plain_bytes, fewer: int = 0) -> DataFrame:
     """(uid, s, n): n neighbouring starts, from byte s on, of strings of ``length`` bytes that also start elsewhere in
-    the texts of ``keyed`` (uid, text). Spans may overlap or repeat."""
+    the texts of ``keyed`` (uid, text), as ``encode`` makes bytes of them. Spans may overlap or repeat. With ``fewer``,
+    strings of as many words or more may be missing."""
     kgram = kgram or max(1, length * KGRAM // LENGTH)
-    found = common.stored(runs(keyed, length, kgram), "runs")
+    found = common.stored(runs(keyed, length, kgram, encode, fewer), "runs")
     # stored, so that both sides of the join are plain exchanges and a hot key's rows can be split among tasks
     twice = common.stored(found.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key"), "twice")
     shared = common.checkpointed(found.join(twice, "key"))
@@ -382,7 +435,7 @@ def repeats(keyed: DataFrame, length: int = LENGTH, kgram: int | None = None, gr
     wanted = common.checkpointed(counts.join(per_key.select("key", "differing"), "key").select("key", "first.*", (F.col("c") > 1).alias("known"), "differing"))
     if wanted.isEmpty():
         return spans[0]
-    bytes_of = common.stored(_fetch(keyed, wanted, length, kgram), "open")
+    bytes_of = common.stored(_fetch(keyed, wanted, length, kgram, encode), "open")
     large = wanted.filter(F.col("differing") > group_runs).select("key").distinct()
     if large.isEmpty():
         return spans[0].unionByName(_sorted_out(bytes_of, length))
@@ -426,20 +479,25 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False, kgram: int | None = None, group_runs: int = GROUP_RUNS) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False, kgram: int | None = None, group_runs: int = GROUP_RUNS, words: int = 0) -> DataFrame:
     """All columns of ``docs`` but for ``text``, and n_bytes, n_removed, n_spans, kept_sha256; ``with_text`` also keeps
     ``text``, what is left of it (characters that a cut breaks are left out of the text, not of the digest).
 
     Null text: as empty in the figures, null as text. Texts shorter than ``length`` stay whole. Rows that repeat are
     documents of their own, so that each repeats the other. An empty table: no rows. Columns of these names are
-    replaced.
+    replaced. With ``words``, strings of so many words (between blanks of any kind) that stand elsewhere go too, from the
+    first word's first byte to the last word's last; strings of ``length`` bytes go by their bytes if they hold fewer.
     """
     common.small_batches(docs.sparkSession)
-    names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "uid", "spans")]
+    names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "uid", "spans", "word_spans")]
     docs = docs.select(names)
     keyed = docs.withColumn("uid", F.xxhash64("doc_id", "text"))
-    found = repeats(keyed.select("uid", "text"), length, kgram, group_runs)
-    per_text = found.groupBy("uid").agg(F.collect_set(F.struct("s", "n")).alias("spans"))
+    found = repeats(keyed.select("uid", "text"), length, kgram, group_runs, fewer=words).withColumn("by_words", F.lit(False))
+    if words:
+        by_words = repeats(keyed.select("uid", "text"), WORD * words, None, group_runs, word_bytes)
+        found = found.unionByName(by_words.withColumn("by_words", F.lit(True)))
+    own_spans = lambda which: F.collect_set(F.when(which, F.struct("s", "n")))
+    per_text = found.groupBy("uid").agg(own_spans(~F.col("by_words")).alias("spans"), own_spans(F.col("by_words")).alias("word_spans"))
     joined = keyed.join(per_text, "uid", "left")
     kept = [f for f in docs.schema.fields if f.name != "text" or with_text]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -448,9 +506,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
         for batch in stream:
             where = {n: i for i, n in enumerate(batch.schema.names)}
             rows, texts = [], []
-            for text, spans in zip(batch.column(where["text"]).to_pylist(), batch.column(where["spans"]).to_pylist()):
+            for text, spans, word_spans in zip(*(batch.column(where[c]).to_pylist() for c in ("text", "spans", "word_spans"))):
                 raw = (text or "").encode()
-                gone = merged([(x["s"], x["s"] + x["n"] + length - 1) for x in spans or []])
+                ranges = [(x["s"], x["s"] + x["n"] + length - 1) for x in spans or []]
+                if word_spans:
+                    ranges += word_ranges(raw, [(x["s"], x["n"]) for x in word_spans], words)
+                gone = merged(ranges)
                 left, at = [], 0
                 for a, z in gone:
                     left.append(raw[at:a])

@@ -61,3 +61,38 @@ def test_text_column_and_empty_table(spark):
     got = {r.doc_id: r.text for r in suffixes.remove_repeats(docs, length=20, with_text=True, kgram=8).collect()}
     assert got == {1: "abc", 2: "y", 3: None}
     assert suffixes.remove_repeats(docs.limit(0), length=20, kgram=8).collect() == []
+
+
+def test_passages_of_51_short_words_and_of_400_bytes(spark):
+    draw = random.Random(12)
+    word = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    prose = lambda n, size=5: " ".join(word(size) for _ in range(n))
+    short, fifty, long_words, unbroken = prose(51, 3), prose(50, 3), prose(25, 20), word(450)
+    rows = [(2 * i + k, f"{prose(70)} {p} {prose(70)}") for i, p in enumerate((short, fifty, long_words, unbroken)) for k in range(2)]
+    rows.append((8, f"{prose(30)}\n" + short.replace(" ", "\n", 9)))  # other blanks between the same words
+    got = {r.doc_id: r.text for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True, words=51).collect()}
+    assert len(got) == 9
+    for k in range(2):
+        a, z = rows[k][1].split(short)
+        assert got[k] == a + z
+        assert got[2 + k] == rows[2 + k][1]
+        assert long_words not in got[4 + k] and len(got[4 + k]) <= len(rows[4 + k][1]) - len(long_words)
+        assert unbroken not in got[6 + k]
+    assert got[8] == rows[8][1][: rows[8][1].index("\n") + 1]
+
+
+def test_words_against_brute_force(spark):
+    draw = random.Random(13)
+    base = [f"w{draw.randrange(10**4)}" for _ in range(90)]
+    texts = [" ".join(draw.choice("abc") for _ in range(draw.randint(0, 40))) for _ in range(12)]
+    for _ in range(15):
+        a = draw.randrange(60)
+        texts.append(" ".join([*(str(draw.randrange(9**9)) for _ in range(draw.randint(0, 9))), *base[a : a + draw.randint(5, 30)], str(draw.random())]))
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.text for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=10**6, with_text=True, words=9).collect()}
+    count = Counter(tuple(t.split()[i : i + 9]) for t in texts for i in range(len(t.split()) - 8))
+    for i, t in rows:
+        own = t.split()
+        gone = {j for s in range(len(own) - 8) if count[tuple(own[s : s + 9])] > 1 for j in range(s, s + 9)}
+        assert got[i].split() == [w for j, w in enumerate(own) if j not in gone]
+    assert max(count.values()) > 1
