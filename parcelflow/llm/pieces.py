@@ -1,11 +1,12 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 A text is escaped (blanks become the word mark, one mark is put before it) and cut into words: a run of marks and
-what follows it, ``WORD_CHARS`` characters at most. Words are cut once more between characters that no piece has next to
+what follows it, however long. Words are cut once more between characters that no piece has next to
 one another, which no path can bridge: what is left, the *parts*, are far fewer. The parts of each block of the input
 are made distinct, their substrings of bounded length exploded and equi-joined to the piece table; the edges that match
 are grouped by part, and a higher-order ``aggregate`` folds them to the path of greatest total score (Viterbi).
-Characters without a piece become their bytes' pieces. The parts' ids, a table in the shared folder with a folder for
+Characters without a piece become their bytes' pieces. The few parts of more than ``PART_CHARS`` characters are folded by
+the same rule where the texts are laid out, with the last positions as state. The parts' ids, a table in the shared folder with a folder for
 each block, are then laid out along the texts of the block; decoding joins pieces' strings back and undoes the escape.
 
 The vocabulary file at hand is a BPE model, whose merges may cut a word otherwise than the path of greatest score
@@ -28,25 +29,19 @@ from pyspark.sql import functions as F
 from . import common
 
 MARK = "▁"
-#: Longer words are cut.
-WORD_CHARS = 32
+#: Longer parts are not exploded; their path is found one character after another.
+PART_CHARS = 64
 #: Parts of a block that are grouped together.
 BUCKET_PARTS = 20_000
 #: A byte's piece scores less than any other by this.
 BYTE_PENALTY = 10.0
 
-_WORDS = re.compile(rf"{MARK}*[^{MARK}]{{1,{WORD_CHARS}}}|{MARK}+")
+_WORDS = re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 def words(text: str | None) -> list[str]:
-    """The words of an escaped text; one after another they are that text. Runs of marks longer than a word's bound
-    are cut too."""
-    if not text:
-        return []
-    found = _WORDS.findall(MARK + text.replace(" ", MARK))
-    if any(len(w) > 2 * WORD_CHARS for w in found):
-        found = [w[i : i + WORD_CHARS] for w in found for i in range(0, len(w), WORD_CHARS)]
-    return found
+    """The words of an escaped text; one after another they are that text."""
+    return _WORDS.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
 class Cutter:
@@ -56,11 +51,37 @@ class Cutter:
         own = _model(model)
         strings = (own.id_to_piece(i) for i in range(own.get_piece_size()) if not (own.is_control(i) or own.is_unknown(i) or own.is_byte(i)))
         self.pairs = {p[i : i + 2] for p in strings for i in range(len(p) - 1)}
+        ordinary = (i for i in range(own.get_piece_size()) if not (own.is_control(i) or own.is_unknown(i) or own.is_byte(i) or own.is_unused(i)))
+        self.table = {own.id_to_piece(i): (round(float(own.get_score(i)), 6), i) for i in ordinary}
+        self.longest = max(map(len, self.table))
+        self.byte_score = min(float(own.get_score(i)) for _, i in self.table.values()) - BYTE_PENALTY
+        self.byte_ids = byte_ids(model)
 
     def parts(self, word: str) -> list[str]:
         cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.pairs]
         return [word[a:z] for a, z in zip([0, *cuts], [*cuts, len(word)])] if cuts else [word]
 
+    def path(self, part: str) -> bytes:
+        """The ids (little-endian, 32 bits) of the path of ``viterbi`` through a part of any length."""
+        best, back = [0.0], [(0, 0)]
+        for z in range(1, len(part) + 1):
+            found = []
+            for a in range(max(0, z - self.longest), z):
+                if piece := self.table.get(part[a:z]):
+                    found.append((best[a] + piece[0], a, piece[1]))
+            if part[z - 1] not in self.table:
+                found.append((best[z - 1] + self.byte_score * len(part[z - 1].encode()), z - 1, -1))
+            score, a, i = max(found)
+            best.append(score)
+            back.append((a, i))
+        ids: list[int] = []
+        z = len(part)
+        while z:
+            a, i = back[z]
+            ids += [i] if i >= 0 else [self.byte_ids[b] for b in reversed(part[a:z].encode())]
+            z = a
+        return np.array(ids[::-1], "<u4").tobytes()
+
 
 _CUTTERS: dict[str, Cutter] = {}
 
@@ -153,7 +174,7 @@ def encode(docs: DataFrame, model: str, from_files: bool = False) -> DataFrame:
         own = cutter(model)
         while seen:  # a block lies in one task
             block, found = seen.popitem()
-            rows = sorted({p for w in found for p in own.parts(w)})
+            rows = sorted({p for w in found for p in own.parts(w) if len(p) <= PART_CHARS})
             del found
             for i in range(0, len(rows), BUCKET_PARTS):
                 part = rows[i : i + BUCKET_PARTS]
@@ -172,7 +193,7 @@ def encode(docs: DataFrame, model: str, from_files: bool = False) -> DataFrame:
     spelled = spelling(model)
 
     def lay_out(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held, cut = {}, None, cutter(model).parts
+        table, held, own = {}, None, cutter(model)
         for b in common.batches(stream):
             rows = []
             for block, doc_id, text in zip(b["block"], b["doc_id"], b["text"]):
@@ -181,7 +202,7 @@ def encode(docs: DataFrame, model: str, from_files: bool = False) -> DataFrame:
                     table, held = _block_words(f"{path}/block={block}"), block
                 for w in own_words:
                     if w not in table:
-                        table[w] = b"".join([table[p] for p in cut(w)])
+                        table[w] = b"".join([table[p] if len(p) <= PART_CHARS else own.path(p) for p in own.parts(w)])
                 ids = np.frombuffer(b"".join([table[w] for w in own_words]), "<u4")
                 back = decode_ids(ids, spelled)
                 rows.append((doc_id, len(ids), zlib.crc32(ids.tobytes()), hashlib.sha256(back.encode()).hexdigest(), back == (text or ""), ids))
@@ -194,6 +215,8 @@ def encode(docs: DataFrame, model: str, from_files: bool = False) -> DataFrame:
 def _block_words(uri: str) -> dict[str, bytes]:
     fs, root = common.filesystem(uri)
     found: dict[str, bytes] = {}
+    if fs.get_file_info(root).type == common.pafs.FileType.NotFound:  # a block of long parts only
+        return found
     for info in fs.get_file_info(common.pafs.FileSelector(root)):
         if info.path.endswith(".parquet"):
             with fs.open_input_file(info.path) as file:

@@ -42,3 +42,18 @@ def test_no_piece_spans_a_cut():
 
 def test_empty_table(spark):
     assert pieces.encode(spark.createDataFrame([], "doc_id long, text string"), pieces.default_model()).collect() == []
+
+
+def test_long_runs_are_not_cut(spark):
+    draw = random.Random(2)
+    texts = ["https://example.org/international/" + "understanding" * 9, "internationalization" * 30, " " * 150 + "x", "信息处理" * 40]
+    texts += ["".join(draw.choice("etaoinshrdlu") for _ in range(n)) for n in (33, 64, 65, 400)] + ["one\ntwo\nthree\n" * 12]
+    model = pieces.default_model()
+    own = pieces._model(model)
+    table = {own.id_to_piece(i): (own.get_score(i), i) for i in range(own.get_piece_size()) if not (own.is_control(i) or own.is_unknown(i) or own.is_byte(i) or own.is_unused(i))}
+    lowest, byte_ids = min(s for s, _ in table.values()), pieces.byte_ids(model)
+    got = pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    assert max(map(len, table)) <= 16 and len(got) == len(texts)
+    for r in got:  # the path of the whole escaped text, without any cut
+        assert r.ids == best_path(pieces.MARK + texts[r.doc_id].replace(" ", pieces.MARK), table, byte_ids, lowest)
+        assert r.round_trip
