@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,28 +13,48 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch that reaches Python: documents may be long, so that few are held at once.
-BATCH_ROWS = 512
+#: Bytes of rows that Spark hands to Python at once: documents may be long.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as a URI; a temporary one only where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share, as a URI. Where none is set, a local master gets a temporary one (as in
+    tests); a cluster has no folder that could stand in for it."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith(("local[", "local")) or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="parcelflow-shared-")
-        spark.sparkContext.setCheckpointDir(folder)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
+    elif not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
     return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
 
 
+_MADE: list[str] = []
+
+
 def shared_path(spark: SparkSession, kind: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    """A new path below the shared folder; ``release`` removes it."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the tables that this driver has stored in the shared folder so far. Frames made of them can't be computed
+    after that, so call it when their results are written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The frame, computed once and stored in the shared folder, so that a lost executor costs nothing upstream."""
+    """The frame, computed once and stored in the shared folder, so that a lost executor costs nothing upstream. (Spark
+    removes a checkpoint with its frame, where spark.cleaner.referenceTracking.cleanCheckpoints is set.)"""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -48,11 +70,13 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows that Spark hands to Python at once; a smaller setting of the session's is kept."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Bound the bytes of rows that Spark hands to Python at once (a single larger row goes alone); a smaller setting of
+    the session's is kept. It stays set, as frames are computed later; it bounds memory and changes no result."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if own > most or own <= 0:
+        spark.conf.set(key, str(most))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,21 +88,23 @@ def partitions(spark: SparkSession) -> int:
 
 
 def range_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
-    """At most ``parts - 1`` ascending split points of an integer column (a bounded aggregate, whatever the input)."""
+    """At most ``parts - 1`` split points of an integer column in ascending order (a bounded aggregate, whatever the input);
+    a key that fills whole ranges stands there as often as it does so. Nulls are left out."""
     if parts < 2:
         return []
     shares = ",".join(f"{i / parts:.8f}" for i in range(1, parts))
     row = df.agg(F.expr(f"approx_percentile({key}, array({shares}), {max(10_000, 20 * parts)})").alias("b")).first()
-    return sorted({int(b) for b in row.b}) if row and row.b else []
+    return sorted(int(b) for b in row.b) if row and row.b else []
 
 
 def range_id(key: str, bounds: list[int]) -> "F.Column":
-    """The ordinal of the range that a key falls in; nulls go first."""
+    """The ordinal of the range that a key falls in, the number of bounds at or below it, by a binary search in a constant
+    array; nulls go first."""
     if not bounds:
         return F.lit(0)
-    points = F.array(*[F.lit(b).cast("long") for b in bounds])
-    # the number of bounds at or below the key, by a search in the sorted array
-    return F.coalesce(F.size(F.filter(points, lambda b: b <= F.col(key))), F.lit(0))
+    steps = ",".join(str(1 << k) for k in reversed(range(len(bounds).bit_length())))
+    points = f"from_json('{bounds}', 'array<bigint>')"
+    return F.expr(f"aggregate(array({steps}), 0, (at, step) -> case when get({points}, at + step - 1) <= {key} then at + step else at end)")
 
 
 def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:

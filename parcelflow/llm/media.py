@@ -117,6 +117,8 @@ def read_wav(media: bytes) -> tuple[int, int, int, bytes]:
         at += 8 + size + size % 2
     if fmt is None or data is None or fmt[1] != 1:
         raise ValueError("not a mono WAV file")
+    if fmt[2] == 0 or fmt[4] == 0 or (fmt[0] == IMA_ADPCM and fmt[4] <= 4):
+        raise ValueError("a rate or block of nothing")
     return fmt[0], fmt[2], fmt[4], data
 
 
@@ -131,14 +133,15 @@ def decode(media: bytes) -> tuple[np.ndarray, int]:
     if kind == IMA_ADPCM:
         return decode_adpcm(raw[: len(raw) // block * block].reshape(-1, block)).ravel(), rate
     if kind == PCM:
-        return raw.view("<i2"), rate
+        return raw[: len(raw) // 2 * 2].view("<i2"), rate
     raise ValueError(f"format {kind}")
 
 
 def store_pcm(media: DataFrame, column: str = "media", rate: int = STORED_RATE) -> DataFrame:
     """The rows with ``pcm``: the media column decoded, resampled and stored as a 16-bit WAV (null where it is null or
-    no mono WAV file of a known format)."""
-    common.small_batches(media.sparkSession, 64)
+    no sound mono WAV file of a known format: cut off, of another kind, or with a rate or block of zero). A column of that
+    name is replaced; rows that repeat stay; an empty table has no rows."""
+    common.small_batches(media.sparkSession)
     names = [n for n in media.columns if n != "pcm"]
 
     def one(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

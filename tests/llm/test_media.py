@@ -57,3 +57,14 @@ def test_decoding_a_media_column(spark):
     files = [media.write_wav(b"\x80\xff", media.MULAW), b"junk", None]
     got = [r.pcm for r in media.store_pcm(spark.createDataFrame([(f, "x") for f in files], "media binary, pcm string")).collect()]
     assert media.decode(got[0])[0].tolist() == [32124, 16062, 0, 0] and got[1:] == [None, None]
+
+
+def test_malformed_files_are_null(spark):
+    sound = media.write_wav(bytes(288), media.IMA_ADPCM, block=144)
+    broken = []
+    for at, value in ((24, bytes(4)), (32, bytes(2)), (32, b"\4\0"), (20, b"\x99\0"), (22, b"\2\0")):  # rate, block, kind, channels
+        broken.append(sound[:at] + value + sound[at + len(value) :])
+    broken += [sound[:i] for i in (0, 11, 12, 20, 30, 43)] + [media.write_wav(b"", media.MULAW), media.write_wav(b"abc", media.PCM)]
+    got = [r.pcm for r in media.store_pcm(spark.createDataFrame([(f,) for f in [sound, *broken]], "media binary")).collect()]
+    assert got[0] is not None and got[1:12] == [None] * 11
+    assert len(media.decode(got[12])[0]) == 0 and len(media.decode(got[13])[0]) == 2
