@@ -95,6 +95,27 @@ def edits(a: Node, b: Node) -> list[tuple[int, int, int, int]]:
     return [walk(a[2], b[2], 0, 0)]
 
 
+def stored_tree(tree_: Node) -> bytes:
+    """A tree as bytes: the numbers of sections, paragraphs and leaves (4 bytes each), the paragraphs of each section, the
+    leaves of each paragraph and the characters of each leaf (4 bytes each, little-endian), and the hashes of the leaves.
+    All other hashes follow from these."""
+    sections = tree_[2]
+    paragraphs = [p for s in sections for p in s[2]]
+    leaves = [leaf for p in paragraphs for leaf in p[2]]
+    counts = [len(sections), len(paragraphs), len(leaves), *(len(s[2]) for s in sections), *(len(p[2]) for p in paragraphs), *(leaf[1] for leaf in leaves)]
+    return np.array(counts, "<u4").tobytes() + b"".join([leaf[0] for leaf in leaves])
+
+
+def read_tree(raw: bytes) -> Node:
+    """The tree that ``stored_tree`` wrote."""
+    n = np.frombuffer(raw, "<u4", 3).tolist()
+    counts = np.frombuffer(raw, "<u4", sum(n), 12).tolist()
+    hashes = raw[12 + 4 * sum(n) :]
+    leaves = iter([(hashes[16 * i : 16 * i + 16], chars, None) for i, chars in enumerate(counts[n[0] + n[1] :])])
+    paragraphs = iter([_node(b"P", [next(leaves) for _ in range(k)]) for k in counts[n[0] : n[0] + n[1]]])
+    return _node(b"R", [_node(b"S", [next(paragraphs) for _ in range(k)]) for k in counts[: n[0]]])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, root, n_sections, n_paragraphs and n_leaves of every whole text, where it lies."""
     common.small_batches(docs.sparkSession)
@@ -115,16 +136,16 @@ def with_successor(docs: DataFrame, parts: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     n = parts or common.partitions(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bounds = common.range_bounds(own.select("doc_id"), "doc_id", n)
+    bounds = sorted(set(common.range_bounds(own.select("doc_id"), "doc_id", n)))
     place = common.range_id("doc_id", bounds)
-    first = {r.part: (None if r.nulls else r.first_id) for r in own.select("doc_id", place.alias("part")).groupBy("part").agg(F.min("doc_id").alias("first_id"), F.max(F.col("doc_id").isNull()).alias("nulls")).collect()}
-    used = sorted(first)
-    guests = F.lit(None).cast("array<struct<part:int,guest:int>>")
-    for i, p in enumerate(used):
-        host = used[i - 1]  # the last range hosts the first row of all
-        guests = F.when(F.col("doc_id").eqNullSafe(F.lit(first[p]).cast("long")), F.array(F.struct(F.lit(host).alias("part"), F.lit(1).alias("guest")))).otherwise(guests)
-    home = F.array(F.struct(place.cast("int").alias("part"), F.lit(0).alias("guest")))
-    dealt = own.select("doc_id", "text", F.explode(F.when(guests.isNull(), home).otherwise(F.concat(home, guests))).alias("to")).select("doc_id", "text", "to.guest", "to.part")
+    first = own.select("doc_id", place.alias("part")).groupBy("part").agg(F.min("doc_id").alias("first_id"), F.max(F.col("doc_id").isNull()).alias("nulls"))
+    used = sorted((r.part, None if r.nulls else r.first_id) for r in first.collect())  # an identifier for each range
+    # the last range hosts the first row of all; a row for each range, so that the side to broadcast is bounded
+    hosts = spark.createDataFrame([(used[i][1], used[i - 1][0]) for i in range(len(used))], "first_id long, host int")
+    placed = own.select("doc_id", "text", place.cast("int").alias("part")).join(F.broadcast(hosts), F.col("doc_id").eqNullSafe(F.col("first_id")), "left")
+    spot = lambda part, guest: F.struct(part.alias("part"), F.lit(guest).alias("guest"))
+    spots = F.when(F.col("host").isNull(), F.array(spot(F.col("part"), 0))).otherwise(F.array(spot(F.col("part"), 0), spot(F.col("host"), 1)))
+    dealt = placed.select("doc_id", "text", F.explode(spots).alias("to")).select("doc_id", "text", "to.guest", "to.part")
     return dealt.repartitionById(n, F.col("part")).sortWithinPartitions("part", "guest", F.asc_nulls_first("doc_id"), F.asc_nulls_first("text")).select("doc_id", "text", "guest")
 
 
@@ -133,18 +154,21 @@ def compare_edited(docs: DataFrame, parts: int | None = None) -> DataFrame:
 
     The edited text is the document with its last floor(n_chars / 2) code points replaced by the first as many
     (or all) of the next one's. Null text is empty; a null doc_id comes before all others; rows that repeat a
-    doc_id follow one another in order of text; the only row of a table is its own successor.
+    doc_id follow one another in order of text; the only row of a table is its own successor. An empty table: no rows.
+    Other columns are ignored. ``fingerprint`` is the root's hash, equal for equal texts alone; ``tree`` and
+    ``edited_tree`` hold what lies below it (see ``stored_tree``), so that ``likeness`` of what ``read_tree`` makes of them
+    gives near_edited, and that of two rows' trees near_next. A task holds two texts and three trees at a time.
     """
     common.small_batches(docs.sparkSession)
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edit_from", "edit_to"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edit_from", "edit_to", "tree", "edited_tree"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     def against(doc_id: int | None, text: str, own: Node, following: str, other: Node) -> tuple:
         half = len(text) // 2
         edited = text[: len(text) - half] + following[:half]
         changed = tree(edited)
         spans = edits(own, changed)
-        return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), own[0].hex(), changed[0].hex(), likeness(own, changed), likeness(own, other), *(spans[0][:2] if spans else (None, None))
+        return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), own[0].hex(), changed[0].hex(), likeness(own, changed), likeness(own, other), *(spans[0][:2] if spans else (None, None)), stored_tree(own), stored_tree(changed)
 
     def slide(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = None, []
@@ -160,4 +184,4 @@ def compare_edited(docs: DataFrame, parts: int | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
                 rows = []
 
-    return with_successor(docs, parts).mapInArrow(slide, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edit_from long, edit_to long")
+    return with_successor(docs, parts).mapInArrow(slide, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edit_from long, edit_to long, tree binary, edited_tree binary")
