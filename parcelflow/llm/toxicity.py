@@ -2,8 +2,8 @@
 
 ``fold`` lower-cases, replaces homoglyphs and undoes digit substitutions, and sets words apart by single
 blanks. Lexicon entries are whole words (blank on both sides) and word beginnings (blank before), with
-weights learnt as log-odds from labelled rows. Entries inside an exception phrase do not count. A text's
-sum of weights, alone and divided by its length, goes through a logistic curve.
+weights learnt from labelled rows: log-odds less their standard error. Entries inside an exception phrase do not
+count. A text's sum of weights, alone and divided by its length's root, goes through a logistic curve.
 """
 
 from __future__ import annotations
@@ -23,9 +23,6 @@ from . import common
 
 #: Labelled rows that a model is fitted on, at most.
 FIT_ROWS = 24_000
-#: Lexicon entries, and exception phrases, at most (the heaviest).
-MAX_ENTRIES = 4_000
-MAX_PHRASES = 1_000
 PREFIXES = (4, 5, 6)
 MIN_TOXIC, MIN_LOG_ODDS = 3, 2.0
 THRESHOLD = 0.3
@@ -109,20 +106,31 @@ class Lexicon:
                 covers.append((start, last + 1))
             elif start not in best or weight > best[start][2]:
                 best[start] = (start, last + 1, weight, entry)
-        found = [best[s] for s in sorted(best)]
-        return [h for h in found if not any(a <= h[0] and h[1] <= b for a, b in covers)] if covers else found
+        found, covers, reach, i = [best[s] for s in sorted(best)], sorted(covers), -1, 0
+        free = []
+        for h in found:  # both in order of their starts: the cover that reaches farthest so far decides
+            while i < len(covers) and covers[i][0] <= h[0]:
+                reach, i = max(reach, covers[i][1]), i + 1
+            if h[1] > reach:
+                free.append(h)
+        return free
 
     def features(self, text: str | None) -> tuple[float, float]:
         folded = fold(text)
-        total = sum(h[2] for h in self.hits(folded))
-        words = folded.count(" ") - 1
-        return math.log1p(total), min(4.0, total / math.sqrt(max(1, words)))
+        return _features(folded, self.hits(folded))
 
-    def score(self, text: str | None) -> float:
+    def curved(self, x: float, y: float) -> float:
         a, b, c = self.curve
-        x, y = self.features(text)
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, a + b * x + c * y))))
 
+    def score(self, text: str | None) -> float:
+        return self.curved(*self.features(text))
+
+
+def _features(folded: str, hits: list[tuple]) -> tuple[float, float]:
+    total = sum(h[2] for h in hits)
+    return math.log1p(total), math.log1p(total / math.sqrt(max(1, folded.count(" ") - 1)))
+
 
 def sample_labels(labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     """At most ``rows`` of the labelled identifiers (doc_id, toxic): all, or those whose hash falls below the share that
@@ -169,10 +177,11 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return tuple(float(v) for v in w)
 
 
-def fit(labelled: DataFrame, max_entries: int = MAX_ENTRIES) -> Lexicon:
+def fit(labelled: DataFrame) -> Lexicon:
     """A lexicon from labelled texts (text, toxic), as many as ``sample_labels`` leaves. Three quarters of the distinct
-    texts give the weights and phrases, the rest the curve. Without both labels: an empty lexicon, whose score is
-    constant."""
+    texts give the weights and phrases, the rest the curve. The sample's bound also bounds the lexicon, whose
+    entries stand in ``MIN_TOXIC`` of its texts at least; none is cut off. Without both labels: an empty lexicon, whose
+    score is constant."""
     common.small_batches(labelled.sparkSession)
     sample = common.checkpointed(_distinct(labelled.select("text", "toxic")))
     learn, tune = sample.filter(F.pmod("h", F.lit(4)) != 3), sample.filter(F.pmod("h", F.lit(4)) == 3)
@@ -180,9 +189,10 @@ def fit(labelled: DataFrame, max_entries: int = MAX_ENTRIES) -> Lexicon:
     if len(sizes) < 2:
         return Lexicon({})
     odds = F.log((F.col("toxic") + 0.5) / (sizes[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (sizes[0] + 1.0))
+    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     least = max(MIN_TOXIC, sizes[1] // 250)
-    found = _summed(learn, terms).filter(F.col("toxic") >= least).withColumn("weight", odds).filter(F.col("weight") >= MIN_LOG_ODDS).orderBy(F.desc("weight"), "term").limit(max_entries).collect()
-    lexicon = Lexicon({r.term: r.weight for r in found})
+    found = _summed(learn, terms).filter(F.col("toxic") >= least).withColumn("weight", odds - error).filter(F.col("weight") >= MIN_LOG_ODDS).collect()
+    lexicon = Lexicon({r.term: r.weight for r in sorted(found)})
 
     def phrases(folded: str) -> set[str]:
         near = set()
@@ -196,8 +206,8 @@ def fit(labelled: DataFrame, max_entries: int = MAX_ENTRIES) -> Lexicon:
         return near
 
     if found:
-        benign = _summed(learn, phrases).filter((F.col("clean") >= 3) & (F.col("toxic") == 0)).orderBy(F.desc("clean"), "term").limit(MAX_PHRASES).collect()
-        lexicon = Lexicon(lexicon.weights, [r.term for r in benign])
+        benign = _summed(learn, phrases).filter((F.col("clean") >= 3) & (F.col("toxic") == 0)).collect()
+        lexicon = Lexicon(lexicon.weights, sorted(r.term for r in benign))
 
     def measure(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.batches(stream):
@@ -212,7 +222,8 @@ def fit(labelled: DataFrame, max_entries: int = MAX_ENTRIES) -> Lexicon:
 
 def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
     """All columns of ``docs`` with ``score`` (0 to 1), ``predicted``, ``n_hits`` and the heaviest ``entry``, where
-    the rows lie. Null and empty texts score as texts without hits."""
+    the rows lie. Null and empty texts score as texts without hits; rows that repeat score alike; an empty table has no
+    rows; columns of these four names are replaced. The time is in proportion to a text's length, however long it is."""
     common.small_batches(docs.sparkSession)
     names = docs.columns
     at = names.index("text")
@@ -223,10 +234,7 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> Da
             for text in batch.column(at).to_pylist():
                 folded = fold(text)
                 hits = lexicon.hits(folded)
-                total = sum(h[2] for h in hits)
-                x, y = math.log1p(total), min(4.0, total / math.sqrt(max(1, folded.count(" ") - 1)))
-                a, b, c = lexicon.curve
-                p = 1 / (1 + math.exp(-max(-40.0, min(40.0, a + b * x + c * y))))
+                p = lexicon.curved(*_features(folded, hits))
                 rows.append((p, int(p >= threshold), len(hits), max(hits, key=lambda h: h[2])[3].strip() if hits else None))
             more = [pa.array([r[i] for r in rows], k) for i, k in enumerate([pa.float64(), pa.int32(), pa.int32(), pa.string()])]
             keep = [i for i, n in enumerate(names) if n not in _ADDED]

@@ -1,3 +1,4 @@
+import random
 from pathlib import Path
 
 import pytest
@@ -18,6 +19,40 @@ def test_hits_heaviest_of_each_word_and_exceptions():
     assert own.score("bad bad") > own.score("bad " + "fine " * 50) > own.score("fine")
 
 
+def naive_hits(own, folded: str) -> list[tuple]:
+    """Every entry at every place; the heaviest of those that start together, unless one phrase covers it."""
+    best, covers = {}, []
+    for phrase in own.exceptions:
+        covers += [(i, i + len(phrase) + 2) for i in range(len(folded)) if folded.startswith(f" {phrase} ", i)]
+    for i in range(len(folded)):
+        found = [(w, e) for e, w in own.weights.items() if folded.startswith(e, i)]
+        if found:
+            top = max(w for w, _ in found)
+            best[i] = (i, top, {e for w, e in found if w == top})
+    return [(i, w, es) for i, w, es in best.values() if any(not any(a <= i and i + len(e) <= b for a, b in covers) for e in es)]
+
+
+def test_automaton_against_a_naive_search():
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choice("ab") for _ in range(draw.randint(1, 6)))
+    for _ in range(200):
+        entries = {draw.choice([f" {w} ", f" {w}"]): draw.random() for w in (word() for _ in range(12))}
+        own = toxicity.Lexicon(entries, sorted({f"{word()} {word()}" for _ in range(6)}))
+        folded = toxicity.fold(" ".join(word() for _ in range(draw.randint(0, 40))))
+        got = own.hits(folded)
+        want = naive_hits(own, folded)
+        assert [(h[0], h[2]) for h in got] == [(i, w) for i, w, _ in want]
+        assert all(h[3] in es for h, (_, _, es) in zip(got, want))
+
+
+def test_long_and_repeated_texts(spark):
+    own = toxicity.Lexicon({" bad ": 3.0}, ["not bad", "so not"])
+    text = "so not bad " * 200_000 + "bad"
+    assert len(own.hits(toxicity.fold(text))) == 1
+    got = toxicity.score(spark.createDataFrame([(1, text, "x"), (1, text, "x"), (2, "bad", "y")], "doc_id long, text string, entry string"), own).collect()
+    assert got[0] == got[1] and got[2].score > got[0].score and [r.n_hits for r in got] == [1, 1, 1] and got[2].entry == "bad"
+
+
 def test_one_label_or_none_gives_a_constant_score(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None), (None, "b")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
