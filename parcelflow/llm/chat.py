@@ -119,38 +119,62 @@ def format_turns(conversations: DataFrame) -> DataFrame:
     return chosen.mapInArrow(one, "conv_id long, turn long, role string, formatted string, loss_from long, loss_to long")
 
 
+class Reader:
+    """Reads a formatted conversation as one text that comes in pieces, whose borders the parser does not see: a turn
+    that does not close yet waits for more. ``masked`` takes the loss mask's spans in that text."""
+
+    def __init__(self):
+        self.rest, self.at, self.turns, self.loss_chars, self.chars = "", 0, 0, 0, 0
+        self.said, self.loss, self.mask = hashlib.sha256(), hashlib.sha256(), []
+
+    def add(self, text: str, mask: tuple[int, int] | None) -> None:
+        if mask:
+            self.mask.append((self.chars + mask[0], self.chars + mask[1]))
+        self.chars += len(text)
+        self.rest = self.rest + text if self.rest else text
+        at = 0
+        while at < len(self.rest):
+            try:
+                role, body, end, span, _ = parse_turn(self.rest, at)
+            except GrammarError:
+                break
+            self.turns += 1
+            self.said.update(f"{role}\n{body}\n".encode())
+            if self.mask and self.mask[0] == (self.at + span[0], self.at + span[1]):
+                del self.mask[0]
+                self.loss_chars += len(body)
+                self.loss.update(body.encode())
+            self.at += end - at
+            at = end
+        self.rest = self.rest[at:]
+
+    def result(self) -> tuple:
+        if self.rest or self.mask:
+            raise GrammarError("the conversation does not read back")
+        return self.turns, self.said.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
+
+
 def digest(formatted: DataFrame) -> DataFrame:
-    """Read formatted turns back and sum up each conversation, turn by turn as they stream past: however long a
-    conversation is, a task holds one batch. Turns are in order of turn; ties by role, then formatted text."""
+    """Read whole formatted conversations back, the turns' forms one after another as one text, and sum up each as it
+    streams past: however long a conversation is, a task holds one batch. Turns are in order of turn; ties by role, then
+    formatted text. A text or a loss mask that the grammar does not give back fails the task."""
     spark = formatted.sparkSession
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def fold(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, state, rows = object(), None, []
-
-        def result() -> tuple:
-            return state[0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), state[5]
-
+        conv, reader, rows = None, None, []
         for b in common.batches(stream):
-            for c, text, start in zip(b["conv_id"], b["formatted"], b["loss_from"]):
-                if state is None or c != conv:
-                    if state is not None:
-                        rows.append(result())
-                    conv, state = c, [c, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                at = 0
-                while at < len(text):
-                    role, body, at, _, _ = parse_turn(text, at)
-                    state[1] += 1
-                    state[2].update(f"{role}\n{body}\n".encode())
-                    if start is not None:
-                        state[3] += len(body)
-                        state[4].update(body.encode())
-                state[5] += len(text)
+            for c, text, start, end in zip(b["conv_id"], b["formatted"], b["loss_from"], b["loss_to"]):
+                if reader is None or c != conv:
+                    if reader is not None:
+                        rows.append((conv, *reader.result()))
+                    conv, reader = c, Reader()
+                reader.add(text, None if start is None else (start, end))
             if len(rows) >= 4096:
                 yield table(rows)
                 rows = []
-        if state is not None:
-            rows.append(result())
+        if reader is not None:
+            rows.append((conv, *reader.result()))
         if rows:
             yield table(rows)
 

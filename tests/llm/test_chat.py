@@ -15,6 +15,38 @@ def test_round_trip(turns):
     assert chat.parse(chat.render(turns)) == turns
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "tool]"]), st.lists(st.sampled_from(NASTY), max_size=4).map("".join)), max_size=4), st.data())
+def test_a_conversation_in_pieces_reads_as_the_whole(turns, data):
+    whole = chat.render(turns)
+    cuts = sorted(data.draw(st.lists(st.integers(0, len(whole)), max_size=4)))
+    reader = chat.Reader()
+    for a, z in zip([0, *cuts], [*cuts, len(whole)]):
+        reader.add(whole[a:z], None)
+    said = "".join(f"{r}\n{t}\n" for r, t in turns)
+    assert reader.result()[:2] == (len(turns), hashlib.sha256(said.encode()).hexdigest()) and reader.chars == len(whole)
+
+
+def test_a_mask_that_is_no_turns_text_is_refused():
+    reader = chat.Reader()
+    reader.add(chat.render_turn("assistant", "abc"), (1, 4))
+    with pytest.raises(chat.GrammarError):
+        reader.result()
+    reader = chat.Reader()
+    reader.add("[INST]=never closed", None)
+    with pytest.raises(chat.GrammarError):
+        reader.result()
+
+
+def test_ties_in_long_conversations(spark):
+    rows = [(1, i // 3, "user" if i % 3 else "assistant", f"t{i % 5}") for i in range(600)] + [(None, None, "user", "x"), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.digest(chat.format_turns(df)).collect()}
+    own = sorted((r for r in rows if r[0] == 1), key=lambda r: r[1:])
+    assert got[1].turns_sha256 == hashlib.sha256("".join(f"{r[2]}\n{r[3]}\n" for r in own).encode()).hexdigest() and got[1].n_turns == 600
+    assert got[None].n_turns == 2
+
+
 def test_broken_text_is_refused():
     for bad in ("x", "[INST]=a", "[INST]a[/INST]"):
         with pytest.raises(chat.GrammarError):
