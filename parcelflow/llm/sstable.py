@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 BLOCK_BYTES = 64 * 1024
+#: A shard that has grown to so many bytes is closed, and the next one of its range begins.
+SHARD_BYTES = 256 << 20
 BLOOM_BITS_PER_KEY = 10
 BLOOM_PROBES = 7
 MAGIC = b"PFSSTAB1"
@@ -169,27 +171,39 @@ class ShardReader:
         return found
 
 
-def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int, shards: int | None = None) -> DataFrame:
-    """Encode every whole text, append ``end_id``, and write one shard for each range of ``doc_id``.
+_NULL_KEY = -(1 << 63)
 
-    Returns the manifest, checkpointed: shard, path, first and last doc_id, docs, ids. Null text: no ids
-    but the end id. Null doc_id: the null key, before all others. Repeated rows: an entry each. An empty
-    table: no shards. A shard is written under a name of its attempt and then renamed, so that a repeated
+
+def _shard_of(doc_id: int | None, points: np.ndarray, salt: int) -> int:
+    """The range of a key. A key that fills whole ranges (its bound stands there twice or more) is dealt among these: they
+    hold no other key, so that the order of ranges stays that of keys."""
+    key = _NULL_KEY if doc_id is None else doc_id
+    low, high = (int(np.searchsorted(points, key, side)) for side in ("left", "right"))
+    return high if high - low < 2 else low + 1 + salt % (high - low)
+
+
+def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int, shards: int | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Encode every whole text, append ``end_id``, and write the shards of each range of ``doc_id``.
+
+    Returns the manifest, checkpointed: shard (the range's number, then the shard's in it), path, first and last doc_id,
+    docs, ids. Null text: no ids but the end id. Null doc_id: the null key, before all others. Repeated rows: an entry
+    each; rows of one key may lie in several shards that follow one another. An empty table: no shards. Other columns are
+    ignored. A shard is closed at ``shard_bytes``, written under a name of its attempt and then renamed, so that a repeated
     or lost task leaves one whole file.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = shards or common.partitions(spark)
-    bounds = common.range_bounds(docs.select("doc_id"), "doc_id", n)
-    points = np.array(bounds, np.int64)
+    points = np.array(common.range_bounds(docs.select(F.coalesce("doc_id", F.lit(_NULL_KEY)).alias("doc_id")), "doc_id", n), np.int64)
 
     def encode(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokens.encoder(vocabulary)
         tail = np.array([end_id], own.dtype).tobytes()
         for b in common.batches(stream):
-            shard = [0 if i is None else int(np.searchsorted(points, i, side="right")) for i in b["doc_id"]]
-            yield pa.RecordBatch.from_arrays([pa.array(b["doc_id"], pa.int64()), pa.array(shard, pa.int32()), pa.array([v + tail for v in own.encode(b["text"])], pa.binary())], ["doc_id", "shard", "ids"])
+            ids = [v + tail for v in own.encode(b["text"])]
+            shard = [_shard_of(i, points, zlib.crc32(v)) for i, v in zip(b["doc_id"], ids)]
+            yield pa.RecordBatch.from_arrays([pa.array(b["doc_id"], pa.int64()), pa.array(shard, pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "shard", "ids"])
 
     def write(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -197,33 +211,34 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int, sha
         fs, root = common.filesystem(folder)
         width = tokens.encoder(vocabulary).width
         attempt = TaskContext.get().taskAttemptId()
-        shard, writer, first, last, rows = None, None, None, None, []
+        shard, part, writer, first, last, rows = None, 0, None, None, None, []
 
         def close() -> None:
             writer.close()
             writer.out.close()
-            fs.move(f"{root}/.{shard}-{attempt}", f"{root}/shard-{shard:06d}.sst")
-            rows.append((shard, f"{folder}/shard-{shard:06d}.sst", first, last, writer.docs, writer.ids))
+            name = f"shard-{shard:06d}-{part:06d}.sst"
+            fs.move(f"{root}/.{name}-{attempt}", f"{root}/{name}")
+            rows.append((shard << 32 | part, f"{folder}/{name}", first, last, writer.docs, writer.ids))
 
         fs.create_dir(root, recursive=True)
         for batch in stream:
             for doc_id, s, ids in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if s != shard:
+                if writer is None or s != shard or writer.at >= shard_bytes:
                     if writer:
                         close()
-                    shard, first = s, doc_id
-                    writer = ShardWriter(fs.open_output_stream(f"{root}/.{s}-{attempt}"), width)
+                    shard, part, first = s, part + 1 if s == shard else 0, doc_id
+                    writer = ShardWriter(fs.open_output_stream(f"{root}/.shard-{shard:06d}-{part:06d}.sst-{attempt}"), width)
                 writer.add(doc_id, ids)
                 last = doc_id
         if writer:
             close()
         names = ["shard", "path", "first_id", "last_id", "docs", "ids"]
-        kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
     encoded = docs.mapInArrow(encode, "doc_id long, shard int, ids binary")
     dealt = encoded.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("doc_id"))
-    return common.checkpointed(dealt.mapInArrow(write, "shard int, path string, first_id long, last_id long, docs long, ids long"))
+    return common.checkpointed(dealt.mapInArrow(write, "shard long, path string, first_id long, last_id long, docs long, ids long"))
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -236,7 +251,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
         before.append((r.shard, r.path, total))
         total += r.ids
     if not before:
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
+        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, shard long")
 
     def read(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.batches(stream):
@@ -252,26 +267,29 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                             rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                             start += len(ids)
                         columns = list(zip(*rows))
-                        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array([shard] * len(rows), pa.int32())], ["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
+                        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array([shard] * len(rows), pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
 
-    tasks = spark.createDataFrame(before, "shard int, path string, before long").repartition(min(len(before), common.partitions(spark)))
-    return tasks.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
+    tasks = spark.createDataFrame(before, "shard long, path string, before long").repartition(min(len(before), common.partitions(spark)))
+    return tasks.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long")
 
 
 def lookup(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The ids of the wanted documents (doc_id), by range, Bloom filter, index search and one block each."""
-    shards = sorted(manifest.filter(F.col("first_id").isNotNull()).select("first_id", "path").collect())  # a row for each shard file
-    if not shards:
+    """(doc_id, ids): every entry of the wanted documents (doc_id), by the shards' ranges of keys, Bloom filters, index
+    search and one block each. Null identifiers find the entries of the null key. Other columns are ignored."""
+    keyed = lambda c: F.coalesce(F.col(c), F.lit(_NULL_KEY))
+    spans = [tuple(r) for r in manifest.select(keyed("first_id"), keyed("last_id"), "path").collect()]  # a row for each shard file
+    if not spans:
         return wanted.sparkSession.createDataFrame([], "doc_id long, ids array<long>")
-    paths = F.array(*[F.lit(r.path) for r in shards])
-    place = common.range_id("doc_id", [r.first_id for r in shards])
-    pairs = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).filter(F.col("doc_id").isNotNull()).withColumn("place", place).filter("place > 0").select("doc_id", F.element_at(paths, F.col("place")).alias("path"))
+    spans.sort()
+    firsts, lasts, paths = [s[0] for s in spans], [s[1] for s in spans], [s[2] for s in spans]
 
     def find(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.batches(stream):
-            by_path: dict[str, list[int]] = {}
-            for path, doc_id in zip(b["path"], b["doc_id"]):
-                by_path.setdefault(path, []).append(doc_id)
+            by_path: dict[str, list[int | None]] = {}
+            for doc_id in b["doc_id"]:
+                key = _NULL_KEY if doc_id is None else doc_id
+                for i in range(bisect.bisect_left(lasts, key), bisect.bisect_right(firsts, key)):
+                    by_path.setdefault(paths[i], []).append(doc_id)
             for path, ids in by_path.items():
                 fs, name = common.filesystem(path)
                 with fs.open_input_file(name) as file:
@@ -279,4 +297,4 @@ def lookup(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
                     rows = [(i, np.frombuffer(v, f"<u{reader.width}").tolist()) for i in ids for v in reader.get(i)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["doc_id", "ids"])
 
-    return pairs.mapInArrow(find, "doc_id long, ids array<long>")
+    return wanted.select(F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(find, "doc_id long, ids array<long>")
