@@ -43,15 +43,24 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, band: float = BAND
 
 
 def removals(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, keep_first: bool = True) -> DataFrame:
-    """(row, drop): the ordinals of the lines to remove from each row that loses any."""
-    lines = exploded(docs, site)
+    """(row, drop): the ordinals of the lines to remove from each row that loses any, ascending. The lines' hashes are
+    stored, so that the texts are split once for the sketches, the exact counts and the join."""
+    lines = common.stored(exploded(docs, site), "lines")
     found = common.checkpointed(lines.join(boilerplate(lines, min_sites), "h").select("row", "doc_id", "line_no", "h"))
     if keep_first:
         place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "row", "line_no")
         first = found.groupBy("h").agg(F.min(place).alias("first"))
         stays = first.select(F.col("first.row").alias("row"), F.col("first.line_no").alias("line_no"))
         found = found.join(stays, ["row", "line_no"], "left_anti")
-    return found.groupBy("row").agg(F.collect_set("line_no").alias("drop"))
+    return found.groupBy("row").agg(F.array_sort(F.collect_set("line_no")).alias("drop"))
+
+
+def without(parts: Column, drop: Column) -> Column:
+    """The elements of an array but for those at some places (from 0, ascending): what stands between each two of them,
+    so that the cost is that of both arrays' lengths and not of their product."""
+    before = lambda j: F.coalesce(F.get(drop, j - 1), F.lit(-1))
+    after = lambda j: F.coalesce(F.get(drop, j), F.size(parts))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(drop)), lambda j: F.slice(parts, before(j) + 2, after(j) - before(j) - 1)))
 
 
 def clean(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, keep_first: bool = True) -> DataFrame:
@@ -59,18 +68,19 @@ def clean(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, kee
 
     Null text stays null, with no lines; an empty text has none either. Rows that repeat keep one first occurrence
     between them if they differ; wholly equal rows (doc_id and text) are treated alike. A null site counts for no
-    line's spread, but its text is cleaned. Columns called n_lines or n_removed are replaced.
+    line's spread, but its text is cleaned. Columns called n_lines or n_removed are replaced; others stay, whatever their
+    names. An empty table: no rows.
     """
-    own = docs.drop("n_lines", "n_removed", "row", "drop")
-    keyed = own.withColumn("row", F.xxhash64("doc_id", "text"))
-    joined = keyed.join(removals(own, site, min_sites, keep_first), "row", "left")
-    parts = F.split("text", "\n")
-    kept = F.concat_ws("\n", F.filter(parts, lambda x, i: ~F.array_contains(F.col("drop"), i)))
+    own = docs.drop("n_lines", "n_removed")
+    found = removals(own.select("doc_id", "text", site), site, min_sites, keep_first).select(F.struct("row", "drop").alias("__cut_lines"))
+    joined = own.join(found, F.xxhash64(own["doc_id"], own["text"]) == F.col("__cut_lines.row"), "left")
+    parts, drop = F.split("text", "\n"), F.col("__cut_lines.drop")
+    kept = F.concat_ws("\n", without(parts, drop))
     counted = F.size(F.filter(parts, lambda x: x.rlike(r"\S")))
     return joined.select(
-        *[(F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c)) for c in own.columns],
+        *[(F.when(drop.isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(f"`{c}`")) for c in own.columns],
         F.coalesce(F.when(F.col("text").isNull(), 0).otherwise(counted), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size(drop), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 

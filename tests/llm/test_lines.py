@@ -23,10 +23,12 @@ def brute(rows, least):
 def test_against_brute_force(spark):
     rows = [(i, f"own {i}\n menu \nfooter {i % 3}\n\nshort", f"s{i % SITES}") for i in range(24)]
     rows += [(50, None, "s1"), (51, "", "s2"), (52, "menu\nmenu\n", None), (53, " \n", "s3")]
-    docs = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, source string, n_lines int")
+    rows.append((60, "x\n" + "\n".join(f"footer {i % 3}" for i in range(2000)) + "\nlast", "s4"))  # many lines go from one text
+    docs = spark.createDataFrame([(*r, 9, "r", "d") for r in rows], "doc_id long, text string, source string, n_lines int, row string, drop string")
     for least in (2, 10, SITES, SITES + 1):
-        got = {r.doc_id: r.text for r in lines.clean(docs, min_sites=least).collect()}
-        assert got == brute(rows, least), least
+        found = lines.clean(docs, min_sites=least).collect()
+        assert {r.doc_id: r.text for r in found} == brute(rows, least), least
+        assert {(r.row, r.drop) for r in found} == {("r", "d")} and found[0].n_lines != 9
 
 
 def test_null_source_counts_for_nothing_and_empty_table(spark):
