@@ -17,22 +17,25 @@ WEIGHTS = {
     "outsideCoreInfillArea": -40,
 }
 KEYWORDS = {
-    "demolition": "demolition; demolish; remove existing dwelling; remove existing house",
-    "newConstruction": "new building; new construction; construct; construction of; erect",
-    "newDwelling": "new dwelling; new house; construct a dwelling; construct dwelling; construction of a dwelling",
-    "developmentPermit": "development permit; development application",
-    "buildingPermit": "building permit",
-    "residentialBuilding": "residential; dwelling; single detached; detached house; semi-detached; semi detached; duplex; row house; row housing; townhouse; town house; garden suite; garage suite; backyard house; backyard housing; cluster housing; multi-unit; multi unit",
-    "renovation": "addition; alteration; interior renovation; renovation; renovate; repair",
-    "commercialOrIndustrial": "commercial; industrial; office building; restaurant; retail; warehouse",
-    "detached": "single detached; detached dwelling; detached house; new detached",
-    "semiDetached": "semi-detached; semi detached",
-    "duplex": "duplex",
-    "rowHousing": "row house; row housing; row dwelling; townhouse; town house",
-    "gardenSuite": "garden suite; garage suite; backyard house; backyard housing",
-    "propertyOnly": "accessory building; accessory structure; detached garage; mutual garage; garage; carport; shed; deck; fence; driveway; air conditioner; air conditioning; hvac; heating and ventilation; solar panel; hot tub; swimming pool",
-    "inactiveStatus": "cancelled; canceled; expired; refused; withdrawn; void; voided",
-}
+    "demolition": ["demolition", "demolish", "remove existing dwelling", "remove existing house"],
+    "newConstruction": ["new building", "new construction", "construct", "construction of", "erect"],
+    "newDwelling": ["new dwelling", "new house", "construct a dwelling", "construct dwelling", "construction of a dwelling"],
+    "developmentPermit": ["development permit", "development application"],
+    "buildingPermit": ["building permit"],
+    "residentialBuilding": ["residential", "dwelling", "single detached", "detached house", "semi-detached", "semi detached", "duplex", "row house",
+        "row housing", "townhouse", "town house", "garden suite", "garage suite", "backyard house", "backyard housing", "cluster housing",
+        "multi-unit", "multi unit"],
+    "renovation": ["addition", "alteration", "interior renovation", "renovation", "renovate", "repair"],
+    "commercialOrIndustrial": ["commercial", "industrial", "office building", "restaurant", "retail", "warehouse"],
+    "detached": ["single detached", "detached dwelling", "detached house", "new detached"],
+    "semiDetached": ["semi-detached", "semi detached"],
+    "duplex": ["duplex"],
+    "rowHousing": ["row house", "row housing", "row dwelling", "townhouse", "town house"],
+    "gardenSuite": ["garden suite", "garage suite", "backyard house", "backyard housing"],
+    "propertyOnly": ["accessory building", "accessory structure", "detached garage", "mutual garage", "garage", "carport", "shed", "deck", "fence",
+        "driveway", "air conditioner", "air conditioning", "hvac", "heating and ventilation", "solar panel", "hot tub", "swimming pool"],
+    "inactiveStatus": ["cancelled", "canceled", "expired", "refused", "withdrawn", "void", "voided"],
+}
 CATEGORIES = [
     "PROBABLE_NEW_DETACHED_INFILL", "PROBABLE_NEW_DETACHED_INFILL_FOR_RESALE", "PROBABLE_SEMI_DETACHED_INFILL", "PROBABLE_DUPLEX", "PROBABLE_ROW_HOUSING", "PROBABLE_GARDEN_SUITE",
     "DEMOLITION_ONLY", "RENOVATION_OR_ADDITION", "UNCERTAIN_RESIDENTIAL_DEVELOPMENT", "NOT_RELEVANT",
@@ -61,7 +64,7 @@ class ConfigError(ValueError):
 @dataclass(frozen=True)
 class ScoringConfig:
     weights: dict[str, int] = field(default_factory=lambda: dict(WEIGHTS))
-    keywords: dict[str, list[str]] = field(default_factory=lambda: {k: v.split("; ") for k, v in KEYWORDS.items()})
+    keywords: dict[str, list[str]] = field(default_factory=lambda: {k: list(v) for k, v in KEYWORDS.items()})
     high_value: float = 250_000
     window_days: int = 548
     gap_days: int = 548

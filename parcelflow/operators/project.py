@@ -32,11 +32,11 @@ def classify(assessed: DataFrame, config: ScoringConfig = DEFAULT, area: DataFra
     by = Window.partitionBy("project_id", "in_episode").orderBy("position")
     among = Window.partitionBy("project_id", "in_episode", "new_residential").orderBy("position")  # forms are sought in new buildings' texts alone
     own = own.withColumns({
-        "_all": F.concat_ws(" ", F.collect_list("t_all").over(by.rowsBetween(0, width("commercialOrIndustrial") - 1))),
-        "_form": F.concat_ws(" ", F.collect_list("t_form").over(among.rowsBetween(0, width(*FORMS) - 1))),
+        "_all": _padded(F.collect_list("t_all").over(by.rowsBetween(0, width("commercialOrIndustrial") - 1))),
+        "_form": _padded(F.collect_list("t_form").over(among.rowsBetween(0, width(*FORMS) - 1))),
         "_days": episode.days_since(["project_id", "in_episode"], "event_time", c("demolition") & c("at_site"), c("new_residential") & c("event_time").isNotNull()),
     })
-    found = {"says_commercial": text.contains_any(c("_all"), config.keywords["commercialOrIndustrial"])} | {f"form_{name}": c("new_residential") & text.contains_any(c("_form"), config.keywords[name]) for name in FORMS}
+    found = {"says_commercial": text.contains_any(c("_all"), config.keywords["commercialOrIndustrial"], padded=True)} | {f"form_{name}": c("new_residential") & text.contains_any(c("_form"), config.keywords[name], padded=True) for name in FORMS}
     flags = {
         "has_demolition": c("demolition") & c("at_site"), "has_new": c("new_residential"), "has_language": c("new_dwelling"), "has_residential": c("residential"), "has_renovation": c("renovation"),
     } | found
@@ -64,6 +64,10 @@ def classify(assessed: DataFrame, config: ScoringConfig = DEFAULT, area: DataFra
     return own.withColumn("explanation", F.concat_ws(" ", F.concat(label, F.lit(" with a confidence score of "), c("confidence"), F.lit("/100.")), F.concat_ws(" ", F.transform("factors", lambda f: f["message"])), sentence)).drop("any_commercial", *found)
 
 
+def _padded(texts: Column) -> Column:
+    return F.concat(F.lit(" "), F.concat_ws(" ", texts), F.lit(" "))
+
+
 def category() -> Column:
     c = F.col
     form = lambda name: c(f"form_{name}")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import assess, project
+from ..session import spread
 
 #: kind: dataset, type, subtype, description, building type
 TEXTS = {
@@ -30,9 +31,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def permits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Silver permits out of orders: a scan and a projection, no shuffle."""
+    """Silver permits out of orders: a scan and a projection; texts are read in as many tasks as there are cores."""
     c = F.col
-    own = table(spark, sf_dir, "orders").withColumn("kind", F.expr(KIND))
+    own = spread(table(spark, sf_dir, "orders")).withColumn("kind", F.expr(KIND))
     texts = F.create_map(*[x for k, v in TEXTS.items() for x in (F.lit(k), F.struct(*[F.lit(t).cast("string").alias(n) for t, n in zip(v, ("dataset", "permit_type", "permit_subtype", "description", "building_type"))]))])
     states = F.create_map(*[F.lit(x) for pair in STATUS.items() for x in pair])
     issue = F.to_date("o_orderdate")

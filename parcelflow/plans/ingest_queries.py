@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from ..sources import neighbourhoods, permits, snapshot
 from . import binding
 from .catalogue import query
@@ -25,7 +26,7 @@ def raw_building(spark: SparkSession, sf_dir: str, price: str = "o_totalprice")
     c = F.col
     s = lambda col: col.cast("string")
     total, issued = c("o_totalprice"), F.date_format("o_orderdate", "yyyy-MM-dd")
-    own = binding.table(spark, sf_dir, "orders")
+    own = spread(binding.table(spark, sf_dir, "orders"))
     return own.select(
         F.concat(F.lit("r"), s(c("o_orderkey"))).alias(":id"), F.lit("1700000000").alias(":updated_at"),
         F.when(~((c("o_orderpriority") == "5-LOW") & (c("o_orderstatus") == "P")), F.concat(F.lit("  "), s(c("o_orderkey")), F.lit(" "))).alias("row_id"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "parcelflow", cores: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -22,3 +22,10 @@ def build_session(app: str = "parcelflow", cores: int | str = "*", partitions: i
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """The rows of a scan, dealt evenly where it has fewer splits than there are cores, so that dear expressions do not wait
+    for one task. A larger scan stays as it is: no shuffle. For plain scans only, whose splits are known before they run."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
