@@ -2,27 +2,63 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
 
 
+_SELECTIONS = {"neighbourhoods": "p_neighbourhood", "categories": "p_category", "stages": "p_stage", "statuses": "p_status"}
+
+
 def evaluate(projects: DataFrame, searches: DataFrame) -> DataFrame:
-    """Each saved search against each project: search_id, user_id, project_id, mismatches (codes), matches.
+    """Each saved search against each of a page of projects: search_id, user_id, project_id, mismatches (codes), matches.
 
-    A theta join on declared criteria: searches are what users saved, a small table, and the planner may broadcast it only
-    as far as its own size threshold allows. Range criteria with no value on the project's side fail; empty selections
-    accept all; selections compare normalised text. Columns of a search: search_id, user_id, active, neighbourhoods,
-    categories, stages, statuses (arrays), min_value, max_value, min_units, max_units, min_confidence.
+    For a bounded set of projects, as it tells of every pair; ``matching`` finds the pairs that match among all. Range
+    criteria with no value on the project's side fail; empty selections accept all; selections compare normalised text.
+    Columns of a search: search_id, user_id, active, neighbourhoods, categories, stages, statuses (arrays), min_value,
+    max_value, min_units, max_units, min_confidence.
     """
     return _pairs(projects, searches).select("search_id", "user_id", "project_id", "mismatches", (F.size("mismatches") == 0).alias("matches"))
 
 
 def matching(projects: DataFrame, searches: DataFrame) -> DataFrame:
-    """(search_id, user_id, project_id) of the pairs that match. Range criteria are join conditions; searches that are
-    not active take no part."""
-    return evaluate(projects, searches.filter("active")).filter("matches").select("search_id", "user_id", "project_id")
+    """(search_id, user_id, project_id) of the pairs that match; searches that are not active take no part.
+
+    Selections are equality keys: a search has a row for each choice of values, a project one for each pattern of selections
+    that any search makes (16 at most), and the pattern's name is a part of both. Ranges are conditions of the same join.
+    """
+    c = F.col
+    sought = searches.filter(F.coalesce("active", F.lit(True))).withColumns({k: F.array_distinct(_normal(c(k))) for k in _SELECTIONS})
+    pattern = F.concat(*[F.when(F.size(k) == 0, "-").otherwise("x") for k in _SELECTIONS])
+    sought = sought.withColumn("_pattern", pattern)
+    patterns = [r._pattern for r in sought.select("_pattern").distinct().collect()]  # 16 at most
+    for k in _SELECTIONS:
+        sought = sought.withColumn(k, F.explode(F.when(F.size(k) == 0, F.array(F.lit(""))).otherwise(c(k))))
+    own = _sides(projects).withColumn("_pattern", F.explode(F.array(*[F.lit(p) for p in patterns]) if patterns else F.array().cast("array<string>")))
+    for i, mine in enumerate(_SELECTIONS.values()):
+        own = own.withColumn(mine, F.explode(F.when(F.substring("_pattern", i + 1, 1) == "-", F.array(F.lit(""))).otherwise(F.array_distinct(F.array_compact(mine)))))
+    keys = (c("p._pattern") == c("s._pattern")) & reduce(lambda a, b: a & b, [c(f"p.{mine}") == c(f"s.{theirs}") for theirs, mine in _SELECTIONS.items()])
+    ranges = _bounded(c("p.p_value"), c("s.min_value"), c("s.max_value")) & _bounded(c("p.p_units"), c("s.min_units"), c("s.max_units")) & _bounded(c("p.p_confidence"), c("s.min_confidence"))
+    return own.alias("p").join(sought.alias("s"), keys & ranges).select("s.search_id", "s.user_id", "p.project_id").distinct()
+
+
+def _bounded(value: Column, low: Column, high: Column | None = None) -> Column:
+    """Whether a value lies in a range with open ends; one without any bound accepts a missing value too."""
+    high = F.lit(None) if high is None else high
+    free = low.isNull() & high.isNull()
+    return F.coalesce(free | (value.isNotNull() & (low.isNull() | (value >= low)) & (high.isNull() | (value <= high))), F.lit(False))
+
+
+def _sides(projects: DataFrame) -> DataFrame:
+    c = F.col
+    n = lambda name: text.searchable(c(name).cast("string"))
+    return projects.select(
+        "project_id", c("value").alias("p_value"), c("units").alias("p_units"), c("confidence").alias("p_confidence"),
+        F.array(n("neighbourhood_id"), n("neighbourhood_name")).alias("p_neighbourhood"), F.array(n("effective_category")).alias("p_category"), F.array(n("effective_stage")).alias("p_stage"), F.array(n("permit_status")).alias("p_status"),
+    )
 
 
 def _normal(values: Column) -> Column:
@@ -31,24 +67,16 @@ def _normal(values: Column) -> Column:
 
 def _pairs(projects: DataFrame, searches: DataFrame) -> DataFrame:
     c = F.col
-    n = lambda name: text.searchable(c(name).cast("string"))
-    own = projects.select(
-        "project_id", c("value").alias("p_value"), c("units").alias("p_units"), c("confidence").alias("p_confidence"),
-        F.array(n("neighbourhood_id"), n("neighbourhood_name")).alias("p_neighbourhood"), F.array(n("effective_category")).alias("p_category"), F.array(n("effective_stage")).alias("p_stage"), F.array(n("permit_status")).alias("p_status"),
-    )
-    sought = searches.withColumns({k: _normal(c(k)) for k in ("neighbourhoods", "categories", "stages", "statuses")})
-    both = own.join(sought, F.lit(True), "inner")
+    sought = searches.withColumns({k: _normal(c(k)) for k in _SELECTIONS})
+    both = _sides(projects).join(sought, F.lit(True), "inner")
     chosen = lambda mine, theirs: (F.size(theirs) == 0) | F.arrays_overlap(mine, theirs)
-    bounded = lambda value, low, high=None: (
-        F.coalesce((c(low).isNull() if high is None else c(low).isNull() & c(high).isNull()) | (value.isNotNull() & (c(low).isNull() | (value >= c(low))) & (F.lit(True) if high is None else c(high).isNull() | (value <= c(high)))), F.lit(False))
-    )
     checks = [
         ("inactive", F.coalesce(c("active"), F.lit(True))),
         ("neighbourhood", chosen(c("p_neighbourhood"), c("neighbourhoods"))),
         ("category", chosen(c("p_category"), c("categories"))),
-        ("construction-value", bounded(c("p_value"), "min_value", "max_value")),
-        ("units", bounded(c("p_units"), "min_units", "max_units")),
-        ("confidence-score", bounded(c("p_confidence"), "min_confidence")),
+        ("construction-value", _bounded(c("p_value"), c("min_value"), c("max_value"))),
+        ("units", _bounded(c("p_units"), c("min_units"), c("max_units"))),
+        ("confidence-score", _bounded(c("p_confidence"), c("min_confidence"))),
         ("stage", chosen(c("p_stage"), c("stages"))),
         ("permit-status", chosen(c("p_status"), c("statuses"))),
     ]

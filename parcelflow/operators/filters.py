@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import CATEGORIES, PUBLIC_CATEGORIES, REVIEW_STATUSES, STAGES
 
+# Names of sorts and of query parameters.
 SORT_COLUMNS = {
     "latestEventDate": "latest_infill_activity_date", "earliestEventDate": "infill_start_date", "confidence": "confidence", "value": "value", "units": "units",
     "address": "street", "neighbourhood": "neighbourhood_name", "category": "effective_category", "stage": "effective_stage", "reviewStatus": "review_status",
@@ -24,6 +25,7 @@ _PARAMETERS = {
     "neighbourhoods": "neighbourhood", "categories": "category", "stages": "stage", "review_statuses": "reviewStatus", "min_confidence": "minConfidence",
     "min_value": "minValue", "max_value": "maxValue", "min_units": "minUnits", "max_units": "maxUnits", "page_size": "pageSize", "start": "from", "end": "to",
 }
+# end of the fixed values
 
 
 class FilterError(ValueError):

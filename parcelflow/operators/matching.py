@@ -26,6 +26,36 @@ def match_sites(permits: DataFrame, projects: DataFrame) -> DataFrame:
     return own.withColumn("project_id", F.coalesce("_exact", "_any")).drop("_exact", "_any")
 
 
+def match_keys(permits: DataFrame, projects: DataFrame) -> DataFrame:
+    """``permits`` (event_id, site_key, address_id) with ``project_id`` and ``match_by`` (site, key or null).
+
+    Of the projects at a permit's site that were not merged, one with the very same address comes first, then the smallest
+    project_id. Where there is none, the project that a former run made for the site (by ``project_key``), or what it was
+    merged into: one hop. ``valid`` is false where that is merged in its turn. ``projects``: project_id, site_key, address_id,
+    project_key, merged_into."""
+    c = F.col
+    live = projects.filter(c("merged_into").isNull() & (c("site_key") != ""))
+    by_site = live.groupBy("site_key").agg(F.min("project_id").alias("_any"))
+    exact = live.filter(c("address_id").isNotNull()).groupBy("site_key", "address_id").agg(F.min("project_id").alias("_exact"))
+    keyed = projects.filter(c("project_key").isNotNull()).select(c("project_key").alias("_key"), c("project_id").alias("_made"), c("merged_into").alias("_into"))
+    after = projects.select(c("project_id").alias("_into"), c("merged_into").isNull().alias("_sound"))
+    own = permits.withColumn("_key", project_key(c("site_key"))).join(by_site, "site_key", "left").join(exact, ["site_key", "address_id"], "left").join(keyed.join(after, "_into", "left"), "_key", "left")
+    site = F.coalesce("_exact", "_any")
+    return own.withColumns({
+        "project_id": F.coalesce(site, "_into", "_made"), "match_by": F.when(site.isNotNull(), "site").when(c("_made").isNotNull(), "key"),
+        "valid": site.isNotNull() | c("_into").isNull() | F.coalesce("_sound", F.lit(False)),
+    }).drop("_any", "_exact", "_key", "_made", "_into", "_sound")
+
+
+def job_result(matched: DataFrame, samples: int = 10) -> DataFrame:
+    """One line for a matching run: processed, matched, failed, and at most so many failures (event_id and reason), the
+    smallest event_ids. The samples are a top-k, so that failures are never gathered."""
+    c = F.col
+    counts = matched.agg(F.count("*").alias("processed"), F.count_if(c("match_status") == "MATCHED").alias("matched"), F.count_if(c("match_status") != "MATCHED").alias("failed"))
+    some = matched.filter(c("match_status") != "MATCHED").select("event_id", c("match_status").alias("reason")).orderBy("event_id").limit(samples)
+    return counts.join(some.agg(F.array_sort(F.collect_list(F.struct("event_id", "reason"))).alias("failures")), F.lit(True))  # a row on each side
+
+
 def assign_projects(permits: DataFrame, projects: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What a matching run does: permits with project_id, ``match_status`` and ``match_reason``, and the new projects.
 
@@ -61,7 +91,7 @@ def permit_identity(provider: Column, record: Column) -> Column:
 
 
 def first_wins(rows: DataFrame, key: list[str], order: list[Column | str]) -> DataFrame:
-    """The first row of each key; rows with a null key part are kept apart from none."""
+    """The first row of each key by ``order``. Nulls in a key are equal to one another."""
     place = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
     return rows.withColumn("_place", place).filter("_place = 1").drop("_place")
 

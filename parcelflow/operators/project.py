@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, ScoringConfig
 from ..functions import geo, text
+from ..session import checkpointed
 from . import assess, episode, timeline
 
 #: Forms of new buildings, in order of precedence.
@@ -125,6 +126,39 @@ def states(permits: DataFrame, config: ScoringConfig = DEFAULT, area: DataFrame
     return apply_actions(classified.withColumn("stage", timeline.stage_of()).drop("_occupied", "_cancelled", "_rank"), actions)
 
 
+#: Actions of a reviewer that change a project, and what each sets.
+ACTIONS = {"CATEGORY": "category", "STAGE": "stage", "MARKET_CHECK": "market_checked", "NOT_RELEVANT": "category", "MERGE": "merged_into"}
+
+
+def audit(actions: DataFrame, projects: DataFrame) -> DataFrame:
+    """(project_id, seq, at, field, before, after): a row for each action of the log (project_id, action, value, at, seq) in
+    the order in which it took effect on its project's field. ``before`` is what the last action left, or else the project's
+    own (``projects`` has project_id, category and stage). NOT_RELEVANT sets the category of that name."""
+    c = F.col
+    field = F.create_map(*[F.lit(x) for pair in ACTIONS.items() for x in pair])
+    own = actions.select("project_id", "at", "seq", F.try_element_at(field, c("action")).alias("field"), F.when(c("action") == "NOT_RELEVANT", "NOT_RELEVANT").otherwise(c("value")).alias("after"))
+    own = own.filter(c("field").isNotNull()).join(projects.select("project_id", "category", "stage"), "project_id", "left")
+    first = F.when(c("field") == "category", c("category")).when(c("field") == "stage", c("stage"))
+    last = F.lag("after").over(Window.partitionBy("project_id", "field").orderBy("at", "seq"))
+    return own.withColumn("_last", last).select("project_id", "seq", "at", "field", F.coalesce("_last", first).alias("before"), "after")
+
+
+def reassign(events: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events with the project that a reviewer moved them to, and the audit rows (event_id, seq, at, before, after).
+
+    ``actions`` (event_id, project_id, at, seq): the latest of an event wins; its match_reason becomes ``manual``, so that no
+    later run moves it back. Actions on events that are not there have no effect and no audit row."""
+    c = F.col
+    moves = actions.select("event_id", c("project_id").alias("after"), "at", "seq")
+    last = moves.groupBy("event_id").agg(F.max_by("after", F.struct("at", "seq")).alias("_to"))
+    moved = events.join(last, "event_id", "left").withColumns({
+        "project_id": F.coalesce("_to", "project_id"), "match_reason": F.when(c("_to").isNotNull(), "manual").otherwise(c("match_reason") if "match_reason" in events.columns else F.lit(None)),
+    }).drop("_to")
+    before = F.coalesce(F.lag("after").over(Window.partitionBy("event_id").orderBy("at", "seq")), c("_own"))
+    rows = moves.join(events.select("event_id", c("project_id").alias("_own")), "event_id").withColumn("before", before)
+    return moved, rows.select("event_id", "seq", "at", "before", "after")
+
+
 def apply_actions(projects: DataFrame, actions: DataFrame | None) -> DataFrame:
     """Fold an append-only log (project_id, action, value, at, seq) into the projects: the latest category and stage
     override and market check of each win over what was computed."""
@@ -140,16 +174,26 @@ def apply_actions(projects: DataFrame, actions: DataFrame | None) -> DataFrame:
     return base.withColumns({"effective_category": F.coalesce("category_override", "category"), "effective_stage": F.coalesce("stage_override", "stage")}).withColumn("requires_market_review", market_review(F.col("effective_category"), F.col("latest_occupancy"), F.col("market_checked")))
 
 
-def flatten_merges(merges: DataFrame, rounds: int = 32) -> DataFrame:
-    """(source, target) with chains followed to their ends, by doubling; a chain of 2^rounds at most."""
-    current = merges.select("source", "target")
-    for _ in range(rounds):
+class MergeCycle(ValueError):
+    """Projects that were merged into one another."""
+
+
+def flatten_merges(merges: DataFrame) -> DataFrame:
+    """(source, target) with chains followed to their ends, by doubling: each round follows twice as many steps, and is
+    checkpointed, so that no round plans the ones before it. A chain of n merges is done after log2(n) + 1 rounds; what still
+    moves then goes round in a cycle, which is an error."""
+    current = checkpointed(merges.select("source", "target"))
+    rounds = current.count().bit_length() + 1
+    while True:
         onward = current.select(F.col("source").alias("target"), F.col("target").alias("next"))
-        step = current.join(onward, "target", "left").select("source", F.coalesce("next", "target").alias("target"), F.col("next").isNotNull().alias("moved"))
-        if step.filter("moved").isEmpty():
+        step = checkpointed(current.join(onward, "target", "left").select("source", F.coalesce("next", "target").alias("target"), F.col("next").isNotNull().alias("moved")))
+        moving = step.filter("moved").select("source").limit(5).collect()  # a sample for the message
+        if not moving:
             return step.select("source", "target")
+        if rounds == 0:
+            raise MergeCycle(", ".join(str(r.source) for r in moving))
+        rounds -= 1
         current = step.select("source", "target")
-    return current
 
 
 def repoint(rows: DataFrame, merges: DataFrame, column: str = "project_id") -> DataFrame:

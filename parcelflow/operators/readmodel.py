@@ -11,10 +11,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import PUBLIC_CATEGORIES, STAGES, START_CATEGORIES
+from ..config import PUBLIC_CATEGORIES, REVIEW_STATUSES, STAGES, START_CATEGORIES
 from ..functions import dates, geo, text
+from . import assess, timeline
 from .filters import ProjectFilters, apply, is_public, order_by
 
+#: What stands for an explanation that can't be read.
+NO_EXPLANATION = "There is no explanation for this score."
+#: Projects whose details one call gives, at most.
+DETAILS = 100
 HIGH_CONFIDENCE = 80
 MARKERS, MARKERS_MOST, MAP_PROJECTS, NEIGHBOURHOODS = 2_000, 10_000, 5_000, 10
 
@@ -223,3 +228,49 @@ def review_queue(projects: DataFrame, filter_: str = "pending") -> DataFrame:
 def failures(failed: DataFrame, runs: DataFrame, page_number: int = 1, size: int = 25) -> DataFrame:
     """A page of quarantined rows with their run."""
     return failed.join(runs.select("run_id", F.col("status").alias("run_status")), "run_id").orderBy(F.desc("created_at"), F.desc("failure_id")).offset((page_number - 1) * size).limit(size)
+
+
+def rules_list(projects: DataFrame, most: int = 100) -> DataFrame:
+    """The first projects of the rules page: by review status in declared order, then the least confident, then the latest
+    activity; ties by project_id."""
+    status = F.array_position(F.array(*[F.lit(s) for s in REVIEW_STATUSES]), F.col("review_status"))
+    return projects.filter(F.col("merged_into").isNull()).orderBy(status, "confidence", F.col("latest_infill_activity_date").desc_nulls_last(), "project_id").limit(most)
+
+
+def detail(projects: DataFrame, events: DataFrame, wanted: list[str]) -> DataFrame:
+    """Some projects (at most ``DETAILS``, by project_id) in full: a row for each milestone of each of their events, with
+    the project's own columns and the milestone's ``place`` in its timeline (by date, stage, event and milestone). A project
+    without events has one row, its place null. Rows stay rows: however many events a project has, none gathers them."""
+    if len(wanted) > DETAILS:
+        raise ValueError(f"at most {DETAILS} projects at once")
+    own = list_items(projects.filter(F.col("project_id").isin(wanted)))
+    told = timeline.milestones(assess.complete(events.filter(F.col("project_id").isin(wanted))))
+    place = F.row_number().over(Window.partitionBy("project_id").orderBy("milestone_date", "stage_rank", "event_id", "milestone"))
+    told = told.withColumn("place", place).select("project_id", "place", "event_id", "milestone", F.col("stage").alias("milestone_stage"), "milestone_date", "permit_type", "permit_subtype", F.col("status").alias("permit_status"), F.col("occupancy_date"))
+    return own.join(told, "project_id", "left")
+
+
+EXPLANATION = """struct<summary:string,score:double,factors:array<struct<rule:string,points:double,message:string>>,
+  timeline:struct<demolitionToConstructionDays:double,withinConfiguredWindow:boolean>>"""
+
+
+def explanation(stored: Column, score: Column) -> Column:
+    """struct(summary, score, factors, timeline, available) out of stored JSON. What lacks a summary or has a value out of
+    bounds (a summary of 1 to 5,000 characters, a whole score from 0 to 100, at most 100 factors of -100 to 100 points with
+    a named rule) is not available: a standing sentence, the stored score and no factors take its place."""
+    own = F.from_json(stored, EXPLANATION)
+    summary, factors = F.trim(own["summary"]), own["factors"]
+    fits = lambda text_, most: (F.length(F.trim(text_)) >= 1) & (F.length(F.trim(text_)) <= most)
+    sound = lambda f: fits(f["rule"], 200) & f["points"].between(-100, 100) & (f["message"].isNull() | fits(f["message"], 1_000))
+    days = own["timeline"]["demolitionToConstructionDays"]
+    available = F.coalesce(
+        fits(summary, 5_000) & (own["score"].isNull() | (own["score"].between(0, 100) & (own["score"] == F.floor(own["score"])))) & (days.isNull() | (days == F.floor(days)))
+        & (factors.isNull() | ((F.size(factors) <= 100) & F.forall(factors, lambda f: F.coalesce(sound(f), F.lit(False))))), F.lit(False),
+    )
+    factor = "array<struct<rule:string,points:double,message:string>>"
+    tidy = F.transform(F.coalesce(factors, F.array().cast(factor)), lambda f: F.struct(F.trim(f["rule"]).alias("rule"), f["points"].alias("points"), F.trim(f["message"]).alias("message")))
+    told = F.when(own["timeline"].isNotNull(), F.struct(days.cast("long").alias("days"), own["timeline"]["withinConfiguredWindow"].alias("within_window")))
+    return F.struct(
+        F.when(available, summary).otherwise(NO_EXPLANATION).alias("summary"), F.when(available, F.coalesce(own["score"].cast("int"), score)).otherwise(score).alias("score"),
+        F.when(available, tidy).otherwise(F.array().cast(factor)).alias("factors"), F.when(available, told).alias("timeline"), available.alias("available"),
+    )

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 MAX_DAYS = 730
 MIN_COHORT, MIN_EVENTS = 50, 30
 BASELINE_DAYS = 548
@@ -99,3 +105,18 @@ def pending_anchors(assessed: DataFrame, as_of: Column, key: str = "project_id")
     fit = (F.col("dataset") == "building") & (F.col("issue_date") <= as_of) & (F.col("role") == "PRINCIPAL_RESIDENTIAL")
     own = assessed.groupBy(key).agg(F.bool_or(F.col("occupancy_date").isNotNull()).alias("_occupied"), F.min(F.when(fit, F.struct("issue_date", "event_id"))).alias("_first"))
     return own.filter(~F.col("_occupied") & F.col("_first").isNotNull()).select(key, F.col("_first.event_id").alias("event_id"), F.col("_first.issue_date").alias("issue_date"))
+
+
+class BenchmarkCache:
+    """Benchmarks by as-of date for so many seconds: a table with a row for each scope, computed once and checkpointed."""
+
+    def __init__(self, make: Callable[[date], DataFrame], seconds: float = 6 * 3600, clock: Callable[[], float] = time.monotonic):
+        self.make, self.seconds, self.clock = make, seconds, clock
+        self._kept: dict[date, tuple[float, DataFrame]] = {}
+
+    def get(self, as_of: date) -> DataFrame:
+        now = self.clock()
+        self._kept = {d: kept for d, kept in self._kept.items() if now - kept[0] < self.seconds}
+        if as_of not in self._kept:
+            self._kept[as_of] = now, checkpointed(self.make(as_of))
+        return self._kept[as_of][1]

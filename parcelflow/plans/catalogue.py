@@ -29,6 +29,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Runner], Runner]:
 
 
 def all_queries() -> dict[str, Query]:
-    from . import ingest_queries, project_queries, read_queries, survival_queries, text_queries  # noqa: F401
+    from . import admin_queries, ingest_queries, more_queries, project_queries, read_queries, survival_queries, text_queries  # noqa: F401
 
     return dict(REGISTRY)

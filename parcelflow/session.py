@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,3 +32,15 @@ def spread(scan: DataFrame) -> DataFrame:
     for one task. A larger scan stays as it is: no shuffle. For plain scans only, whose splits are known before they run."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The frame, computed once, its lineage cut, in the folder that spark.checkpoint.dir names. A local master without
+    one gets a temporary folder; on a cluster it must be set."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="parcelflow-checkpoints-"))
+    return df.checkpoint(eager=True)

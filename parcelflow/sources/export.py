@@ -63,5 +63,10 @@ def features(markers: DataFrame) -> DataFrame:
 
 
 def feature_collection(markers: DataFrame, most: int = 10_000) -> DataFrame:
-    """One GeoJSON document of at most ``most`` markers."""
-    return features(markers.limit(most)).agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("project_id", "feature"))), lambda f: f["feature"]), ","), F.lit("]}")).alias("json"))
+    """One GeoJSON document of at most ``most`` markers, the most confident (ties by project_id), with ``truncated``: whether
+    there were more. One document is one value, so that its bound is part of the format."""
+    first = features(markers.orderBy(F.desc("confidence"), "project_id").limit(most + 1)).join(markers.select("project_id", "confidence"), "project_id")
+    sorted_ = F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("rank"), "project_id", "feature")))
+    listed = F.array_join(F.transform(F.slice(sorted_, 1, most), lambda f: f["feature"]), ",")
+    truncated = F.when(F.count("*") > most, "true").otherwise("false")
+    return first.agg(F.concat(F.lit('{"type":"FeatureCollection","truncated":'), truncated, F.lit(',"features":['), listed, F.lit("]}")).alias("json"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import address, text
+from .snapshot import Checkpoint
 
 # The columns asked of each dataset, and those that must be there.
 DEVELOPMENT_COLUMNS = """
@@ -68,6 +69,13 @@ def schema_fingerprint(df: DataFrame) -> str:
     return hashlib.sha256("\n".join(lines).encode()).hexdigest()
 
 
+def metadata(df: DataFrame, dataset: Dataset) -> Checkpoint:
+    """What tells a snapshot of files from another: its columns and types, its rows and its revision (the newest file's
+    time of change). One pass over the files' rows, without any column."""
+    row = df.agg(F.count("*").alias("rows"), F.max("_metadata.file_modification_time").cast("string").alias("revision")).first()
+    return Checkpoint(dataset.name, dataset.dataset_id, row.revision or "", schema_fingerprint(df), row.rows)
+
+
 def in_dates(df: DataFrame, dataset: Dataset, start: str | None = None, end: str | None = None) -> DataFrame:
     """The rows whose permit date lies in the range, both ends counted; plain comparisons, so that a scan can skip."""
     column = F.col("permit_date" if dataset.name == "development" else "issue_date")

@@ -128,30 +128,39 @@ def _hadoop(spark: SparkSession, path: str):
     return own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
+def _manifests(spark: SparkSession, root: str) -> list[str]:
+    """The names of what was published, the newest last."""
+    fs, make = _hadoop(spark, f"{root}/manifests")
+    folder = make(f"{root}/manifests")
+    return sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().startswith("m-")) if fs.exists(folder) else []
+
+
 def publish(df: DataFrame, root: str, checkpoint: Checkpoint | None = None, advance: bool = True) -> str:
-    """Write a version of a table below ``root`` and, last, the pointer that readers follow. A run that fails before
-    leaves what was published as it was. ``advance``: only full snapshots move the checkpoint on."""
+    """Write a version of a table below ``root`` and, last, a manifest of its own, numbered one above the newest, by one
+    rename to a name that must be free. Readers follow the newest manifest, so that a run that fails or stops at any point
+    leaves what was published as it was, and of two runs at once the second fails. ``advance``: only full snapshots move the
+    checkpoint on."""
     version = f"v-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    names = _manifests(spark, root)
+    previous = manifest(spark, root)
     df.write.parquet(f"{root}/{version}")
-    previous = manifest(df.sparkSession, root)
     kept = asdict(checkpoint) if checkpoint and advance else (previous or {}).get("checkpoint")
-    spark = df.sparkSession
+    number = int(names[-1][2:14]) + 1 if names else 1
     fs, make = _hadoop(spark, root)
-    staged, target = make(f"{root}/.manifest-{version}"), make(f"{root}/manifest.json")
+    staged, target = make(f"{root}/manifests/.staged-{version}"), make(f"{root}/manifests/m-{number:012d}.json")
     out = fs.create(staged, True)
     out.write(bytearray(json.dumps({"version": version, "checkpoint": kept}).encode()))
     out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    fs.rename(staged, target)
+    if fs.exists(target) or not fs.rename(staged, target):
+        fs.delete(staged, False)
+        raise RuntimeError(f"another run has published {target.getName()}")
     return version
 
 
 def manifest(spark: SparkSession, root: str) -> dict | None:
-    fs, make = _hadoop(spark, root)
-    if not fs.exists(make(f"{root}/manifest.json")):
-        return None
-    return json.loads("".join(r.value for r in spark.read.text(f"{root}/manifest.json").collect()))  # one line
+    names = _manifests(spark, root)
+    return json.loads("".join(r.value for r in spark.read.text(f"{root}/manifests/{names[-1]}").collect())) if names else None  # one line
 
 
 def last_checkpoint(spark: SparkSession, root: str) -> Checkpoint | None:

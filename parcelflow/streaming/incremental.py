@@ -13,18 +13,20 @@ from pyspark.sql.streaming import StreamingQuery
 from ..sources import permits, snapshot
 
 
-def import_batch(rows: DataFrame, dataset: permits.Dataset, root: str) -> None:
-    """One batch into the table below ``root``: the latest row of each record (by source_updated_at, then checksum)."""
+def import_batch(rows: DataFrame, dataset: permits.Dataset, root: str, batch: int = 0) -> None:
+    """One batch into the table below ``root``: the latest row of each record (by source_updated_at, then checksum). Failures
+    go to the batch's own folder, written anew if the batch is run again, and before the table is published."""
     spark = rows.sparkSession
     good, bad = snapshot.quarantine(permits.normalize(rows, dataset))
+    bad.write.mode("overwrite").parquet(f"{root}/failures/batch={batch}")
     last = F.max_by(F.struct(*good.columns), F.struct("source_updated_at", "checksum")).alias("r")
     fresh = good.groupBy("record_key").agg(last).select("r.*").withColumns({"match_status": F.lit("PENDING"), "normalization_version": F.lit(snapshot.NORMALIZATION_VERSION - 1)})
     stored = snapshot.published(spark, root)
     snapshot.publish(fresh if stored is None else snapshot.upsert(stored, fresh.drop("match_status", "normalization_version")), root)
-    bad.write.mode("append").parquet(f"{root}/failures")
 
 
 def import_stream(spark: SparkSession, folder: str, dataset: permits.Dataset, root: str, checkpoint: str) -> StreamingQuery:
-    """Take up what is in ``folder`` now, and stop; the stream's checkpoint remembers the files."""
+    """Take up what is in ``folder`` now, and stop; the stream's checkpoint remembers the files. A batch joins and rewrites
+    the whole table: plain Parquet has no other way to change rows, and files come a few times a day."""
     rows = spark.readStream.schema(permits.raw_schema(dataset)).json(folder)
-    return rows.writeStream.foreachBatch(lambda df, _: import_batch(df, dataset, root)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.writeStream.foreachBatch(lambda df, batch: import_batch(df, dataset, root, batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

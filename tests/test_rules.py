@@ -282,3 +282,101 @@ def test_stream_of_files(spark, tmp_path):
     got = snapshot.published(spark, root).collect()
     assert [(r.permit_type, r.latitude, r.match_status) for r in got] == [("Shed", 53.5, "PENDING")]
     assert spark.read.parquet(f"{root}/failures").count() == 2
+
+
+def test_long_chains_of_merges_end_and_cycles_are_errors(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(300)], "source long, target long")
+    got = project.flatten_merges(chain).collect()
+    assert len(got) == 300 and {r.target for r in got} == {300}
+    for cycle in ([(1, 2), (2, 3), (3, 1), (9, 1)], [(5, 5)]):
+        with pytest.raises(project.MergeCycle):
+            project.flatten_merges(spark.createDataFrame(cycle, "source long, target long"))
+    assert project.flatten_merges(chain.limit(0)).collect() == []
+
+
+def test_matching_agrees_with_the_pairs(spark):
+    import itertools
+
+    p = spark.createDataFrame([(f"p{i}", *r) for i, r in enumerate(itertools.product([None, 5.0, 9.0], [None, 2], ["N1", None], ["Old Town", "New"], ["PROBABLE_DUPLEX", "DEMOLITION_ONLY"], ["Issued", None]))],
+                              "project_id string, value double, units int, neighbourhood_id string, neighbourhood_name string, effective_category string, permit_status string")
+    p = p.withColumns({"confidence": F.lit(50), "effective_stage": F.lit("COMPLETE")})
+    schema = "search_id int, user_id string, active boolean, neighbourhoods array<string>, categories array<string>, stages array<string>, statuses array<string>, min_value double, max_value double, min_units int, max_units int, min_confidence int"
+    rows = [
+        (1, "u", True, ["n1", "old town", "OLD-TOWN"], [], None, [], None, None, None, None, None), (2, "u", True, [], ["probable duplex"], ["complete"], ["issued"], 5.0, None, None, None, 50), (3, "v", True, [], [], [], [], None, 8.0, 2, 2, None),
+        (4, "v", False, [], [], [], [], None, None, None, None, None), (5, "w", None, [], [], [], [], None, None, None, None, 51), (6, "w", None, [], ["nothing"], [], [], None, None, None, None, None), (7, "x", True, [], [], [], [], None, None, None, None, None),
+    ]
+    searches = spark.createDataFrame(rows, schema)
+    want = {(r.search_id, r.project_id) for r in alerts.evaluate(p, searches).filter("matches").collect()}
+    got = [(r.search_id, r.project_id) for r in alerts.matching(p, searches).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {s for s, _ in got} == {1, 2, 3, 7}
+    assert alerts.matching(p, searches.limit(0)).collect() == []
+
+
+def test_a_run_that_stops_before_its_manifest_leaves_the_last_one(spark, tmp_path):
+    root, rows = f"file://{tmp_path}/t", spark.range(3)
+    first = snapshot.publish(rows, root)
+    rows.limit(1).write.parquet(f"{root}/v-dead")  # written, never published
+    (tmp_path / "t" / "manifests" / ".staged-v-dead").write_text("{")
+    assert snapshot.manifest(spark, root)["version"] == first and snapshot.published(spark, root).count() == 3
+    second = snapshot.publish(rows.limit(2), root)
+    assert snapshot.manifest(spark, root)["version"] == second and snapshot.published(spark, root).count() == 2
+    assert sorted(f.name for f in (tmp_path / "t" / "manifests").glob("m-*")) == ["m-000000000001.json", "m-000000000002.json"]
+
+
+def test_a_batch_that_is_run_again_keeps_its_failures_once(spark, tmp_path):
+    from parcelflow.streaming import incremental
+
+    building, root = permits.DATASETS["building"], f"file://{tmp_path}/table"
+    raw = tmp_path / "raw.json"
+    raw.write_text('{":id":"r1",":updated_at":"1700000000","row_id":"1","issue_date":"2024-01-02","job_category":"House","address":"10 5 Ave NW","latitude":"53.5"}\n{"issue_date":"2024-01-02"}\n')
+    rows = permits.read_json(spark, str(raw), building)
+    for batch in (0, 0, 1):
+        incremental.import_batch(rows, building, root, batch)
+    assert {(r.batch, r.n) for r in spark.read.parquet(f"{root}/failures").groupBy("batch").agg(F.count("*").alias("n")).collect()} == {(0, 1), (1, 1)}
+    assert snapshot.published(spark, root).count() == 1
+
+
+def test_metadata_of_a_snapshot(spark, tmp_path):
+    building = permits.DATASETS["building"]
+    raw = tmp_path / "raw.json"
+    raw.write_text('{"row_id":"1"}\n{"row_id":"2"}\n')
+    one = permits.metadata(permits.read_json(spark, str(raw), building), building)
+    assert one.row_count == 2 and one.revision and one == permits.metadata(permits.read_json(spark, str(raw), building), building)
+    assert snapshot.unchanged_revision(one, one) and not snapshot.unchanged_revision(one, one, "FULL")
+
+
+def test_units_before_addresses(spark):
+    cases = [
+        ("Unit 204, 10830 82 AVE NW", "10830 82 AVE NW", "204"), ("#5 - 10 5 ST NW", "10 5 ST NW", "5"), ("apt12/ 10 5 ST NW", "10 5 ST NW", "12"), ("Suite A-1 10 5 ST NW", "10 5 ST NW", "A-1"), ("Unit 7", "Unit 7", None),
+        ("main  floor , 10 5 ST NW", "10 5 ST NW", "MAINFLOOR"), ("upper, anything", "anything", "UPPER"), ("G1, 10649 - 68 AVENUE", "10649 - 68 AVENUE", "G1"), ("Lot 3, near the park", "Lot 3, near the park", None),
+        ("101-12345 67 ST NW", "12345 67 ST NW", "101"), ("12345 - 67 ST NW", "12345 - 67 ST NW", None), ("", "", None), ("Unit 5 -10 5 ST NW", "-10 5 ST NW", "5"),
+    ]
+    got = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)] + [(99, None)], "i int, a string").select("i", address.split_unit(F.col("a")).alias("s")).collect()
+    for r in got:
+        assert (r.s.rest, r.s.unit) == (cases[r.i][1:] if r.i != 99 else (None, None)), cases[r.i] if r.i != 99 else None
+
+
+def test_one_document_says_that_it_is_cut(spark):
+    import json
+
+    own = spark.createDataFrame([(f"p{i}", "t", "c", i, 1.0, 2.0) for i in range(5)], "project_id string, title string, category string, confidence int, longitude double, latitude double")
+    whole, cut = (json.loads(export.feature_collection(own, most).first().json) for most in (5, 2))
+    assert not whole["truncated"] and len(whole["features"]) == 5
+    assert cut["truncated"] and [f["properties"]["project_id"] for f in cut["features"]] == ["p4", "p3"]
+
+
+def test_benchmarks_are_kept_for_some_hours(spark):
+    made, now = [], [0.0]
+    cache = survival.BenchmarkCache(lambda d: made.append(d) or spark.range(1), clock=lambda: now[0])
+    cache.get(AS_OF), cache.get(AS_OF), cache.get("later")
+    now[0] = 6 * 3600.0
+    assert cache.get(AS_OF).count() == 1 and made == [AS_OF, "later", AS_OF]
+
+
+def test_phrases(spark):
+    from parcelflow.functions import phrases as p
+
+    grammar = p.then(["build", "construction of"], p.maybe(["a", "the"]), p.upto(2, ["new", p.NUMBER]), "row house")
+    texts = {"build a new 2 row house": True, "construction of row house now": True, "rebuild row house": False, "build new new new row house": False, "build the row houses": False, "": False}
+    df = spark.createDataFrame([(f" {t} ", v) for t, v in texts.items()], "t string, v boolean")
+    assert all(r.v == r.got for r in df.withColumn("got", p.says(F.col("t"), grammar)).collect())
