@@ -22,6 +22,8 @@ from . import common, tokens
 SEQUENCE = 2048
 #: Documents of a group, on average.
 GROUP_DOCUMENTS = 384
+#: Groups that one task packs, one after another, on average.
+TASK_GROUPS = 256
 SEED = 7
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
@@ -150,5 +152,5 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, room: int
             yield one(group, ids, values, kind)
 
     encoded = chosen.mapInArrow(encode, "doc_id long, pack long, ids binary")
-    dealt = encoded.repartition(common.partitions(spark), "pack").sortWithinPartitions("pack", F.asc_nulls_first("doc_id"))
+    dealt = encoded.repartition(max(common.partitions(spark), -(-groups // TASK_GROUPS)), "pack").sortWithinPartitions("pack", F.asc_nulls_first("doc_id"))
     return dealt.mapInArrow(fill, SCHEMA)

@@ -3,11 +3,14 @@
 White space separates what the tokenizer sees (its normaliser folds white space to one blank, its
 pre-tokeniser drops it), so a text's ids are those of its blank-separated chunks, one after another.
 Each distinct chunk is encoded by the library once in a worker and kept in a bounded memo; the tests
-hold the result against ``Tokenizer.encode`` of whole texts.
+hold the result against ``Tokenizer.encode`` of whole texts. A file with other rules (see ``cuts_at_blanks``) has its
+texts encoded whole.
 """
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 
 #: Chunks that a worker keeps; the memo starts afresh beyond it (this bounds memory, not the result).
@@ -20,6 +23,21 @@ JOINED = 500
 _PUNCTUATION = b",.!?;:"
 
 
+def cuts_at_blanks(rules: dict) -> bool:
+    """Whether a tokenizer file's rules never look across white space: its normaliser composes, folds white space and lowers
+    case, its pre-tokeniser keeps what matches a pattern of letters, digits and signs and drops the rest, and its merges end
+    with the word."""
+    normal, cut, model = rules.get("normalizer") or {}, rules.get("pre_tokenizer") or {}, rules.get("model") or {}
+    steps = [(n["type"], n.get("pattern"), n.get("content")) for n in normal.get("normalizers", [normal]) if n]
+    allowed = [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+    parts = cut.get("pretokenizers", [cut])
+    split = parts[0] if parts else {}
+    pattern = (split.get("pattern") or {}).get("Regex", "\\s")
+    drops = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") is True and r"[^\s\p{L}\p{N}]+" in pattern and "\\s" not in pattern.replace(r"[^\s", "")
+    bytes_ = all(p.get("type") == "ByteLevel" and not p.get("add_prefix_space") and not p.get("use_regex") for p in parts[1:])
+    return steps == allowed and drops and bytes_ and model.get("type") == "BPE" and not model.get("dropout") and bool(model.get("end_of_word_suffix"))
+
+
 class ChunkEncoder:
     """Ids of texts as little-endian unsigned integers of ``width`` bytes."""
 
@@ -30,6 +48,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.chunked = cuts_at_blanks(json.loads(self.tokenizer.to_str()))
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -80,6 +99,8 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each whole text (null: none), as bytes."""
+        if not self.chunked:
+            return [np.array(ids, self.dtype).tobytes() for ids in self._library([t or "" for t in texts])]
         if len(self.memo) > MEMO_ENTRIES:
             self.memo = {}
         out: list[bytes | None] = []

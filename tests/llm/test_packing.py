@@ -65,3 +65,30 @@ def test_memoised_ids_are_the_library_ids():
     draw = random.Random(6)
     texts = ["", None, "ÀÉ ß x", "don't  'll", "a" * 200, "日本語 テキスト", "\0\x01 x", "é", "<|startoftext|>"] + ["".join(draw.choice("abé ,.'!9\n\tZ😀") for _ in range(60)) for _ in range(200)]
     assert [np.frombuffer(v, own.dtype).tolist() for v in own.encode(texts)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_other_rules_have_texts_encoded_whole():
+    import copy
+    import json
+
+    own = tokens.ChunkEncoder(tokens.default_vocabulary())
+    rules = json.loads(own.tokenizer.to_str())
+    assert own.chunked and tokens.cuts_at_blanks(rules)
+    for change in (
+        lambda r: r["normalizer"]["normalizers"].pop(1), lambda r: r.update(normalizer=None), lambda r: r.update(pre_tokenizer=None), lambda r: r["pre_tokenizer"]["pretokenizers"][0].update(behavior="Isolated"),
+        lambda r: r["pre_tokenizer"]["pretokenizers"][0]["pattern"].update(Regex=r"\s?[\p{L}]+|[^\s\p{L}\p{N}]+"), lambda r: r["pre_tokenizer"]["pretokenizers"][1].update(add_prefix_space=True), lambda r: r["model"].update(end_of_word_suffix=None),
+    ):
+        other = copy.deepcopy(rules)
+        change(other)
+        assert not tokens.cuts_at_blanks(other)
+    texts = ["Hello  there", None, "a\nb"]
+    chunked = own.encode(texts)
+    own.chunked = False
+    assert own.encode(texts) == chunked
+
+
+def test_one_very_long_document(spark):
+    text = "some words of a very long document, again and again. " * 40_000
+    got = packing.pack_documents(spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string"), tokens.default_vocabulary()).collect()
+    own = sorted((r for r in got if r.doc_id == 1), key=lambda r: r.start)
+    assert own[0].doc_tokens == sum(r.length for r in own) > 400_000 and [r.start for r in own] == [sum(x.length for x in own[:i]) for i in range(len(own))]

@@ -155,3 +155,9 @@ def test_decision_is_by_the_whole_sets(spark):
         want |= {2 * i} if exact(a, b) >= 0.8 else {2 * i, 2 * i + 1}
     kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert kept == want and len(texts) // 2 < len(want) < len(texts)
+
+
+def test_a_text_of_many_shingles():
+    draw = random.Random(21)
+    text = " ".join(f"w{draw.randrange(5000)}" for _ in range(70_000))
+    assert simhash.fingerprint(text) == by_hand(text)
