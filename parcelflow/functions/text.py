@@ -143,3 +143,27 @@ def instant(text: Column) -> Column:
     value = text.try_cast("double")
     of_number = F.when(F.abs(value) < 1e10, F.timestamp_millis((value * 1000).cast("long"))).otherwise(F.timestamp_millis(value.cast("long")))
     return F.when(text.rlike(r"^-?\d+(?:\.\d+)?$"), of_number).otherwise(F.try_to_timestamp(text))
+
+
+# ---- stored payloads: a field of a JSON object, null where it is missing, of another type or out of bounds
+
+COORDINATE_BOUNDS = {"latitude": 90, "longitude": 180}
+
+
+def _field(payload: Column, key: str) -> Column:
+    return F.try_variant_get(F.try_parse_json(payload), f"$.{key}", "variant")
+
+
+def payload_text(payload: Column, key: str) -> Column:
+    """A text field without white space around it; blank ones and other types are null."""
+    value = _field(payload, key)
+    own = strip(F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")))
+    return F.when(own != "", own)
+
+
+def payload_coordinate(payload: Column, key: str) -> Column:
+    """``latitude`` or ``longitude`` as a number, given as a number or as text (blank text reads as zero), within bounds."""
+    value = _field(payload, key)
+    kind, written = F.schema_of_variant(value), strip(F.try_variant_get(value, "$", "string"))
+    number_ = F.when((kind == "STRING") & (written == ""), 0.0).when(~kind.isin("BOOLEAN", "VOID"), written.try_cast("double"))
+    return F.when(number_.between(-COORDINATE_BOUNDS[key], COORDINATE_BOUNDS[key]), number_)

@@ -187,3 +187,25 @@ def accent_folding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letters whose decomposition both engines know."""
     own = binding.table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.when(F.col("c_custkey") % 3 == 0, "Café—Crème ").otherwise("Ünïtéd Ñame "), "c_name").alias("t"))
     return own.select("c_custkey", text.searchable(F.col("t")).alias("plain"))
+
+
+#: a payload; its name as text, its latitude
+PAYLOADS = [
+    ('{"name":" a b ","latitude":"53.5"}', "a b", 53.5), ('{"name":5,"latitude":-90}', None, -90.0), ('{"name":"  ","latitude":90.5}', None, None), ('{"latitude":" "}', None, 0.0), ("[1]", None, None),
+    ('{"name":null,"latitude":true}', None, None), ("no JSON", None, None), ('{"name":"x","latitude":"north"}', "x", None),
+]
+
+
+@query("payload_fields", f"""
+with r(i, name, latitude) as (values {', '.join(f"({i}, {'null' if r[1] is None else repr(r[1])}, {'null' if r[2] is None else r[2]}::double)" for i, r in enumerate(PAYLOADS))})
+select p_partkey, name, latitude from part join r on i = p_partkey % {len(PAYLOADS)}""")
+def payload_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _literal(spark, sf_dir, [(r[0],) for r in PAYLOADS], "payload string")
+    return own.select("p_partkey", text.payload_text(F.col("payload"), "name").alias("name"), text.payload_coordinate(F.col("payload"), "latitude").alias("latitude"))
+
+
+@query("failure_text", "select p_partkey, left(p_name || ' ' || repeat('ab', p_size * 20), 1000) as message from part")
+def failure_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages on one line, of a thousand characters at most."""
+    message = F.concat("p_name", F.lit("\r\n\t"), F.repeat(F.lit("ab"), F.col("p_size") * 20))
+    return binding.table(spark, sf_dir, "part").select("p_partkey", text.failure_message(message).alias("message"))
