@@ -21,7 +21,7 @@ def op2_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.remove_repeats(common.documents(spark, sf_dir).select("doc_id", "text"))
+    return suffixes.remove_repeats(common.documents(spark, sf_dir).select("doc_id", "text"), passages=suffixes.PASSAGE_WORDS)
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:

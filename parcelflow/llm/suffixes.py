@@ -18,8 +18,8 @@ successors come; no ranks are renamed and nothing recurses.
    do not repeat are free, and those whose covering blocks repeat are not; for the others, where a string's ends cut
    a block, an exact comparison of the strings' bytes (by 64-bit hashes of each) follows.
 
-With ``words``, strings of so many words are removed as well, whatever their bytes: each word stands for the eight bytes
-of its hash, and the same search goes over these. The byte search then only follows strings of fewer words.
+With ``words``, strings of so many words are removed as well, whatever their bytes: the same search goes over symbols of
+``WORD`` bytes, the words' hashes, in place of symbols of one byte. The byte search then only follows strings of fewer words.
 
 A k-gram with more than ``GROUP_RUNS`` differing runs is dealt again by halves: the starts of a half share more
 bytes, which join the key, until groups are small or a run is a single start.
@@ -40,13 +40,16 @@ from pyspark.sql import functions as F
 from . import common
 
 LENGTH = 400
+#: Words of a passage that counts as repeated beside the bytes that are removed.
+PASSAGE_WORDS = 51
 KGRAM = 160
-BLOCK = 16
+#: Blocks in a string of the length that is sought.
+BLOCKS = 12
 #: Differing runs of one key that one task sorts together.
 GROUP_RUNS = 4_000
 #: Blocks in one suffix array, unless one key has more.
 BATCH_BLOCKS = 150_000
-#: Bytes of a text that are hashed at a time (texts may be longer).
+#: Symbols of a text that are hashed at a time (texts may be longer).
 SEGMENT = 4 << 20
 #: Bytes that stand for a word.
 WORD = 8
@@ -165,12 +168,13 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Hashes:
-    """64-bit hashes of any substrings of some bytes, equal for equal substrings."""
+    """64-bit hashes of any substrings of some bytes, taken as symbols of ``unit`` bytes; equal for equal substrings."""
 
-    def __init__(self, raw: np.ndarray):
-        up, self.down = _powers(len(raw) + 1)
-        self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTE[raw] * up[: len(raw)], out=self.sums[1:])
+    def __init__(self, raw: bytes, unit: int = 1):
+        values = _BYTE[np.frombuffer(raw, np.uint8)] if unit == 1 else _mixed(np.frombuffer(raw, "<u8"))
+        up, self.down = _powers(len(values) + 1)
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * up[: len(values)], out=self.sums[1:])
 
     def at(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mixed((self.sums[end] - self.sums[start]) * self.down[start])
@@ -201,15 +205,10 @@ def word_bytes(text: str | None) -> bytes:
 
 
 def word_ranges(raw: bytes, spans: list[tuple[int, int]], words: int) -> list[tuple[int, int]]:
-    """The bytes (from, to) of ``raw`` under strings of ``words`` words that start at any of the spans' places (s, n) in
-    the words' bytes; places inside a word are none."""
+    """The bytes (from, to) of ``raw`` under the strings of ``words`` words of each span: those that start at its first
+    word and the n - 1 that follow."""
     at = [m.span() for m in _WORDS.finditer(raw)]
-    out = []
-    for s, n in spans:
-        first, last = -(-s // WORD), (s + n - 1) // WORD
-        if first <= last:
-            out.append((at[first][0], at[last + words - 1][1]))
-    return out
+    return [(at[s][0], at[s + n + words - 2][1]) for s, n in spans]
 
 
 def few_words(raw: np.ndarray, length: int, words: int) -> np.ndarray:
@@ -236,16 +235,16 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(after[: m - width + 1], before[width - 1 : m])
 
 
-def runs_of(texts: list[bytes], length: int = LENGTH, kgram: int = KGRAM, fewer: int = 0) -> tuple[np.ndarray, ...]:
+def runs_of(texts: list[bytes], length: int = LENGTH, kgram: int = KGRAM, fewer: int = 0, unit: int = 1) -> tuple[np.ndarray, ...]:
     """(text, first start, starts, anchor's distance, key, hash of the run's bytes) of every run in some texts; with
     ``fewer``, of those runs only where a string has fewer words."""
     width = length - kgram + 1
-    raw = np.frombuffer(b"".join(texts), np.uint8)
-    sizes = np.array([len(t) for t in texts], np.int64)
+    raw = b"".join(texts)
+    sizes = np.array([len(t) // unit for t in texts], np.int64)
     begins = np.cumsum(sizes) - sizes
-    if len(raw) < length:
+    if len(raw) < length * unit:
         return tuple(np.empty(0, np.int64) for _ in range(6))
-    hashes = Hashes(raw)
+    hashes = Hashes(raw, unit)
     gram = hashes.every(kgram)
     at = np.arange(len(gram), dtype=np.uint64)
     least = _sliding_least((gram & ~_LOW) | (_LOW - at), width)  # the last of equals, as positions count down
@@ -257,7 +256,7 @@ def runs_of(texts: list[bytes], length: int = LENGTH, kgram: int = KGRAM, fewer:
     end = np.concatenate([cut, [len(least)]])
     kept = owner[first] >= 0
     if fewer:
-        kept &= np.logical_or.reduceat(few_words(raw, length, fewer), first)
+        kept &= np.logical_or.reduceat(few_words(np.frombuffer(raw, np.uint8), length, fewer), first)
     first, end = first[kept], end[kept]
     anchor = (_LOW - (least[first] & _LOW)).astype(np.int64)
     number = (end - first).astype(np.uint64)
@@ -269,8 +268,8 @@ def runs_of(texts: list[bytes], length: int = LENGTH, kgram: int = KGRAM, fewer:
 _RUN = "uid long, s long, n int, off int, key long, whole long"
 
 
-def runs(keyed: DataFrame, length: int = LENGTH, kgram: int = KGRAM, encode: Callable[[str | None], bytes] = plain_bytes, fewer: int = 0) -> DataFrame:
-    """Every run of the texts of ``keyed`` (uid, text), where they lie: a row for about (length - kgram) / 2 bytes."""
+def runs(keyed: DataFrame, length: int = LENGTH, kgram: int = KGRAM, encode: Callable[[str | None], bytes] = plain_bytes, fewer: int = 0, unit: int = 1) -> DataFrame:
+    """Every run of the texts of ``keyed`` (uid, text), where they lie: a row for about (length - kgram) / 2 symbols."""
     common.small_batches(keyed.sparkSession)
     names = [f.split()[0] for f in _RUN.split(", ")]
 
@@ -281,14 +280,14 @@ def runs(keyed: DataFrame, length: int = LENGTH, kgram: int = KGRAM, encode: Cal
         held = 0
 
         def emit() -> pa.RecordBatch:
-            text, s, n, off, key, whole = runs_of(texts, length, kgram, fewer)
+            text, s, n, off, key, whole = runs_of(texts, length, kgram, fewer, unit)
             return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[text]), pa.array(s + np.array(froms, np.int64)[text]), pa.array(n.astype(np.int32)), pa.array(off.astype(np.int32)), pa.array(key), pa.array(whole)], names)
 
         for b in common.batches(stream):
             for uid, text in zip(b["uid"], b["text"]):
                 raw = encode(text)
-                for at in range(0, len(raw) - length + 1, SEGMENT):
-                    part = raw[at : at + SEGMENT + length - 1]
+                for at in range(0, len(raw) // unit - length + 1, SEGMENT):
+                    part = raw[at * unit : (at + SEGMENT + length - 1) * unit]
                     ids.append(uid)
                     froms.append(at)
                     texts.append(part)
@@ -305,32 +304,35 @@ def runs(keyed: DataFrame, length: int = LENGTH, kgram: int = KGRAM, encode: Cal
 # ------------------------------------------------------------ differing runs
 
 
-def repeated_starts(key: np.ndarray, n: np.ndarray, off: np.ndarray, blobs: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
+def block_symbols(length: int) -> int:
+    return max(1, length // BLOCKS)
+
+
+def repeated_starts(key: np.ndarray, n: np.ndarray, off: np.ndarray, blobs: list[bytes], length: int = LENGTH, unit: int = 1) -> list[np.ndarray]:
     """For each run (its bytes, the number of its starts and its anchor's distance) which of its starts begin a string
     that also begins at another start of these runs."""
-    rows = len(blobs)
-    raw = np.frombuffer(b"".join(blobs), np.uint8)
-    sizes = np.array([len(b) for b in blobs], np.int64)
+    rows, block = len(blobs), block_symbols(length)
+    sizes = np.array([len(b) // unit for b in blobs], np.int64)
     begins = np.cumsum(sizes) - sizes
-    hashes = Hashes(raw)
-    grid = off.astype(np.int64) % BLOCK
-    blocks = (sizes - grid) // BLOCK
+    hashes = Hashes(b"".join(blobs), unit)
+    grid = off.astype(np.int64) % block
+    blocks = (sizes - grid) // block
     base = np.cumsum(blocks + 1) - blocks - 1  # each run's blocks, then a symbol of its own
     row = np.repeat(np.arange(rows), blocks)
     place = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    at = begins[row] + grid[row] + BLOCK * place
+    at = begins[row] + grid[row] + block * place
     text = np.empty(int((blocks + 1).sum()), np.int64)
     text[base + blocks] = np.arange(rows)
-    text[base[row] + place] = rows + np.unique(hashes.at(at, at + BLOCK), return_inverse=True)[1]
+    text[base[row] + place] = rows + np.unique(hashes.at(at, at + block), return_inverse=True)[1]
     order = np.array(suffix_array(text.tolist()), np.int64)
-    repeat = neighbour_repeats(text, order, length // BLOCK + 2)
+    repeat = neighbour_repeats(text, order, length // block + 2)
 
     starts = n.astype(np.int64)
     r = np.repeat(np.arange(rows), starts)
     p = np.arange(len(r)) - np.repeat(np.cumsum(starts) - starts, starts)
     rel = p - grid[r]
-    inner_from, inner_to = -(-rel // BLOCK), (rel + length) // BLOCK
-    cover_from, cover_to = rel // BLOCK, -(-(rel + length) // BLOCK)
+    inner_from, inner_to = -(-rel // block), (rel + length) // block
+    cover_from, cover_to = rel // block, -(-(rel + length) // block)
     may = repeat[base[r] + inner_from] >= inner_to - inner_from
     inside = (cover_from >= 0) & (cover_to <= blocks[r])
     sure = inside & (repeat[base[r] + np.where(inside, cover_from, 0)] >= cover_to - cover_from)
@@ -345,7 +347,7 @@ def repeated_starts(key: np.ndarray, n: np.ndarray, off: np.ndarray, blobs: list
 _OPEN = "key long, uid long, s long, n int, off int, low int, high int, known boolean, bytes binary"
 
 
-def _fetch(keyed: DataFrame, wanted: DataFrame, length: int, kgram: int, encode: Callable[[str | None], bytes] = plain_bytes) -> DataFrame:
+def _fetch(keyed: DataFrame, wanted: DataFrame, length: int, kgram: int, encode: Callable[[str | None], bytes] = plain_bytes, unit: int = 1) -> DataFrame:
     """The bytes of runs (key, uid, s, n, off, known), out of the texts of ``keyed``."""
     per_text = wanted.groupBy("uid").agg(F.collect_list(F.struct("key", "s", "n", "off", "known")).alias("runs"))
     joined = keyed.select("uid", "text").join(per_text, "uid")
@@ -355,7 +357,7 @@ def _fetch(keyed: DataFrame, wanted: DataFrame, length: int, kgram: int, encode:
         for b in common.batches(stream):
             for uid, text, own in zip(b["uid"], b["text"], b["runs"]):
                 raw = encode(text)
-                rows = [(r["key"], uid, r["s"], r["n"], r["off"], 0, length - kgram, r["known"], raw[r["s"] : r["s"] + r["n"] + length - 1]) for r in own]
+                rows = [(r["key"], uid, r["s"], r["n"], r["off"], 0, length - kgram, r["known"], raw[r["s"] * unit : (r["s"] + r["n"] + length - 1) * unit]) for r in own]
                 yield _open_batch(rows, names)
 
     return joined.mapInArrow(one, _OPEN)
@@ -367,7 +369,7 @@ def _open_batch(rows: list[tuple], names: list[str] | None = None) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names or [f.split()[0] for f in _OPEN.split(", ")])
 
 
-def _halved(open_runs: DataFrame, length: int) -> DataFrame:
+def _halved(open_runs: DataFrame, length: int, unit: int) -> DataFrame:
     """Each run in two: starts in the nearer and in the farther half of their distances to the anchor. The bytes that
     all strings of a half share join its key."""
 
@@ -381,20 +383,20 @@ def _halved(open_runs: DataFrame, length: int) -> DataFrame:
                     if a > z:
                         continue
                     at = off - z  # the first start of the part
-                    shared = raw[off - lo : off - hi + length]
+                    shared = raw[(off - lo) * unit : (off - hi + length) * unit]
                     own = int.from_bytes(hashlib.blake2b(shared, digest_size=8, key=f"{key}:{lo}:{hi}".encode()).digest(), "little", signed=True)
-                    rows.append((own, uid, s + at, z - a + 1, z, lo, hi, known, raw[at : at + z - a + length]))
+                    rows.append((own, uid, s + at, z - a + 1, z, lo, hi, known, raw[at * unit : (at + z - a + length) * unit]))
             yield _open_batch(rows)
 
     return open_runs.mapInArrow(one, _OPEN)
 
 
-def _sorted_out(open_runs: DataFrame, length: int) -> DataFrame:
+def _sorted_out(open_runs: DataFrame, length: int, unit: int) -> DataFrame:
     """(uid, s, n): the repeated starts among differing runs, by one suffix array for many keys."""
     spark = open_runs.sparkSession
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        found = repeated_starts(np.array([r[0] for r in rows]), np.array([r[3] for r in rows]), np.array([r[4] for r in rows]), [r[8] for r in rows], length)
+        found = repeated_starts(np.array([r[0] for r in rows]), np.array([r[3] for r in rows]), np.array([r[4] for r in rows]), [r[8] for r in rows], length, unit)
         out = []
         for r, hit in zip(rows, found):
             if not r[7] and hit.any():
@@ -412,7 +414,7 @@ def _sorted_out(open_runs: DataFrame, length: int) -> DataFrame:
                     yield solve(rows)
                     rows, size = [], 0
                 rows.append(r)
-                size += len(r[8]) // BLOCK + 1
+                size += len(r[8]) // (unit * block_symbols(length)) + 1
         if rows:
             yield solve(rows)
 
@@ -420,12 +422,12 @@ def _sorted_out(open_runs: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(scan, "uid long, s long, n int")
 
 
-def repeats(keyed: DataFrame, length: int = LENGTH, kgram: int | None = None, group_runs: int = GROUP_RUNS, encode: Callable[[str | None], bytes] = plain_bytes, fewer: int = 0) -> DataFrame:
-    """(uid, s, n): n neighbouring starts, from byte s on, of strings of ``length`` bytes that also start elsewhere in
-    the texts of ``keyed`` (uid, text), as ``encode`` makes bytes of them. Spans may overlap or repeat. With ``fewer``,
+def repeats(keyed: DataFrame, length: int = LENGTH, kgram: int | None = None, group_runs: int = GROUP_RUNS, encode: Callable[[str | None], bytes] = plain_bytes, fewer: int = 0, unit: int = 1) -> DataFrame:
+    """(uid, s, n): n neighbouring starts, from symbol s on, of strings of ``length`` symbols that also start elsewhere in
+    the texts of ``keyed`` (uid, text), as ``encode`` makes symbols of ``unit`` bytes of them. Spans may overlap or repeat. With ``fewer``,
     strings of as many words or more may be missing."""
     kgram = kgram or max(1, length * KGRAM // LENGTH)
-    found = common.stored(runs(keyed, length, kgram, encode, fewer), "runs")
+    found = common.stored(runs(keyed, length, kgram, encode, fewer, unit), "runs")
     # stored, so that both sides of the join are plain exchanges and a hot key's rows can be split among tasks
     twice = common.stored(found.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key"), "twice")
     shared = common.checkpointed(found.join(twice, "key"))
@@ -435,14 +437,14 @@ def repeats(keyed: DataFrame, length: int = LENGTH, kgram: int | None = None, gr
     wanted = common.checkpointed(counts.join(per_key.select("key", "differing"), "key").select("key", "first.*", (F.col("c") > 1).alias("known"), "differing"))
     if wanted.isEmpty():
         return spans[0]
-    bytes_of = common.stored(_fetch(keyed, wanted, length, kgram, encode), "open")
+    bytes_of = common.stored(_fetch(keyed, wanted, length, kgram, encode, unit), "open")
     large = wanted.filter(F.col("differing") > group_runs).select("key").distinct()
     if large.isEmpty():
-        return spans[0].unionByName(_sorted_out(bytes_of, length))
+        return spans[0].unionByName(_sorted_out(bytes_of, length, unit))
     ready = [bytes_of.join(large, "key", "left_anti")]
     rest = bytes_of.join(large, "key", "left_semi")
     while True:
-        part = _halved(rest, length).withColumn("whole", F.xxhash64("bytes"))
+        part = _halved(rest, length, unit).withColumn("whole", F.xxhash64("bytes"))
         part = common.stored(part, "halves")
         counts = part.groupBy("key", "whole").agg(F.count("*").alias("c"), F.min(F.struct("uid", "s", "n", "off", "low", "high", "known", "bytes")).alias("first"))
         counts = common.checkpointed(counts)
@@ -457,7 +459,7 @@ def repeats(keyed: DataFrame, length: int = LENGTH, kgram: int | None = None, gr
         if rest.isEmpty():
             break
     for r in ready:
-        spans.append(_sorted_out(r, length))
+        spans.append(_sorted_out(r, length, unit))
     out = spans[0]
     for more_spans in spans[1:]:
         out = out.unionByName(more_spans)
@@ -479,7 +481,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False, kgram: int | None = None, group_runs: int = GROUP_RUNS, words: int = 0) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False, kgram: int | None = None, group_runs: int = GROUP_RUNS, words: int = 0, passages: int = 0) -> DataFrame:
     """All columns of ``docs`` but for ``text``, and n_bytes, n_removed, n_spans, kept_sha256; ``with_text`` also keeps
     ``text``, what is left of it (characters that a cut breaks are left out of the text, not of the digest).
 
@@ -487,20 +489,26 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     documents of their own, so that each repeats the other. An empty table: no rows. Columns of these names are
     replaced. With ``words``, strings of so many words (between blanks of any kind) that stand elsewhere go too, from the
     first word's first byte to the last word's last; strings of ``length`` bytes go by their bytes if they hold fewer.
+    With ``passages`` nothing more goes, but n_passage_bytes says how many bytes such strings of so many words cover.
     """
+    if words and passages:
+        raise ValueError("strings of words are removed or counted, not both")
     common.small_batches(docs.sparkSession)
-    names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "uid", "spans", "word_spans")]
+    made = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["n_passage_bytes"] * bool(passages)
+    names = [c for c in docs.columns if c not in (*made, "uid", "spans", "word_spans")]
     docs = docs.select(names)
     keyed = docs.withColumn("uid", F.xxhash64("doc_id", "text"))
     found = repeats(keyed.select("uid", "text"), length, kgram, group_runs, fewer=words).withColumn("by_words", F.lit(False))
-    if words:
-        by_words = repeats(keyed.select("uid", "text"), WORD * words, None, group_runs, word_bytes)
+    in_words = words or passages
+    if in_words:
+        by_words = repeats(keyed.select("uid", "text"), in_words, None, group_runs, word_bytes, unit=WORD)
         found = found.unionByName(by_words.withColumn("by_words", F.lit(True)))
     own_spans = lambda which: F.collect_set(F.when(which, F.struct("s", "n")))
     per_text = found.groupBy("uid").agg(own_spans(~F.col("by_words")).alias("spans"), own_spans(F.col("by_words")).alias("word_spans"))
     joined = keyed.join(per_text, "uid", "left")
     kept = [f for f in docs.schema.fields if f.name != "text" or with_text]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.int64()] * bool(passages)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{n} {'string' if n == 'kept_sha256' else 'long'}" for n in made)])
 
     def cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -509,19 +517,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
             for text, spans, word_spans in zip(*(batch.column(where[c]).to_pylist() for c in ("text", "spans", "word_spans"))):
                 raw = (text or "").encode()
                 ranges = [(x["s"], x["s"] + x["n"] + length - 1) for x in spans or []]
-                if word_spans:
-                    ranges += word_ranges(raw, [(x["s"], x["n"]) for x in word_spans], words)
-                gone = merged(ranges)
+                by_words = word_ranges(raw, [(x["s"], x["n"]) for x in word_spans], in_words) if word_spans else []
+                gone = merged(ranges + by_words if words else ranges)
                 left, at = [], 0
                 for a, z in gone:
                     left.append(raw[at:a])
                     at = z
                 left = b"".join([*left, raw[at:]]) if gone else raw
-                rows.append((len(raw), len(raw) - len(left), len(gone), hashlib.sha256(left).hexdigest()))
+                counted = (sum(z - a for a, z in merged(by_words)),) * bool(passages)
+                rows.append((len(raw), len(raw) - len(left), len(gone), hashlib.sha256(left).hexdigest(), *counted))
                 if with_text:
                     texts.append(text if not gone else left.decode("utf-8", "ignore"))
             own = [pa.array(texts, pa.string()) if f.name == "text" else batch.column(where[f.name]) for f in kept]
-            more = [pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64(), pa.int64(), pa.int64(), pa.string()])] if rows else [pa.array([], k) for k in [pa.int64(), pa.int64(), pa.int64(), pa.string()]]
-            yield pa.RecordBatch.from_arrays(own + more, [f.name for f in kept] + ["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            more = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(own + more, [f.name for f in kept] + made)
 
     return joined.mapInArrow(cut, schema)

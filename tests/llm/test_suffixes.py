@@ -96,3 +96,31 @@ def test_words_against_brute_force(spark):
         gone = {j for s in range(len(own) - 8) if count[tuple(own[s : s + 9])] > 1 for j in range(s, s + 9)}
         assert got[i].split() == [w for j, w in enumerate(own) if j not in gone]
     assert max(count.values()) > 1
+
+
+def test_passages_are_counted_and_stay(spark):
+    draw = random.Random(14)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(draw.randint(2, 6)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passage, long_passage = prose(12), prose(40)
+    texts = [f"{prose(20)} {passage} {prose(9)}", f"{passage}\n{prose(5)}", prose(60), None, "", f"{long_passage} {prose(3)} {passage[:30]}", f"{prose(2)} {long_passage}"]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_passage_bytes int")
+    got = {r.doc_id: r for r in suffixes.remove_repeats(docs, length=100, passages=12).collect()}
+    plain = {r.doc_id: r for r in suffixes.remove_repeats(docs, length=100).collect()}
+    whole = [t or "" for t in texts]
+    assert [got[i].n_passage_bytes for i in range(7)] == [len(passage), len(passage), 0, 0, 0, len(long_passage), len(long_passage)]
+    for i, t in enumerate(whole):
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (plain[i].n_bytes, plain[i].n_removed, plain[i].n_spans, plain[i].kept_sha256)
+        assert got[i].n_bytes == len(t.encode())
+    assert got[0].n_removed == 0 < got[5].n_removed
+
+
+def test_a_text_beyond_one_segment(spark):
+    draw = random.Random(15)
+    hexes = lambda n: draw.randbytes(n // 2).hex()
+    passage = hexes(1000)
+    long = hexes(suffixes.SEGMENT - 500) + passage + hexes(3000)  # over the border of two segments
+    docs = spark.createDataFrame([(1, long), (2, hexes(700) + passage), (3, hexes(900))], "doc_id long, text string")
+    got = {r.doc_id: r for r in suffixes.remove_repeats(docs, with_text=True).collect()}
+    assert got[1].text == long.replace(passage, "") and (got[1].n_removed, got[1].n_spans) == (1000, 1)
+    assert got[2].n_removed == 1000 and got[3].n_removed == 0
