@@ -2,12 +2,16 @@
 
 A text is escaped (blanks become the word mark, one mark is put before it) and cut into words: a run of marks and
 what follows it, however long. Words are cut once more between characters that no piece has next to
-one another, which no path can bridge: what is left, the *parts*, are far fewer. The parts of each block of the input
-are made distinct, their substrings of bounded length exploded and equi-joined to the piece table; the edges that match
-are grouped by part, and a higher-order ``aggregate`` folds them to the path of greatest total score (Viterbi).
-Characters without a piece become their bytes' pieces. The few parts of more than ``PART_CHARS`` characters are folded by
-the same rule where the texts are laid out, with the last positions as state. The parts' ids, a table in the shared folder with a folder for
-each block, are then laid out along the texts of the block; decoding joins pieces' strings back and undoes the escape.
+one another, which no path can bridge: what is left are the *parts*.
+
+1. Texts belong to *blocks*, so many rows of a file, which are the same whichever way files are split and however often
+   they are scanned. Where the texts lie, each block's distinct parts are written down.
+2. The parts of all blocks are made distinct. Their substrings of bounded length are exploded and equi-joined to the piece
+   table; the edges that match are grouped by part, and a higher-order ``aggregate`` folds them to the path of greatest
+   total score (Viterbi). Characters without a piece become their bytes' pieces. The few parts of more than ``PART_CHARS``
+   characters are folded by the same rule where the texts lie, with the last positions as state.
+3. A join takes the paths back to the blocks, in the shared folder. Where the texts lie, a block's paths are laid out along
+   its texts. Decoding joins the pieces' strings and undoes the escape.
 
 The vocabulary file at hand is a BPE model, whose merges may cut a word otherwise than the path of greatest score
 over the same pieces; the tests hold results against a brute-force search of that path, and against the exact text.
@@ -18,10 +22,12 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +37,12 @@ from . import common
 MARK = "▁"
 #: Longer parts are not exploded; their path is found one character after another.
 PART_CHARS = 64
-#: Parts of a block that are grouped together.
-BUCKET_PARTS = 20_000
+#: Rows of a file that make a block.
+BLOCK_ROWS = 1 << 14
+#: Words that a task holds at a time, and that are cut at a time.
+HELD_WORDS, CUT_WORDS = 300_000, 30_000
+#: Rows (block, part) that one task joins; their distinct parts, fewer, are those whose edges it groups.
+TASK_ROWS = 160_000
 #: A byte's piece scores less than any other by this.
 BYTE_PENALTY = 10.0
 
@@ -44,41 +54,63 @@ def words(text: str | None) -> list[str]:
     return _WORDS.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
+def bare_words(text: str | None) -> list[str]:
+    """The words without the one mark that each begins with."""
+    if not text:
+        return []
+    if text[0] != " " and "  " not in text and MARK not in text:
+        return text.split(" ")  # single blanks are just the marks between words
+    return [w[1:] for w in words(text)]
+
+
+def _ordinary(own) -> Iterator[int]:
+    return (i for i in range(own.get_piece_size()) if not (own.is_control(i) or own.is_unknown(i) or own.is_byte(i) or own.is_unused(i)))
+
+
 class Cutter:
-    """Cuts words between neighbours that stand in no piece."""
+    """Cuts words between neighbours that stand in no piece, and finds the path through long parts."""
 
     def __init__(self, model: str):
         own = _model(model)
         strings = (own.id_to_piece(i) for i in range(own.get_piece_size()) if not (own.is_control(i) or own.is_unknown(i) or own.is_byte(i)))
-        self.pairs = {p[i : i + 2] for p in strings for i in range(len(p) - 1)}
-        ordinary = (i for i in range(own.get_piece_size()) if not (own.is_control(i) or own.is_unknown(i) or own.is_byte(i) or own.is_unused(i)))
-        self.table = {own.id_to_piece(i): (round(float(own.get_score(i)), 6), i) for i in ordinary}
+        self.pairs = np.array(sorted({ord(p[i]) << 21 | ord(p[i + 1]) for p in strings for i in range(len(p) - 1)}), np.int64)
+        self.table = {own.id_to_piece(i): (round(float(own.get_score(i)), 6), i) for i in _ordinary(own)}
         self.longest = max(map(len, self.table))
         self.byte_score = min(float(own.get_score(i)) for _, i in self.table.values()) - BYTE_PENALTY
         self.byte_ids = byte_ids(model)
 
-    def parts(self, word: str) -> list[str]:
-        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.pairs]
-        return [word[a:z] for a, z in zip([0, *cuts], [*cuts, len(word)])] if cuts else [word]
+    def parts(self, words_: list[str]) -> tuple[list[str], np.ndarray]:
+        """The parts of some words that are not empty, one after another, and how many each word has."""
+        text = "".join(words_)
+        chars = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+        ends = np.cumsum(np.fromiter(map(len, words_), np.int64, len(words_)))
+        pair = chars[:-1] << 21 | chars[1:]
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        cut = self.pairs[at] != pair
+        cut[ends[:-1] - 1] = True
+        stops = np.append(np.flatnonzero(cut) + 1, len(text))
+        counts = np.diff(np.searchsorted(stops, ends, side="right"), prepend=0)
+        stops = stops.tolist()
+        return [text[a:z] for a, z in zip([0, *stops], stops)], counts
 
     def path(self, part: str) -> bytes:
-        """The ids (little-endian, 32 bits) of the path of ``viterbi`` through a part of any length."""
-        best, back = [0.0], [(0, 0)]
+        """The ids (little-endian, 32 bits) of the path of ``viterbi`` through a part of any length: scores of the last
+        positions, and for each position the last piece's length and id."""
+        best, size, piece_id = [0.0] * (self.longest + 1), array("h", [0]), array("i", [0])
         for z in range(1, len(part) + 1):
-            found = []
+            found = (-np.inf, 0, 0)
             for a in range(max(0, z - self.longest), z):
                 if piece := self.table.get(part[a:z]):
-                    found.append((best[a] + piece[0], a, piece[1]))
+                    found = max(found, (best[a % (self.longest + 1)] + piece[0], a, piece[1]))
             if part[z - 1] not in self.table:
-                found.append((best[z - 1] + self.byte_score * len(part[z - 1].encode()), z - 1, -1))
-            score, a, i = max(found)
-            best.append(score)
-            back.append((a, i))
-        ids: list[int] = []
-        z = len(part)
+                found = max(found, (best[(z - 1) % (self.longest + 1)] + self.byte_score * len(part[z - 1].encode()), z - 1, -1))
+            best[z % (self.longest + 1)] = found[0]
+            size.append(z - found[1])
+            piece_id.append(found[2])
+        ids, z = array("i"), len(part)
         while z:
-            a, i = back[z]
-            ids += [i] if i >= 0 else [self.byte_ids[b] for b in reversed(part[a:z].encode())]
+            a, i = z - size[z], piece_id[z]
+            ids.extend([i] if i >= 0 else [self.byte_ids[b] for b in reversed(part[a:z].encode())])
             z = a
         return np.array(ids[::-1], "<u4").tobytes()
 
@@ -107,8 +139,7 @@ def _model(path: str):
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
     """(piece, id, score) of the model's ordinary pieces: as many rows as the vocabulary has, whatever the input."""
     own = _model(path)
-    rows = [(own.id_to_piece(i), i, float(own.get_score(i))) for i in range(own.get_piece_size()) if not (own.is_control(i) or own.is_unknown(i) or own.is_byte(i) or own.is_unused(i))]
-    return spark.createDataFrame(rows, "piece string, id int, score double")
+    return spark.createDataFrame([(own.id_to_piece(i), i, float(own.get_score(i))) for i in _ordinary(own)], "piece string, id int, score double")
 
 
 def byte_ids(path: str) -> list[int]:
@@ -118,22 +149,25 @@ def byte_ids(path: str) -> list[int]:
     return [found[b] for b in range(256)]
 
 
-def viterbi(words_table: DataFrame, pieces: DataFrame, bytes_: list[int], scores: list[float], by: list[str], longest: int, lowest: float) -> DataFrame:
-    """(by..., word, ids): the path of greatest score through each word; among equals the one whose last piece is the
-    shortest, then the one before it, and so on.
+# ------------------------------------------------------------------- lattice
+
+
+def viterbi(words_table: DataFrame, pieces: DataFrame, bytes_: list[int], scores: list[float], longest: int, lowest: float) -> DataFrame:
+    """(word, ids): the path of greatest score through each word of a table of distinct ones; among equals the one whose
+    last piece is the shortest, then the one before it, and so on.
 
-    ``by`` and word must be distinct. Substrings are exploded in the partition that holds the word and joined to the
-    piece table there (it is broadcast: its size is the vocabulary's); grouping by word needs no second shuffle. An edge
-    is one number, end (from bit 48), start (from bit 40) and identifier + 1 (0: the character's bytes), so that groups
-    stay small; ``scores`` is by identifier.
+    Substrings are exploded in the partition that holds the word and joined to the piece table there (it is broadcast:
+    its size is the vocabulary's); grouping by word needs no second shuffle. An edge is one number, end (from bit 48),
+    start (from bit 40) and identifier + 1 (0: the character's bytes), so that groups stay small; ``scores`` is by
+    identifier.
     """
     size = F.length("word")
-    start = words_table.select(*by, "word", F.explode(F.sequence(F.lit(0), size - 1)).alias("a"))
-    cut = start.select(*by, "word", "a", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("a")))).alias("n"))
-    parts = cut.select(*by, "word", "a", "n", F.expr("substring(word, a + 1, n)").alias("piece"))
+    start = words_table.select("word", F.explode(F.sequence(F.lit(0), size - 1)).alias("a"))
+    cut = start.select("word", "a", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("a")))).alias("n"))
+    parts = cut.select("word", "a", "n", F.expr("substring(word, a + 1, n)").alias("piece"))
     joined = parts.join(F.broadcast(pieces.select("piece", "id")), "piece", "left").filter("id is not null or n = 1")
-    edge = joined.select(*by, "word", F.expr("shiftleft(cast(a + n as bigint), 48) | shiftleft(cast(a as bigint), 40) | coalesce(id + 1, 0)").alias("edge"))
-    grouped = edge.groupBy(*by, "word").agg(F.collect_list("edge").alias("edges"))
+    edge = joined.select("word", F.expr("shiftleft(cast(a + n as bigint), 48) | shiftleft(cast(a as bigint), 40) | coalesce(id + 1, 0)").alias("edge"))
+    grouped = edge.groupBy("word").agg(F.collect_list("edge").alias("edges"))
     json = lambda values, kind: f"from_json('{[round(v, 6) for v in values]}', 'array<{kind}>')"  # noqa: E731 (folded to one constant)
     fold = f"""
       aggregate(sequence(1, length(word)), array(struct(cast(0 as double) as score, cast(array() as array<int>) as ids)),
@@ -144,88 +178,137 @@ def viterbi(words_table: DataFrame, pieces: DataFrame, bytes_: list[int], scores
           w -> struct(w.score as score, concat(best[w.a].ids, case when w.id >= 0 then array(w.id) else
             transform(sequence(1, octet_length(substring(word, z, 1))), i -> element_at({json(bytes_, "int")}, cast(conv(substring(hex(encode(substring(word, z, 1), 'utf-8')), 2 * i - 1, 2), 16, 10) as int) + 1)) end) as ids))),
         best -> element_at(best, -1).ids)"""
-    return grouped.select(*by, "word", F.expr(fold).alias("ids"))
+    return grouped.select("word", F.expr(fold).alias("ids"))
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    """The rows with ``block``, the split of a file that they lie in: the same whenever the table is scanned."""
-    place = F.concat_ws(":", F.col("_metadata.file_path"), F.col("_metadata.file_block_start").cast("string"))
-    return docs.select(F.xxhash64(place).alias("block"), "*")
+def paths(distinct: DataFrame, model: str, tasks: int) -> DataFrame:
+    """(word, ids) of distinct parts."""
+    own, pieces = _model(model), piece_table(distinct.sparkSession, model)
+    limits = pieces.agg(F.max(F.length("piece")).alias("longest"), F.min("score").alias("lowest")).first()
+    scores = [float(own.get_score(i)) for i in range(own.get_piece_size())]
+    return viterbi(distinct.repartition(tasks, "word"), pieces, byte_ids(model), scores, limits.longest, limits.lowest)
 
 
-def encode(docs: DataFrame, model: str, from_files: bool = False) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32 (of little-endian unsigned 32-bit ids), decoded_sha256, round_trip and ids of every
-    whole text. Null and empty texts have no pieces. Rows that repeat are documents of their own; other columns are
-    ignored. A text that holds the word mark itself decodes with blanks there, as the format has it, and
-    ``round_trip`` says so. ``from_files``: ``docs`` is a plain scan of files; other frames are written to the shared folder first.
-    """
-    spark = docs.sparkSession
-    common.small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) if not from_files else docs
-    if not from_files:
-        docs = common.stored(docs, "texts")
-    blocked = _blocks(docs).select("block", F.col("doc_id").cast("long").alias("doc_id"), "text")
+# -------------------------------------------------------------------- blocks
+
+
+def _blocks(docs: DataFrame, rows: int) -> DataFrame:
+    """(block, doc_id, text) of a scan of Parquet files."""
+    place = F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / rows))
+    return docs.select(place.alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _parts_of(blocked: DataFrame, model: str) -> DataFrame:
+    """(block, word): the parts of each block that are not too long to explode, each once or a few times."""
 
     def distinct(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, set[str]] = {}
+        own, seen, at = cutter(model), set(), None
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            words_, found = list(seen), set()
+            seen.clear()
+            for i in range(0, len(words_), CUT_WORDS):
+                found.update(own.parts([MARK + w for w in words_[i : i + CUT_WORDS]])[0])
+            found = sorted(p for p in found if len(p) <= PART_CHARS)
+            for i in range(0, len(found), 1 << 15):
+                part = found[i : i + (1 << 15)]
+                yield pa.RecordBatch.from_arrays([pa.array([at] * len(part), pa.int64()), pa.array(part, pa.string())], ["block", "word"])
+
         for b in common.batches(stream):
             for block, text in zip(b["block"], b["text"]):
-                seen.setdefault(block, set()).update(words(text))
-        own = cutter(model)
-        while seen:  # a block lies in one task
-            block, found = seen.popitem()
-            rows = sorted({p for w in found for p in own.parts(w) if len(p) <= PART_CHARS})
-            del found
-            for i in range(0, len(rows), BUCKET_PARTS):
-                part = rows[i : i + BUCKET_PARTS]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array([i // BUCKET_PARTS] * len(part), pa.int32()), pa.array(part, pa.string())], ["block", "bucket", "word"])
-
-    # groups of one task are few and small, so that they may stay in its hash table; beyond this Spark sorts and spills
-    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(4 * BUCKET_PARTS))
-    pieces = piece_table(spark, model)
-    own = _model(model)
-    scores = [float(own.get_score(i)) for i in range(own.get_piece_size())]
-    limits = pieces.agg(F.max(F.length("piece")).alias("longest"), F.min("score").alias("lowest")).first()
-    found = blocked.select("block", "text").mapInArrow(distinct, "block long, bucket int, word string").repartition(4 * common.partitions(spark), "block", "bucket")
-    path = common.shared_path(spark, "words")
-    viterbi(found, pieces, byte_ids(model), scores, ["block", "bucket"], limits.longest, limits.lowest).select("block", "word", "ids").write.partitionBy("block").option("compression", "zstd").parquet(path)
-    names = ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "round_trip", "ids"]
+                if block != at or len(seen) > 2 * HELD_WORDS:
+                    yield from emit()
+                    at = block
+                seen.update(bare_words(text))
+        yield from emit()
+
+    return blocked.select("block", "text").mapInArrow(distinct, "block long, word string")
+
+
+class _Table:
+    """The paths of a block, and the ids of words that were asked for last."""
+
+    def __init__(self, own: Cutter, uri: str):
+        self.own, self.known, self.place, self.flat, self.ends = own, {}, {}, b"", []
+        fs, root = common.filesystem(uri)
+        if fs.get_file_info(root).type == common.pafs.FileType.NotFound:  # a block without words, or of long parts only
+            return
+        found = pq.read_table(root, filesystem=fs, columns=["word", "ids"], partitioning=None)
+        self.place = {w: i for i, w in enumerate(found.column("word").to_pylist())}
+        ids = found.column("ids").combine_chunks()
+        self.flat = ids.flatten().to_numpy().astype("<u4").tobytes()
+        self.ends = (4 * np.cumsum(np.asarray(pc.list_value_length(ids)))).tolist()
+        self.ends.append(0)  # before the first
+
+    def ids(self, part: str) -> bytes:
+        i = self.place.get(part)
+        return self.own.path(part) if i is None else self.flat[self.ends[i - 1] : self.ends[i]]
+
+    def learn(self, words_: set[str]) -> None:
+        """Afterwards ``known`` has the ids' bytes of these words."""
+        if len(self.known) + len(words_) > HELD_WORDS:
+            self.known = {}
+        new = [w for w in words_ if w not in self.known]
+        for i in range(0, len(new), CUT_WORDS):
+            some = new[i : i + CUT_WORDS]
+            parts, counts = self.own.parts([MARK + w for w in some])
+            found, z = list(map(self.ids, parts)), 0
+            for w, n in zip(some, counts.tolist()):
+                self.known[w] = found[z] if n == 1 else b"".join(found[z : z + n])
+                z += n
+
+
+def encode(docs: DataFrame, model: str, from_files: bool = False, with_ids: bool = True, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """doc_id, n_pieces, ids_crc32 (of little-endian unsigned 32-bit ids), decoded_sha256, round_trip and, ``with_ids``,
+    ids of every whole text. Null and empty texts have no pieces. Rows that repeat are documents of their own; other
+    columns are ignored, whatever their names. An empty table: no rows. A text that holds the word mark itself decodes
+    with blanks there, as the format has it, and ``round_trip`` says so. ``from_files``: ``docs`` is a plain scan of Parquet
+    files that stay as they are; other frames are written to the shared folder first.
+    """
+    spark = docs.sparkSession
+    common.small_batches(spark)
+    if not from_files:
+        docs = common.stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "texts")
+    blocked = _blocks(docs, block_rows)
+    parts = common.stored(_parts_of(blocked, model), "parts")
+    tasks = max(common.partitions(spark), -(-parts.count() // TASK_ROWS))
+    found = parts.repartition(tasks, "word").join(paths(parts.select("word").distinct(), model, tasks), "word").select("block", "word", "ids")
+    path = common.shared_path(spark, "paths")
+    # a task's groups are few and small, so that they may stay in its hash table; beyond this Spark sorts and spills
+    key = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(TASK_ROWS))
+    try:
+        found.repartition(common.partitions(spark), "block").sortWithinPartitions("block").write.partitionBy("block").option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    names = ["doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "round_trip"] + ["ids"] * with_ids
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()] + [pa.list_(pa.int32())] * with_ids
     spelled = spelling(model)
 
     def lay_out(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held, own = {}, None, cutter(model)
+        own, table, at = cutter(model), None, None
         for b in common.batches(stream):
-            rows = []
-            for block, doc_id, text in zip(b["block"], b["doc_id"], b["text"]):
-                own_words = words(text)
-                if block != held and own_words:
-                    table, held = _block_words(f"{path}/block={block}"), block
-                for w in own_words:
-                    if w not in table:
-                        table[w] = b"".join([table[p] if len(p) <= PART_CHARS else own.path(p) for p in own.parts(w)])
-                ids = np.frombuffer(b"".join([table[w] for w in own_words]), "<u4")
-                back = decode_ids(ids, spelled)
-                rows.append((doc_id, len(ids), zlib.crc32(ids.tobytes()), hashlib.sha256(back.encode()).hexdigest(), back == (text or ""), ids))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-
-    return blocked.mapInArrow(lay_out, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean, ids array<int>")
-
-
-def _block_words(uri: str) -> dict[str, bytes]:
-    fs, root = common.filesystem(uri)
-    found: dict[str, bytes] = {}
-    if fs.get_file_info(root).type == common.pafs.FileType.NotFound:  # a block of long parts only
-        return found
-    for info in fs.get_file_info(common.pafs.FileSelector(root)):
-        if info.path.endswith(".parquet"):
-            with fs.open_input_file(info.path) as file:
-                for batch in pq.ParquetFile(file).iter_batches(8192, columns=["word", "ids"]):
-                    lists = batch.column(1)
-                    flat = lists.flatten().to_numpy().astype("<u4").tobytes()
-                    ends = (np.asarray(lists.offsets) - lists.offsets[0].as_py()) * 4
-                    found.update(zip(batch.column(0).to_pylist(), [flat[a:z] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist())]))
-    return found
+            out, i = [], 0
+            while i < len(b["block"]):
+                if table is None or b["block"][i] != at:
+                    at = b["block"][i]
+                    table = _Table(own, f"{path}/block={at}")
+                end, asked, rows = i, set(), []
+                while end < len(b["block"]) and b["block"][end] == at and len(asked) < HELD_WORDS // 2:
+                    rows.append(bare_words(b["text"][end]))
+                    asked.update(rows[-1])
+                    end += 1
+                table.learn(asked)
+                for doc_id, text, found_words in zip(b["doc_id"][i:end], b["text"][i:end], rows):
+                    raw = b"".join(map(table.known.__getitem__, found_words))
+                    ids = np.frombuffer(raw, "<u4")
+                    back = decode_ids(ids, spelled)
+                    out.append((doc_id, len(ids), zlib.crc32(raw), hashlib.sha256(back).hexdigest(), back == (text or "").encode()) + (ids.astype(np.int32),) * with_ids)
+                i = end
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+    return blocked.mapInArrow(lay_out, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids)
 
 
 def spelling(model: str) -> list[bytes]:
@@ -234,6 +317,12 @@ def spelling(model: str) -> list[bytes]:
     return [bytes([int(own.id_to_piece(i)[3:5], 16)]) if own.is_byte(i) else b"" if own.is_control(i) or own.is_unknown(i) else own.id_to_piece(i).replace(MARK, " ").encode() for i in range(own.get_piece_size())]
 
 
-def decode_ids(ids: np.ndarray, spelled: list[bytes]) -> str:
-    """The text of some ids, without the mark that was put before it."""
-    return b"".join([spelled[i] for i in ids.tolist()]).decode("utf-8", "replace")[1:]
+def decode_ids(ids: np.ndarray, spelled: list[bytes]) -> bytes:
+    """The text of some ids in UTF-8, without the mark that was put before it; bytes that are none become U+FFFD."""
+    some = [b"".join(map(spelled.__getitem__, ids[i : i + (1 << 20)].tolist())) for i in range(0, len(ids), 1 << 20)]
+    raw = some[0][1:] if len(some) == 1 else b"".join(some)[1:]
+    try:
+        raw.decode()
+    except UnicodeDecodeError:
+        return raw.decode("utf-8", "replace").encode()
+    return raw

@@ -53,7 +53,7 @@ def op9_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(common.documents(spark, sf_dir), pieces.default_model(), from_files=True).drop("ids")
+    return pieces.encode(common.documents(spark, sf_dir), pieces.default_model(), from_files=True, with_ids=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -36,8 +36,41 @@ def test_paths_against_brute_force_and_round_trip(spark):
 
 def test_no_piece_spans_a_cut():
     cut = pieces.cutter(pieces.default_model())
-    for word in ("▁hello.", "▁x=%%%y", "日本", "a"):
-        assert "".join(cut.parts(word)) == word
+    own = pieces._model(pieces.default_model())
+    inside = {p[i : i + 2] for p in map(own.id_to_piece, range(own.get_piece_size())) for i in range(len(p) - 1)}
+    words = ["▁hello.", "▁x=%%%y", "日本", "a", "▁", "▁😀é"]
+    parts, counts = cut.parts(words)
+    assert "".join(parts) == "".join(words) and counts.sum() == len(parts)
+    for word, end in zip(words, counts.cumsum()):
+        own_parts = parts[end - counts[words.index(word)] : end]
+        assert "".join(own_parts) == word
+        assert own_parts == [p for i, p in enumerate(own_parts)] and all(a[-1] + b[0] not in inside for a, b in zip(own_parts, own_parts[1:]))
+
+
+def test_bare_words_are_the_words():
+    for text in ("", " ", "  ", "a b", " a", "a ", "a  b", "a▁b", "a \n b", "a  "):
+        assert [pieces.MARK + w for w in pieces.bare_words(text)] == pieces.words(text)
+
+
+def test_blocks_and_splits_of_any_size_give_the_same(spark, tmp_path):
+    draw = random.Random(3)
+    texts = [" ".join(draw.choice(["alpha", "beta,", "gamma\ndelta", "ε", "x" * 70]) for _ in range(draw.randint(0, 30))) for _ in range(600)] + [None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.option("parquet.block.size", 2048).parquet(str(tmp_path / "docs"))
+    model = pieces.default_model()
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    one = sorted(map(tuple, pieces.encode(docs, model, with_ids=False).collect()))
+    assert len(one) == len(texts) and all(r[4] for r in one)
+    small = pieces.encode(docs, model, from_files=True, with_ids=False, block_rows=37)
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "3000")  # the second scan is split otherwise than the first
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        assert sorted(map(tuple, small.collect())) == one
+        assert docs.rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.set(key, before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
 def test_empty_table(spark):
