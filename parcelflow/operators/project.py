@@ -62,7 +62,7 @@ def classify(assessed: DataFrame, config: ScoringConfig = DEFAULT, area: DataFra
     own = own.withColumn("confidence", F.when(c("commercial"), 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), F.aggregate("factors", F.lit(0), lambda total, f: total + f["points"])))))
     sentence = F.when(c("within_window"), F.concat(F.lit("Demolition preceded construction by "), c("demolition_to_construction_days"), F.lit(" days.")))
     label = text.label(c("category"))
-    return own.withColumn("explanation", F.concat_ws(" ", F.concat(label, F.lit(" with a confidence score of "), c("confidence"), F.lit("/100.")), F.concat_ws(" ", F.transform("factors", lambda f: f["message"])), sentence)).drop("any_commercial", *found)
+    return own.withColumn("explanation", F.concat_ws(" ", F.concat(label, F.lit(" with a confidence score of "), c("confidence"), F.lit("/100.")), F.nullif(F.concat_ws(" ", F.transform("factors", lambda f: f["message"])), F.lit("")), sentence)).drop("any_commercial", *found)
 
 
 def _padded(texts: Column) -> Column:
@@ -139,22 +139,22 @@ def audit(actions: DataFrame, projects: DataFrame) -> DataFrame:
     own = actions.select("project_id", "at", "seq", F.try_element_at(field, c("action")).alias("field"), F.when(c("action") == "NOT_RELEVANT", "NOT_RELEVANT").otherwise(c("value")).alias("after"))
     own = own.filter(c("field").isNotNull()).join(projects.select("project_id", "category", "stage"), "project_id", "left")
     first = F.when(c("field") == "category", c("category")).when(c("field") == "stage", c("stage"))
-    last = F.lag("after").over(Window.partitionBy("project_id", "field").orderBy("at", "seq"))
+    last = F.lag("after").over(Window.partitionBy("project_id", "field").orderBy("at", "seq", "after"))
     return own.withColumn("_last", last).select("project_id", "seq", "at", "field", F.coalesce("_last", first).alias("before"), "after")
 
 
 def reassign(events: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Events with the project that a reviewer moved them to, and the audit rows (event_id, seq, at, before, after).
 
-    ``actions`` (event_id, project_id, at, seq): the latest of an event wins; its match_reason becomes ``manual``, so that no
+    ``actions`` (event_id, project_id, at, seq): the latest of an event wins (ties: the greatest project_id); its match_reason becomes ``manual``, so that no
     later run moves it back. Actions on events that are not there have no effect and no audit row."""
     c = F.col
     moves = actions.select("event_id", c("project_id").alias("after"), "at", "seq")
-    last = moves.groupBy("event_id").agg(F.max_by("after", F.struct("at", "seq")).alias("_to"))
+    last = moves.groupBy("event_id").agg(F.max_by("after", F.struct("at", "seq", "after")).alias("_to"))
     moved = events.join(last, "event_id", "left").withColumns({
         "project_id": F.coalesce("_to", "project_id"), "match_reason": F.when(c("_to").isNotNull(), "manual").otherwise(c("match_reason") if "match_reason" in events.columns else F.lit(None)),
     }).drop("_to")
-    before = F.coalesce(F.lag("after").over(Window.partitionBy("event_id").orderBy("at", "seq")), c("_own"))
+    before = F.coalesce(F.lag("after").over(Window.partitionBy("event_id").orderBy("at", "seq", "after")), c("_own"))
     rows = moves.join(events.select("event_id", c("project_id").alias("_own")), "event_id").withColumn("before", before)
     return moved, rows.select("event_id", "seq", "at", "before", "after")
 

@@ -107,7 +107,7 @@ def job_result(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("reassigned", """
 with a as (select l_orderkey as event_id, l_suppkey as after, l_linenumber as seq, l_shipdate as d from lineitem where l_returnflag = 'R'),
-last as (select event_id, arg_max(after, strftime(d, '%Y%m%d') || lpad(cast(seq as varchar), 4, '0')) as after from a group by 1)
+last as (select event_id, arg_max(after, strftime(d, '%Y%m%d') || lpad(cast(seq as varchar), 4, '0') || lpad(cast(after as varchar), 9, '0')) as after from a group by 1)
 select coalesce(l.after, o_custkey) as project_id, count(*) as n, count(l.after) as moved from orders left join last l on l.event_id = o_orderkey group by 1""")
 def reassigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Returned items stand for reviewers' moves of an order to a supplier; the latest of an order counts."""
@@ -117,7 +117,7 @@ def reassigned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("reassign_audit", """
 with a as (select l_orderkey as event_id, l_suppkey as after, l_linenumber as seq, l_shipdate as d from lineitem where l_returnflag = 'R')
-select event_id, cast(seq as bigint) as seq, coalesce(lag(after) over (partition by event_id order by d, seq), o_custkey) as before, after from a join orders on o_orderkey = event_id""")
+select event_id, cast(seq as bigint) as seq, coalesce(lag(after) over (partition by event_id order by d, seq, after), o_custkey) as before, after from a join orders on o_orderkey = event_id""")
 def reassign_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, rows = project.reassign(*_moves(spark, sf_dir))
     return rows.select("event_id", F.col("seq").cast("long").alias("seq"), "before", "after")
@@ -134,7 +134,7 @@ def _moves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 with a as (
   select event_id, user_id, ts, event_type, case event_type when 'click' then 'STAGE' when 'view' then 'CATEGORY' when 'purchase' then 'NOT_RELEVANT' end as action, 'v' || (event_id % 7) as v from events),
 b as (select user_id as project_id, event_id as seq, case action when 'STAGE' then 'stage' else 'category' end as field, case action when 'NOT_RELEVANT' then 'NOT_RELEVANT' else v end as after, ts from a where action is not null)
-select project_id, seq, field, coalesce(lag(after) over (partition by project_id, field order by ts, seq), case when field = 'stage' then 'DISCOVERED' else 'PROBABLE_DUPLEX' end) as before, after from b""")
+select project_id, seq, field, coalesce(lag(after) over (partition by project_id, field order by ts, seq, after), case when field = 'stage' then 'DISCOVERED' else 'PROBABLE_DUPLEX' end) as before, after from b""")
 def action_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three kinds of a user's events stand for a reviewer's actions on a project, others for unknown ones."""
     c = F.col
