@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, divergence, lines, media, merkle, packing, pieces, simhash, sstable, suffixes, tokens, toxicity
+from . import chat, common, divergence, lines, media, merkle, packing, pieces, simhash, sstable, suffixes, tokens, toxicity, trie
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(common.documents(spark, sf_dir), pieces.default_model(), from_files=True, with_ids=False)
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.conversations(spark, sf_dir))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(common.documents(spark, sf_dir))
 
@@ -72,9 +76,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lines": op8_lines,
         "op9_sstable": op9_sstable,
         "op10_pieces": op10_pieces,
+        "op11_trie": op11_trie,
         "op13_divergence": op13_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_lines": lines.ORACLE_SQL, "op13_divergence": divergence.ORACLE_SQL}
+    return {"op8_lines": lines.ORACLE_SQL, "op11_trie": trie.ORACLE_SQL, "op13_divergence": divergence.ORACLE_SQL}
