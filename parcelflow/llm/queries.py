@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, divergence, lines, media, merkle, packing, pieces, simhash, sstable, suffixes, tokens, toxicity, trie
+from . import chat, common, divergence, lines, media, merkle, packing, pieces, quality, simhash, sstable, suffixes, tokens, toxicity, trie
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,12 @@ def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(trie.conversations(spark, sf_dir))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir).select("doc_id", "text")
+    model = quality.fit(quality.sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return quality.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(common.documents(spark, sf_dir))
 
@@ -77,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_sstable": op9_sstable,
         "op10_pieces": op10_pieces,
         "op11_trie": op11_trie,
+        "op12_quality": op12_quality,
         "op13_divergence": op13_divergence,
     }
 
