@@ -12,6 +12,8 @@ so that a group is never sorted or gathered beyond its first k.
 
 from __future__ import annotations
 
+import itertools
+import random
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,9 +29,12 @@ MIN_DOCS = 3
 TOP = 200
 SCALE = 1_000_000_000
 #: Terms that a task counts before it passes its counts on.
-HELD_TERMS = 400_000
+HELD_TERMS = 600_000
 #: A group's rows are dealt to so many places where they meet the group's own row.
 SALTS = 32
+#: Terms that stand for none, for groups that may have no term.
+MARKS = 997
+_MARK = "term < 'A'"
 #: Sources that a task holds against as many others.
 SOURCES = 128
 #: Terms that a task holds at a time, about.
@@ -45,16 +50,17 @@ def terms(text: str | None) -> list[bytes]:
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences and documents of each term, summed in each task; and a row with an empty
-    term for each (lang, source) that occurs."""
+    """(lang, source, term, n, docs): occurrences and documents of each term, summed in each task; and a row for each
+    (lang, source) that occurs, with a number for a term (no term has digits), so that these rows are not all of one term."""
     common.small_batches(docs.sparkSession)
 
     def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        marks = itertools.count(random.randrange(MARKS))
 
         def emit() -> Iterator[pa.RecordBatch]:
             for (lang, source), (n, docs_) in groups.items():
-                keys = [b"", *n]
+                keys = [str(next(marks) % MARKS).encode(), *n]
                 for i in range(0, len(keys), 1 << 16):
                     part = keys[i : i + (1 << 16)]
                     columns = [pa.array([lang] * len(part)), pa.array([source] * len(part)), pa.array([k.decode() for k in part]), pa.array([n[k] for k in part], pa.int64()), pa.array([docs_[k] for k in part], pa.int64())]
@@ -107,9 +113,9 @@ def _step(alive: DataFrame, ascending: bool) -> DataFrame:
 
 
 def bounds(rows: DataFrame, k: int) -> DataFrame:
-    """(lang, source, cut, head) of the groups with more than ``k`` rows (term, value): a row is among the first k by value
-    descending and term ascending if its value is above ``cut``, or is ``cut`` and its first bytes are ``head`` or
-    below (null: all). Values are not negative. Each of the steps is a histogram of at most 65,536 rows a group.
+    """(lang, source, cut, head, seen) of the groups with more than ``k`` rows (term, value): a row is among the first k by
+    value descending and term ascending if its value is above ``cut``, or is ``cut`` and its first ``seen`` bytes are
+    ``head`` or below (null: all). Values are not negative. Each of the steps is a histogram of at most 65,536 rows a group.
     """
     keyed = rows.select("lang", "source", "term", "value", _salt())
     state = _salted(rows.groupBy("lang", "source").agg(F.count("*").alias("n")).filter(F.col("n") > k).select("lang", "source", F.lit(0).cast("long").alias("head"), F.lit(k).cast("long").alias("need")))
@@ -119,7 +125,7 @@ def bounds(rows: DataFrame, k: int) -> DataFrame:
         found = _step(alive.select("lang", "source", "head", "need", F.shiftrightunsigned("value", shift).bitwiseAND(F.lit(65535)).alias("digit")), False)
         found = common.checkpointed(found.select("lang", "source", F.expr("head * 65536 + digit").alias("head"), "need", "n"))
         state = _salted(found.select("lang", "source", "head", "need"))
-    done = [found.filter("n = need").select("lang", "source", F.col("head").alias("cut"), F.lit(None).cast("binary").alias("head"))]
+    done = [found.filter("n = need").select("lang", "source", F.col("head").alias("cut"), F.lit(None).cast("binary").alias("head"), F.lit(0).alias("seen"))]
     open_ = found.filter("n > need").select("lang", "source", F.col("head").alias("cut"), "need")
     ties = keyed.join(_salted(open_), ["lang", "source", "salt"]).filter("value = cut").select("lang", "source", "salt", F.encode("term", "utf-8").alias("term"))
     ties, cuts, at = common.checkpointed(ties), open_.select("lang", "source", "cut"), 0
@@ -128,7 +134,7 @@ def bounds(rows: DataFrame, k: int) -> DataFrame:
         alive = ties.join(_salted(state), ["lang", "source", "salt"]).filter(F.expr(f"substring(term, 1, {at})") == F.col("head"))
         found = _step(alive.select("lang", "source", "head", "need", F.expr(f"substring(term, {at + 1}, 2)").alias("digit")), True)
         found, at = common.checkpointed(found.select("lang", "source", F.concat("head", "digit").alias("head"), "need", "n")), at + 2
-        done.append(cuts.join(found.filter("n = need").select("lang", "source", "head"), ["lang", "source"]).select("lang", "source", "cut", "head"))
+        done.append(cuts.join(found.filter("n = need").select("lang", "source", "head"), ["lang", "source"]).select("lang", "source", "cut", "head", F.lit(at).alias("seen")))
         state = found.filter("n > need").select("lang", "source", "head", "need")
     out = done[0]
     for more in done[1:]:
@@ -140,7 +146,7 @@ def first_rows(rows: DataFrame, k: int = TOP) -> DataFrame:
     """(lang, source, term, value, rank) of each group's first ``k`` rows by value descending, then term ascending (UTF-8)."""
     cut = _salted(bounds(rows, k))
     near = rows.select("lang", "source", "term", "value", _salt()).join(cut, ["lang", "source", "salt"], "left")
-    first = near.filter("cut is null or value > cut or (value = cut and (head is null or substring(encode(term, 'utf-8'), 1, length(head)) <= head))")
+    first = near.filter("cut is null or value > cut or (value = cut and (head is null or substring(encode(term, 'utf-8'), 1, seen) <= head))")
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "term"))
     return first.select("lang", "source", "term", "value", rank.alias("rank"))
 
@@ -148,15 +154,15 @@ def first_rows(rows: DataFrame, k: int = TOP) -> DataFrame:
 # ---------------------------------------------------------------------- pairs
 
 
-def _common_terms(scored: DataFrame) -> DataFrame:
+def _common_terms(scored: DataFrame, wide: int) -> DataFrame:
     """(lang, a, b, value): what the terms that both sources have add to the sums of their own parts.
 
     Terms are dealt to slots of some ``SLOT_TERMS`` with all rows of each, and sources to blocks, two of which a task holds.
     Nothing but sums by pair leaves a task.
     """
-    placed = scored.select(
+    placed = scored.filter("spread > 1").select(
         "lang", F.expr(f"pmod(xxhash64(term), v div {SLOT_TERMS} + 1)").alias("slot"), "term", F.col("sid").cast("int").alias("sid"), "p", "p0",
-        F.expr(f"sid div {SOURCES}").cast("int").alias("own"), F.explode(F.expr(f"sequence(0, cast((sources - 1) div {SOURCES} as int))")).alias("other"),
+        F.expr(f"sid div {wide}").cast("int").alias("own"), F.explode(F.expr(f"sequence(0, cast((sources - 1) div {wide} as int))")).alias("other"),
     )
     dealt = placed.select("lang", "slot", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "term", "sid", "p", "p0")
 
@@ -165,13 +171,13 @@ def _common_terms(scored: DataFrame) -> DataFrame:
         term, sid = pd.factorize(rows["term"])[0], rows["sid"].to_numpy()
         tables, bases = [], []
         for side in (low, high):
-            own = sid // SOURCES == side
-            table, base = np.zeros((term.max() + 1, SOURCES), np.int64), np.ones(SOURCES, np.int64)
-            table[term[own], sid[own] % SOURCES] = rows["p"].to_numpy()[own]
-            base[sid[own] % SOURCES] = rows["p0"].to_numpy()[own]
+            own = sid // wide == side
+            table, base = np.zeros((term.max() + 1, wide), np.int64), np.ones(wide, np.int64)
+            table[term[own], sid[own] % wide] = rows["p"].to_numpy()[own]
+            base[sid[own] % wide] = rows["p0"].to_numpy()[own]
             tables.append(table)
             bases.append(base)
-        sums = np.zeros((2, SOURCES, SOURCES), np.int64)
+        sums = np.zeros((2, wide, wide), np.int64)
         far = lambda p, q: (p - q) ** 2 // q
         left, right = tables
         q0 = bases[1]
@@ -184,14 +190,14 @@ def _common_terms(scored: DataFrame) -> DataFrame:
             if low != high:
                 sums[1, a] = ((far(q, p) - far(q, p0) - far(q0, p) + far(q0, p0)) * there).sum(axis=0)
         side, a, b = np.nonzero(sums)
-        first, second = low * SOURCES + a, high * SOURCES + b
+        first, second = low * wide + a, high * wide + b
         return pd.DataFrame({"lang": rows["lang"].iat[0], "a": np.where(side == 0, first, second), "b": np.where(side == 0, second, first), "value": sums[side, a, b]})
 
     summed = dealt.groupBy("lang", "slot", "low", "high").applyInPandas(solve, "lang string, a int, b int, value long")
     return summed.groupBy("lang", "a", "b").agg(F.sum("value").alias("both"))
 
 
-def pairs(groups: DataFrame, scored: DataFrame) -> DataFrame:
+def pairs(groups: DataFrame, scored: DataFrame, sources_at_once: int = SOURCES) -> DataFrame:
     """(lang, source, item, value): the distance of each group from each other source of its language, over all kept terms.
 
     ``v`` terms at the baseline of two groups without any; what a group's own terms add, by the number of its terms of each
@@ -207,7 +213,7 @@ def pairs(groups: DataFrame, scored: DataFrame) -> DataFrame:
     )
     back = alone.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "back")
     every = one.join(two, "lang").filter("a <> b")
-    summed = every.join(alone.drop("back"), ["lang", "a", "b"], "left").join(back, ["lang", "a", "b"], "left").join(_common_terms(scored), ["lang", "a", "b"], "left")
+    summed = every.join(alone.drop("back"), ["lang", "a", "b"], "left").join(back, ["lang", "a", "b"], "left").join(_common_terms(scored, sources_at_once), ["lang", "a", "b"], "left")
     value = f"case when v > 0 then v * ({_distance('a0', 'b0')}) + coalesce(forth, 0) + coalesce(back, 0) + coalesce(both, 0) else 0 end"
     return summed.select("lang", "source", "item", F.expr(value).cast("long").alias("value"))
 
@@ -215,7 +221,7 @@ def pairs(groups: DataFrame, scored: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------- audit
 
 
-def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
+def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, sources_at_once: int = SOURCES) -> DataFrame:
     """(lang, source, part, item, value, rank): each group's other sources by distance (``pair``, all of them) and its first
     ``top`` terms that it has more often than its language (``term``).
 
@@ -223,24 +229,26 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFram
     from the others all the same; a language without kept terms has distances of 0. Ties go by the item's UTF-8 bytes.
     An empty table: no rows. Other columns are ignored, whatever their names.
     """
-    counts = common.stored(counted(docs).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "counts")
-    occurring = counts.filter("term <> ''")
-    words = occurring.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("lang", "term", "lang_n")
-    kept = common.stored(occurring.join(words, ["lang", "term"]).select("lang", "source", "term", "n", "lang_n"), "kept")
+    # one shuffle by term serves the sums by source and the choice of terms
+    counts = counted(docs).repartition(common.partitions(docs.sparkSession), "lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    by_term = Window.partitionBy("lang", "term")
+    chosen = counts.select("lang", "source", "term", "n", F.sum("n").over(by_term).alias("lang_n"), F.sum("docs").over(by_term).alias("docs"), F.count("*").over(by_term).alias("spread"))
+    chosen = common.stored(chosen.filter(f"docs >= {min_docs} or {_MARK}").drop("docs"), "kept")
+    kept = chosen.filter(f"not {_MARK}")
     langs = kept.groupBy("lang", "term").agg(F.first("lang_n").alias("n")).groupBy("lang").agg(F.count("*").alias("v"), F.sum("n").alias("lang_total"))
     sizes = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    own = counts.filter("term = ''").select("lang", "source").join(sizes, ["lang", "source"], "left").join(langs, "lang", "left")
+    own = chosen.filter(_MARK).select("lang", "source").distinct().join(sizes, ["lang", "source"], "left").join(langs, "lang", "left")
     own = own.select("lang", "source", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("total", "v", "lang_total")])
     by_lang = Window.partitionBy("lang")
     groups = own.withColumns({"p0": _share("0", "total"), "sid": F.row_number().over(by_lang.orderBy("source")) - 1, "sources": F.count("*").over(by_lang)})
     groups = common.checkpointed(groups)
     scored = kept.withColumn("salt", _salt()).join(_salted(groups), ["lang", "source", "salt"])
-    scored = scored.select("lang", "source", "sid", "sources", "term", "v", "p0", _share("n", "total").alias("p"), _share("lang_n", "lang_total").alias("q"))
+    scored = scored.select("lang", "source", "sid", "sources", "spread", "term", "v", "p0", _share("n", "total").alias("p"), _share("lang_n", "lang_total").alias("q"))
     scored = common.stored(scored, "scored")
     above = scored.filter("p > q").select("lang", "source", "term", F.expr(_distance("p", "q")).alias("value"))
     ranked = first_rows(above, top).select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value", "rank")
     order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
-    others = pairs(groups, scored).select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(order).alias("rank"))
+    others = pairs(groups, scored, sources_at_once).select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(order).alias("rank"))
     return others.unionByName(ranked)
 
 
