@@ -229,9 +229,9 @@ class _Table:
     """The paths of a block, and the ids of words that were asked for last."""
 
     def __init__(self, own: Cutter, uri: str):
-        self.own, self.known, self.place, self.flat, self.ends = own, {}, {}, b"", []
+        self.own, self.uri, self.known, self.place, self.flat, self.ends = own, uri, {}, {}, b"", []
         fs, root = common.filesystem(uri)
-        if fs.get_file_info(root).type == common.pafs.FileType.NotFound:  # a block without words, or of long parts only
+        if fs.get_file_info(root).type == common.pafs.FileType.NotFound:  # a block without words, or of long parts only; else ``ids`` raises
             return
         found = pq.read_table(root, filesystem=fs, columns=["word", "ids"], partitioning=None)
         self.place = {w: i for i, w in enumerate(found.column("word").to_pylist())}
@@ -241,8 +241,13 @@ class _Table:
         self.ends.append(0)  # before the first
 
     def ids(self, part: str) -> bytes:
+        """The stored path of a part. Only longer parts than are exploded have none; a lost or unfinished table is an error."""
         i = self.place.get(part)
-        return self.own.path(part) if i is None else self.flat[self.ends[i - 1] : self.ends[i]]
+        if i is not None:
+            return self.flat[self.ends[i - 1] : self.ends[i]]
+        if len(part) <= PART_CHARS:
+            raise LookupError(f"{self.uri} has no path of a part of {len(part)} characters: the table of paths is not whole")
+        return self.own.path(part)
 
     def learn(self, words_: set[str]) -> None:
         """Afterwards ``known`` has the ids' bytes of these words."""

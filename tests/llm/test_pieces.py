@@ -90,3 +90,20 @@ def test_long_runs_are_not_cut(spark):
     for r in got:  # the path of the whole escaped text, without any cut
         assert r.ids == best_path(pieces.MARK + texts[r.doc_id].replace(" ", pieces.MARK), table, byte_ids, lowest)
         assert r.round_trip
+
+
+def test_a_lost_table_of_paths_is_an_error(spark, monkeypatch, tmp_path):
+    import shutil
+
+    import pytest
+
+    made = []
+    own = pieces.common.shared_path
+    monkeypatch.setattr(pieces.common, "shared_path", lambda s, kind: made.append(own(s, kind)) or made[-1])
+    docs = spark.createDataFrame([(1, "some words"), (2, "x" * 5000), (3, "")], "doc_id long, text string")
+    out = pieces.encode(docs, pieces.default_model())
+    assert len(out.collect()) == 3
+    (lost,) = [p.removeprefix("file://") for p in made if "/paths-" in p]
+    shutil.move(lost, tmp_path / "moved")
+    with pytest.raises(Exception, match="not whole"):
+        out.collect()
