@@ -375,7 +375,8 @@ def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of each near-duplicate group. Rows that share a doc_id and text are
     one; a group whose doc_ids are all null keeps one row. Columns stay as they are."""
     groups = similar_groups(docs, similarity)
-    whole = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))  # joins and duplicates go by the same two keys
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("keeper"))).select(F.col("text_id").alias("_text"), whole.alias("_doc")).distinct()
-    keyed = docs.withColumns({"_text": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), "_doc": whole})
-    return keyed.join(kept, ["_text", "_doc"], "left_semi").dropDuplicates(["_text", "_doc"]).select(docs.columns)
+    h, whole = common.spare(docs, "text_hash", "whole_id")
+    own_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))  # joins and duplicates go by the same two keys
+    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("keeper"))).select(F.col("text_id").alias(h), own_id.alias(whole)).distinct()
+    keyed = docs.withColumns({h: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), whole: own_id})
+    return keyed.join(kept, [h, whole], "left_semi").dropDuplicates([h, whole]).select(docs.columns)

@@ -495,17 +495,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
         raise ValueError("strings of words are removed or counted, not both")
     common.small_batches(docs.sparkSession)
     made = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["n_passage_bytes"] * bool(passages)
-    names = [c for c in docs.columns if c not in (*made, "uid", "spans", "word_spans")]
-    docs = docs.select(names)
-    keyed = docs.withColumn("uid", F.xxhash64("doc_id", "text"))
-    found = repeats(keyed.select("uid", "text"), length, kgram, group_runs, fewer=words).withColumn("by_words", F.lit(False))
+    docs = docs.select([f"`{c}`" for c in docs.columns if c not in made])
+    uid, bytes_, words_ = common.spare(docs, "uid", "spans", "word_spans")
+    keyed = docs.withColumn(uid, F.xxhash64("doc_id", "text"))
+    texts_of = keyed.select(F.col(uid).alias("uid"), "text")
+    found = repeats(texts_of, length, kgram, group_runs, fewer=words).withColumn("by_words", F.lit(False))
     in_words = words or passages
     if in_words:
-        by_words = repeats(keyed.select("uid", "text"), in_words, None, group_runs, word_bytes, unit=WORD)
+        by_words = repeats(texts_of, in_words, None, group_runs, word_bytes, unit=WORD)
         found = found.unionByName(by_words.withColumn("by_words", F.lit(True)))
     own_spans = lambda which: F.collect_set(F.when(which, F.struct("s", "n")))
-    per_text = found.groupBy("uid").agg(own_spans(~F.col("by_words")).alias("spans"), own_spans(F.col("by_words")).alias("word_spans"))
-    joined = keyed.join(per_text, "uid", "left")
+    per_text = found.groupBy(F.col("uid").alias(uid)).agg(own_spans(~F.col("by_words")).alias(bytes_), own_spans(F.col("by_words")).alias(words_))
+    joined = keyed.join(per_text, uid, "left")
     kept = [f for f in docs.schema.fields if f.name != "text" or with_text]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.int64()] * bool(passages)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{n} {'string' if n == 'kept_sha256' else 'long'}" for n in made)])
@@ -514,7 +515,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
         for batch in stream:
             where = {n: i for i, n in enumerate(batch.schema.names)}
             rows, texts = [], []
-            for text, spans, word_spans in zip(*(batch.column(where[c]).to_pylist() for c in ("text", "spans", "word_spans"))):
+            for text, spans, word_spans in zip(*(batch.column(where[c]).to_pylist() for c in ("text", bytes_, words_))):
                 raw = (text or "").encode()
                 ranges = [(x["s"], x["s"] + x["n"] + length - 1) for x in spans or []]
                 by_words = word_ranges(raw, [(x["s"], x["n"]) for x in word_spans], in_words) if word_spans else []

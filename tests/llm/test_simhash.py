@@ -161,3 +161,8 @@ def test_a_text_of_many_shingles():
     draw = random.Random(21)
     text = " ".join(f"w{draw.randrange(5000)}" for _ in range(70_000))
     assert simhash.fingerprint(text) == by_hand(text)
+
+
+def test_keep_first_leaves_the_columns_of_the_user(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x", "y", "z"), (2, "a b c", "x", "y", "z")], "doc_id long, text string, _text string, text_hash string, whole_id string")
+    assert [tuple(r) for r in simhash.keep_first(docs).collect()] == [(1, "a b c", "x", "y", "z")]

@@ -124,3 +124,10 @@ def test_a_text_beyond_one_segment(spark):
     got = {r.doc_id: r for r in suffixes.remove_repeats(docs, with_text=True).collect()}
     assert got[1].text == long.replace(passage, "") and (got[1].n_removed, got[1].n_spans) == (1000, 1)
     assert got[2].n_removed == 1000 and got[3].n_removed == 0
+
+
+def test_columns_of_the_user_stay(spark):
+    names = ["uid", "spans", "word_spans", "_uid", "by_words"]
+    docs = spark.createDataFrame([(i, "ab" * 300, *(f"{n} {i}" for n in names)) for i in range(2)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    for r in suffixes.remove_repeats(docs, with_text=True, words=51).collect():
+        assert [r[n] for n in names] == [f"{n} {r.doc_id}" for n in names] and r.n_removed == 600
