@@ -15,6 +15,7 @@ from ..config import LABELS
 
 #: White space as the source's language has it: ASCII, no-break and other Unicode spaces, and the byte-order mark.
 SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+_SPACES = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def _decompose(text: str | None) -> str | None:
@@ -75,7 +76,7 @@ def contains_any(text: Column, keywords: list[str], padded: bool = False) -> Col
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def clean(text: Column, length: int) -> Column:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread
-from ..sources import neighbourhoods, permits, snapshot
+from ..session import checkpointed, shared_path, spread
+from ..sources import buckets, imports, neighbourhoods, permits, snapshot
 from . import binding
 from .catalogue import query
 
 DATASET = permits.DATASETS["building"]
+#: Buckets of the small tables that queries make; production tables have more.
+QUERY_BUCKETS = 16
 _PRIORITY = "left(o_orderpriority, 1)"
 
 #: What of a raw row's oddities the SQL knows: which rows fail, and how values read.
@@ -55,15 +57,20 @@ def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad.groupBy("error_code").agg(F.count("*").alias("n"), F.count_if(~F.col("record_key").startswith("invalid:")).alias("with_id"))
 
 
-def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What an earlier run left: orders placed before 2001, open ones at a lower price."""
-    own = permits.normalize(raw_building(spark, sf_dir, "case when o_orderstatus = 'O' then o_totalprice - 1 else o_totalprice end"), DATASET)
-    return snapshot.quarantine(own)[0].filter("issue_date < date '2001-01-01'")
+_OLD_PRICE = "case when o_orderstatus = 'O' then o_totalprice - 1 else o_totalprice end"
 
 
-def _incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What comes now: orders placed from 1996 on."""
-    return snapshot.quarantine(permits.normalize(raw_building(spark, sf_dir), DATASET))[0].filter("issue_date >= date '1996-01-01'")
+def _sides(spark: SparkSession, sf_dir: str, *columns: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What an earlier run left (orders placed before 2001, open ones at a lower price), what comes now (orders placed from
+    1996 on), and what fails now: one pass makes both extracts uniform, and is checkpointed."""
+    now, then = raw_building(spark, sf_dir), raw_building(spark, sf_dir, _OLD_PRICE)
+    both = now.unionByName(then.withColumn(":id", F.concat(F.lit("old"), F.col("`:id`"))))
+    own = permits.normalize(both, DATASET).select("system_id", "issue_date", "error_code", "record_key", "checksum", *columns)
+    own = checkpointed(own.withColumn("old", F.col("system_id").startswith("old")).drop("system_id"))
+    sound, day = F.col("error_code").isNull(), F.col("issue_date")
+    stored = own.filter(F.col("old") & sound & (day < F.lit("2001-01-01").cast("date")))
+    incoming = own.filter(~F.col("old") & sound & (day >= F.lit("1996-01-01").cast("date")))
+    return stored.drop("old"), incoming.drop("old"), own.filter(~F.col("old") & ~sound)
 
 
 _DIFF_SQL = f"""
@@ -73,15 +80,16 @@ dif as (select id as record_key, case when d >= date '2001-01-01' then 'created'
 
 @query("snapshot_diff", f"with {_DIFF_SQL} select record_key, disposition from dif")
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snapshot.diff(_stored(spark, sf_dir), _incoming(spark, sf_dir)).select("record_key", "disposition")
+    stored, incoming, _ = _sides(spark, sf_dir)
+    return snapshot.diff(stored, incoming).select("record_key", "disposition")
 
 
 @query("run_counters", f"""
 with {_DIFF_SQL}, c as (select count(*) filter (where disposition = 'created') as created, count(*) filter (where disposition = 'updated') as updated, count(*) filter (where disposition = 'unchanged') as skipped, (select count(*) from tagged where error_code is not null) as failed from dif)
 select created + updated + skipped + failed as fetched, created, updated, skipped, failed, case when failed > 0 then 'PARTIALLY_SUCCEEDED' else 'SUCCEEDED' end as status from c""")
 def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    failed = snapshot.quarantine(permits.normalize(raw_building(spark, sf_dir), DATASET))[1]
-    return snapshot.counters(snapshot.diff(_stored(spark, sf_dir), _incoming(spark, sf_dir)), failed)
+    stored, incoming, failed = _sides(spark, sf_dir)
+    return snapshot.counters(snapshot.diff(stored, incoming), failed)
 
 
 @query("snapshot_upsert", f"""
@@ -89,13 +97,46 @@ with {_DIFF_SQL}, s as (select id, d, o_orderstatus as st, o_totalprice as price
 select id as record_key, printf('%.2f', case when st = 'O' and d < date '1996-01-01' then price - 1 else price end) as construction_value, 53.5::double as latitude,
        case when d >= date '2001-01-01' or (d >= date '1996-01-01' and st = 'O') then 'PENDING' else 'MATCHED' end as match_status, case when d >= date '2001-01-01' or (d >= date '1996-01-01' and st = 'O') then 1 else 2 end as normalization_version from s""")
 def snapshot_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The incoming rows over the stored ones; incoming coordinates are null and do not hide known ones. New rows have
-    theirs from the stored side's rule."""
+    """The incoming rows over the stored ones, in a table of hash buckets: the second run writes a delta. Incoming coordinates
+    are null and do not hide known ones; new rows have theirs."""
+    columns = ["construction_value", "latitude", "longitude"]
+    stored, incoming, _ = _sides(spark, sf_dir, *columns)
     state = {"match_status": F.lit("MATCHED"), "normalization_version": F.lit(snapshot.NORMALIZATION_VERSION)}
-    stored = _stored(spark, sf_dir).withColumns(state).select("record_key", "checksum", "construction_value", "latitude", "longitude", "issue_date", "match_status", "normalization_version")
     fresh = F.col("issue_date") >= F.lit("2001-01-01").cast("date")
-    incoming = _incoming(spark, sf_dir).withColumn("latitude", F.when(fresh, F.col("latitude"))).select("record_key", "checksum", "construction_value", "latitude", "longitude", "issue_date")
-    return snapshot.upsert(stored, incoming).select("record_key", "construction_value", "latitude", "match_status", "normalization_version")
+    root, kept = shared_path(spark, "upsert"), ["record_key", "checksum", "issue_date", *columns]
+    buckets.create(stored.select(kept).withColumns(state), root, buckets=QUERY_BUCKETS)
+    buckets.merge(incoming.withColumn("latitude", F.when(fresh, F.col("latitude"))).select(kept), root, lambda old, new: snapshot.upsert(old, new, changed_only=True))
+    return buckets.read(spark, root, columns=["record_key", "construction_value", "latitude", "match_status", "normalization_version"])
+
+
+_RUNS_SQL = f"""
+{RAW_SQL}, o as (select *, cast(o_orderdate as date) as d, o_orderstatus as st from tagged)"""
+
+
+def _two_runs(spark: SparkSession, sf_dir: str) -> tuple[imports.Run, str]:
+    """An import of the orders placed before 2001, open ones at a lower price, and then one of all orders."""
+    root, before = shared_path(spark, "imports"), "2001"
+    imports.run(raw_building(spark, sf_dir, _OLD_PRICE).filter(F.col("permit_date") < before), DATASET, root, table_buckets=QUERY_BUCKETS)
+    return imports.run(raw_building(spark, sf_dir), DATASET, root, table_buckets=QUERY_BUCKETS), root
+
+
+@query("import_run", f"""
+with {_RUNS_SQL}, bad as (select count(*) as n from (select distinct coalesce(id, 'invalid:' || o_orderkey) from o where error_code is not null)), c as (
+  select count(*) filter (where d >= date '2001-01-01') as created, count(*) filter (where d < date '2001-01-01' and st = 'O') as updated, count(*) filter (where d < date '2001-01-01' and st <> 'O') as skipped from o where error_code is null)
+select created + updated + skipped + bad.n as fetched, created, updated, skipped, bad.n as failed, case when bad.n > 0 then 'PARTIALLY_SUCCEEDED' else 'SUCCEEDED' end as status,
+       cast(created + updated + bad.n as bigint) as parsed from c, bad""")
+def import_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of the second of two runs, and how many rows it parsed: those that are new, differ or failed before."""
+    done, _ = _two_runs(spark, sf_dir)
+    return done.counters.withColumn("parsed", F.lit(done.parsed).cast("long"))
+
+
+@query("import_table", f"""
+with {_RUNS_SQL} select id as record_key, printf('%.2f', o_totalprice) as construction_value, cast(d as date) as day, 'PENDING' as match_status, 1 as normalization_version from o where error_code is null""")
+def import_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The permits that two runs leave: bases and deltas, read as one table."""
+    own = imports.table(spark, _two_runs(spark, sf_dir)[1])
+    return own.select("record_key", "construction_value", F.col("issue_date").alias("day"), "match_status", "normalization_version")
 
 
 @query("duplicate_keys", "select cast(l_orderkey as varchar) || '-' || l_linenumber as record_key, count(*) as n from lineitem group by l_orderkey, l_linenumber having count(*) > 1")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,13 +35,26 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The frame, computed once, its lineage cut, in the folder that spark.checkpoint.dir names. A local master without
-    one gets a temporary folder; on a cluster it must be set."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. A local master without one gets a temporary folder; on a cluster it must
+    be set."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="parcelflow-checkpoints-"))
+        folder = tempfile.mkdtemp(prefix="parcelflow-checkpoints-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The frame, computed once and written to the shared folder, its lineage cut."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

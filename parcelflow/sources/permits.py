@@ -96,6 +96,18 @@ def checksum(json: Column) -> Column:
     return F.sha2(json, 256)
 
 
+def identified(raw: DataFrame, dataset: Dataset) -> DataFrame:
+    """The raw rows with their checksum and record_key, as ``normalize`` has them: what a run must know of rows that it has
+    seen before, without reading any of their values."""
+    check_contract(raw, dataset)
+    own = raw.withColumn("checksum", checksum(payload(raw)))
+    return own.withColumn("record_key", _record_key(text.clean(F.col(f"`{dataset.key}`"), 200)))
+
+
+def _record_key(identifier: Column) -> Column:
+    return F.coalesce(identifier, F.concat(F.lit("invalid:"), "checksum"))
+
+
 def normalize(raw: DataFrame, dataset: Dataset) -> DataFrame:
     """A row for each raw row: the uniform permit, payload, checksum, and error_code and error_message (null if it is
     sound). MISSING_SOURCE_ID comes before INVALID_SOURCE_ROW; a row without an identifier is named by its checksum."""
@@ -133,5 +145,5 @@ def normalize(raw: DataFrame, dataset: Dataset) -> DataFrame:
     return own.withColumns({
         "error_code": F.when(F.col("source_record_id").isNull(), "MISSING_SOURCE_ID").when(invalid.isNotNull(), "INVALID_SOURCE_ROW"),
         "error_message": text.failure_message(F.when(F.col("source_record_id").isNull(), f"{dataset.key}: missing").otherwise(invalid)),
-        "record_key": F.coalesce("source_record_id", F.concat(F.lit("invalid:"), "checksum")),
+        "record_key": _record_key(F.col("source_record_id")),
     }).drop("_bad")

@@ -1,14 +1,17 @@
 """Snapshots against what is stored: dispositions, upserts, quarantine, counters, checkpoints and publication.
 
-Plain Parquet has no MERGE: an upsert is one full outer join by key and a rewrite, published by renaming a folder.
+Plain Parquet has no MERGE: an upsert is one full outer join by key and a rewrite, published by a numbered manifest;
+``buckets`` has tables of which an upsert writes only what changed.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,12 +83,12 @@ def identity_mismatch(raw_key: Column, normalized_key: Column) -> Column:
     return F.when(~raw_key.eqNullSafe(normalized_key), "PROVIDER_IDENTITY_MISMATCH")
 
 
-def upsert(stored: DataFrame, incoming: DataFrame, key: str = "record_key", keep_known: tuple[str, ...] = ("latitude", "longitude")) -> DataFrame:
-    """The stored rows with the incoming ones over them. A null never replaces a known value of ``keep_known``; a changed
+def upsert(stored: DataFrame, incoming: DataFrame, key: str = "record_key", keep_known: tuple[str, ...] = ("latitude", "longitude"), changed_only: bool = False) -> DataFrame:
+    """The stored rows with the incoming ones over them; ``changed_only``: those that are new or whose checksum differs. A null never replaces a known value of ``keep_known``; a changed
     row goes back to PENDING and one normalisation version down, so that it is matched again; ``first_observed_at`` stays
     the earliest. Rows that the snapshot lacks stay."""
     names = [c for c in stored.columns if c != key]
-    both = stored.alias("s").join(incoming.alias("i"), key, "full_outer")
+    both = stored.alias("s").join(incoming.alias("i"), key, "right" if changed_only else "full_outer")
     old, new = (lambda c: F.col(f"s.{c}")), (lambda c: F.col(f"i.{c}"))
     arrived, had = new("checksum").isNotNull(), old("checksum").isNotNull()
     changed = arrived & had & (new("checksum") != old("checksum"))
@@ -103,6 +106,8 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: str = "record_key", keep
             return F.coalesce(new(name), old(name))
         return F.when(arrived, new(name)).otherwise(old(name))
 
+    if changed_only:
+        both = both.filter(changed | ~had)
     return both.select(key, *[merged(n).alias(n) for n in names])
 
 
@@ -128,39 +133,75 @@ def _hadoop(spark: SparkSession, path: str):
     return own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
-def _manifests(spark: SparkSession, root: str) -> list[str]:
-    """The names of what was published, the newest last."""
-    fs, make = _hadoop(spark, f"{root}/manifests")
-    folder = make(f"{root}/manifests")
-    return sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().startswith("m-")) if fs.exists(folder) else []
+def _listed(spark: SparkSession, folder: str) -> list:
+    """The file system's entries of a folder; none if it is not there."""
+    fs, make = _hadoop(spark, folder)
+    return list(fs.listStatus(make(folder))) if fs.exists(make(folder)) else []
+
+
+def _written(spark: SparkSession, path: str) -> dict | None:
+    """A manifest, or nothing if the run that wrote it did not finish."""
+    fs, make = _hadoop(spark, path)
+    stream = fs.open(make(path))
+    try:
+        text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return json.loads(text) if text.endswith("\n") else None
+
+
+def manifests(spark: SparkSession, root: str) -> list[int]:
+    """The numbers of what was published or begun, ascending."""
+    names = (s.getPath().getName() for s in _listed(spark, f"{root}/manifests"))
+    return sorted(int(n[2:14]) for n in names if n.startswith("m-"))
+
+
+def _manifest_path(root: str, number: int) -> str:
+    return f"{root}/manifests/m-{number:012d}.json"
+
+
+def commit(spark: SparkSession, root: str, number: int, content: dict) -> None:
+    """Write one manifest to a name that must be free: of two runs that took the same state, the second fails. A line end
+    says that it is whole."""
+    fs, make = _hadoop(spark, root)
+    target = make(_manifest_path(root, number))
+    try:
+        out = fs.create(target, False)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in str(error.java_exception):
+            raise RuntimeError(f"another run has published {target.getName()}") from None
+        raise
+    try:
+        out.write(bytearray((json.dumps(content) + "\n").encode()))
+    finally:
+        out.close()
+
+
+def newest(spark: SparkSession, root: str, number: int | None = None) -> tuple[int, dict | None]:
+    """The number to publish under next less one, and the newest whole manifest; with ``number``, that one's."""
+    numbers = manifests(spark, root)
+    if number is not None:
+        return number, _written(spark, _manifest_path(root, number)) if number in numbers else None
+    for n in reversed(numbers):
+        if found := _written(spark, _manifest_path(root, n)):
+            return numbers[-1], found | {"number": n}
+    return (numbers[-1] if numbers else 0), None
 
 
 def publish(df: DataFrame, root: str, checkpoint: Checkpoint | None = None, advance: bool = True) -> str:
-    """Write a version of a table below ``root`` and, last, a manifest of its own, numbered one above the newest, by one
-    rename to a name that must be free. Readers follow the newest manifest, so that a run that fails or stops at any point
-    leaves what was published as it was, and of two runs at once the second fails. ``advance``: only full snapshots move the
-    checkpoint on."""
-    version = f"v-{uuid.uuid4().hex}"
-    spark = df.sparkSession
-    names = _manifests(spark, root)
-    previous = manifest(spark, root)
+    """Write a version of a table below ``root`` and, last, a manifest of its own, numbered one above the newest. Readers
+    follow the newest whole manifest, so that a run that fails or stops at any point leaves what was published as it was.
+    ``advance``: only full snapshots move the checkpoint on."""
+    version, spark = f"v-{uuid.uuid4().hex}", df.sparkSession
+    number, previous = newest(spark, root)
     df.write.parquet(f"{root}/{version}")
     kept = asdict(checkpoint) if checkpoint and advance else (previous or {}).get("checkpoint")
-    number = int(names[-1][2:14]) + 1 if names else 1
-    fs, make = _hadoop(spark, root)
-    staged, target = make(f"{root}/manifests/.staged-{version}"), make(f"{root}/manifests/m-{number:012d}.json")
-    out = fs.create(staged, True)
-    out.write(bytearray(json.dumps({"version": version, "checkpoint": kept}).encode()))
-    out.close()
-    if fs.exists(target) or not fs.rename(staged, target):
-        fs.delete(staged, False)
-        raise RuntimeError(f"another run has published {target.getName()}")
+    commit(spark, root, number + 1, {"version": version, "checkpoint": kept})
     return version
 
 
-def manifest(spark: SparkSession, root: str) -> dict | None:
-    names = _manifests(spark, root)
-    return json.loads("".join(r.value for r in spark.read.text(f"{root}/manifests/{names[-1]}").collect())) if names else None  # one line
+def manifest(spark: SparkSession, root: str, number: int | None = None) -> dict | None:
+    return newest(spark, root, number)[1]
 
 
 def last_checkpoint(spark: SparkSession, root: str) -> Checkpoint | None:
@@ -168,6 +209,32 @@ def last_checkpoint(spark: SparkSession, root: str) -> Checkpoint | None:
     return Checkpoint(**own) if own else None
 
 
-def published(spark: SparkSession, root: str) -> DataFrame | None:
-    own = manifest(spark, root)
+def published(spark: SparkSession, root: str, number: int | None = None) -> DataFrame | None:
+    """The newest version, or, for readers that ask more than once, the one of a manifest's number."""
+    own = manifest(spark, root, number)
     return spark.read.parquet(f"{root}/{own['version']}") if own else None
+
+
+def vacuum(spark: SparkSession, root: str, older_than_s: float, now: float | None = None) -> list[str]:
+    """Remove manifests that a newer whole one replaced more than ``older_than_s`` seconds ago, and folders of that age that
+    no manifest left names. What was removed. Readers pinned to a number have that long to finish."""
+    numbers, names = manifests(spark, root), {}
+    limit = ((now or time.time()) - older_than_s) * 1000
+    fs, make = _hadoop(spark, root)
+    changed = {s.getPath().getName(): s.getModificationTime() for s in _listed(spark, f"{root}/manifests")}
+    whole = [n for n in numbers if (names.setdefault(n, _written(spark, _manifest_path(root, n)))) is not None]
+    gone, kept = [], []
+    for n in numbers:
+        after = [changed[f"m-{m:012d}.json"] for m in whole if m > n]
+        (gone if after and after[0] < limit else kept).append(n)
+    used = {folder for n in kept if names[n] for folder in [names[n].get("version"), *names[n].get("folders", {}).values()]}
+    removed = []
+    for status in _listed(spark, root):
+        name = status.getPath().getName()
+        if name != "manifests" and name not in used and status.isDirectory() and status.getModificationTime() < limit:
+            removed.append(name)
+    for n in gone:  # manifests first, so that none names a folder that is not there
+        fs.delete(make(_manifest_path(root, n)), False)
+    for name in removed:
+        fs.delete(make(f"{root}/{name}"), True)
+    return removed

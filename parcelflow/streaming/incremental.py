@@ -1,32 +1,24 @@
-"""Incremental import as a stream: an extension over batch snapshots, with the same rules for each batch.
+"""Incremental import as a stream: an extension over batch imports, with the same rules for each batch.
 
-Files of raw rows arrive in a folder; every micro-batch is made uniform, its failures set aside, and its sound rows put
-over the published table. A batch that is run again after a failure finds its own rows unchanged.
+Files of raw rows arrive in a folder; every micro-batch is one import run into the bucketed tables, which parses rows that
+are new or differ and writes to their buckets alone. A batch that is run again after a failure finds its own rows unchanged.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources import permits, snapshot
+from ..sources import imports, permits
 
 
-def import_batch(rows: DataFrame, dataset: permits.Dataset, root: str, batch: int = 0) -> None:
-    """One batch into the table below ``root``: the latest row of each record (by source_updated_at, then checksum). Failures
-    go to the batch's own folder, written anew if the batch is run again, and before the table is published."""
-    spark = rows.sparkSession
-    good, bad = snapshot.quarantine(permits.normalize(rows, dataset))
-    bad.write.mode("overwrite").parquet(f"{root}/failures/batch={batch}")
-    last = F.max_by(F.struct(*good.columns), F.struct("source_updated_at", "checksum")).alias("r")
-    fresh = good.groupBy("record_key").agg(last).select("r.*").withColumns({"match_status": F.lit("PENDING"), "normalization_version": F.lit(snapshot.NORMALIZATION_VERSION - 1)})
-    stored = snapshot.published(spark, root)
-    snapshot.publish(fresh if stored is None else snapshot.upsert(stored, fresh.drop("match_status", "normalization_version")), root)
+def import_batch(rows: DataFrame, dataset: permits.Dataset, root: str, batch: int = 0) -> imports.Run:
+    """One batch: the latest row of each record (by the source's time of change, then checksum). Failures go to the batch's
+    own folder, written anew if the batch is run again."""
+    return imports.run(rows, dataset, root, whole=False, label=f"batch={batch}")
 
 
 def import_stream(spark: SparkSession, folder: str, dataset: permits.Dataset, root: str, checkpoint: str) -> StreamingQuery:
-    """Take up what is in ``folder`` now, and stop; the stream's checkpoint remembers the files. A batch joins and rewrites
-    the whole table: plain Parquet has no other way to change rows, and files come a few times a day."""
+    """Take up what is in ``folder`` now, and stop; the stream's checkpoint remembers the files."""
     rows = spark.readStream.schema(permits.raw_schema(dataset)).json(folder)
     return rows.writeStream.foreachBatch(lambda df, batch: import_batch(df, dataset, root, batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parcelflow.config import DEFAULT, ConfigError
 from parcelflow.functions import address, dates, geo, text
 from parcelflow.operators import alerts, assess, episode, filters, matching, project, survival, timeline
-from parcelflow.sources import export, neighbourhoods, permits, snapshot
+from parcelflow.sources import export, imports, neighbourhoods, permits, snapshot
 
 D = date.fromisoformat
 AS_OF = "date '2026-08-03'"
@@ -279,7 +279,7 @@ def test_stream_of_files(spark, tmp_path):
     for i, (kind, lat) in enumerate([("House", '"53.5"'), ("Shed", "null")]):
         (folder / f"{i}.json").write_text(row.format(at=1700000000 + i, kind=kind, lat=lat) + '{"issue_date":"2024-01-02"}\n')
         incremental.import_stream(spark, str(folder), building, root, f"{tmp_path}/mark").awaitTermination(60)
-    got = snapshot.published(spark, root).collect()
+    got = imports.table(spark, root).collect()
     assert [(r.permit_type, r.latitude, r.match_status) for r in got] == [("Shed", 53.5, "PENDING")]
     assert spark.read.parquet(f"{root}/failures").count() == 2
 
@@ -333,7 +333,7 @@ def test_a_batch_that_is_run_again_keeps_its_failures_once(spark, tmp_path):
     for batch in (0, 0, 1):
         incremental.import_batch(rows, building, root, batch)
     assert {(r.batch, r.n) for r in spark.read.parquet(f"{root}/failures").groupBy("batch").agg(F.count("*").alias("n")).collect()} == {(0, 1), (1, 1)}
-    assert snapshot.published(spark, root).count() == 1
+    assert imports.table(spark, root).count() == 1
 
 
 def test_metadata_of_a_snapshot(spark, tmp_path):
