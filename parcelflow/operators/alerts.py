@@ -2,47 +2,39 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
 
 
-_SELECTIONS = {"neighbourhoods": "p_neighbourhood", "categories": "p_category", "stages": "p_stage", "statuses": "p_status"}
+SELECTIONS = {"neighbourhoods": "p_neighbourhood", "categories": "p_category", "stages": "p_stage", "statuses": "p_status"}
+#: Places to which the pairs of ``evaluate`` are dealt.
+DEALS = 32
 
 
 def evaluate(projects: DataFrame, searches: DataFrame) -> DataFrame:
-    """Each saved search against each of a page of projects: search_id, user_id, project_id, mismatches (codes), matches.
+    """Each saved search against each project: search_id, user_id, project_id, mismatches (codes), matches.
 
-    For a bounded set of projects, as it tells of every pair; ``matching`` finds the pairs that match among all. Range
-    criteria with no value on the project's side fail; empty selections accept all; selections compare normalised text.
-    Columns of a search: search_id, user_id, active, neighbourhoods, categories, stages, statuses (arrays), min_value,
+    It tells of every pair, so that its rows are the product of both, and for few searches or a page of projects;
+    ``matching`` finds the pairs that match. Searches are copied to ``DEALS`` places, to which projects are dealt by key.
+    Range criteria with no value on the project's side fail; empty selections accept all; selections compare normalised
+    text. Columns of a search: search_id, user_id, active, neighbourhoods, categories, stages, statuses (arrays), min_value,
     max_value, min_units, max_units, min_confidence.
     """
-    return _pairs(projects, searches).select("search_id", "user_id", "project_id", "mismatches", (F.size("mismatches") == 0).alias("matches"))
+    asked = sought(searches).withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    both = sides(projects).withColumn("_deal", F.pmod(F.xxhash64("project_id"), F.lit(DEALS)).cast("int")).join(asked, "_deal")
+    codes = F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(code)) for code, ok in checks()])
+    own = both.select("search_id", "user_id", "project_id", F.array_compact(codes).alias("mismatches"))
+    return own.withColumn("matches", F.size("mismatches") == 0)
 
 
 def matching(projects: DataFrame, searches: DataFrame) -> DataFrame:
-    """(search_id, user_id, project_id) of the pairs that match; searches that are not active take no part.
+    """(search_id, user_id, project_id) of the pairs that match; searches that are not active take no part. They meet over an
+    inverted index of what searches ask for (``searchindex``)."""
+    from . import searchindex
 
-    Selections are equality keys: a search has a row for each choice of values, a project one for each pattern of selections
-    that any search makes (16 at most), and the pattern's name is a part of both. Ranges are conditions of the same join.
-    """
-    c = F.col
-    sought = searches.filter(F.coalesce("active", F.lit(True))).withColumns({k: F.array_distinct(_normal(c(k))) for k in _SELECTIONS})
-    pattern = F.concat(*[F.when(F.size(k) == 0, "-").otherwise("x") for k in _SELECTIONS])
-    sought = sought.withColumn("_pattern", pattern)
-    patterns = [r._pattern for r in sought.select("_pattern").distinct().collect()]  # 16 at most
-    for k in _SELECTIONS:
-        sought = sought.withColumn(k, F.explode(F.when(F.size(k) == 0, F.array(F.lit(""))).otherwise(c(k))))
-    own = _sides(projects).withColumn("_pattern", F.explode(F.array(*[F.lit(p) for p in patterns]) if patterns else F.array().cast("array<string>")))
-    for i, mine in enumerate(_SELECTIONS.values()):
-        own = own.withColumn(mine, F.explode(F.when(F.substring("_pattern", i + 1, 1) == "-", F.array(F.lit(""))).otherwise(F.array_distinct(F.array_compact(mine)))))
-    keys = (c("p._pattern") == c("s._pattern")) & reduce(lambda a, b: a & b, [c(f"p.{mine}") == c(f"s.{theirs}") for theirs, mine in _SELECTIONS.items()])
-    ranges = _bounded(c("p.p_value"), c("s.min_value"), c("s.max_value")) & _bounded(c("p.p_units"), c("s.min_units"), c("s.max_units")) & _bounded(c("p.p_confidence"), c("s.min_confidence"))
-    return own.alias("p").join(sought.alias("s"), keys & ranges).select("s.search_id", "s.user_id", "p.project_id").distinct()
+    return searchindex.match(projects, searches)
 
 
 def _bounded(value: Column, low: Column, high: Column | None = None) -> Column:
@@ -52,35 +44,40 @@ def _bounded(value: Column, low: Column, high: Column | None = None) -> Column:
     return F.coalesce(free | (value.isNotNull() & (low.isNull() | (value >= low)) & (high.isNull() | (value <= high))), F.lit(False))
 
 
-def _sides(projects: DataFrame) -> DataFrame:
+def sides(projects: DataFrame) -> DataFrame:
+    """What searches look at of each project: numbers, and normalised texts in arrays. Names of categories, stages and most
+    statuses are plain ASCII; the neighbourhood's name may have accents."""
     c = F.col
-    n = lambda name: text.searchable(c(name).cast("string"))
+    plain = lambda name: text.searchable(c(name).cast("string"), ascii_only=True)
     return projects.select(
         "project_id", c("value").alias("p_value"), c("units").alias("p_units"), c("confidence").alias("p_confidence"),
-        F.array(n("neighbourhood_id"), n("neighbourhood_name")).alias("p_neighbourhood"), F.array(n("effective_category")).alias("p_category"), F.array(n("effective_stage")).alias("p_stage"), F.array(n("permit_status")).alias("p_status"),
+        F.array(plain("neighbourhood_id"), text.searchable(c("neighbourhood_name").cast("string"))).alias("p_neighbourhood"), F.array(plain("effective_category")).alias("p_category"), F.array(plain("effective_stage")).alias("p_stage"), F.array(text.searchable(c("permit_status").cast("string"))).alias("p_status"),
     )
 
 
+def sought(searches: DataFrame) -> DataFrame:
+    """Searches with normalised, distinct selections; null ones are empty."""
+    return searches.withColumns({k: F.array_distinct(_normal(F.col(k))) for k in SELECTIONS})
+
+
 def _normal(values: Column) -> Column:
     return F.transform(F.coalesce(values, F.array()), lambda v: F.trim(F.regexp_replace(F.lower(v), "[^a-z0-9]+", " ")))
 
 
-def _pairs(projects: DataFrame, searches: DataFrame) -> DataFrame:
+def checks() -> list[tuple[str, Column]]:
+    """(code, whether the pair passes) of each criterion, over a row of ``sides`` and one of ``sought``."""
     c = F.col
-    sought = searches.withColumns({k: _normal(c(k)) for k in _SELECTIONS})
-    both = _sides(projects).join(sought, F.lit(True), "inner")
-    chosen = lambda mine, theirs: (F.size(theirs) == 0) | F.arrays_overlap(mine, theirs)
-    checks = [
+    chosen = lambda k: (F.size(k) == 0) | F.arrays_overlap(SELECTIONS[k], k)
+    return [
         ("inactive", F.coalesce(c("active"), F.lit(True))),
-        ("neighbourhood", chosen(c("p_neighbourhood"), c("neighbourhoods"))),
-        ("category", chosen(c("p_category"), c("categories"))),
+        ("neighbourhood", chosen("neighbourhoods")),
+        ("category", chosen("categories")),
         ("construction-value", _bounded(c("p_value"), c("min_value"), c("max_value"))),
         ("units", _bounded(c("p_units"), c("min_units"), c("max_units"))),
         ("confidence-score", _bounded(c("p_confidence"), c("min_confidence"))),
-        ("stage", chosen(c("p_stage"), c("stages"))),
-        ("permit-status", chosen(c("p_status"), c("statuses"))),
+        ("stage", chosen("stages")),
+        ("permit-status", chosen("statuses")),
     ]
-    return both.withColumn("mismatches", F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(code)) for code, ok in checks]), lambda m: m.isNotNull()))
 
 
 def alert_key(user: Column, event: Column) -> Column:

@@ -234,7 +234,7 @@ def _search_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("saved_search", f"""
-with {binding.GOLD_SQL}, {_LAST_SQL}, p as (select g.*, l.status from gold g left join last_ev l using (project_id) order by project_id limit 100),
+with {binding.GOLD_SQL}, {_LAST_SQL}, p as (select g.*, l.status from gold g left join last_ev l using (project_id)),
 m as (
   select 1 as search_id, project_id, neighbourhood_id in ('N1', 'N2') and coalesce(confidence >= 20, false) as matches, neighbourhood_id not in ('N1', 'N2') as nb, false as st from p
   union all select 2, project_id, category = 'PROBABLE_SEMI_DETACHED_INFILL' and coalesce(status = 'Issued', false) and coalesce(value between 100000 and 400000, false), false, not coalesce(status = 'Issued', false) from p
@@ -243,9 +243,8 @@ m as (
   union all select 5, project_id, coalesce(status = 'Cancelled', false) and coalesce(units <= 1, false), false, not coalesce(status = 'Cancelled', false) from p)
 select search_id, project_id, matches, nb as neighbourhood_fails, st as status_fails from m""")
 def saved_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page of a hundred projects with what speaks against each search; saved_search_matches goes over all projects."""
-    page = _search_projects(spark, sf_dir).orderBy("project_id").limit(100)
-    own = alerts.evaluate(page, spark.createDataFrame(SEARCHES, _SEARCH_SCHEMA))
+    """Every project with what speaks against each search."""
+    own = alerts.evaluate(_search_projects(spark, sf_dir), spark.createDataFrame(SEARCHES, _SEARCH_SCHEMA))
     has = lambda code: F.array_contains("mismatches", code)
     return own.select("search_id", "project_id", "matches", has("neighbourhood").alias("neighbourhood_fails"), has("permit-status").alias("status_fails"))
 

@@ -2,6 +2,7 @@
 
 from datetime import date, datetime
 
+import random
 import pytest
 from pyspark.sql import functions as F
 
@@ -380,3 +381,23 @@ def test_phrases(spark):
     texts = {"build a new 2 row house": True, "construction of row house now": True, "rebuild row house": False, "build new new new row house": False, "build the row houses": False, "": False}
     df = spark.createDataFrame([(f" {t} ", v) for t, v in texts.items()], "t string, v boolean")
     assert all(r.v == r.got for r in df.withColumn("got", p.says(F.col("t"), grammar)).collect())
+
+
+def test_the_search_index_enters_a_search_under_its_rarest_criterion(spark):
+    from parcelflow.operators import searchindex
+
+    draw = random.Random(4)
+    rows = [(f"p{i:04}", draw.choice([None, float(draw.randrange(1000))]), draw.choice([None, 1, 2, 3]), f"N{i % 3}", "Old Town" if i % 3 else "N0", draw.choice(["PROBABLE_DUPLEX"] * 9 + ["DEMOLITION_ONLY"]), draw.choice(["Issued", None]), draw.randrange(100), "COMPLETE") for i in range(400)]
+    p = spark.createDataFrame(rows, "project_id string, value double, units int, neighbourhood_id string, neighbourhood_name string, effective_category string, permit_status string, confidence int, effective_stage string")
+    schema = "search_id int, user_id string, active boolean, neighbourhoods array<string>, categories array<string>, stages array<string>, statuses array<string>, min_value double, max_value double, min_units int, max_units int, min_confidence int"
+    some = lambda values: draw.choice([None, [], draw.sample(values, draw.randrange(1, len(values) + 1))])
+    searches = [(i, f"u{i % 7}", draw.choice([True, None, False]), some(["n0", "n1", "old town"]), some(["probable duplex", "demolition only"]), some(["complete", "discovered"]), some(["issued", "none"]),
+                 draw.choice([None, 100.0, 990.0]), draw.choice([None, 50.0, 700.0]), draw.choice([None, 2]), draw.choice([None, 2, 9]), draw.choice([None, 0, 95, 200])) for i in range(120)]
+    searches += [(200, "w", True, [], ["probable duplex"], [], [], 998.0, None, None, None, None), (201, "w", True, [], [], [], [], 400.0, 410.0, None, None, None), (202, "w", True, [], [], [], [], None, None, None, None, None)]
+    s = spark.createDataFrame(searches, schema)
+    want = sorted((r.search_id, r.project_id) for r in alerts.evaluate(p, s).filter("matches").collect())
+    for intervals in (2, 64):
+        assert sorted((r.search_id, r.project_id) for r in searchindex.match(p, s, intervals).collect()) == want
+    sides = alerts.sides(p)
+    lead = {r.search_id: r.criterion for r in searchindex.build(alerts.sought(s), sides, searchindex.cuts(sides)).filter("search_id >= 200").collect()}
+    assert lead == {200: "value", 201: "value", 202: "none"}
