@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ranges
 from ..session import checkpointed
 from . import alerts
 
@@ -24,23 +25,8 @@ DEALS = 16
 RANGES = {"value": ("p_value", "min_value", "max_value"), "units": ("p_units", "min_units", "max_units"), "confidence": ("p_confidence", "min_confidence", None)}
 
 
-def cuts(sides: DataFrame, intervals: int = INTERVALS) -> dict[str, list[float]]:
-    """At most ``intervals - 1`` ascending points for each range criterion: one bounded aggregate over the projects."""
-    shares = ", ".join(f"{i / intervals:.6f}" for i in range(1, intervals))
-    row = sides.agg(*[F.expr(f"approx_percentile(cast({mine} as double), array({shares}), 10000)").alias(name) for name, (mine, _, _) in RANGES.items()]).first()
-    return {name: sorted(set(row[name] or [])) for name in RANGES}
-
-
-def interval(value: Column, points: list[float]) -> Column:
-    """The ordinal of the interval that holds a value: the number of points at or below it, by halving; null for null."""
-
-    def halve(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(value < points[middle], halve(low, middle)).otherwise(halve(middle + 1, high))
-
-    return F.when(value.isNotNull(), halve(0, len(points)))
+def cuts(projects: DataFrame, intervals: int = INTERVALS) -> dict[str, list[float]]:
+    return ranges.cuts(projects, {name: F.col(mine).cast("double") for name, (mine, _, _) in RANGES.items()}, intervals)
 
 
 def _own_keys(points: dict[str, list[float]]) -> Column:
@@ -48,7 +34,7 @@ def _own_keys(points: dict[str, list[float]]) -> Column:
     entry = lambda name, key: F.struct(F.lit(name).alias("criterion"), key.cast("string").alias("key"))
     named = lambda name, values: F.transform(values, lambda v: entry(name, v))
     chosen = [named(k, F.array_distinct(F.array_compact(F.col(mine)))) for k, mine in alerts.SELECTIONS.items()]
-    within = [F.array(entry(name, interval(F.col(mine).cast("double"), points[name]))) for name, (mine, _, _) in RANGES.items()]
+    within = [F.array(entry(name, ranges.interval(F.col(mine).cast("double"), points[name]))) for name, (mine, _, _) in RANGES.items()]
     return F.filter(F.concat(*chosen, *within, F.array(entry("none", F.lit("")))), lambda e: e["key"].isNotNull())
 
 
@@ -58,8 +44,8 @@ def _entries(points: dict[str, list[float]]) -> Column:
     chosen = [F.when(F.size(k) > 0, made(k, F.col(k))) for k in alerts.SELECTIONS]
     within = []
     for name, (_, low, high) in RANGES.items():
-        first = F.coalesce(interval(F.col(low).cast("double"), points[name]), F.lit(0))
-        last = F.coalesce(interval(F.col(high).cast("double"), points[name]), F.lit(len(points[name]))) if high else F.lit(len(points[name]))
+        first = F.coalesce(ranges.interval(F.col(low).cast("double"), points[name]), F.lit(0))
+        last = F.coalesce(ranges.interval(F.col(high).cast("double"), points[name]), F.lit(len(points[name]))) if high else F.lit(len(points[name]))
         asked = F.col(low).isNotNull() | F.col(high).isNotNull() if high else F.col(low).isNotNull()
         keys = F.when(first <= last, F.transform(F.sequence(first, last), lambda i: i.cast("string"))).otherwise(F.array().cast("array<string>"))
         within.append(F.when(asked, made(name, keys)))

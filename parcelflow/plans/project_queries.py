@@ -33,6 +33,30 @@ def episodes_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.groupBy("user_id", "episode").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
+_HOT = "case when cast(substring(event_id, 12, 1) as int) % 2 = 0 then 'hot' else project_id end"
+
+
+@query("episodes_hot_key", f"""
+with {binding.EPISODE_SQL.replace("as project_id, kind", "as own_project, kind").replace("from (select *, case", "from (select *, 0 as x, case", 1).replace("lpad(cast(o_custkey as varchar), 12, '0') as own_project", "case when o_orderkey % 2 = 0 then 'hot' else lpad(cast(o_custkey as varchar), 12, '0') end as project_id")}
+select event_id, project_id, min(issue_date) over w as episode_start, max(fin) over w as episode_end, row_number() over (partition by project_id order by issue_date, event_id) as position from chosen window w as (partition by project_id)""")
+def episodes_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of all permits belong to one project: its events are cut to slices of time."""
+    own = binding.assessed(spark, sf_dir).withColumn("project_id", F.expr(_HOT))
+    return episode.latest_episode(own, slices=episode.SLICES).select("event_id", "project_id", "episode_start", "episode_end", F.col("position").cast("long").alias("position"))
+
+
+@query("sessions_hot_key", """
+with e as (select case when event_id % 2 = 0 then -1 else user_id end as user_id, ts, event_id from events),
+o as (select *, max(ts) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as before from e),
+s as (select *, sum(case when before is null or ts > before + interval 5 minute then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding) as episode from o)
+select user_id, cast(episode as bigint) as episode, count(*) as n, min(ts) as first_ts, max(ts) as last_ts from s group by 1, 2""")
+def sessions_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of all events belong to one user."""
+    events = binding.table(spark, sf_dir, "events").select(F.expr("case when event_id % 2 = 0 then -1 else user_id end").alias("user_id"), "ts", "event_id")
+    own = episode.sliced_sessions(events, "user_id", "ts", "ts", F.expr("interval 5 minutes"), ["event_id"])
+    return own.groupBy("user_id", "episode").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
 @query("episode_undated", f"""
 with {binding.EV_SQL}, undated as (select project_id from ev group by 1 having not bool_or(st = 'F'))
 select event_id, project_id, cast(null as date) as episode_start from ev join undated using (project_id) where role not in ('PROPERTY_ONLY', 'EXCLUDED')""")
