@@ -24,8 +24,12 @@ from . import common
 #: Labelled rows that a model is fitted on, at most.
 FIT_ROWS = 24_000
 PREFIXES = (4, 5, 6)
-MIN_TOXIC, MIN_LOG_ODDS = 3, 2.0
+#: An entry stands in so many toxic texts of the sample at least, and in so large a share of them; its weight is at least
+#: ``MIN_LOG_ODDS``.
+MIN_TOXIC, MIN_TOXIC_SHARE, MIN_LOG_ODDS = 3, 1 / 250, 1.0
 THRESHOLD = 0.3
+#: What a toxic text counts in the curve's fit, so that ``THRESHOLD`` lies where most of them are above it.
+TOXIC_WEIGHT = 3.0
 
 #: Look-alike letters of other scripts, and the digits and signs used for letters.
 LOOKALIKES = {
@@ -166,21 +170,29 @@ def _summed(rows: DataFrame, offer) -> DataFrame:
     return rows.select("text", "toxic").mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """A ridge logistic fit by Newton steps."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: float = TOXIC_WEIGHT) -> tuple[float, float, float]:
+    """A ridge logistic fit by Newton steps, halved where they would lose ground; rows of label 1 count ``weight`` times."""
     design, w = np.column_stack([np.ones(len(x)), x]), np.array([-2.0, 0.0, 0.0])
-    penalty = np.diag([1e-3, 0.05, 0.05])
-    for _ in range(40):
+    penalty, counts = np.diag([1e-3, 0.05, 0.05]), np.where(y > 0, weight, 1.0)
+
+    def loss(v: np.ndarray) -> float:
+        z = design @ v
+        return float(counts @ (np.logaddexp(0, z) - y * z) + v @ penalty @ v / 2)
+
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        hessian = design.T @ (design * (p * (1 - p))[:, None]) + penalty
-        w = w - np.linalg.solve(hessian, design.T @ (p - y) + penalty @ w)
+        hessian = design.T @ (design * (counts * p * (1 - p))[:, None]) + penalty
+        step, size = np.linalg.solve(hessian, design.T @ (counts * (p - y)) + penalty @ w), 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
     return tuple(float(v) for v in w)
 
 
 def fit(labelled: DataFrame) -> Lexicon:
     """A lexicon from labelled texts (text, toxic), as many as ``sample_labels`` leaves. Three quarters of the distinct
     texts give the weights and phrases, the rest the curve. The sample's bound also bounds the lexicon, whose
-    entries stand in ``MIN_TOXIC`` of its texts at least; none is cut off. Without both labels: an empty lexicon, whose
+    entries stand in ``MIN_TOXIC`` of its toxic texts at least, and in ``MIN_TOXIC_SHARE`` of them; none is cut off. Without both labels: an empty lexicon, whose
     score is constant."""
     common.small_batches(labelled.sparkSession)
     sample = common.checkpointed(_distinct(labelled.select("text", "toxic")))
@@ -190,7 +202,7 @@ def fit(labelled: DataFrame) -> Lexicon:
         return Lexicon({})
     odds = F.log((F.col("toxic") + 0.5) / (sizes[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (sizes[0] + 1.0))
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    least = max(MIN_TOXIC, sizes[1] // 250)
+    least = max(MIN_TOXIC, int(sizes[1] * MIN_TOXIC_SHARE))
     found = _summed(learn, terms).filter(F.col("toxic") >= least).withColumn("weight", odds - error).filter(F.col("weight") >= MIN_LOG_ODDS).collect()
     lexicon = Lexicon({r.term: r.weight for r in sorted(found)})
 
