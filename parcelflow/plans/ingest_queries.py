@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, shared_path, spread
-from ..sources import buckets, imports, neighbourhoods, permits, snapshot
+from ..sources import buckets, imports, neighbourhoods, paged, permits, snapshot
 from . import binding
 from .catalogue import query
 
@@ -139,6 +139,18 @@ def import_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("record_key", "construction_value", F.col("issue_date").alias("day"), "match_status", "normalization_version")
 
 
+@query("paged_backfill", f"""
+with {RAW_SQL}
+select id as source_record_id, error_code, cast(o_orderdate as date) as issue_date, printf('%.2f', o_totalprice) as construction_value from tagged
+where pr <> '4' and not bad_date and cast(o_orderdate as date) between date '1996-01-01' and date '1998-12-31'""")
+def paged_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The extract as pages, read again for a range of dates: the source tests the dates and leaves other pages closed."""
+    root = shared_path(spark, "pages")
+    paged.write_pages(raw_building(spark, sf_dir), DATASET, root, "1700000000")
+    own = permits.in_dates(paged.stable_rows(spark, DATASET, root), DATASET, "1996-01-01", "1998-12-31")
+    return permits.normalize(own, DATASET).select("source_record_id", "error_code", "issue_date", "construction_value")
+
+
 @query("duplicate_keys", "select cast(l_orderkey as varchar) || '-' || l_linenumber as record_key, count(*) as n from lineitem group by l_orderkey, l_linenumber having count(*) > 1")
 def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What would stop a run: pairs of order and line that stand in the table more than once."""
