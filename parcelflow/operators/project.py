@@ -26,6 +26,12 @@ def classify(assessed: DataFrame, config: ScoringConfig = DEFAULT, area: DataFra
     episode: each text is searched with as many following ones as a phrase has words, so that no project's texts are ever
     gathered.
     """
+    own = _sited(measured(assessed, config, more, dealt), area, market)
+    return _judged(own, config).drop("any_commercial", "says_commercial", *[f"form_{name}" for name in FORMS])
+
+
+def measured(assessed: DataFrame, config: ScoringConfig = DEFAULT, more: list[Column] = (), dealt: bool = False) -> DataFrame:
+    """What ``classify`` counts of each project before any weight: of the policy, only the gap and the words matter here."""
     c = F.col
     own = episode.mark_episode(assessed if dealt else assessed.repartition("project_id"), config.gap_days)
     here = c("in_episode")
@@ -44,25 +50,33 @@ def classify(assessed: DataFrame, config: ScoringConfig = DEFAULT, area: DataFra
     counts = {
         "n_episode": F.lit(True), "n_dev": c("dev_permit") & c("new_residential"), "n_bldg": c("bldg_permit") & c("new_residential"), "n_either": (c("dev_permit") | c("bldg_permit")) & c("new_residential"),
     }
-    own = own.groupBy("project_id").agg(
+    return own.groupBy("project_id").agg(
         F.count("*").alias("n_events"), F.count_if(c("role") == "PROPERTY_ONLY").alias("n_property_only"), F.count_if(c("role") == "EXCLUDED").alias("n_excluded"), F.bool_or("s_commercial").alias("any_commercial"),
         *[F.bool_or(here & test).alias(name) for name, test in flags.items()], *[F.count_if(here & test).alias(name) for name, test in counts.items()],
         F.max(F.when(here, c("units"))).alias("units"), F.max(F.when(here, c("value"))).alias("value"), F.min(F.when(here, c("_days"))).alias("demolition_to_construction_days"),
         F.min("episode_start").alias("infill_start_date"), F.max("episode_end").alias("latest_infill_activity_date"), *more,
     )
+
+
+def _sited(own: DataFrame, area: DataFrame | None, market: DataFrame | None) -> DataFrame:
     own = own.join(area, "project_id", "left") if area is not None else own.withColumn("area_class", F.lit("UNKNOWN"))
     listed = market.select("project_id", F.lit(True).alias("listed")).distinct() if market is not None else None
     own = own.join(listed, "project_id", "left") if listed is not None else own.withColumn("listed", F.lit(False))
+    return own.withColumns({"area_class": F.coalesce("area_class", F.lit("UNKNOWN")), "listed": F.coalesce("listed", F.lit(False))})
+
+
+def _judged(own: DataFrame, config: ScoringConfig) -> DataFrame:
+    """Category, points, confidence and explanation of measured projects: projections alone."""
+    c = F.col
     own = own.withColumns({
         "commercial": c("says_commercial") | ((c("n_episode") == 0) & F.coalesce("any_commercial", F.lit(False))),
         "within_window": F.coalesce(c("demolition_to_construction_days") <= config.window_days, F.lit(False)),
-        "area_class": F.coalesce("area_class", F.lit("UNKNOWN")), "listed": F.coalesce("listed", F.lit(False)),
     })
     own = own.withColumn("category", category()).withColumn("factors", factors(config))
     own = own.withColumn("confidence", F.when(c("commercial"), 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), F.aggregate("factors", F.lit(0), lambda total, f: total + f["points"])))))
     sentence = F.when(c("within_window"), F.concat(F.lit("Demolition preceded construction by "), c("demolition_to_construction_days"), F.lit(" days.")))
     label = text.label(c("category"))
-    return own.withColumn("explanation", F.concat_ws(" ", F.concat(label, F.lit(" with a confidence score of "), c("confidence"), F.lit("/100.")), F.nullif(F.concat_ws(" ", F.transform("factors", lambda f: f["message"])), F.lit("")), sentence)).drop("any_commercial", *found)
+    return own.withColumn("explanation", F.concat_ws(" ", F.concat(label, F.lit(" with a confidence score of "), c("confidence"), F.lit("/100.")), F.nullif(F.concat_ws(" ", F.transform("factors", lambda f: f["message"])), F.lit("")), sentence))
 
 
 def _padded(texts: Column) -> Column:
@@ -126,6 +140,29 @@ def states(permits: DataFrame, config: ScoringConfig = DEFAULT, area: DataFrame
     return apply_actions(classified.withColumn("stage", timeline.stage_of()).drop("_occupied", "_cancelled", "_rank"), actions)
 
 
+def preview(permits: DataFrame, after: ScoringConfig, before: ScoringConfig = DEFAULT, area: DataFrame | None = None, ascii_only: bool = False) -> DataFrame:
+    """(project_id, before, after) of the projects that another policy would see in another way, each side a struct of
+    category, stage, confidence and explanation; nothing is written. Policies that share gap and words share everything up
+    to one row for each project, which is judged twice; those that share the words share the signals and their shuffle.
+    Confidences may differ where categories do not."""
+    c, sides = F.col, ["category", "stage", "confidence", "explanation"]
+    more = timeline.stage_aggregates(c("in_episode"))
+    marked = lambda own: own.withColumn("_milestones", timeline.found(own.columns))
+    view = lambda own, config: _judged(own, config).withColumn("stage", timeline.stage_of())
+    if before.keywords != after.keywords or before.gap_days != after.gap_days:
+        # signals before the shuffle: with equal words both sides read one exchange
+        signals = lambda config: marked(assess.signals(permits, config, ascii_only).repartition("project_id"))
+        side = lambda config, name: view(_sited(measured(signals(config), config, more, dealt=True), area, None), config).select("project_id", F.struct(*sides).alias(name))
+        both = side(before, "before").join(side(after, "after"), "project_id")
+    else:
+        signals = marked(assess.signals(permits.repartition("project_id"), before, ascii_only))
+        own = _sited(measured(signals, before, more, dealt=True), area, None)
+        first = view(own, before).withColumn("before", F.struct(*sides))
+        both = view(first, after).select("project_id", "before", F.struct(*sides).alias("after"))
+    differs = [c(f"before.{n}").eqNullSafe(c(f"after.{n}")) for n in ("category", "stage", "confidence")]
+    return both.filter(~(differs[0] & differs[1] & differs[2]))
+
+
 #: Actions of a reviewer that change a project, and what each sets.
 ACTIONS = {"CATEGORY": "category", "STAGE": "stage", "MARKET_CHECK": "market_checked", "NOT_RELEVANT": "category", "MERGE": "merged_into"}
 

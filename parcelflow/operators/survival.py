@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
+from ..sources import snapshot
 
 MAX_DAYS = 730
 MIN_COHORT, MIN_EVENTS = 50, 30
@@ -41,20 +44,32 @@ def observations(permits: DataFrame, as_of: Column, issue: str = "issue_date", o
 def curve(observed: DataFrame, scope: list[str]) -> DataFrame:
     """(scope..., days, events, censored, at_risk, survival): counted by day first, so that the windows see
     ``max_days`` rows of a scope at most, however many permits there are."""
-    by_day = observed.groupBy(*scope, "days").agg(F.count_if("occupied").alias("events"), F.count_if(~F.col("occupied")).alias("censored"))
+    return _product_limit(by_day(observed, scope), scope)
+
+
+def by_day(observed: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope..., days, events, censored)."""
+    return observed.groupBy(*scope, "days").agg(F.count_if("occupied").alias("events"), F.count_if(~F.col("occupied")).alias("censored"))
+
+
+def _product_limit(counted: DataFrame, scope: list[str]) -> DataFrame:
     whole = Window.partitionBy(*scope)
     ordered = whole.orderBy("days")
     leaving = F.col("events") + F.col("censored")
     risk = F.sum(leaving).over(whole) - F.sum(leaving).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + leaving
-    own = by_day.withColumn("at_risk", risk)
+    own = counted.withColumn("at_risk", risk)
     return own.withColumn("survival", F.product(1 - F.col("events") / F.col("at_risk")).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
 def benchmarks(observed: DataFrame, scope: list[str], min_cohort: int = MIN_COHORT, min_events: int = MIN_EVENTS) -> DataFrame:
     """A row for each scope: cohort_size, occupancy_count, censored_permits, p25, median and p75 days, and whether it is
     adequate. Quantiles are the first days with survival at 0.75, 0.5 and 0.25 or below; null where never reached."""
+    return _benchmarks(curve(observed, scope), scope, min_cohort, min_events)
+
+
+def _benchmarks(curves: DataFrame, scope: list[str], min_cohort: int, min_events: int) -> DataFrame:
     first = lambda level: F.min(F.when((F.col("events") > 0) & (F.col("survival") <= level), F.col("days")))
-    own = curve(observed, scope).groupBy(*scope).agg(
+    own = curves.groupBy(*scope).agg(
         F.sum(F.col("events") + F.col("censored")).alias("cohort_size"), F.sum("events").alias("occupancy_count"), F.sum("censored").alias("censored_permits"),
         first(0.75).alias("p25_days"), first(0.5).alias("median_days"), first(0.25).alias("p75_days"),
     )
@@ -62,9 +77,12 @@ def benchmarks(observed: DataFrame, scope: list[str], min_cohort: int = MIN_COHO
 
 
 def benchmark_set(observed: DataFrame, group: str, min_cohort: int = MIN_COHORT, min_events: int = MIN_EVENTS) -> DataFrame:
-    """Benchmarks of the portfolio and of each group, in one pass: each observation counts in two scopes."""
-    own = observed.withColumn("scope", F.explode(F.array(F.lit(PORTFOLIO), F.col(group)))).filter(F.col("scope").isNotNull())
-    return benchmarks(own, ["scope"], min_cohort, min_events)
+    """Benchmarks of the portfolio and of each group, in one pass: observations are counted by group and day, and only
+    these counts stand in two scopes."""
+    both = F.explode(F.array(F.lit(PORTFOLIO), F.col(group)))
+    counts = by_day(observed, [group]).select(both.alias("scope"), "days", "events", "censored").filter(F.col("scope").isNotNull())
+    counts = counts.groupBy("scope", "days").agg(F.sum("events").alias("events"), F.sum("censored").alias("censored"))
+    return _benchmarks(_product_limit(counts, ["scope"]), ["scope"], min_cohort, min_events)
 
 
 def with_fallback(rows: DataFrame, group: str, benchmark_rows: DataFrame) -> DataFrame:
@@ -120,3 +138,28 @@ class BenchmarkCache:
         if as_of not in self._kept:
             self._kept[as_of] = now, checkpointed(self.make(as_of))
         return self._kept[as_of][1]
+
+
+class BenchmarkStore:
+    """Benchmarks in a shared folder: a published table for each as-of date and policy, which any session reads while it is
+    younger than so many seconds. Of two sessions that make one at a time, the later reads what the first published."""
+
+    def __init__(self, spark: SparkSession, root: str, seconds: float = 6 * 3600, now: Callable[[], float] = time.time):
+        self.spark, self.root, self.seconds, self.now = spark, root, seconds, now
+
+    def path(self, as_of: date, policy: Mapping[str, object]) -> str:
+        """The folder of a date and a policy: everything that the benchmarks depend on besides the permits."""
+        digest = hashlib.sha256(json.dumps(dict(policy), sort_keys=True, default=str).encode()).hexdigest()
+        return f"{self.root}/{as_of.isoformat()}-{digest[:32]}"
+
+    def get(self, as_of: date, policy: Mapping[str, object], make: Callable[[], DataFrame]) -> DataFrame:
+        root = self.path(as_of, policy)
+        kept = snapshot.last_checkpoint(self.spark, root)
+        if kept is None or self.now() - float(kept.revision) >= self.seconds:
+            made = make()
+            mark = snapshot.Checkpoint("benchmarks", root.rsplit("/", 1)[1], repr(self.now()), made.schema.simpleString(), 0)
+            try:
+                snapshot.publish(made, root, mark)
+            except snapshot.AlreadyPublished:
+                pass  # another session's
+        return snapshot.published(self.spark, root)

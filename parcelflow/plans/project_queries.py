@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT
 from ..functions import geo
 from ..operators import episode, matching, project, timeline
 from . import binding
@@ -94,6 +95,33 @@ def classify_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("project_id", "category", "confidence", F.col("demolition_to_construction_days").alias("gap"), "infill_start_date", "latest_infill_activity_date", "units", "value")
 
 
+#: What the previews ask for: more points for new construction beyond a higher value, and a shorter gap.
+_WEIGHTS = {"weights": {"newResidentialConstruction": 45}, "high_value": 400_000}
+_PREVIEW_SQL = """
+select b.project_id, b.category as category_before, a.category as category_after, b.stage as stage_before, a.stage as stage_after, cast(b.confidence as integer) as confidence_before, cast(a.confidence as integer) as confidence_after
+from (with {before} select * from gold join (select project_id from per) using (project_id)) b join (with {after} select * from gold) a using (project_id)
+where b.category <> a.category or b.stage <> a.stage or b.confidence <> a.confidence"""
+
+
+def _preview(spark: SparkSession, sf_dir: str, **change) -> DataFrame:
+    own = binding.sites(spark, sf_dir)
+    area = own.select("project_id", geo.area_class(F.col("latitude"), F.col("longitude")).alias("area_class"))
+    found = project.preview(binding.permits(spark, sf_dir), DEFAULT.override(**change), area=area, ascii_only=True)
+    return found.select("project_id", *[F.col(f"{side}.{n}").alias(f"{n}_{side}") for n in ("category", "stage", "confidence") for side in ("before", "after")])
+
+
+@query("policy_preview", _PREVIEW_SQL.format(before=binding.GOLD_SQL, after=binding.GOLD_SQL.replace("when ep.fresh then 30", "when ep.fresh then 45").replace("ep.value > 250000", "ep.value > 400000")))
+def policy_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The projects that other points would change: one shuffle of permits for both policies."""
+    return _preview(spark, sf_dir, **_WEIGHTS)
+
+
+@query("policy_preview_gap", _PREVIEW_SQL.format(before=binding.GOLD_SQL, after=binding.GOLD_SQL.replace("548", "200")))
+def policy_preview_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The projects that a shorter gap between episodes would change: other episodes out of the same signals."""
+    return _preview(spark, sf_dir, gap_days=200)
+
+
 @query("project_states", f"with {binding.GOLD_SQL} select project_id, category, stage, cast(confidence as integer) as confidence, earliest_date, latest_date, latest_occupancy, area_class, requires_market_review from gold")
 def project_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binding.gold(spark, sf_dir).select("project_id", F.col("effective_category").alias("category"), F.col("effective_stage").alias("stage"), "confidence", "earliest_date", "latest_date", "latest_occupancy", "area_class", "requires_market_review")

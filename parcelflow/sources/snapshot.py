@@ -23,6 +23,10 @@ class DuplicateSourceIdentifier(ValueError):
     """A record stands in one snapshot twice; the whole run stops and nothing is published."""
 
 
+class AlreadyPublished(RuntimeError):
+    """Another run has published over the state that this one took."""
+
+
 class UnstableSnapshot(ValueError):
     """The source changed between the first and the last row that was read."""
 
@@ -169,7 +173,7 @@ def commit(spark: SparkSession, root: str, number: int, content: dict) -> None:
         out = fs.create(target, False)
     except Py4JJavaError as error:
         if "FileAlreadyExists" in str(error.java_exception):
-            raise RuntimeError(f"another run has published {target.getName()}") from None
+            raise AlreadyPublished(f"another run has published {target.getName()}") from None
         raise
     try:
         out.write(bytearray((json.dumps(content) + "\n").encode()))
