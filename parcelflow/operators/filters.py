@@ -168,6 +168,12 @@ def apply(projects: DataFrame, filters: ProjectFilters, permits: DataFrame | Non
     return own.join(numbered, "project_id", "left").filter(hit | F.col("_numbered").isNotNull()).drop("_numbered")
 
 
+def apply_found(projects: DataFrame, filters: ProjectFilters, found: DataFrame) -> DataFrame:
+    """The projects that pass, where ``found`` has, as ``key``, the ids of those that the text was found in (see
+    ``gramindex.search``): no text is read again."""
+    return projects.filter(predicate(filters)).join(found.withColumnRenamed("key", "project_id"), "project_id", "left_semi")
+
+
 def order_by(filters: ProjectFilters) -> list[Column]:
     """The sort columns; enumerations go by declared order, dates, values and units have nulls last, ties go by id."""
     column = F.col(SORT_COLUMNS[filters.sort])

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import PUBLIC_CATEGORIES, REVIEW_STATUSES, STAGES, START_CATEGORIES
-from ..functions import dates, geo, text
+from ..functions import cells, dates, geo, text
+from ..sources import snapshot
 from . import assess, timeline
 from .filters import ProjectFilters, apply, is_public, order_by
 
@@ -84,6 +85,24 @@ def visible_markers(neighbourhoods: DataFrame, bounds: tuple[float, float, float
     return neighbourhoods.filter(inside).orderBy(F.col("confidence").desc(), distance, "project_id").limit(limit)
 
 
+def store_placed(projects: DataFrame, root: str) -> int:
+    """Publish projects in the order of their cells, with the column ``cell``; the number of the manifest. Projects without
+    coordinates come first, which no box reads."""
+    own = projects.withColumn("cell", cells.cell(F.col("latitude"), F.col("longitude")))
+    snapshot.publish(own.repartitionByRange("cell", "project_id").sortWithinPartitions("cell", "project_id"), root)
+    return snapshot.newest(projects.sparkSession, root)[1]["number"]
+
+
+def placed_within(spark: SparkSession, root: str, bounds: tuple[float, float, float, float], number: int | None = None) -> DataFrame:
+    """The stored projects within (south, west, north, east): ranges of cells skip files and row groups, then the coordinates
+    decide."""
+    own = snapshot.published(spark, root, number)
+    if own is None:
+        raise FileNotFoundError(f"no projects in {root}")
+    south, west, north, east = bounds
+    return own.filter(cells.within(F.col("cell"), bounds)).filter(F.col("latitude").between(south, north) & F.col("longitude").between(west, east))
+
+
 def marker_diameter(count: Column, largest: Column) -> Column:
     return 40 + F.floor(count / largest * 22 + 0.5)
 

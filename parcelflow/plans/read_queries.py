@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import alerts, filters, readmodel
+from ..operators import alerts, filters, gramindex, readmodel
+from ..session import shared_path
 from ..sources import export
 from . import binding
 from .catalogue import query
@@ -45,6 +46,16 @@ def text_search_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.apply(binding.gold(spark, sf_dir), SEARCH, binding.permits(spark, sf_dir)).select("project_id", F.col("effective_category").alias("category"))
 
 
+@query("text_search_index", f"with {binding.GOLD_SQL} select project_id, category from public where area_class = 'CORE' and (contains(lower(title), 'p-12') or contains(lower(street), 'p-12') or project_id in (select project_id from ev where contains(lower(permit_number), 'p-12')))")
+def text_search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search over an index of titles, streets and permit numbers, which is built here and would be kept."""
+    sites, root = binding.sites(spark, sf_dir), shared_path(spark, "grams")
+    texts = sites.select("project_id", F.explode(F.array("title", "street")).alias("text")).unionByName(binding.permits(spark, sf_dir).select("project_id", F.col("permit_number").alias("text")))
+    gramindex.build(texts, root)
+    found = filters.apply_found(binding.gold(spark, sf_dir), SEARCH, gramindex.search(spark, root, SEARCH.q))
+    return found.select("project_id", F.col("effective_category").alias("category"))
+
+
 @query("markers", f"""
 with {binding.GOLD_SQL}, placed as (select *, row_number() over (order by value desc nulls last, project_id) as n, count(*) over () as total from public where area_class = 'CORE' and latitude is not null)
 select project_id, category, stage, cast(confidence as integer) as confidence, round(latitude, 6) as latitude, round(longitude, 6) as longitude, total > 100 as truncated from placed where n <= 100""")
@@ -221,6 +232,16 @@ def visible_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readmodel.visible_markers(_active(spark, sf_dir), (53.5, -113.6, 53.6, -113.4), (53.55, -113.5)).select("project_id")
 
 
+@query("visible_markers_cells", f"""
+with {binding.GOLD_SQL}, {_ACTIVE}
+select project_id from active where latitude between 53.5 and 53.6 and longitude between -113.6 and -113.4 order by confidence desc, power(latitude - 53.55, 2) + power(longitude + 113.5, 2), project_id limit 250""")
+def visible_markers_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same markers from projects stored by cells."""
+    box, root = (53.5, -113.6, 53.6, -113.4), shared_path(spark, "placed")
+    number = readmodel.store_placed(_active(spark, sf_dir).select("project_id", "latitude", "longitude", "confidence"), root)
+    return readmodel.visible_markers(readmodel.placed_within(spark, root, box, number), box, (53.55, -113.5)).select("project_id")
+
+
 SEARCHES = [
     (1, "ann", True, ["NATION_1", "N2"], [], [], [], None, None, None, None, 20), (2, "ann", True, [], ["PROBABLE_SEMI_DETACHED_INFILL"], [], ["Issued"], 100000.0, 400000.0, None, None, None),
     (3, "ben", False, [], [], [], [], None, None, None, None, None), (4, "cat", True, [], [], ["COMPLETE"], [], None, None, 2, None, 50), (5, "cat", True, None, [], [], ["cancelled"], None, None, None, 1, None),
