@@ -30,10 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def permits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Silver permits out of orders: a scan and a projection; texts are read in as many tasks as there are cores."""
+def permits(spark: SparkSession, sf_dir: str, even: bool = True) -> DataFrame:
+    """Silver permits out of orders: a scan and a projection; ``even``: texts are read in as many tasks as there are cores,
+    which is of no use before a shuffle by project."""
     c = F.col
-    own = spread(table(spark, sf_dir, "orders")).withColumn("kind", F.expr(KIND))
+    own = table(spark, sf_dir, "orders")
+    own = (spread(own) if even else own).withColumn("kind", F.expr(KIND))
     texts = F.create_map(*[x for k, v in TEXTS.items() for x in (F.lit(k), F.struct(*[F.lit(t).cast("string").alias(n) for t, n in zip(v, ("dataset", "permit_type", "permit_subtype", "description", "building_type"))]))])
     states = F.create_map(*[F.lit(x) for pair in STATUS.items() for x in pair])
     issue = F.to_date("o_orderdate")
@@ -68,7 +70,7 @@ def assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold projects: what the permits say of each site, joined to it."""
     own = sites(spark, sf_dir).withColumn("area_class", geo.area_class(F.col("latitude"), F.col("longitude")))
-    states = project.states(permits(spark, sf_dir), area=own.select("project_id", "area_class"), ascii_only=True)
+    states = project.states(permits(spark, sf_dir, even=False), area=own.select("project_id", "area_class"), ascii_only=True)
     return own.drop("area_class").join(states, "project_id", "left").withColumns({
         "effective_category": F.coalesce("effective_category", F.lit("NOT_RELEVANT")), "effective_stage": F.coalesce("effective_stage", F.lit("DISCOVERED")),
         "confidence": F.coalesce("confidence", F.lit(0)), "requires_market_review": F.coalesce("requires_market_review", F.lit(False)),
