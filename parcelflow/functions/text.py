@@ -66,13 +66,32 @@ def phrase(text: str) -> str:
     return re.sub("[^a-z0-9]+", " ", _decompose(text).lower()).strip()
 
 
-def contains_any(text: Column, keywords: list[str], padded: bool = False) -> Column:
-    """Whole words or phrases of normalised text, by plain substring search; ``padded`` text has a blank at both ends."""
-    phrases = [p for p in dict.fromkeys(map(phrase, keywords)) if p]
-    tests = lambda t: reduce(lambda a, b: a | b, [t.contains(f" {p} ") for p in phrases])
+def _phrases(keywords: list[str]) -> list[str]:
+    return [p for p in dict.fromkeys(map(phrase, keywords)) if p]
+
+
+def contains_any(text: Column, keywords: list[str]) -> Column:
+    """Whole words or phrases of normalised text, by plain substring search."""
+    phrases = _phrases(keywords)
     if not phrases:
         return F.lit(False)
-    return tests(text) if padded else let(F.concat(F.lit(" "), text, F.lit(" ")), tests)
+    return let(F.concat(F.lit(" "), text, F.lit(" ")), lambda t: reduce(lambda a, b: a | b, [t.contains(f" {p} ") for p in phrases]))
+
+
+def holds_any(column: str, keywords: list[str]) -> Column:
+    """The same for a named column of text that has a blank at both ends. Its tests are parsed from one text, as every
+    column that Python makes is several calls to the JVM. Phrases are letters, digits and blanks, which need no quoting."""
+    phrases = _phrases(keywords)
+    return F.expr(" or ".join(f"contains(`{column}`, ' {p} ')" for p in phrases)) if phrases else F.lit(False)
+
+
+def literal_array(words: list[str]) -> Column:
+    """Plain words (no quotes among them) as one literal, parsed from one text."""
+    return F.expr(f"array({', '.join(map(repr, words))})")
+
+
+def literal_map(words: dict[str, str]) -> Column:
+    return F.expr(f"map({', '.join(map(repr, (x for pair in words.items() for x in pair)))})")
 
 
 def strip(text: Column) -> Column:
@@ -87,7 +106,7 @@ def clean(text: Column, length: int) -> Column:
 
 def label(code: Column) -> Column:
     """What people read for a category, stage or review status."""
-    return F.try_element_at(F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair]), code)
+    return F.try_element_at(literal_map(LABELS), code)
 
 
 def uri_part(text: Column) -> Column:

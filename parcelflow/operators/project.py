@@ -43,7 +43,7 @@ def measured(assessed: DataFrame, config: ScoringConfig = DEFAULT, more: list[Co
         "_form": _padded(F.collect_list("t_form").over(among.rowsBetween(0, width(*FORMS) - 1))),
         "_days": episode.days_since(["project_id", "in_episode"], "event_time", c("demolition") & c("at_site"), c("new_residential") & c("event_time").isNotNull()),
     })
-    found = {"says_commercial": text.contains_any(c("_all"), config.keywords["commercialOrIndustrial"], padded=True)} | {f"form_{name}": c("new_residential") & text.contains_any(c("_form"), config.keywords[name], padded=True) for name in FORMS}
+    found = {"says_commercial": text.holds_any("_all", config.keywords["commercialOrIndustrial"])} | {f"form_{name}": c("new_residential") & text.holds_any("_form", config.keywords[name]) for name in FORMS}
     flags = {
         "has_demolition": c("demolition") & c("at_site"), "has_new": c("new_residential"), "has_language": c("new_dwelling"), "has_residential": c("residential"), "has_renovation": c("renovation"),
     } | found

@@ -71,10 +71,9 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold projects: what the permits say of each site, joined to it."""
     own = sites(spark, sf_dir).withColumn("area_class", geo.area_class(F.col("latitude"), F.col("longitude")))
     states = project.states(permits(spark, sf_dir, even=False), area=own.select("project_id", "area_class"), ascii_only=True)
-    return own.drop("area_class").join(states, "project_id", "left").withColumns({
+    return own.join(states.drop("area_class"), "project_id", "left").withColumns({
         "effective_category": F.coalesce("effective_category", F.lit("NOT_RELEVANT")), "effective_stage": F.coalesce("effective_stage", F.lit("DISCOVERED")),
         "confidence": F.coalesce("confidence", F.lit(0)), "requires_market_review": F.coalesce("requires_market_review", F.lit(False)),
-        "area_class": F.coalesce("area_class", geo.area_class(F.col("latitude"), F.col("longitude"))),
     })
 
 
