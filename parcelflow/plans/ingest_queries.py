@@ -196,3 +196,37 @@ def failures_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = own.withColumn("run_id", F.when(F.col("o_orderstatus") == "P", 2).otherwise(3))
     runs = spark.createDataFrame([(2, "SUCCEEDED"), (3, "PARTIALLY_SUCCEEDED")], "run_id int, status string")
     return readmodel.failures(own, runs, page_number=2).select("o_orderkey", "error_code", "run_status")
+
+
+@query("neighbourhood_list", """
+select cast(n_nationkey + 1 as varchar) as city_id, 'Old ' || n_name as name, coalesce(min(53.3::double + cast((c_custkey * 37) % 500 as double) / 1000.0::double) filter (where c_acctbal >= 0), 53.5::double) as latitude,
+       coalesce(min((-113.8)::double + cast((c_custkey * 91) % 600 as double) / 1000.0::double) filter (where c_acctbal >= 0), (-113.5)::double) as longitude
+from nation left join customer on c_nationkey = n_nationkey group by 1, 2""")
+def neighbourhood_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The authority's list, checked as a whole; as raw text, with blanks. A corner of a nation's sites stands for its centre."""
+    c = F.col
+    corner = binding.sites(spark, sf_dir).groupBy("neighbourhood_name").agg(F.min("latitude").alias("lat"), F.min("longitude").alias("lon"))
+    nations = binding.table(spark, sf_dir, "nation").join(corner, c("n_name") == c("neighbourhood_name"), "left")
+    raw = nations.select(
+        F.concat(F.lit(" "), (c("n_nationkey") + 1).cast("string")).alias("number"), F.concat(F.lit(" Old  \t"), c("n_name"), F.lit(" ")).alias("name_mixed"),
+        F.coalesce("lat", F.lit(53.5)).cast("string").alias("latitude"), F.coalesce("lon", F.lit(-113.5)).cast("string").alias("longitude"),
+    )
+    return neighbourhoods.checked(raw, rows=(25, 25))  # nations are a fixed list, shorter than the city's
+
+
+@query("extract_columns", f"""
+with {RAW_SQL}
+select unnest(['row_id', 'issue_date', 'permit_date', 'job_category', 'units_added', 'occupancy_granted_date', 'zoning']) as column_name, count(*) as n_rows,
+       unnest([count(id), count(*) filter (where bad_date or pr <> '4'), count(*), count(*) filter (where pr <> '3'), count(*) filter (where bad_units or o_orderstatus in ('O', 'P')), count(*) filter (where o_orderstatus = 'F'), 0]) as n_filled,
+       true as seen from raw""")
+def extract_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extract of JSON lines: the rows that its metadata announce, how many of them fill a column, and whether a run that
+    has seen it may stop before it reads a row."""
+    path, names = shared_path(spark, "extract"), ["row_id", "issue_date", "permit_date", "job_category", "units_added", "occupancy_granted_date", "zoning"]
+    raw_building(spark, sf_dir).write.json(path)
+    raw = permits.read_json(spark, path, DATASET)
+    first = permits.metadata(raw, DATASET)
+    seen = snapshot.unchanged_revision(first, permits.metadata(raw, DATASET))
+    counts = raw.agg(*[F.count(n).alias(n) for n in names])
+    own = counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("column_name"), F.col(n).alias("n_filled")) for n in names])).alias("r")).select("r.*")
+    return own.select("column_name", F.lit(first.row_count).cast("long").alias("n_rows"), "n_filled", F.lit(seen).alias("seen"))
