@@ -24,6 +24,10 @@ SEQUENCE = 2048
 GROUP_DOCUMENTS = 384
 #: Groups that one task packs, one after another, on average.
 TASK_GROUPS = 256
+#: Documents and bytes of ids that a task holds of one group; equal rows may make a group of any size.
+HELD_DOCUMENTS, HELD_BYTES = 4096, 64 << 20
+#: Bits of a sequence's number within its group.
+NUMBER_BITS = 34
 SEED = 7
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
@@ -113,7 +117,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, room: int
 
     A null text has the end id alone. Rows that repeat a doc_id are documents of their own; a null doc_id
     stays null in the result. An empty table gives no rows. Other columns are ignored. ``sequence_id`` is
-    unique over all groups; ``sequence_tokens`` is the sequence's filled length.
+    unique over all groups; ``sequence_tokens`` is the sequence's filled length. Equal rows fall into one group,
+    however many: what is held of a group is packed once it reaches ``HELD_DOCUMENTS`` rows or ``HELD_BYTES``.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -127,29 +132,32 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 1, room: int
         for b in common.batches(stream):
             yield pa.RecordBatch.from_arrays([pa.array(b["doc_id"], pa.int64()), pa.array(b["pack"], pa.int64()), pa.array([v + tail for v in own.encode(b["text"])], pa.binary())], ["doc_id", "pack", "ids"])
 
-    def one(group: int, ids: list[int | None], values: list[bytes], kind: np.dtype) -> pa.RecordBatch:
+    def one(group: int, first: int, ids: list[int | None], values: list[bytes], kind: np.dtype) -> pa.RecordBatch:
         rows = []
-        for s, pieces in enumerate(pack([len(v) // kind.itemsize for v in values], room)):
+        for s, pieces in enumerate(pack([len(v) // kind.itemsize for v in values], room), first):
             at, total = 0, sum(p[2] for p in pieces)
             for d, start, n in pieces:
                 own = np.frombuffer(values[d], kind, n, start * kind.itemsize)
-                rows.append((ids[d], start, n, zlib.crc32(own.astype("<u4").tobytes()), len(values[d]) // kind.itemsize, group << 24 | s, at, total))
+                rows.append((ids[d], start, n, zlib.crc32(own.astype("<u4").tobytes()), len(values[d]) // kind.itemsize, group << NUMBER_BITS | s, at, total))
                 at += n
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], [f.split()[0] for f in SCHEMA.split(", ")])
 
     def fill(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = tokens.encoder(vocabulary).dtype
-        group, ids, values = None, [], []
+        group, first, held, ids, values = None, 0, 0, [], []
         for batch in stream:
             for i, g, v in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                if g != group and values:
-                    yield one(group, ids, values, kind)
-                    ids, values = [], []
+                if values and (g != group or len(values) >= HELD_DOCUMENTS or held >= HELD_BYTES):
+                    done = one(group, first, ids, values, kind)
+                    yield done
+                    first = done.column("sequence_id")[-1].as_py() - (group << NUMBER_BITS) + 1 if g == group else 0
+                    held, ids, values = 0, [], []
                 group = g
+                held += len(v)
                 ids.append(i)
                 values.append(v)
         if values:
-            yield one(group, ids, values, kind)
+            yield one(group, first, ids, values, kind)
 
     encoded = chosen.mapInArrow(encode, "doc_id long, pack long, ids binary")
     dealt = encoded.repartition(max(common.partitions(spark), -(-groups // TASK_GROUPS)), "pack").sortWithinPartitions("pack", F.asc_nulls_first("doc_id"))

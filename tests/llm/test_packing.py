@@ -92,3 +92,16 @@ def test_one_very_long_document(spark):
     got = packing.pack_documents(spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string"), tokens.default_vocabulary()).collect()
     own = sorted((r for r in got if r.doc_id == 1), key=lambda r: r.start)
     assert own[0].doc_tokens == sum(r.length for r in own) > 400_000 and [r.start for r in own] == [sum(x.length for x in own[:i]) for i in range(len(own))]
+
+
+def test_equal_rows_of_any_number_are_held_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "HELD_DOCUMENTS", 50)
+    rows = [(7, "the same words again")] * 1000 + [(i, f"other {i}") for i in range(100, 160)]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), tokens.default_vocabulary(), room=32).collect()
+    assert sum(r.length for r in got if r.doc_id == 7) == 1000 * next(r.doc_tokens for r in got if r.doc_id == 7)
+    assert {r.doc_id for r in got} == {7, *range(100, 160)}
+    filled = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == filled.get(r.sequence_id, 0)
+        filled[r.sequence_id] = r.offset + r.length
+    assert all(n <= 32 for n in filled.values()) and all(filled[r.sequence_id] == r.sequence_tokens for r in got)
