@@ -26,7 +26,9 @@ def _trimmed(line: Column) -> Column:
 def exploded(docs: DataFrame, site: str = "source") -> DataFrame:
     """(row, doc_id, line_no, h, site) of the lines that are not blank; ``row`` tells apart rows that share a doc_id."""
     row = F.xxhash64("doc_id", "text")
-    lines = docs.select(row.alias("row"), F.col("doc_id"), F.col(site).cast("string").alias("site"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    # the row's hash stands below the generator, or it would be taken of the whole text for every line
+    split = docs.select(row.alias("row"), F.col("doc_id"), F.col(site).cast("string").alias("site"), F.split("text", "\n").alias("parts"))
+    lines = split.select("row", "doc_id", "site", F.posexplode("parts").alias("line_no", "line"))
     return lines.withColumn("line", _trimmed(F.col("line"))).filter("line != ''").select("row", "doc_id", "line_no", F.xxhash64("line").alias("h"), "site")
 
 
