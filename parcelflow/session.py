@@ -18,7 +18,6 @@ def build_session(app: str = "parcelflow", cores: int | str = "*", partitions: i
         .config("spark.sql.ansi.enabled", "true")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(partitions))
-        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")  # permits are short, their rules dear
         .config("spark.ui.enabled", "false")
         .config("spark.driver.host", "127.0.0.1")
     )
