@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, ScoringConfig
 from ..functions import geo, text
-from ..session import checkpointed
+from ..session import checkpointed, dealt as dealt_by
 from . import assess, episode, timeline
 
 #: Forms of new buildings, in order of precedence.
@@ -22,7 +22,7 @@ def classify(assessed: DataFrame, config: ScoringConfig = DEFAULT, area: DataFra
     demolition to construction, episode dates, units, value and role counts, and ``more`` aggregates of its events.
 
     ``area``: (project_id, area_class); ``market``: (project_id) with a listing signal. Events are dealt once, by project;
-    all windows and the aggregate follow that (``dealt``: they lie so already). Phrases may span the texts of events that follow one another in an
+    all windows and the aggregate follow that (``dealt``: they lie so already, which large tables should by ``session.dealt``). Phrases may span the texts of events that follow one another in an
     episode: each text is searched with as many following ones as a phrase has words, so that no project's texts are ever
     gathered.
     """
@@ -132,7 +132,7 @@ def states(permits: DataFrame, config: ScoringConfig = DEFAULT, area: DataFrame
     """Project state out of silver permits: classification, stage of the episode, dates of all milestones, review flag,
     and the overrides of an action log (see ``apply_actions``). Writes nothing, so that it also previews a policy."""
     # raw columns are dealt, which are smaller than the texts made of them
-    assessed = assess.signals(permits.repartition("project_id"), config, ascii_only)
+    assessed = assess.signals(dealt_by(permits, "project_id"), config, ascii_only)
     assessed = assessed.withColumn("_milestones", timeline.found(assessed.columns))
     on = lambda pick: pick(F.transform("_milestones", lambda m: m["date"]))
     more = [*timeline.stage_aggregates(F.col("in_episode")), F.min(on(F.array_min)).alias("earliest_date"), F.max(on(F.array_max)).alias("latest_date"), F.max("occupancy_date").alias("latest_occupancy")]
@@ -151,11 +151,11 @@ def preview(permits: DataFrame, after: ScoringConfig, before: ScoringConfig = DE
     view = lambda own, config: _judged(own, config).withColumn("stage", timeline.stage_of())
     if before.keywords != after.keywords or before.gap_days != after.gap_days:
         # signals before the shuffle: with equal words both sides read one exchange
-        signals = lambda config: marked(assess.signals(permits, config, ascii_only).repartition("project_id"))
+        signals = lambda config: marked(dealt_by(assess.signals(permits, config, ascii_only), "project_id", like=permits))
         side = lambda config, name: view(_sited(measured(signals(config), config, more, dealt=True), area, None), config).select("project_id", F.struct(*sides).alias(name))
         both = side(before, "before").join(side(after, "after"), "project_id")
     else:
-        signals = marked(assess.signals(permits.repartition("project_id"), before, ascii_only))
+        signals = marked(assess.signals(dealt_by(permits, "project_id"), before, ascii_only))
         own = _sited(measured(signals, before, more, dealt=True), area, None)
         first = view(own, before).withColumn("before", F.struct(*sides))
         both = view(first, after).select("project_id", "before", F.struct(*sides).alias("after"))

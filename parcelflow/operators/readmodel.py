@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import PUBLIC_CATEGORIES, REVIEW_STATUSES, STAGES, START_CATEGORIES
 from ..functions import cells, dates, geo, text
+from ..session import dealt
 from ..sources import snapshot
 from . import assess, timeline
 from .filters import ProjectFilters, apply, is_public, order_by
@@ -26,7 +27,8 @@ MARKERS, MARKERS_MOST, MAP_PROJECTS, NEIGHBOURHOODS = 2_000, 10_000, 5_000, 10
 
 
 def latest_events(permits: DataFrame) -> DataFrame:
-    """(project_id, latest_event): the permit with the greatest event date, then event_id; one partial aggregate."""
+    """(project_id, latest_event): the permit with the greatest event date, then event_id. Aggregates of structs sort what
+    they get, so that permits which are many should be dealt by project before (``session.dealt``)."""
     return permits.groupBy("project_id").agg(F.max_by(F.struct(F.col("project_event_date").alias("date"), "permit_type", "permit_subtype", "status"), F.struct("project_event_date", "event_id")).alias("latest_event"))
 
 
@@ -57,7 +59,7 @@ def totals(projects: DataFrame, permits: DataFrame, filters: ProjectFilters) ->
 
 def export(projects: DataFrame, permits: DataFrame, filters: ProjectFilters) -> DataFrame:
     """Every project that passes, for the CSV sink, unsorted (the sink sorts)."""
-    return list_items(apply(projects, filters, permits).join(latest_events(permits), "project_id", "left"))
+    return list_items(apply(projects, filters, permits).join(latest_events(dealt(permits, "project_id")), "project_id", "left"))
 
 
 def markers(projects: DataFrame, filters: ProjectFilters, permits: DataFrame | None = None, limit: int = MARKERS) -> DataFrame:

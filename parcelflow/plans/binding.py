@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import assess, project
-from ..session import spread
+from ..session import dealt, spread
 
 #: kind: dataset, type, subtype, description, building type
 TEXTS = {
@@ -63,8 +63,10 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assess.signals(permits(spark, sf_dir), ascii_only=True)
+def assessed(spark: SparkSession, sf_dir: str, by_project: bool = False) -> DataFrame:
+    """Permits with their signals; ``by_project``: dealt for windows by project, before the signals, as raw columns are smaller."""
+    own = permits(spark, sf_dir, even=not by_project)
+    return assess.signals(dealt(own, "project_id") if by_project else own, ascii_only=True)
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:

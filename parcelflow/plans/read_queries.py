@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import alerts, filters, gramindex, readmodel
-from ..session import shared_path
+from ..session import dealt, shared_path
 from ..sources import export
 from . import binding
 from .catalogue import query
@@ -250,7 +250,7 @@ _SEARCH_SCHEMA = "search_id int, user_id string, active boolean, neighbourhoods
 
 
 def _search_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = readmodel.latest_events(binding.permits(spark, sf_dir)).select("project_id", F.col("latest_event.status").alias("permit_status"))
+    last = readmodel.latest_events(dealt(binding.permits(spark, sf_dir, even=False), "project_id")).select("project_id", F.col("latest_event.status").alias("permit_status"))
     return binding.gold(spark, sf_dir).join(last, "project_id", "left")
 
 

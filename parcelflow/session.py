@@ -35,6 +35,19 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
+#: Rows of a table that one task holds and sorts after ``dealt``.
+TASK_ROWS = 100_000
+
+
+def dealt(rows: DataFrame, *keys: str, like: DataFrame | None = None) -> DataFrame:
+    """Rows dealt by key to as many tasks as hold ``TASK_ROWS`` each, so that what a task sorts does not grow with the table;
+    shuffles that go by the session's number of partitions, or merge small ones, give a task its share of any table. The rows
+    are counted, which reads the footers alone of a plain scan; ``like`` is a frame of as many rows that is counted instead
+    of a dear one. A single key stays whole."""
+    tasks = -(-(like if like is not None else rows).count() // TASK_ROWS)
+    return rows.repartition(max(tasks, rows.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names. A local master without one gets a temporary folder; on a cluster it must
     be set."""
