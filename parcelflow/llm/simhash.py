@@ -321,9 +321,22 @@ def _verified(dealt: DataFrame, similarity: float) -> DataFrame:
     return spread.select("key", "part", "text_id", "shingles").mapInArrow(scan, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, texts_at_once: int = TEXTS) -> DataFrame:
+def fingerprint_links(texts: DataFrame, bits: int) -> DataFrame:
+    """(a, b): links among texts (text_id, fp) that leave together what all pairs of fingerprints within ``bits`` would. Texts
+    of one fingerprint are linked to the least of them, and these as ``links`` links the fingerprints."""
+    firsts = common.checkpointed(texts.groupBy("fp").agg(F.min("text_id").alias("first")))
+    same = texts.join(firsts, "fp").filter("text_id <> first").select(F.col("first").alias("a"), F.col("text_id").alias("b"))
+    named = lambda side: firsts.select(F.col("fp").alias(side), F.col("first").alias(f"text_{side}"))
+    near = links(firsts.select("fp"), bits).join(named("a"), "a").join(named("b"), "b").select(F.col("text_a").alias("a"), F.col("text_b").alias("b"))
+    return same.unionByName(near)
+
+
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, texts_at_once: int = TEXTS, bits: int | None = None) -> DataFrame:
     """(text_id, doc_id, keeper): each row's text, and the smallest doc_id of its near-duplicate group.
 
+    With ``bits``, texts whose SimHash fingerprints differ by so many bits at most are linked, by ``links`` over their
+    deletion variants. These links stand; those below join what fingerprints lose.
+
     Texts of which ``similarity`` of all five-word shingles are common are linked, and links make groups. Candidates are
     texts with a common key of ``band_keys``, which a linked pair lacks with the probability that ``BANDS`` states. All
     texts of a key are compared by their whole sets of shingles, and only what the comparison holds becomes a link; a key
@@ -337,7 +350,8 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, texts_at_onc
     def keys_of(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.batches(stream):
             keys = [band_keys(shingle_set(t)) for t in b["text"]]
-            yield pa.RecordBatch.from_arrays([pa.array(b["text_id"], pa.int64()), pa.array(b["doc_id"], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["text_id", "doc_id", "keys"])
+            fps = np.array([0 if bits is None else fingerprint(t) for t in b["text"]], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(b["text_id"], pa.int64()), pa.array(b["doc_id"], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(fps, pa.int64())], ["text_id", "doc_id", "keys", "fp"])
 
     def sets_of(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -352,8 +366,8 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, texts_at_onc
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.xxhash64(text).alias("text_id"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    own = common.stored(rows.mapInArrow(keys_of, "text_id long, doc_id long, keys array<long>"), "keys")
-    texts = common.checkpointed(own.groupBy("text_id").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys")))
+    own = common.stored(rows.mapInArrow(keys_of, "text_id long, doc_id long, keys array<long>, fp long"), "keys")
+    texts = common.checkpointed(own.groupBy("text_id").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"), F.first("fp").alias("fp")))
     keyed = texts.select("text_id", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("text_id").alias("x"), F.bit_xor(F.xxhash64("text_id")).alias("y")).filter("n > 1")
     buckets = common.checkpointed(buckets.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / texts_at_once).cast("int").alias("parts")))
@@ -363,18 +377,20 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, texts_at_onc
     place = members.withColumn("i", F.expr("pmod(xxhash64(text_id, key), parts)")).withColumn("j", F.explode(F.expr("sequence(0, parts - 1)")))
     dealt = place.select("key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "parts", "text_id")
     dealt = dealt.select("key", (F.col("low") * F.col("parts") + F.col("high")).alias("part"), "text_id").join(sets, "text_id")
-    true_links = common.checkpointed(_verified(dealt, similarity).distinct())
-    roots = components(true_links)
+    true_links = _verified(dealt, similarity)
+    if bits is not None:
+        true_links = true_links.unionByName(fingerprint_links(texts.select("text_id", "fp"), bits))
+    roots = components(common.checkpointed(true_links.distinct()))
     named = texts.select("text_id", "first_id").join(roots.withColumnRenamed("v", "text_id"), "text_id", "left").select("text_id", "first_id", F.coalesce("root", "text_id").alias("root"))
     least = named.groupBy("root").agg(F.min("first_id").alias("keeper"))
     keepers = common.checkpointed(named.join(least, "root").select("text_id", "keeper"))
     return own.select("text_id", "doc_id").join(keepers, "text_id").select("text_id", "doc_id", "keeper")
 
 
-def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of each near-duplicate group. Rows that share a doc_id and text are
+def keep_first(docs: DataFrame, similarity: float = SIMILARITY, bits: int | None = None) -> DataFrame:
+    """The rows of ``docs`` with the smallest doc_id of each near-duplicate group (``similar_groups``). Rows that share a doc_id and text are
     one; a group whose doc_ids are all null keeps one row. Columns stay as they are."""
-    groups = similar_groups(docs, similarity)
+    groups = similar_groups(docs, similarity, bits=bits)
     h, whole = common.spare(docs, "text_hash", "whole_id")
     own_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))  # joins and duplicates go by the same two keys
     kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("keeper"))).select(F.col("text_id").alias(h), own_id.alias(whole)).distinct()

@@ -3,8 +3,10 @@
 import random
 import zlib
 
+import numpy as np
+
 import corpus_pipeline
-from parcelflow.llm import common
+from parcelflow.llm import common, simhash
 
 
 def corpus(spark, tmp_path):
@@ -61,3 +63,13 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_near_duplicates_by_fingerprint(spark, tmp_path):
+    """A text that repeats itself and one with a tail of other words: fingerprints weigh repeats, sets of shingles do not."""
+    unit = "a b c d e f g "
+    one, two = (unit * 40).strip(), (unit * 40 + " ".join(f"{w}{i}" for i, w in enumerate("stuvwxyz"))).strip()
+    assert (simhash.fingerprint(one) ^ simhash.fingerprint(two)).bit_count() <= 3
+    assert len(np.intersect1d(simhash.shingle_set(one), simhash.shingle_set(two))) / len(np.union1d(simhash.shingle_set(one), simhash.shingle_set(two))) < 0.8
+    docs = spark.createDataFrame([(4, one, "en", "s", 0), (9, two, "en", "s", 0), (11, "quite another text", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, str(tmp_path)).collect()) == [4, 11]

@@ -166,3 +166,17 @@ def test_a_text_of_many_shingles():
 def test_keep_first_leaves_the_columns_of_the_user(spark):
     docs = spark.createDataFrame([(1, "a b c", "x", "y", "z"), (2, "a b c", "x", "y", "z")], "doc_id long, text string, _text string, text_hash string, whole_id string")
     assert [tuple(r) for r in simhash.keep_first(docs).collect()] == [(1, "a b c", "x", "y", "z")]
+
+
+def test_fingerprint_links_join_what_shingles_leave_apart(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "alike", lambda sets, similarity: [])  # nothing is alike by shingles
+    draw = random.Random(12)
+    words = [f"w{draw.randrange(10**6)}" for _ in range(4000)]
+    near = words[:]
+    near[50] = "changed"
+    a, b, c = " ".join(words), " ".join(near), " ".join(words).upper()
+    assert 0 < (by_hand(a) ^ by_hand(b)).bit_count() <= 3 and by_hand(a) == by_hand(c)
+    other = " ".join(draw.sample(words, 4000))
+    texts = spark.createDataFrame([(i, simhash.fingerprint(t) - (1 << 64) * (simhash.fingerprint(t) >> 63)) for i, t in enumerate((a, b, c, other))], "text_id long, fp long")
+    roots = {r.v: r.root for r in simhash.components(simhash.fingerprint_links(texts, 3)).collect()}
+    assert roots == {0: 0, 1: 0, 2: 0}
