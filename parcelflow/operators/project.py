@@ -38,12 +38,13 @@ def measured(assessed: DataFrame, config: ScoringConfig = DEFAULT, more: list[Co
     width = lambda *lists: max(len(text.phrase(k).split()) for name in lists for k in config.keywords[name])
     by = Window.partitionBy("project_id", "in_episode").orderBy("position")
     among = Window.partitionBy("project_id", "in_episode", "new_residential").orderBy("position")  # forms are sought in new buildings' texts alone
-    own = own.withColumns({
-        "_all": _padded(F.collect_list("t_all").over(by.rowsBetween(0, width("commercialOrIndustrial") - 1))),
-        "_form": _padded(F.collect_list("t_form").over(among.rowsBetween(0, width(*FORMS) - 1))),
-        "_days": episode.days_since(["project_id", "in_episode"], "event_time", c("demolition") & c("at_site"), c("new_residential") & c("event_time").isNotNull()),
-    })
-    found = {"says_commercial": text.holds_any("_all", config.keywords["commercialOrIndustrial"])} | {f"form_{name}": c("new_residential") & text.holds_any("_form", config.keywords[name]) for name in FORMS}
+    # one window after another, each reduced to what it tells, so that no sort carries the texts that a window before it joined
+    own = own.withColumn("_days", episode.days_since(["project_id", "in_episode"], "event_time", c("demolition") & c("at_site"), c("new_residential") & c("event_time").isNotNull()))
+    own = own.withColumn("_all", _padded(F.collect_list("t_all").over(by.rowsBetween(0, width("commercialOrIndustrial") - 1))))
+    own = own.withColumn("says_commercial", text.holds_any("_all", config.keywords["commercialOrIndustrial"])).drop("_all", "t_all")
+    own = own.withColumn("_form", _padded(F.collect_list("t_form").over(among.rowsBetween(0, width(*FORMS) - 1))))
+    own = own.withColumns({f"form_{name}": c("new_residential") & text.holds_any("_form", config.keywords[name]) for name in FORMS})
+    found = {name: c(name) for name in ["says_commercial", *[f"form_{name}" for name in FORMS]]}
     flags = {
         "has_demolition": c("demolition") & c("at_site"), "has_new": c("new_residential"), "has_language": c("new_dwelling"), "has_residential": c("residential"), "has_renovation": c("renovation"),
     } | found
@@ -133,9 +134,8 @@ def states(permits: DataFrame, config: ScoringConfig = DEFAULT, area: DataFrame
     and the overrides of an action log (see ``apply_actions``). Writes nothing, so that it also previews a policy."""
     # raw columns are dealt, which are smaller than the texts made of them
     assessed = assess.signals(dealt_by(permits, "project_id"), config, ascii_only)
-    assessed = assessed.withColumn("_milestones", timeline.found(assessed.columns))
-    on = lambda pick: pick(F.transform("_milestones", lambda m: m["date"]))
-    more = [*timeline.stage_aggregates(F.col("in_episode")), F.min(on(F.array_min)).alias("earliest_date"), F.max(on(F.array_max)).alias("latest_date"), F.max("occupancy_date").alias("latest_occupancy")]
+    assessed = timeline.told(assessed)
+    more = [*timeline.told_aggregates(F.col("in_episode")), F.min("_first").alias("earliest_date"), F.max("_latest").alias("latest_date"), F.max("occupancy_date").alias("latest_occupancy")]
     classified = classify(assessed, config, area, more=more, dealt=True)
     return apply_actions(classified.withColumn("stage", timeline.stage_of()).drop("_occupied", "_cancelled", "_rank"), actions)
 
@@ -146,8 +146,7 @@ def preview(permits: DataFrame, after: ScoringConfig, before: ScoringConfig = DE
     to one row for each project, which is judged twice; those that share the words share the signals and their shuffle.
     Confidences may differ where categories do not."""
     c, sides = F.col, ["category", "stage", "confidence", "explanation"]
-    more = timeline.stage_aggregates(c("in_episode"))
-    marked = lambda own: own.withColumn("_milestones", timeline.found(own.columns))
+    more, marked = timeline.told_aggregates(c("in_episode")), timeline.told
     view = lambda own, config: _judged(own, config).withColumn("stage", timeline.stage_of())
     if before.keywords != after.keywords or before.gap_days != after.gap_days:
         # signals before the shuffle: with equal words both sides read one exchange

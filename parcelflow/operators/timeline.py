@@ -59,13 +59,37 @@ def ordered(milestone_rows: DataFrame) -> DataFrame:
     return milestone_rows.orderBy("milestone_date", "stage_rank", "event_id", "milestone")
 
 
+def _cancels() -> Column:
+    status = F.lower(text.strip(F.col("status")))
+    return F.coalesce((status != "") & status.rlike(_CANCELLED), F.lit(False))
+
+
+def _highest() -> Column:
+    return F.array_max(F.transform("_milestones", lambda m: stage_rank(m["stage"])))
+
+
+def told(permits: DataFrame) -> DataFrame:
+    """``permits`` with what their milestones tell, in columns of fixed width, which windows sort in place of arrays and texts:
+    the rank of the highest stage, the first and latest dates, and whether the status cancels."""
+    on = lambda pick: pick(F.transform("_milestones", lambda m: m["date"]))
+    own = permits.withColumn("_milestones", found(permits.columns))
+    return own.withColumns({"_highest": _highest(), "_first": on(F.array_min), "_latest": on(F.array_max), "_cancels": _cancels()}).drop("_milestones")
+
+
+def told_aggregates(counts: Column) -> list[Column]:
+    """``stage_aggregates`` over permits that have the columns of ``told``."""
+    return _aggregates(counts, F.col("_highest"), F.col("_cancels"))
+
+
 def stage_aggregates(counts: Column) -> list[Column]:
     """Aggregates that ``stage_of`` reads, over the permits for which ``counts`` holds; they have ``_milestones``."""
-    status = F.lower(text.strip(F.col("status")))
-    cancelled = F.coalesce((status != "") & status.rlike(_CANCELLED), F.lit(False))
+    return _aggregates(counts, _highest(), _cancels())
+
+
+def _aggregates(counts: Column, highest: Column, cancels: Column) -> list[Column]:
     return [
-        F.bool_or(counts & F.col("occupancy_date").isNotNull()).alias("_occupied"), F.bool_and(F.when(counts, cancelled)).alias("_cancelled"),
-        F.max(F.when(counts, F.array_max(F.transform("_milestones", lambda m: stage_rank(m["stage"]))))).alias("_rank"),
+        F.bool_or(counts & F.col("occupancy_date").isNotNull()).alias("_occupied"), F.bool_and(F.when(counts, cancels)).alias("_cancelled"),
+        F.max(F.when(counts, highest)).alias("_rank"),
     ]
 
 

@@ -31,3 +31,19 @@ def test_dealt_keeps_rows_and_keys_together(spark, monkeypatch):
     got = session.dealt(rows, "k").withColumn("p", F.spark_partition_id())
     assert got.count() == 1000 and got.groupBy("k").agg(F.countDistinct("p").alias("n")).filter("n > 1").isEmpty()
     assert session.dealt(rows.limit(0), "k").count() == 0
+
+
+def _nodes(plan):
+    yield plan
+    for i in range(plan.children().size()):
+        yield from _nodes(plan.children().apply(i))
+
+
+@pytest.mark.parametrize("made", [
+    lambda spark: project.states(binding.permits(spark, DATA), ascii_only=True),
+    lambda spark: project_queries.policy_preview(spark, DATA),
+])
+def test_no_window_sorts_joined_texts_or_milestones(spark, made):
+    windows = [n for n in _nodes(made(spark)._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Window"]
+    carried = [[a.name() for a in map(own.apply, range(own.size())) if a.dataType().typeName() == "array"] for own in (w.children().apply(0).output() for w in windows)]
+    assert len(windows) >= 5 and not any(carried), carried
