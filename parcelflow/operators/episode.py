@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ranges
+from ..session import checkpointed
 
 #: Time slices that a key's events are cut to where keys may be hot.
 SLICES = 64
@@ -94,16 +95,17 @@ def mark_episode(assessed: DataFrame, gap_days: int = 548, key: str = "project_i
 
 def latest_episode(assessed: DataFrame, gap_days: int = 548, key: str = "project_id", slices: int = 0) -> DataFrame:
     """The events of each key's latest episode alone. With ``slices``, keys may hold any share of the events: they are dealt
-    by key and slice of time, and what a key's slices tell of each other is joined to them."""
+    by key and slice of time, and what a key's slices tell of each other is joined to them. The events that count are then
+    computed once and written to the shared folder with all their columns, so that a caller should keep those it needs."""
     return _sliced_episode(assessed, gap_days, key, slices) if slices else mark_episode(assessed, gap_days, key).filter("in_episode").drop("in_episode")
 
 
 def _sliced_episode(assessed: DataFrame, gap_days: int, key: str, slices: int) -> DataFrame:
     c, gap = F.col, F.expr(f"interval {int(gap_days)} days")
-    own = assessed.filter(~c("role").isin("PROPERTY_ONLY", "EXCLUDED")).withColumns({
+    own = checkpointed(assessed.filter(~c("role").isin("PROPERTY_ONLY", "EXCLUDED"))).withColumns({
         "_start": F.coalesce(c("source_start").cast("timestamp"), c("ordering_date")), "_end": F.coalesce(c("source_end").cast("timestamp"), c("ordering_date")), "_kind": c("ordering_date").isNull().cast("int"),
     })
-    own = sliced_sessions(own, [key, "_kind"], "_start", "_end", gap, [F.coalesce("event_date", F.to_date("_start")), "event_id"], slices, last=True)
+    own = checkpointed(sliced_sessions(own, [key, "_kind"], "_start", "_end", gap, [F.coalesce("event_date", F.to_date("_start")), "event_id"], slices, last=True))
     dealt = [key, "_kind", "_slice"]
     # what is known of a key: its last dated episode and that one's end, or the end of its undated events
     ends = own.groupBy(*dealt, "episode").agg(F.max("_end").alias("top"))

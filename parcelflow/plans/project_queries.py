@@ -43,7 +43,7 @@ with {binding.EPISODE_SQL.replace("as project_id, kind", "as own_project, kind")
 select event_id, project_id, min(issue_date) over w as episode_start, max(fin) over w as episode_end, row_number() over (partition by project_id order by issue_date, event_id) as position from chosen window w as (partition by project_id)""")
 def episodes_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of all permits belong to one project: its events are cut to slices of time."""
-    own = binding.assessed(spark, sf_dir).withColumn("project_id", F.expr(_HOT))
+    own = binding.assessed(spark, sf_dir).withColumn("project_id", F.expr(_HOT)).select("event_id", "project_id", "role", "event_date", "source_start", "source_end", "ordering_date")
     return episode.latest_episode(own, slices=episode.SLICES).select("event_id", "project_id", "episode_start", "episode_end", F.col("position").cast("long").alias("position"))
 
 

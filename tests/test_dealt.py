@@ -47,3 +47,8 @@ def test_no_window_sorts_joined_texts_or_milestones(spark, made):
     windows = [n for n in _nodes(made(spark)._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Window"]
     carried = [[a.name() for a in map(own.apply, range(own.size())) if a.dataType().typeName() == "array"] for own in (w.children().apply(0).output() for w in windows)]
     assert len(windows) >= 5 and not any(carried), carried
+
+
+def test_hot_keys_signals_are_computed_once(spark):
+    plan = project_queries.episodes_hot_key(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation" not in plan and "Generate" not in plan  # they lie in the shared folder
