@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .. import session
 from . import snapshot
 
 BUCKETS = 256
@@ -27,10 +28,14 @@ def bucket_of(key: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def _write(rows: DataFrame, root: str, kind: str, key: str, buckets: int) -> tuple[str, list[int]]:
-    """Write rows to a new folder, a subfolder for each bucket with rows; the folder and these buckets."""
+def _write(rows: DataFrame, root: str, kind: str, key: str, buckets: int, like: DataFrame | None = None) -> tuple[str, list[int]]:
+    """Write rows to a new folder, a subfolder for each bucket with rows; the folder and these buckets. A bucket of more rows
+    than a task holds is written by several, each its slice of the keys, in a file of its own: what a task sorts and writes
+    does not grow with the table. ``like`` has as many rows at least, and is counted instead of dear ones."""
     folder = f"{kind}-{uuid.uuid4().hex}"
-    placed = rows.withColumn("bucket", bucket_of(key, buckets)).repartition("bucket")
+    slices = -(-(rows if like is None else like).count() // (session.TASK_ROWS * buckets))
+    placed = rows.withColumn("bucket", bucket_of(key, buckets))
+    placed = placed.repartition("bucket") if slices < 2 else placed.repartition(buckets * slices, "bucket", F.pmod(F.hash(key), F.lit(slices)))
     placed.write.partitionBy("bucket").parquet(f"{root}/{folder}")
     names = (s.getPath().getName() for s in snapshot._listed(rows.sparkSession, f"{root}/{folder}"))
     return folder, sorted(int(n.split("=")[1]) for n in names if n.startswith("bucket="))
@@ -90,7 +95,7 @@ def merge(incoming: DataFrame, root: str, combine: Callable[[DataFrame, DataFram
     stored = _rows(spark, root, own, touched).join(incoming.select(key), key, "left_semi")
     names = StructType.fromJson(own["schema"]).names
     changed = combine(stored, incoming).select(names).withColumn(_RUN, F.lit(number + 1).cast("long"))
-    folder, filled = _write(changed, root, "delta", key, buckets)
+    folder, filled = _write(changed, root, "delta", key, buckets, like=incoming)
     content = _next(own, {"checkpoint": asdict(checkpoint)} if checkpoint else {})
     if filled:
         content["folders"][str(number + 1)] = folder

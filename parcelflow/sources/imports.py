@@ -58,15 +58,17 @@ def run(raw: DataFrame, dataset: permits.Dataset, root: str, whole: bool = True,
     spark = raw.sparkSession
     found = checkpointed(changes(raw, dataset, root))  # the tables that it reads change below
     if whole:
-        snapshot.require_unique(found.filter(~F.col("record_key").startswith("invalid:")))
+        unnamed = F.col("record_key").startswith("invalid:")
+        snapshot.require_unique(found.filter(~unnamed))
+        found = found.filter(~unnamed).unionByName(found.filter(unnamed).dropDuplicates(["record_key"]))  # the others are distinct already
     else:
         found = latest(found)
     fresh = found.filter((F.col("disposition") != snapshot.UNCHANGED) | F.col("_error").isNotNull())
-    parsed = checkpointed(permits.normalize(fresh.select(raw.columns), dataset).dropDuplicates(["record_key"]))
+    parsed = checkpointed(permits.normalize(fresh.select(raw.columns), dataset))
     good, bad = snapshot.quarantine(parsed)
     label = label or f"run={snapshot.newest(spark, f'{root}/seen')[0] + 1}"
     bad.write.mode("overwrite").parquet(f"{root}/failures/{label}")
-    kinds = checkpointed(found.select("record_key", "disposition").dropDuplicates(["record_key"]))
+    kinds = checkpointed(found.select("record_key", "disposition"))
     written = _put(good, f"{root}/permits", table_buckets, checkpoint)
     _put(parsed.select(_SEEN), f"{root}/seen", table_buckets, checkpoint, plain=True)
     buckets.compact(spark, f"{root}/permits")

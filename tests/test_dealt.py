@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from parcelflow import session
 from parcelflow.operators import project, readmodel
-from parcelflow.plans import binding, project_queries
+from parcelflow.plans import binding, ingest_queries, project_queries
+from parcelflow.sources import buckets, imports
 
 DATA = "/root/testdata/sf0.001"  # 1,500 orders
 
@@ -52,3 +53,22 @@ def test_no_window_sorts_joined_texts_or_milestones(spark, made):
 def test_hot_keys_signals_are_computed_once(spark):
     plan = project_queries.episodes_hot_key(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "Relation" not in plan and "Generate" not in plan  # they lie in the shared folder
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "TASK_ROWS", 50)
+    rows = spark.range(1000).select(F.col("id").cast("string").alias("record_key"), F.col("id").alias("v"))
+    folder, filled = buckets._write(rows, str(tmp_path), "base", "record_key", 2)
+    assert filled == [0, 1] and all(len(list((tmp_path / folder / f"bucket={b}").glob("*.parquet"))) > 5 for b in filled)
+    buckets.create(rows, f"{tmp_path}/t", buckets=2)
+    buckets.merge(spark.createDataFrame([("7", -7), ("x", 1)], "record_key string, v long"), f"{tmp_path}/t", lambda old, new: new)
+    got = {tuple(r) for r in buckets.read(spark, f"{tmp_path}/t").collect()}
+    assert got == {(str(i), i) for i in range(1000) if i != 7} | {("7", -7), ("x", 1)}
+
+
+def test_rows_without_identifier_that_are_equal_fail_once(spark, tmp_path):
+    raw = ingest_queries.raw_building(spark, DATA).limit(300).cache()
+    unnamed = raw.filter("row_id is null")
+    done = imports.run(raw.unionByName(unnamed), ingest_queries.DATASET, str(tmp_path), table_buckets=2).counters.first()
+    alone = imports.run(raw, ingest_queries.DATASET, f"{tmp_path}/alone", table_buckets=2).counters.first()
+    assert unnamed.count() > 0 and done == alone and done.failed > 0
