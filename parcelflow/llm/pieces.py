@@ -13,6 +13,9 @@ one another, which no path can bridge: what is left are the *parts*.
 3. A join takes the paths back to the blocks, in the shared folder. Where the texts lie, a block's paths are laid out along
    its texts. Decoding joins the pieces' strings and undoes the escape.
 
+Where the texts lie, a batch is worked on as Arrow arrays: its words are made distinct, these are cut, and the paths of the
+parts are taken into the words' and these into the texts' by their numbers.
+
 The vocabulary file at hand is a BPE model, whose merges may cut a word otherwise than the path of greatest score
 over the same pieces; the tests hold results against a brute-force search of that path, and against the exact text.
 """
@@ -24,6 +27,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +43,10 @@ MARK = "▁"
 PART_CHARS = 64
 #: Rows of a file that make a block.
 BLOCK_ROWS = 1 << 14
-#: Words that a task holds at a time, and that are cut at a time.
-HELD_WORDS, CUT_WORDS = 300_000, 30_000
+#: Parts that a task holds at a time.
+HELD_PARTS = 600_000
 #: Rows (block, part) that one task joins; their distinct parts, fewer, are those whose edges it groups.
-TASK_ROWS = 160_000
+TASK_ROWS = 100_000
 #: A byte's piece scores less than any other by this.
 BYTE_PENALTY = 10.0
 
@@ -63,6 +67,28 @@ def bare_words(text: str | None) -> list[str]:
     return [w[1:] for w in words(text)]
 
 
+def _reordered(plain: pa.Array, odd: np.ndarray, more: pa.Array) -> pa.Array:
+    """``plain`` with the rows where ``odd`` holds replaced by those of ``more``, in order."""
+    order = np.arange(len(plain))
+    order[odd] = len(plain) + np.arange(len(more))
+    return pa.concat_arrays([plain, more]).take(pa.array(order))
+
+
+def split(texts: pa.Array) -> pa.ListArray:
+    """``bare_words`` of each text."""
+    tests = [pc.equal(texts, ""), pc.starts_with(texts, " "), pc.match_substring(texts, "  "), pc.match_substring(texts, MARK)]
+    odd = pc.fill_null(reduce(pc.or_, tests), False)
+    plain = pc.split_pattern(texts, " ")
+    if not pc.any(odd).as_py():
+        return plain
+    more = pa.array([bare_words(t) for t in texts.filter(odd).to_pylist()], plain.type)
+    return _reordered(plain, odd.to_numpy(zero_copy_only=False), more)
+
+
+def marked(bare: pa.Array) -> pa.Array:
+    return pc.binary_join_element_wise(MARK, bare, "")
+
+
 def _ordinary(own) -> Iterator[int]:
     return (i for i in range(own.get_piece_size()) if not (own.is_control(i) or own.is_unknown(i) or own.is_byte(i) or own.is_unused(i)))
 
@@ -73,25 +99,40 @@ class Cutter:
     def __init__(self, model: str):
         own = _model(model)
         strings = (own.id_to_piece(i) for i in range(own.get_piece_size()) if not (own.is_control(i) or own.is_unknown(i) or own.is_byte(i)))
-        self.pairs = np.array(sorted({ord(p[i]) << 21 | ord(p[i + 1]) for p in strings for i in range(len(p) - 1)}), np.int64)
+        pairs = {p[i : i + 2] for p in strings for i in range(len(p) - 1)}
+        letters = sorted(set("".join(pairs)))
+        self.letter, self.n_letters = np.zeros(0x110000, np.int32), len(letters) + 1  # 0: a character of no pair
+        self.letter[[ord(a) for a in letters]] = np.arange(1, self.n_letters)
+        self.joined = np.zeros(self.n_letters**2 // 8 + 1, np.uint8)  # a bit for each two letters
+        for a, z in pairs:
+            i = int(self.letter[ord(a)]) * self.n_letters + int(self.letter[ord(z)])
+            self.joined[i >> 3] |= 1 << (i & 7)
         self.table = {own.id_to_piece(i): (round(float(own.get_score(i)), 6), i) for i in _ordinary(own)}
         self.longest = max(map(len, self.table))
         self.byte_score = min(float(own.get_score(i)) for _, i in self.table.values()) - BYTE_PENALTY
         self.byte_ids = byte_ids(model)
 
-    def parts(self, words_: list[str]) -> tuple[list[str], np.ndarray]:
+    def cut(self, words_: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """The parts of some words that are not empty, one after another, and how many each word has."""
-        text = "".join(words_)
-        chars = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
-        ends = np.cumsum(np.fromiter(map(len, words_), np.int64, len(words_)))
-        pair = chars[:-1] << 21 | chars[1:]
-        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-        cut = self.pairs[at] != pair
-        cut[ends[:-1] - 1] = True
-        stops = np.append(np.flatnonzero(cut) + 1, len(text))
-        counts = np.diff(np.searchsorted(stops, ends, side="right"), prepend=0)
-        stops = stops.tolist()
-        return [text[a:z] for a, z in zip([0, *stops], stops)], counts
+        if not len(words_):
+            return words_, np.zeros(0, np.int64)
+        _, offsets, data = words_.buffers()
+        bounds = np.frombuffer(offsets, np.int32)[words_.offset : words_.offset + len(words_) + 1]
+        raw = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]]
+        letter = self.letter[np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), "<u4")]
+        starts = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # the byte at which each character begins
+        last = np.searchsorted(starts, bounds[1:] - bounds[0]) - 1
+        pair = letter[:-1].astype(np.int64) * self.n_letters + letter[1:]
+        ends = np.append((self.joined[pair >> 3] >> (pair & 7).astype(np.uint8) & 1) == 0, True)
+        ends[last] = True
+        counts = np.diff(np.cumsum(ends)[last], prepend=0)
+        stops = np.append(0, starts[np.flatnonzero(ends) + 1]).astype(np.int32)
+        return pa.StringArray.from_buffers(len(stops) - 1, pa.py_buffer(stops), pa.py_buffer(raw.tobytes())), counts
+
+    def parts(self, words_: list[str]) -> tuple[list[str], np.ndarray]:
+        """``cut`` of a list."""
+        parts, counts = self.cut(pa.array(words_, pa.string()))
+        return parts.to_pylist(), counts
 
     def path(self, part: str) -> bytes:
         """The ids (little-endian, 32 bits) of the path of ``viterbi`` through a part of any length: scores of the last
@@ -198,69 +239,63 @@ def _blocks(docs: DataFrame, rows: int) -> DataFrame:
     return docs.select(place.alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _runs(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(block, rows): the batches, cut where another block begins."""
+    for b in stream:
+        block = b.column("block").to_numpy()
+        bounds = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        yield from ((int(block[i]), b.slice(i, z - i)) for i, z in zip(bounds, bounds[1:]) if z > i)
+
+
 def _parts_of(blocked: DataFrame, model: str) -> DataFrame:
     """(block, word): the parts of each block that are not too long to explode, each once or a few times."""
 
     def distinct(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen, at = cutter(model), set(), None
+        own, held, at = cutter(model), pa.array([], pa.string()), None
 
         def emit() -> Iterator[pa.RecordBatch]:
-            words_, found = list(seen), set()
-            seen.clear()
-            for i in range(0, len(words_), CUT_WORDS):
-                found.update(own.parts([MARK + w for w in words_[i : i + CUT_WORDS]])[0])
-            found = sorted(p for p in found if len(p) <= PART_CHARS)
+            found = held.take(pc.sort_indices(held))
             for i in range(0, len(found), 1 << 15):
-                part = found[i : i + (1 << 15)]
-                yield pa.RecordBatch.from_arrays([pa.array([at] * len(part), pa.int64()), pa.array(part, pa.string())], ["block", "word"])
-
-        for b in common.batches(stream):
-            for block, text in zip(b["block"], b["text"]):
-                if block != at or len(seen) > 2 * HELD_WORDS:
-                    yield from emit()
-                    at = block
-                seen.update(bare_words(text))
+                part = found.slice(i, 1 << 15)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), at, np.int64)), part], ["block", "word"])
+
+        for block, rows in _runs(stream):
+            if block != at or len(held) > HELD_PARTS:
+                yield from emit()
+                held, at = held[:0], block
+            found = own.cut(marked(split(rows.column("text")).values.unique()))[0].unique()
+            held = pa.concat_arrays([held, found.filter(pc.less_equal(pc.utf8_length(found), PART_CHARS))]).unique()
         yield from emit()
 
     return blocked.select("block", "text").mapInArrow(distinct, "block long, word string")
 
 
 class _Table:
-    """The paths of a block, and the ids of words that were asked for last."""
+    """The paths of a block's parts."""
 
     def __init__(self, own: Cutter, uri: str):
-        self.own, self.uri, self.known, self.place, self.flat, self.ends = own, uri, {}, {}, b"", []
+        self.own, self.uri, self.parts, self.ids = own, uri, pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
         fs, root = common.filesystem(uri)
-        if fs.get_file_info(root).type == common.pafs.FileType.NotFound:  # a block without words, or of long parts only; else ``ids`` raises
+        if fs.get_file_info(root).type == common.pafs.FileType.NotFound:  # a block without words, or of long parts only; else ``paths`` raises
             return
         found = pq.read_table(root, filesystem=fs, columns=["word", "ids"], partitioning=None)
-        self.place = {w: i for i, w in enumerate(found.column("word").to_pylist())}
-        ids = found.column("ids").combine_chunks()
-        self.flat = ids.flatten().to_numpy().astype("<u4").tobytes()
-        self.ends = (4 * np.cumsum(np.asarray(pc.list_value_length(ids)))).tolist()
-        self.ends.append(0)  # before the first
-
-    def ids(self, part: str) -> bytes:
-        """The stored path of a part. Only longer parts than are exploded have none; a lost or unfinished table is an error."""
-        i = self.place.get(part)
-        if i is not None:
-            return self.flat[self.ends[i - 1] : self.ends[i]]
-        if len(part) <= PART_CHARS:
-            raise LookupError(f"{self.uri} has no path of a part of {len(part)} characters: the table of paths is not whole")
-        return self.own.path(part)
-
-    def learn(self, words_: set[str]) -> None:
-        """Afterwards ``known`` has the ids' bytes of these words."""
-        if len(self.known) + len(words_) > HELD_WORDS:
-            self.known = {}
-        new = [w for w in words_ if w not in self.known]
-        for i in range(0, len(new), CUT_WORDS):
-            some = new[i : i + CUT_WORDS]
-            parts, counts = self.own.parts([MARK + w for w in some])
-            found, z = list(map(self.ids, parts)), 0
-            for w, n in zip(some, counts.tolist()):
-                self.known[w] = found[z] if n == 1 else b"".join(found[z : z + n])
-                z += n
+        self.parts, self.ids = found.column("word").combine_chunks(), found.column("ids").combine_chunks().cast(self.ids.type)
+
+    def paths(self, words_: pa.Array) -> pa.ListArray:
+        """The ids of each word. Only longer parts than are exploded have no stored path; a lost or unfinished table is an error."""
+        parts, counts = self.own.cut(words_)
+        coded = parts.dictionary_encode()
+        at = pc.index_in(coded.dictionary, value_set=self.parts)
+        ids = self.ids.take(at)
+        if at.null_count:
+            long = coded.dictionary.filter(at.is_null()).to_pylist()
+            if least := [len(p) for p in long if len(p) <= PART_CHARS]:
+                raise LookupError(f"{self.uri} has no path of a part of {least[0]} characters: the table of paths is not whole")
+            more = pa.array([np.frombuffer(self.own.path(p), "<i4") for p in long], ids.type)
+            ids = _reordered(ids, at.is_null().to_numpy(zero_copy_only=False), more)
+        ids = ids.take(coded.indices)
+        bounds = ids.offsets.to_numpy()[np.append(0, np.cumsum(counts))]
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), ids.values)
 
 
 def encode(docs: DataFrame, model: str, from_files: bool = False, with_ids: bool = True, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -292,26 +327,20 @@ def encode(docs: DataFrame, model: str, from_files: bool = False, with_ids: bool
     spelled = spelling(model)
 
     def lay_out(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, table, at = cutter(model), None, None
-        for b in common.batches(stream):
-            out, i = [], 0
-            while i < len(b["block"]):
-                if table is None or b["block"][i] != at:
-                    at = b["block"][i]
-                    table = _Table(own, f"{path}/block={at}")
-                end, asked, rows = i, set(), []
-                while end < len(b["block"]) and b["block"][end] == at and len(asked) < HELD_WORDS // 2:
-                    rows.append(bare_words(b["text"][end]))
-                    asked.update(rows[-1])
-                    end += 1
-                table.learn(asked)
-                for doc_id, text, found_words in zip(b["doc_id"][i:end], b["text"][i:end], rows):
-                    raw = b"".join(map(table.known.__getitem__, found_words))
-                    ids = np.frombuffer(raw, "<u4")
-                    back = decode_ids(ids, spelled)
-                    out.append((doc_id, len(ids), zlib.crc32(raw), hashlib.sha256(back).hexdigest(), back == (text or "").encode()) + (ids.astype(np.int32),) * with_ids)
-                i = end
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+        own, strings, table, at = cutter(model), pa.array(spelled, pa.binary()), None, None
+        for block, rows in _runs(stream):
+            if table is None or block != at:
+                table, at = _Table(own, f"{path}/block={block}"), block
+            texts = rows.column("text")
+            found = split(texts)
+            coded = found.values.dictionary_encode()
+            paths_ = table.paths(marked(coded.dictionary)).take(coded.indices)
+            bounds = paths_.offsets.to_numpy()[found.offsets.to_numpy()]
+            raw, back = memoryview(paths_.values.to_numpy().astype("<u4", copy=False)).cast("B"), decoded(paths_.values, bounds, strings)
+            out = [(zlib.crc32(raw[4 * a : 4 * z]), hashlib.sha256(own_).hexdigest(), own_ == (text or "").encode()) for a, z, own_, text in zip(bounds.tolist(), bounds[1:].tolist(), back, texts.to_pylist())]
+            columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds[2:5])]
+            ids = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), paths_.values)] * with_ids
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(bounds).astype(np.int64)), *columns, *ids], names)
 
     return blocked.mapInArrow(lay_out, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * with_ids)
 
@@ -322,12 +351,16 @@ def spelling(model: str) -> list[bytes]:
     return [bytes([int(own.id_to_piece(i)[3:5], 16)]) if own.is_byte(i) else b"" if own.is_control(i) or own.is_unknown(i) else own.id_to_piece(i).replace(MARK, " ").encode() for i in range(own.get_piece_size())]
 
 
-def decode_ids(ids: np.ndarray, spelled: list[bytes]) -> bytes:
-    """The text of some ids in UTF-8, without the mark that was put before it; bytes that are none become U+FFFD."""
-    some = [b"".join(map(spelled.__getitem__, ids[i : i + (1 << 20)].tolist())) for i in range(0, len(ids), 1 << 20)]
-    raw = some[0][1:] if len(some) == 1 else b"".join(some)[1:]
-    try:
-        raw.decode()
-    except UnicodeDecodeError:
-        return raw.decode("utf-8", "replace").encode()
-    return raw
+def decoded(ids: pa.Array, bounds: np.ndarray, spelled: pa.Array) -> Iterator[bytes]:
+    """The texts of some ids, one between each two bounds, in UTF-8, without the mark that was put before each; bytes that
+    are none become U+FFFD."""
+    found = spelled.take(ids)
+    data, at = memoryview(found.buffers()[2] or b""), found.buffers()[1]
+    at = np.frombuffer(at, np.int32)[bounds].tolist() if len(ids) else [0] * len(bounds)
+    for a, z in zip(at, at[1:]):
+        raw = bytes(data[a + 1 : z])
+        try:
+            raw.decode()
+        except UnicodeDecodeError:
+            raw = raw.decode("utf-8", "replace").encode()
+        yield raw

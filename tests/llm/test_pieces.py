@@ -107,3 +107,24 @@ def test_a_lost_table_of_paths_is_an_error(spark, monkeypatch, tmp_path):
     shutil.move(lost, tmp_path / "moved")
     with pytest.raises(Exception, match="not whole"):
         out.collect()
+
+
+def test_words_of_a_batch_are_those_of_each_text():
+    import pyarrow as pa
+
+    texts = ["é a", None, "", "  ", "a▁b", "plain words", " x", "y  z ", "last one "] * 3
+    for a, z in ((0, 27), (5, 19), (1, 2), (4, 4)):
+        got = pieces.split(pa.array(texts, pa.string()).slice(a, z - a))
+        assert [w or [] for w in got.to_pylist()] == [pieces.bare_words(t) for t in texts[a:z]]
+        assert got.values.to_pylist() == [w for t in texts[a:z] for w in pieces.bare_words(t)]
+
+
+def test_a_block_of_many_words_writes_each_part_once(spark):
+    from pyspark.sql import functions as F
+
+    ends = [a + b for a in "tshrnl" for b in "aeiou"]
+    word = F.concat(F.conv("id", 10, 30), *[F.element_at(F.array(*map(F.lit, ends)), (F.floor(F.col("id") / 30**k) % 30 + 1).cast("int")) for k in range(2)])
+    rows = spark.range(620_000).select(F.floor(F.col("id") / 10_000).alias("doc_id"), word.alias("w")).groupBy("doc_id").agg(F.concat_ws(" ", F.collect_list("w")).alias("text"))
+    own = pieces._parts_of(rows.coalesce(1).select(F.lit(1).cast("long").alias("block"), "text"), pieces.default_model()).cache()
+    assert own.count() == own.distinct().count() > 0
+    own.unpersist()
