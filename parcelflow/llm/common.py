@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of rows that Spark hands to Python at once: documents may be long.
 BATCH_BYTES = 4 << 20
+#: Words whose hashes a worker remembers: the frequent ones; a rare one is as soon hashed as looked up.
+MEMO_WORDS = 60_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -118,6 +120,18 @@ def range_id(key: str, bounds: list[int]) -> "F.Column":
     return F.expr(f"aggregate(array({steps}), 0, (at, step) -> case when get({points}, at + step - 1) <= {key} then at + step else at end)")
 
 
+_MEMO: dict[str, dict] = {}
+
+
+def memo(kind: str, most: int) -> dict:
+    """What this worker remembers of earlier texts for one ``kind`` of work, empty again beyond ``most`` entries. Workers
+    live on between stages, so that another kind drops the last one's: memos do not add up. It changes no result."""
+    if len(_MEMO.get(kind, ())) > most or kind not in _MEMO:
+        _MEMO.clear()
+        _MEMO[kind] = {}
+    return _MEMO[kind]
+
+
 def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
     for batch in stream:
         if batch.num_rows:

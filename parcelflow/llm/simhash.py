@@ -231,21 +231,17 @@ def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-_WORD_HASHES: dict[bytes, int] = {}
-
-
 def shingle_set(text: str | None) -> np.ndarray:
     """The 64-bit hashes of a text's distinct five-word shingles in ascending order (of all its words, if they are
     fewer). A text without words has one of its own, so that such texts are alike."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(1, np.uint64)
-    if len(_WORD_HASHES) > 500_000:
-        _WORD_HASHES.clear()
+    known = common.memo("shingles", common.MEMO_WORDS)
     for w in words:
-        if w not in _WORD_HASHES:
-            _WORD_HASHES[w] = xxhash.xxh64_intdigest(w, SEED)
-    hashes = np.array([_WORD_HASHES[w] for w in words], np.uint64)
+        if w not in known:
+            known[w] = xxhash.xxh64_intdigest(w, SEED)
+    hashes = np.array([known[w] for w in words], np.uint64)
     k = min(SIMILAR_SHINGLE, len(words))
     shingles = np.zeros(len(words) - k + 1, np.uint64)
     for i in range(k):

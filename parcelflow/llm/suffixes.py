@@ -186,7 +186,6 @@ class Hashes:
 # --------------------------------------------------------------------- words
 
 _WORDS = re.compile(rb"\S+")
-_WORD_BYTES: dict[bytes, bytes] = {}
 
 
 def plain_bytes(text: str | None) -> bytes:
@@ -196,12 +195,11 @@ def plain_bytes(text: str | None) -> bytes:
 def word_bytes(text: str | None) -> bytes:
     """``WORD`` bytes for each word of a text."""
     words = (text or "").encode().split()
-    if len(_WORD_BYTES) > 500_000:
-        _WORD_BYTES.clear()
+    known = common.memo("words", common.MEMO_WORDS)
     for w in words:
-        if w not in _WORD_BYTES:
-            _WORD_BYTES[w] = xxhash.xxh64_digest(w, 51)
-    return b"".join([_WORD_BYTES[w] for w in words])
+        if w not in known:
+            known[w] = xxhash.xxh64_digest(w, 51)
+    return b"".join([known[w] for w in words])
 
 
 def word_ranges(raw: bytes, spans: list[tuple[int, int]], words: int) -> list[tuple[int, int]]:

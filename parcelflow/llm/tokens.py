@@ -13,6 +13,8 @@ import json
 
 import numpy as np
 
+from . import common
+
 #: Chunks that a worker keeps; the memo starts afresh beyond it (this bounds memory, not the result).
 MEMO_ENTRIES = 600_000
 #: Longer chunks are encoded each time.
@@ -56,7 +58,7 @@ class ChunkEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
-        self.memo: dict[bytes, bytes] = {}
+        self.path = path
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -78,7 +80,7 @@ class ChunkEncoder:
                     found[word] = np.array(own, self.dtype).tobytes()
         return found
 
-    def _learn(self, chunks: list[bytes]) -> None:
+    def _learn(self, chunks: list[bytes], known: dict[bytes, bytes]) -> None:
         split, alone = {}, []
         for chunk in chunks:
             core = chunk.rstrip(_PUNCTUATION)
@@ -86,7 +88,6 @@ class ChunkEncoder:
                 split[chunk] = core, chunk[len(core) :]
             else:
                 alone.append(chunk)
-        known = self.memo
         tails = list({t for _, t in split.values() if t and t not in known})
         for chunk, ids in zip(alone + tails, self._library([c.decode() for c in alone + tails])):
             known[chunk] = np.array(ids, self.dtype).tobytes()
@@ -101,12 +102,10 @@ class ChunkEncoder:
         """The ids of each whole text (null: none), as bytes."""
         if not self.chunked:
             return [np.array(ids, self.dtype).tobytes() for ids in self._library([t or "" for t in texts])]
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo = {}
+        known = common.memo(f"chunks {self.path}", MEMO_ENTRIES)
         out: list[bytes | None] = []
         rows: list[list[bytes]] = []
         new: set[bytes] = set()
-        known = self.memo
         for text in texts:
             text = text or ""
             if any(mark in text for mark in self.marks):  # the library finds its own marks in the raw text
@@ -119,7 +118,7 @@ class ChunkEncoder:
             new.update(c for c in chunks if c not in known)
         long: dict[bytes, bytes] = {}
         if new:
-            self._learn([c for c in new if len(c) <= MEMO_CHUNK_BYTES])
+            self._learn([c for c in new if len(c) <= MEMO_CHUNK_BYTES], known)
             rare = [c for c in new if len(c) > MEMO_CHUNK_BYTES]
             for chunk, ids in zip(rare, self._library([c.decode() for c in rare])):
                 long[chunk] = np.array(ids, self.dtype).tobytes()
