@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,3 +73,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """The frame, computed once and written to the shared folder, its lineage cut."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def stored(df: DataFrame, kind: str) -> Iterator[DataFrame]:
+    """The frame, computed once and kept as compressed columns in the shared folder until the block ends; a checkpoint of
+    wide rows takes several times the disk, and stays for as long as the driver refers to it."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, kind)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
+
+
+_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within the block an action's shuffle files go when it ends, and not at some collection of the driver's heap."""
+    before = spark.conf.get(_SHUFFLES, None)
+    spark.conf.set(_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_SHUFFLES) if before is None else spark.conf.set(_SHUFFLES, before)

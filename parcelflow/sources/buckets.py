@@ -3,13 +3,16 @@
 A bucket is a base and, above it, deltas: rows that were new or differed, by the number of the run that wrote them. Which
 folders make up a bucket stands in a numbered manifest, as for whole snapshots; files are never changed once they are
 named there. Compaction writes new bases for buckets with many deltas. Readers see one manifest throughout.
+
+A key's bucket is the hash by which Spark deals rows, modulo the number of buckets. So rows that ``dealt`` has dealt, joined on
+the way with others dealt alike, are written from where they are (``lay``, ``name``), without a shuffle of wide rows.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable
-from dataclasses import asdict
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,21 +27,80 @@ MOST_DELTAS = 8
 _RUN = "_run"
 
 
-def bucket_of(key: str, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+#: The bucket, named by no manifest, of rows that are written beside a table's own.
+ASIDE = -1
+#: Functions of the key; tables whose manifests name none were written by the first.
+_HASHES = {None: F.xxhash64, "hash": F.hash}
+
+
+def bucket_of(key: str, buckets: int, hashed: str | None = "hash") -> Column:
+    return F.pmod(_HASHES[hashed](key), F.lit(buckets)).cast("int")
+
+
+def tasks(rows: int, buckets: int) -> int:
+    """So many tasks that each has rows of one bucket, and of no more rows than a task holds."""
+    return buckets * max(1, -(-rows // (session.TASK_ROWS * buckets)))
 
 
-def _write(rows: DataFrame, root: str, kind: str, key: str, buckets: int, like: DataFrame | None = None) -> tuple[str, list[int]]:
+def _write(rows: DataFrame, root: str, kind: str, key: str, buckets: int, like: DataFrame | None = None, hashed: str | None = "hash", aside: Column | None = None, placed: bool = False) -> tuple[str, list[int]]:
     """Write rows to a new folder, a subfolder for each bucket with rows; the folder and these buckets. A bucket of more rows
     than a task holds is written by several, each its slice of the keys, in a file of its own: what a task sorts and writes
-    does not grow with the table. ``like`` has as many rows at least, and is counted instead of dear ones."""
+    does not grow with the table. ``like`` has as many rows at least, and is counted instead of dear ones; ``placed`` rows are
+    dealt already. Rows of which ``aside`` holds lie in a subfolder of their own."""
     folder = f"{kind}-{uuid.uuid4().hex}"
-    slices = -(-(rows if like is None else like).count() // (session.TASK_ROWS * buckets))
-    placed = rows.withColumn("bucket", bucket_of(key, buckets))
-    placed = placed.repartition("bucket") if slices < 2 else placed.repartition(buckets * slices, "bucket", F.pmod(F.hash(key), F.lit(slices)))
-    placed.write.partitionBy("bucket").parquet(f"{root}/{folder}")
+    if not placed:
+        rows = rows.repartition(tasks((rows if like is None else like).count(), buckets), key)
+    own = bucket_of(key, buckets, hashed)
+    rows = rows.withColumn("bucket", own if aside is None else F.when(aside, ASIDE).otherwise(own))
+    rows.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{root}/{folder}")
     names = (s.getPath().getName() for s in snapshot._listed(rows.sparkSession, f"{root}/{folder}"))
-    return folder, sorted(int(n.split("=")[1]) for n in names if n.startswith("bucket="))
+    return folder, sorted({int(n.split("=")[1]) for n in names if n.startswith("bucket=")} - {ASIDE})
+
+
+@dataclass(frozen=True)
+class Laid:
+    """Rows in a folder below a table's root that no manifest names yet, and the state of the table that they were written for."""
+
+    root: str
+    folder: str
+    filled: list[int]
+    number: int
+    own: dict | None
+
+
+def lay(rows: DataFrame, root: str, key: str = "record_key", buckets: int = BUCKETS, aside: Column | None = None) -> Laid:
+    """Write rows with distinct keys, where they are, as a table's base or next delta. They should be dealt by key to
+    ``tasks``; any others have the same result in more files. Columns that the table lacks are written and not read by it."""
+    number, own = snapshot.newest(rows.sparkSession, root)
+    if own is None:
+        return Laid(root, *_write(rows, root, "base", key, buckets, aside=aside, placed=True), number, own)
+    delta = rows.withColumn(_RUN, F.lit(number + 1).cast("long"))
+    return Laid(root, *_write(delta, root, "delta", own["key"], own["buckets"], hashed=own.get("hash"), aside=aside, placed=True), number, own)
+
+
+def name(spark: SparkSession, laid: Laid, schema: StructType, key: str = "record_key", buckets: int = BUCKETS, checkpoint: snapshot.Checkpoint | None = None) -> None:
+    """Publish what was laid; ``schema``, ``key`` and ``buckets`` are those of a new table."""
+    kept = {"checkpoint": asdict(checkpoint)} if checkpoint else {}
+    if laid.own is None:
+        content = {"key": key, "buckets": buckets, "hash": "hash", "schema": schema.jsonValue(), "folders": {"1": laid.folder}, "parts": {str(b): [1] for b in laid.filled}, "checkpoint": None} | kept
+    else:
+        content = _next(laid.own, kept)
+        if laid.filled:
+            content["folders"][str(laid.number + 1)] = laid.folder
+            for b in laid.filled:  # a delta above no base is the base
+                content["parts"].setdefault(str(b), []).append(laid.number + 1)
+    snapshot.commit(spark, laid.root, laid.number + 1, content)
+
+
+def laid_rows(spark: SparkSession, laid: Laid, schema: StructType) -> DataFrame:
+    """These columns of all that was laid, beside the buckets too, with the bucket."""
+    return spark.read.schema(StructType([*schema.fields]).add("bucket", "integer")).parquet(f"{laid.root}/{laid.folder}")
+
+
+def forget_aside(spark: SparkSession, laid: Laid) -> None:
+    """Remove what lies beside the buckets."""
+    fs, make = snapshot._hadoop(spark, laid.root)
+    fs.delete(make(f"{laid.root}/{laid.folder}/bucket={ASIDE}"), True)
 
 
 def create(rows: DataFrame, root: str, key: str = "record_key", buckets: int = BUCKETS, checkpoint: snapshot.Checkpoint | None = None) -> None:
@@ -46,9 +108,14 @@ def create(rows: DataFrame, root: str, key: str = "record_key", buckets: int = B
     number, previous = snapshot.newest(rows.sparkSession, root)
     if previous:
         raise ValueError(f"{root} has a table")
-    folder, filled = _write(rows, root, "base", key, buckets)
-    content = {"key": key, "buckets": buckets, "schema": rows.schema.jsonValue(), "folders": {"1": folder}, "parts": {str(b): [1] for b in filled}, "checkpoint": asdict(checkpoint) if checkpoint else None}
-    snapshot.commit(rows.sparkSession, root, number + 1, content)
+    name(rows.sparkSession, Laid(root, *_write(rows, root, "base", key, buckets), number, None), rows.schema, key, buckets, checkpoint)
+
+
+def most_rows(spark: SparkSession, root: str) -> int:
+    """As many rows as a table has at most, by its files' footers: a key counts in its base and in each delta."""
+    own = snapshot.manifest(spark, root)
+    paths = [f"{root}/{own['folders'][str(i)]}/bucket={b}" for b, ids in own["parts"].items() for i in ids] if own else []
+    return spark.read.schema(StructType.fromJson(own["schema"])).parquet(*paths).count() if paths else 0
 
 
 def read(spark: SparkSession, root: str, number: int | None = None, only: Iterable[int] | None = None, columns: list[str] | None = None) -> DataFrame | None:
@@ -89,20 +156,15 @@ def merge(incoming: DataFrame, root: str, combine: Callable[[DataFrame, DataFram
     spark = incoming.sparkSession
     number, own = snapshot.newest(spark, root)
     key, buckets = own["key"], own["buckets"]
-    touched = [r.b for r in incoming.select(bucket_of(key, buckets).alias("b")).distinct().collect()]  # as many as buckets at most
+    touched = [r.b for r in incoming.select(bucket_of(key, buckets, own.get("hash")).alias("b")).distinct().collect()]  # as many as buckets at most
     if not touched:
         return []
     stored = _rows(spark, root, own, touched).join(incoming.select(key), key, "left_semi")
     names = StructType.fromJson(own["schema"]).names
     changed = combine(stored, incoming).select(names).withColumn(_RUN, F.lit(number + 1).cast("long"))
-    folder, filled = _write(changed, root, "delta", key, buckets, like=incoming)
-    content = _next(own, {"checkpoint": asdict(checkpoint)} if checkpoint else {})
-    if filled:
-        content["folders"][str(number + 1)] = folder
-        for b in filled:  # a delta above no base is the base
-            content["parts"].setdefault(str(b), []).append(number + 1)
-    snapshot.commit(spark, root, number + 1, content)
-    return filled
+    laid = Laid(root, *_write(changed, root, "delta", key, buckets, like=incoming, hashed=own.get("hash")), number, own)
+    name(spark, laid, incoming.schema, checkpoint=checkpoint)
+    return laid.filled
 
 
 def _next(own: dict, more: dict) -> dict:
@@ -116,7 +178,7 @@ def compact(spark: SparkSession, root: str, most_deltas: int = MOST_DELTAS) -> l
     many = [int(b) for b, ids in (own or {"parts": {}})["parts"].items() if len(ids) > most_deltas + 1]
     if not many:
         return []
-    folder, filled = _write(_rows(spark, root, own, many), root, "base", own["key"], own["buckets"])
+    folder, filled = _write(_rows(spark, root, own, many), root, "base", own["key"], own["buckets"], hashed=own.get("hash"))
     content = _next(own, {})
     content["folders"][str(number + 1)] = folder
     content["parts"] |= {str(b): [number + 1] for b in filled}

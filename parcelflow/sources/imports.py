@@ -10,13 +10,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import shuffles_removed, stored
 from . import buckets, permits, snapshot
 
 _SEEN = ["record_key", "checksum", "error_code"]
+#: Columns of which a null never replaces a known value.
+_KEPT = ("latitude", "longitude")
+_KIND, _ERROR, _STORED = (f"{permits.ADDED}{n}" for n in ("kind", "error", "stored"))
+
+
+def _before(column: str) -> str:
+    return f"{permits.ADDED}{column}"
 
 
 @dataclass(frozen=True)
@@ -34,54 +41,77 @@ def table(spark: SparkSession, root: str, number: int | None = None) -> DataFram
     return buckets.read(spark, f"{root}/permits", number)
 
 
-def changes(raw: DataFrame, dataset: permits.Dataset, root: str) -> DataFrame:
-    """The raw rows with record_key, checksum, disposition against what was seen, and the error that a row had then."""
-    own = permits.identified(raw, dataset)
-    seen = buckets.read(raw.sparkSession, f"{root}/seen", columns=_SEEN)
+def changes(own: DataFrame, root: str, tasks: int) -> DataFrame:
+    """Identified rows, dealt by key to so many tasks, with their disposition against what was seen, and the error that a row had then."""
+    seen = buckets.read(own.sparkSession, f"{root}/seen", columns=_SEEN)
     if seen is None:
-        return own.withColumns({"disposition": F.lit(snapshot.CREATED), "_error": F.lit(None).cast("string")})
-    before = seen.select("record_key", F.col("checksum").alias("_old"), F.col("error_code").alias("_error"))
-    kind = F.when(F.col("_old").isNull(), snapshot.CREATED).when(F.col("_old") == F.col("checksum"), snapshot.UNCHANGED).otherwise(F.when(F.col("_error").isNull(), snapshot.UPDATED).otherwise(snapshot.CREATED))
-    return own.join(before, "record_key", "left").withColumn("disposition", kind).drop("_old")
+        return own.withColumns({_KIND: F.lit(snapshot.CREATED), _ERROR: F.lit(None).cast("string")})
+    before = seen.select("record_key", F.unhex("checksum").alias("_old"), F.col("error_code").alias(_ERROR)).repartition(tasks, "record_key")
+    kind = F.when(F.col("_old").isNull(), snapshot.CREATED).when(F.col("_old") == F.unhex("checksum"), snapshot.UNCHANGED).otherwise(F.when(F.col(_ERROR).isNull(), snapshot.UPDATED).otherwise(snapshot.CREATED))
+    return own.join(before, "record_key", "left").withColumn(_KIND, kind).drop("_old")
 
 
 def latest(rows: DataFrame) -> DataFrame:
     """One row of each record: the last by the source's time of change, then by checksum. For streams of changes; a snapshot
     with two rows of a record is an error."""
-    return rows.groupBy("record_key").agg(F.max_by(F.struct(*rows.columns), F.struct(F.col("`:updated_at`"), "checksum")).alias("r")).select("r.*")
+    own = rows.groupBy("record_key").agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), F.struct(F.col("`:updated_at`"), "checksum")).alias("r"))
+    return own.select("record_key", *[F.col(f"r.`{c}`") for c in rows.columns if c != "record_key"])  # the key as grouped, so that rows stay dealt by it
 
 
 def run(raw: DataFrame, dataset: permits.Dataset, root: str, whole: bool = True, table_buckets: int = buckets.BUCKETS, checkpoint: snapshot.Checkpoint | None = None, label: str | None = None) -> Run:
     """One import. ``whole``: the rows are a snapshot, in which a record stands once, else the run stops before it writes;
     if not, the latest row of each record counts. Rows without an identifier fail under their checksum, equal ones as one.
-    Rows that failed before are tried again, so that the run's failures, below ``label``, are all of the snapshot's."""
+    Rows that failed before are tried again, so that the run's failures, below ``label``, are all of the snapshot's.
+
+    The raw rows are read once and kept as compressed columns. They are dealt by key, meet what was seen and what is stored
+    there, are made uniform, and are written to their buckets by the same task: wide rows are shuffled once, raw."""
     spark = raw.sparkSession
-    found = checkpointed(changes(raw, dataset, root))  # the tables that it reads change below
-    if whole:
+    keyed = permits.identified(raw, dataset).drop("checksum")
+    with shuffles_removed(spark), stored(keyed, "arrived") as arrived:
         unnamed = F.col("record_key").startswith("invalid:")
-        snapshot.require_unique(found.filter(~unnamed))
-        found = found.filter(~unnamed).unionByName(found.filter(unnamed).dropDuplicates(["record_key"]))  # the others are distinct already
+        if whole:
+            snapshot.require_unique(arrived.filter(~unnamed))
+        return _run(arrived, raw.columns, unnamed, dataset, root, whole, table_buckets, checkpoint, label)
+
+
+def _run(arrived: DataFrame, columns: list[str], unnamed: Column, dataset: permits.Dataset, root: str, whole: bool, table_buckets: int, checkpoint: snapshot.Checkpoint | None, label: str | None) -> Run:
+    spark, known = arrived.sparkSession, buckets.read(arrived.sparkSession, f"{root}/permits", columns=["record_key", "checksum", *_KEPT])
+    held = max(arrived.count(), buckets.most_rows(spark, f"{root}/seen"), buckets.most_rows(spark, f"{root}/permits"))
+    tasks = buckets.tasks(held, (snapshot.manifest(spark, f"{root}/permits") or {"buckets": table_buckets})["buckets"])
+    own = arrived
+    if whole:  # named rows are distinct already
+        own = arrived.filter(~unnamed).unionByName(arrived.filter(unnamed).dropDuplicates(["record_key"]))
+    own = own.repartition(tasks, "record_key").withColumn("checksum", permits.checksum(permits.payload(arrived, columns)))
+    found = changes(own if whole else latest(own), root, tasks)
+    fresh = found.filter((F.col(_KIND) != snapshot.UNCHANGED) | F.col(_ERROR).isNotNull())
+    if known is None:
+        fresh = fresh.withColumns({_STORED: F.lit(None).cast("binary")} | {_before(c): F.lit(None).cast("double") for c in _KEPT})
     else:
-        found = latest(found)
-    fresh = found.filter((F.col("disposition") != snapshot.UNCHANGED) | F.col("_error").isNotNull())
-    parsed = checkpointed(permits.normalize(fresh.select(raw.columns), dataset))
-    good, bad = snapshot.quarantine(parsed)
+        old = known.select("record_key", F.unhex("checksum").alias(_STORED), *[F.col(c).alias(_before(c)) for c in _KEPT])
+        fresh = fresh.join(old.repartition(tasks, "record_key"), "record_key", "left")
+    added = [_KIND, _STORED, *map(_before, _KEPT)]
+    parsed = permits.normalize(fresh.select(*[F.col(f"`{c}`") for c in [*columns, *added]]), dataset)
+
+    # what is stored already, or fails, lies beside the buckets; the rest as ``snapshot.upsert`` has it
+    given = [c for c in parsed.columns if c not in added]
+    state = {"match_status": F.lit("PENDING"), "normalization_version": F.lit(snapshot.NORMALIZATION_VERSION - 1)}
+    rows = parsed.select(*[F.coalesce(F.col(c), F.col(_before(c))).alias(c) if c in _KEPT else c for c in given], *[v.alias(n) for n, v in state.items()], F.col(_KIND).alias("_disposition"), F.coalesce(F.col(_STORED) == F.unhex("checksum"), F.lit(False)).alias("_same"))
+    laid = buckets.lay(rows, f"{root}/permits", buckets=table_buckets, aside=F.col("error_code").isNotNull() | F.col("_same"))
+
+    done = buckets.laid_rows(spark, laid, rows.schema)
+    bad = snapshot.quarantine(done.filter(F.col("bucket") == buckets.ASIDE))[1]
     label = label or f"run={snapshot.newest(spark, f'{root}/seen')[0] + 1}"
-    bad.write.mode("overwrite").parquet(f"{root}/failures/{label}")
-    kinds = checkpointed(found.select("record_key", "disposition"))
-    written = _put(good, f"{root}/permits", table_buckets, checkpoint)
-    _put(parsed.select(_SEEN), f"{root}/seen", table_buckets, checkpoint, plain=True)
+    bad.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/failures/{label}")
+    count = done.count()
+    total = arrived.agg(F.count_if(~unnamed) + F.count_distinct(F.when(unnamed, F.col("record_key"))) if whole else F.count_distinct("record_key")).first()[0]
+    counters = snapshot.counters(done.filter("error_code is null").withColumnRenamed("_disposition", "disposition"), bad, skipped=total - count)
+    counters = spark.createDataFrame(counters.collect(), counters.schema)  # one line
+
+    if count or laid.own is None:
+        buckets.name(spark, laid, rows.drop("_disposition", "_same").schema, buckets=table_buckets, checkpoint=checkpoint)
+        seen = buckets.lay(done.select(_SEEN), f"{root}/seen", buckets=table_buckets)
+        buckets.name(spark, seen, done.select(_SEEN).schema, buckets=table_buckets, checkpoint=checkpoint)
+    buckets.forget_aside(spark, laid)
     buckets.compact(spark, f"{root}/permits")
     buckets.compact(spark, f"{root}/seen")
-    failed = bad.select("record_key")
-    sound = kinds.join(failed, "record_key", "left_anti")
-    return Run(snapshot.counters(sound, failed), parsed.count(), written)
-
-
-def _put(rows: DataFrame, root: str, table_buckets: int, checkpoint: snapshot.Checkpoint | None, plain: bool = False) -> list[int]:
-    if snapshot.manifest(rows.sparkSession, root) is None:
-        if not plain:
-            rows = rows.withColumns({"match_status": F.lit("PENDING"), "normalization_version": F.lit(snapshot.NORMALIZATION_VERSION - 1)})
-        buckets.create(rows, root, buckets=table_buckets, checkpoint=checkpoint)
-        return list(range(table_buckets))
-    return buckets.merge(rows, root, (lambda stored, new: new) if plain else (lambda stored, new: snapshot.upsert(stored, new, changed_only=True)), checkpoint)
+    return Run(counters, count, laid.filled if laid.own else list(range(table_buckets)))

@@ -45,6 +45,8 @@ DATASETS = {
     "building": Dataset("building", "24uj-dj8v", "row_id", tuple(BUILDING_COLUMNS.split()), tuple(BUILDING_REQUIRED.split())),
 }
 PROVIDER = "city-open-data"
+#: What the names of columns begin with that a run adds to raw rows; ``normalize`` hands them on as they are.
+ADDED = ":run_"
 
 
 def raw_schema(dataset: Dataset) -> StructType:
@@ -112,6 +114,7 @@ def normalize(raw: DataFrame, dataset: Dataset) -> DataFrame:
     """A row for each raw row: the uniform permit, payload, checksum, and error_code and error_message (null if it is
     sound). MISSING_SOURCE_ID comes before INVALID_SOURCE_ROW; a row without an identifier is named by its checksum."""
     check_contract(raw, dataset)
+    added = [F.col(f"`{n}`") for n in raw.columns if n.startswith(ADDED)]
     own = raw.withColumns({n: F.lit(None).cast("string") for n in (":id", ":updated_at", *dataset.columns) if n not in raw.columns})
     c = lambda name: F.col(f"`{name}`").cast("string")
     clean = lambda name, size: text.clean(c(name), size)
@@ -133,7 +136,7 @@ def normalize(raw: DataFrame, dataset: Dataset) -> DataFrame:
         "latitude": text.number(c("latitude")), "longitude": text.number(c("longitude")),
     }
     own = own.withColumns({"payload": payload(raw), "_bad": F.coalesce(*bad_dates, bad_occupancy)} | permit)
-    own = own.withColumn("checksum", checksum(F.col("payload"))).select("payload", "checksum", "_bad", *permit)
+    own = own.withColumn("checksum", checksum(F.col("payload"))).select("payload", "checksum", "_bad", *permit, *added)
     own = address.normalize(own.withColumnRenamed("raw_address", "_address"), "_address").drop("_address")
     broken = F.array_compact(F.array(
         F.when(~F.coalesce(F.col("units").between(-100_000, 100_000), F.lit(True)), "units: out of bounds"),

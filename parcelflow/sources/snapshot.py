@@ -115,9 +115,10 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: str = "record_key", keep
     return both.select(key, *[merged(n).alias(n) for n in names])
 
 
-def counters(dispositions: DataFrame, failures: DataFrame) -> DataFrame:
-    """fetched, created, updated, skipped, failed and status of a run, in one line."""
-    own = dispositions.agg(*[F.count_if(F.col("disposition") == k).alias(n) for k, n in ((CREATED, "created"), (UPDATED, "updated"), (UNCHANGED, "skipped"))])
+def counters(dispositions: DataFrame, failures: DataFrame, skipped: int = 0) -> DataFrame:
+    """fetched, created, updated, skipped, failed and status of a run, in one line; ``skipped`` more were unchanged than
+    ``dispositions`` has."""
+    own = dispositions.agg(*[(F.count_if(F.col("disposition") == k) + F.lit(more).cast("long")).alias(n) for k, n, more in ((CREATED, "created", 0), (UPDATED, "updated", 0), (UNCHANGED, "skipped", skipped))])
     both = own.join(failures.agg(F.count("*").alias("failed")), F.lit(True))
     fetched = F.col("created") + F.col("updated") + F.col("skipped") + F.col("failed")
     return both.select(fetched.alias("fetched"), "created", "updated", "skipped", "failed", F.when(F.col("failed") > 0, "PARTIALLY_SUCCEEDED").otherwise("SUCCEEDED").alias("status"))

@@ -127,3 +127,51 @@ def test_import_runs_parse_only_what_is_new(spark, tmp_path, monkeypatch):
     assert third.parsed == 0 and third.buckets == [] and tuple(third.counters.first())[:5] == (1, 0, 0, 1, 0)
     with pytest.raises(snapshot.DuplicateSourceIdentifier):
         imports.run(raw(spark, ("1", "House", home, "53.5"), ("1", "Shed", home, "53.5")), BUILDING, root)
+
+
+def test_a_run_leaves_its_tables_alone_on_disk(spark, tmp_path):
+    from pathlib import Path
+
+    from parcelflow import session
+
+    shared = Path(session.shared_dir(spark).removeprefix("file:"))
+    shuffles = lambda: {str(b) for b in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()) if str(b).startswith("shuffle_")}
+    before, blocks = set(shared.rglob("*")), shuffles()
+    rows = lambda kind: raw(spark, *[(str(i), kind if i % 2 else "House", "10 5 Ave NW" if i else "nowhere", "53.5") for i in range(40)])
+    imports.run(rows("House"), BUILDING, f"file://{tmp_path}/i", table_buckets=4)
+    assert imports.run(rows("Shed"), BUILDING, f"file://{tmp_path}/i", table_buckets=4).parsed == 21
+    assert set(shared.rglob("*")) <= before and shuffles() <= blocks
+    assert not list(tmp_path.rglob("bucket=-1")) and all(".zstd." in p.name for p in tmp_path.rglob("*.parquet"))
+
+
+def test_a_run_that_stopped_before_seen_is_done_again(spark, tmp_path, monkeypatch):
+    root, home = f"file://{tmp_path}/i", "10 5 Ave NW"
+    imports.run(raw(spark, ("1", "House", home, "53.5"), ("2", "House", home, None)), BUILDING, root, table_buckets=4)
+    own, now = buckets.lay, raw(spark, ("1", "Shed", home, None), ("2", "House", home, None), ("3", "House", "nowhere", None))
+
+    def stopped(rows, to, *more, **named):
+        if to.endswith("/seen"):
+            raise KeyboardInterrupt
+        return own(rows, to, *more, **named)
+
+    monkeypatch.setattr(buckets, "lay", stopped)
+    with pytest.raises(KeyboardInterrupt):
+        imports.run(now, BUILDING, root, table_buckets=4)
+    table = lambda: {(r.record_key, r.permit_type, r.latitude) for r in imports.table(spark, root).collect()}
+    assert table() == {("1", "Shed", 53.5), ("2", "House", None)}
+    monkeypatch.setattr(buckets, "lay", own)
+    again = imports.run(now, BUILDING, root, table_buckets=4)
+    assert (again.parsed, again.buckets) == (2, []) and tuple(again.counters.first())[:5] == (3, 0, 1, 1, 1)
+    assert table() == {("1", "Shed", 53.5), ("2", "House", None)}
+
+
+def test_tables_of_another_hash_keep_it(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/t"
+    commit = snapshot.commit
+    monkeypatch.setattr(buckets, "bucket_of", lambda key, n, hashed=None: F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
+    monkeypatch.setattr(snapshot, "commit", lambda s, r, n, content: commit(s, r, n, {k: v for k, v in content.items() if k != "hash"}))
+    buckets.create(rows(spark, range(60)), root, buckets=16)
+    monkeypatch.undo()
+    buckets.merge(rows(spark, [i + 1000 * (i % 9 == 0) for i in range(70)]), root, put)
+    assert {r.record_key: r.value for r in buckets.read(spark, root).collect()} == {f"k{i}": i + 1000 * (i % 9 == 0) for i in range(70)}
+    assert buckets.read(spark, root).count() == 70 and "hash" not in snapshot.manifest(spark, root)
