@@ -27,6 +27,8 @@ MOST_DELTAS = 8
 _RUN = "_run"
 
 
+#: Tasks' worth of rows that ``groups`` lets one pass deal at once, which bounds the shuffle files of a large write.
+PASS_TASKS = 200
 #: The bucket, named by no manifest, of rows that are written beside a table's own.
 ASIDE = -1
 #: Functions of the key; tables whose manifests name none were written by the first.
@@ -42,21 +44,31 @@ def tasks(rows: int, buckets: int) -> int:
     return buckets * max(1, -(-rows // (session.TASK_ROWS * buckets)))
 
 
-def _write(rows: DataFrame, root: str, kind: str, key: str, buckets: int, like: DataFrame | None = None, hashed: str | None = "hash", aside: Column | None = None, placed: bool = False) -> tuple[str, list[int]]:
-    """Write rows to a new folder, a subfolder for each bucket with rows; the folder and these buckets. A bucket of more rows
-    than a task holds is written by several, each its slice of the keys, in a file of its own: what a task sorts and writes
-    does not grow with the table. ``like`` has as many rows at least, and is counted instead of dear ones; ``placed`` rows are
-    dealt already. Rows of which ``aside`` holds lie in a subfolder of their own."""
-    folder = f"{kind}-{uuid.uuid4().hex}"
-    if not placed:
-        rows = rows.repartition(tasks((rows if like is None else like).count(), buckets), key)
-    own = bucket_of(key, buckets, hashed)
-    rows = rows.withColumn("bucket", own if aside is None else F.when(aside, ASIDE).otherwise(own))
-    rows.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{root}/{folder}")
-    names = (s.getPath().getName() for s in snapshot._listed(rows.sparkSession, f"{root}/{folder}"))
+def groups(rows: int, buckets: int) -> list[range]:
+    """The buckets in as many groups as passes are needed, so that each pass deals about ``PASS_TASKS`` tasks' rows."""
+    most = max(1, buckets * PASS_TASKS * session.TASK_ROWS // max(rows, 1))
+    return [range(b, min(b + most, buckets)) for b in range(0, buckets, most)]
+
+
+def _append(parts: Iterable[DataFrame], root: str, kind: str, key: str, buckets: int, hashed: str | None = "hash", aside: Column | None = None) -> tuple[str, list[int]]:
+    """Write rows to a new folder, where they are, a subfolder for each bucket with rows; the folder and these buckets. Parts
+    are written one after the other. Rows of which ``aside`` holds lie in a subfolder of their own."""
+    folder, own = f"{kind}-{uuid.uuid4().hex}", bucket_of(key, buckets, hashed)
+    for rows in parts:
+        spark, placed = rows.sparkSession, rows.withColumn("bucket", own if aside is None else F.when(aside, ASIDE).otherwise(own))
+        placed.write.mode("append").partitionBy("bucket").option("compression", "zstd").parquet(f"{root}/{folder}")
+    names = (s.getPath().getName() for s in snapshot._listed(spark, f"{root}/{folder}"))
     return folder, sorted({int(n.split("=")[1]) for n in names if n.startswith("bucket=")} - {ASIDE})
 
 
+def _write(rows: DataFrame, root: str, kind: str, key: str, buckets: int, like: DataFrame | None = None, hashed: str | None = "hash") -> tuple[str, list[int]]:
+    """Deal rows and write them. A bucket of more rows than a task holds is written by several, each its slice of the keys, in a
+    file of its own: what a task sorts and writes does not grow with the table. ``like`` has as many rows at least, and is
+    counted instead of dear ones."""
+    dealt = rows.repartition(tasks((rows if like is None else like).count(), buckets), key)
+    return _append([dealt], root, kind, key, buckets, hashed)
+
+
 @dataclass(frozen=True)
 class Laid:
     """Rows in a folder below a table's root that no manifest names yet, and the state of the table that they were written for."""
@@ -68,14 +80,14 @@ class Laid:
     own: dict | None
 
 
-def lay(rows: DataFrame, root: str, key: str = "record_key", buckets: int = BUCKETS, aside: Column | None = None) -> Laid:
+def lay(spark: SparkSession, parts: Iterable[DataFrame], root: str, key: str = "record_key", buckets: int = BUCKETS, aside: Column | None = None) -> Laid:
     """Write rows with distinct keys, where they are, as a table's base or next delta. They should be dealt by key to
     ``tasks``; any others have the same result in more files. Columns that the table lacks are written and not read by it."""
-    number, own = snapshot.newest(rows.sparkSession, root)
+    number, own = snapshot.newest(spark, root)
     if own is None:
-        return Laid(root, *_write(rows, root, "base", key, buckets, aside=aside, placed=True), number, own)
-    delta = rows.withColumn(_RUN, F.lit(number + 1).cast("long"))
-    return Laid(root, *_write(delta, root, "delta", own["key"], own["buckets"], hashed=own.get("hash"), aside=aside, placed=True), number, own)
+        return Laid(root, *_append(parts, root, "base", key, buckets, aside=aside), number, own)
+    deltas = (rows.withColumn(_RUN, F.lit(number + 1).cast("long")) for rows in parts)
+    return Laid(root, *_append(deltas, root, "delta", own["key"], own["buckets"], own.get("hash"), aside), number, own)
 
 
 def name(spark: SparkSession, laid: Laid, schema: StructType, key: str = "record_key", buckets: int = BUCKETS, checkpoint: snapshot.Checkpoint | None = None) -> None:
@@ -140,9 +152,13 @@ def _rows(spark: SparkSession, root: str, own: dict, only: Iterable[int] | None
         return spark.createDataFrame([], kept)
     out = scan(plain) if plain else None
     if covered:
-        run = StructType().add(_RUN, "long").fields
-        deltas = scan([path(b, i) for b, ids in parts.items() for i in ids[1:]], run)
-        late = deltas.groupBy(key).agg(F.max_by(F.struct(*kept.names), _RUN).alias("r")).select("r.*")
+        once = [path(b, i) for b, ids in parts.items() if len(ids) == 2 for i in ids[1:]]
+        often = [path(b, i) for b, ids in parts.items() if len(ids) > 2 for i in ids[1:]]
+        late = scan(once).select(kept.names) if once else None  # one delta has a key once
+        if often:
+            deltas = scan(often, StructType().add(_RUN, "long").fields)
+            last = deltas.groupBy(key).agg(F.max_by(F.struct(*kept.names), _RUN).alias("r")).select("r.*")
+            late = last if late is None else late.unionByName(last)
         under = scan(covered).join(late.select(key), key, "left_anti").select(kept.names)
         both = under.unionByName(late)
         out = both if out is None else out.unionByName(both)
@@ -162,7 +178,7 @@ def merge(incoming: DataFrame, root: str, combine: Callable[[DataFrame, DataFram
     stored = _rows(spark, root, own, touched).join(incoming.select(key), key, "left_semi")
     names = StructType.fromJson(own["schema"]).names
     changed = combine(stored, incoming).select(names).withColumn(_RUN, F.lit(number + 1).cast("long"))
-    laid = Laid(root, *_write(changed, root, "delta", key, buckets, like=incoming, hashed=own.get("hash")), number, own)
+    laid = Laid(root, *_write(changed, root, "delta", key, buckets, incoming, own.get("hash")), number, own)
     name(spark, laid, incoming.schema, checkpoint=checkpoint)
     return laid.filled
 

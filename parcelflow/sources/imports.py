@@ -41,9 +41,10 @@ def table(spark: SparkSession, root: str, number: int | None = None) -> DataFram
     return buckets.read(spark, f"{root}/permits", number)
 
 
-def changes(own: DataFrame, root: str, tasks: int) -> DataFrame:
-    """Identified rows, dealt by key to so many tasks, with their disposition against what was seen, and the error that a row had then."""
-    seen = buckets.read(own.sparkSession, f"{root}/seen", columns=_SEEN)
+def changes(own: DataFrame, root: str, tasks: int, only: range) -> DataFrame:
+    """Identified rows of ``only`` these buckets, dealt by key to so many tasks, with their disposition against what was seen,
+    and the error that a row had then."""
+    seen = buckets.read(own.sparkSession, f"{root}/seen", only=only, columns=_SEEN)
     if seen is None:
         return own.withColumns({_KIND: F.lit(snapshot.CREATED), _ERROR: F.lit(None).cast("string")})
     before = seen.select("record_key", F.unhex("checksum").alias("_old"), F.col("error_code").alias(_ERROR)).repartition(tasks, "record_key")
@@ -64,7 +65,8 @@ def run(raw: DataFrame, dataset: permits.Dataset, root: str, whole: bool = True,
     Rows that failed before are tried again, so that the run's failures, below ``label``, are all of the snapshot's.
 
     The raw rows are read once and kept as compressed columns. They are dealt by key, meet what was seen and what is stored
-    there, are made uniform, and are written to their buckets by the same task: wide rows are shuffled once, raw."""
+    there, are made uniform, and are written to their buckets by the same task: wide rows are shuffled once, raw. Large runs
+    do so for one group of buckets after the other, so that shuffle files do not grow with the table."""
     spark = raw.sparkSession
     keyed = permits.identified(raw, dataset).drop("checksum")
     with shuffles_removed(spark), stored(keyed, "arrived") as arrived:
@@ -75,30 +77,39 @@ def run(raw: DataFrame, dataset: permits.Dataset, root: str, whole: bool = True,
 
 
 def _run(arrived: DataFrame, columns: list[str], unnamed: Column, dataset: permits.Dataset, root: str, whole: bool, table_buckets: int, checkpoint: snapshot.Checkpoint | None, label: str | None) -> Run:
-    spark, known = arrived.sparkSession, buckets.read(arrived.sparkSession, f"{root}/permits", columns=["record_key", "checksum", *_KEPT])
-    held = max(arrived.count(), buckets.most_rows(spark, f"{root}/seen"), buckets.most_rows(spark, f"{root}/permits"))
-    tasks = buckets.tasks(held, (snapshot.manifest(spark, f"{root}/permits") or {"buckets": table_buckets})["buckets"])
-    own = arrived
-    if whole:  # named rows are distinct already
-        own = arrived.filter(~unnamed).unionByName(arrived.filter(unnamed).dropDuplicates(["record_key"]))
-    own = own.repartition(tasks, "record_key").withColumn("checksum", permits.checksum(permits.payload(arrived, columns)))
-    found = changes(own if whole else latest(own), root, tasks)
-    fresh = found.filter((F.col(_KIND) != snapshot.UNCHANGED) | F.col(_ERROR).isNotNull())
-    if known is None:
-        fresh = fresh.withColumns({_STORED: F.lit(None).cast("binary")} | {_before(c): F.lit(None).cast("double") for c in _KEPT})
-    else:
-        old = known.select("record_key", F.unhex("checksum").alias(_STORED), *[F.col(c).alias(_before(c)) for c in _KEPT])
-        fresh = fresh.join(old.repartition(tasks, "record_key"), "record_key", "left")
-    added = [_KIND, _STORED, *map(_before, _KEPT)]
-    parsed = permits.normalize(fresh.select(*[F.col(f"`{c}`") for c in [*columns, *added]]), dataset)
-
-    # what is stored already, or fails, lies beside the buckets; the rest as ``snapshot.upsert`` has it
-    given = [c for c in parsed.columns if c not in added]
+    spark, own = arrived.sparkSession, snapshot.manifest(arrived.sparkSession, f"{root}/permits") or {"buckets": table_buckets, "hash": "hash"}
+    seen = snapshot.manifest(spark, f"{root}/seen") or own
+    held, alike = max(arrived.count(), buckets.most_rows(spark, f"{root}/seen"), buckets.most_rows(spark, f"{root}/permits")), [(t["buckets"], t.get("hash")) for t in (own, seen)]
+    tasks = buckets.tasks(held, own["buckets"])
+    passes = buckets.groups(held, own["buckets"]) if alike[0] == alike[1] else [None]
     state = {"match_status": F.lit("PENDING"), "normalization_version": F.lit(snapshot.NORMALIZATION_VERSION - 1)}
-    rows = parsed.select(*[F.coalesce(F.col(c), F.col(_before(c))).alias(c) if c in _KEPT else c for c in given], *[v.alias(n) for n, v in state.items()], F.col(_KIND).alias("_disposition"), F.coalesce(F.col(_STORED) == F.unhex("checksum"), F.lit(False)).alias("_same"))
-    laid = buckets.lay(rows, f"{root}/permits", buckets=table_buckets, aside=F.col("error_code").isNotNull() | F.col("_same"))
+    added = [_KIND, _STORED, *map(_before, _KEPT)]
 
-    done = buckets.laid_rows(spark, laid, rows.schema)
+    def made(only: range | None) -> DataFrame:
+        """The rows to parse of a group of buckets, as ``snapshot.upsert`` has them."""
+        rows = arrived if only is None or len(passes) == 1 else arrived.filter(buckets.bucket_of("record_key", own["buckets"], own.get("hash")).isin([*only]))
+        if whole:  # named rows are distinct already
+            rows = rows.filter(~unnamed).unionByName(rows.filter(unnamed).dropDuplicates(["record_key"]))
+        rows = rows.repartition(tasks, "record_key").withColumn("checksum", permits.checksum(permits.payload(arrived, columns)))
+        found = changes(rows if whole else latest(rows), root, tasks, only)
+        fresh = found.filter((F.col(_KIND) != snapshot.UNCHANGED) | F.col(_ERROR).isNotNull())
+        known = buckets.read(spark, f"{root}/permits", only=only, columns=["record_key", "checksum", *_KEPT])
+        if known is None:
+            fresh = fresh.withColumns({_STORED: F.lit(None).cast("binary")} | {_before(c): F.lit(None).cast("double") for c in _KEPT})
+        else:
+            old = known.select("record_key", F.unhex("checksum").alias(_STORED), *[F.col(c).alias(_before(c)) for c in _KEPT])
+            fresh = fresh.join(old.repartition(tasks, "record_key"), "record_key", "left")
+        parsed = permits.normalize(fresh.select(*[F.col(f"`{c}`") for c in [*columns, *added]]), dataset)
+        given = [F.coalesce(F.col(c), F.col(_before(c))).alias(c) if c in _KEPT else F.col(c) for c in parsed.columns if c not in added]
+        same = F.coalesce(F.col(_STORED) == F.unhex("checksum"), F.lit(False))
+        return parsed.select(*given, *[v.alias(n) for n, v in state.items()], F.col(_KIND).alias("_disposition"), same.alias("_same"))
+
+    # what is stored already, or fails, lies beside the buckets
+    schemas = []
+    parts = (schemas.append(rows.schema) or rows for rows in map(made, passes))
+    laid = buckets.lay(spark, parts, f"{root}/permits", buckets=table_buckets, aside=F.col("error_code").isNotNull() | F.col("_same"))
+
+    done = buckets.laid_rows(spark, laid, schemas[0])
     bad = snapshot.quarantine(done.filter(F.col("bucket") == buckets.ASIDE))[1]
     label = label or f"run={snapshot.newest(spark, f'{root}/seen')[0] + 1}"
     bad.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/failures/{label}")
@@ -108,8 +119,8 @@ def _run(arrived: DataFrame, columns: list[str], unnamed: Column, dataset: permi
     counters = spark.createDataFrame(counters.collect(), counters.schema)  # one line
 
     if count or laid.own is None:
-        buckets.name(spark, laid, rows.drop("_disposition", "_same").schema, buckets=table_buckets, checkpoint=checkpoint)
-        seen = buckets.lay(done.select(_SEEN), f"{root}/seen", buckets=table_buckets)
+        buckets.name(spark, laid, done.drop("_disposition", "_same", "bucket").schema, buckets=table_buckets, checkpoint=checkpoint)
+        seen = buckets.lay(spark, [done.select(_SEEN)], f"{root}/seen", buckets=table_buckets)
         buckets.name(spark, seen, done.select(_SEEN).schema, buckets=table_buckets, checkpoint=checkpoint)
     buckets.forget_aside(spark, laid)
     buckets.compact(spark, f"{root}/permits")

@@ -149,10 +149,10 @@ def test_a_run_that_stopped_before_seen_is_done_again(spark, tmp_path, monkeypat
     imports.run(raw(spark, ("1", "House", home, "53.5"), ("2", "House", home, None)), BUILDING, root, table_buckets=4)
     own, now = buckets.lay, raw(spark, ("1", "Shed", home, None), ("2", "House", home, None), ("3", "House", "nowhere", None))
 
-    def stopped(rows, to, *more, **named):
+    def stopped(session, parts, to, *more, **named):
         if to.endswith("/seen"):
             raise KeyboardInterrupt
-        return own(rows, to, *more, **named)
+        return own(session, parts, to, *more, **named)
 
     monkeypatch.setattr(buckets, "lay", stopped)
     with pytest.raises(KeyboardInterrupt):
@@ -175,3 +175,40 @@ def test_tables_of_another_hash_keep_it(spark, tmp_path, monkeypatch):
     buckets.merge(rows(spark, [i + 1000 * (i % 9 == 0) for i in range(70)]), root, put)
     assert {r.record_key: r.value for r in buckets.read(spark, root).collect()} == {f"k{i}": i + 1000 * (i % 9 == 0) for i in range(70)}
     assert buckets.read(spark, root).count() == 70 and "hash" not in snapshot.manifest(spark, root)
+
+
+def test_groups_of_buckets_are_done_one_after_the_other(spark, tmp_path, monkeypatch):
+    from parcelflow import session
+
+    parsed, own = [], permits.normalize
+    rows = lambda kind: raw(spark, *[(str(i) if i % 10 else None, kind if i % 3 else "House", "10 5 Ave NW", str(i % 50)) for i in range(90)])
+    want, want_table = [], []
+    for kind, n in (("House", 1), ("Shed", 1)):
+        done = imports.run(rows(kind), BUILDING, f"file://{tmp_path}/one", table_buckets=4)
+        want.append((tuple(done.counters.first()), done.parsed, done.buckets))
+    want_table = sorted(imports.table(spark, f"file://{tmp_path}/one").drop("source_updated_at").collect(), key=str)
+    monkeypatch.setattr(session, "TASK_ROWS", 5)
+    monkeypatch.setattr(buckets, "PASS_TASKS", 6)
+    monkeypatch.setattr(permits, "normalize", lambda df, d: parsed.append(df.count()) or own(df, d))
+    for kind, was in zip(("House", "Shed"), want):
+        done = imports.run(rows(kind), BUILDING, f"file://{tmp_path}/many", table_buckets=4)
+        assert (tuple(done.counters.first()), done.parsed, done.buckets) == was
+    assert len(parsed) == 8 and all(parsed) and sum(parsed) == want[0][1] + want[1][1]
+    assert sorted(imports.table(spark, f"file://{tmp_path}/many").drop("source_updated_at").collect(), key=str) == want_table
+
+
+def test_groups_cover_the_buckets_and_grow_in_number_only():
+    for n in (0, 1, 10**6, 54 * 10**6, 10**9):
+        found = buckets.groups(n, 16)
+        assert [b for g in found for b in g] == list(range(16)) and (len(found) == 1 or len(found) == 16 or max(map(len, found)) * n // 16 <= 20 * 10**6)
+    assert len(buckets.groups(54 * 10**6, 256)) == 3
+
+
+def test_a_single_delta_is_read_without_a_grouping(spark, tmp_path):
+    root = f"file://{tmp_path}/t"
+    buckets.create(rows(spark, range(40)), root, buckets=2)
+    buckets.merge(rows(spark, [i + 100 for i in range(40)]), root, put)
+    plan = lambda: buckets.read(spark, root)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan() and {r.value for r in buckets.read(spark, root).collect()} == set(range(100, 140))
+    one = buckets.merge(rows(spark, [7]), root, put)  # the other bucket keeps its single delta
+    assert len(one) == 1 and "Aggregate" in plan() and {r.value for r in buckets.read(spark, root).collect()} == {7, *range(101, 140)}
